@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import markers as M
+from .once import let
 
 
 def words(text: Column) -> Column:
@@ -26,11 +27,13 @@ def marked_count(text: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Overlapping n-grams as space-joined text, in order; empty when the row is shorter than ``n``."""
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(tokens) - F.lit(n - 1), F.lit(1))),
-        lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "),
-    )
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    def grams(t: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(t) - F.lit(n - 1), F.lit(1)))
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
+        return F.when(F.size(t) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, grams)
 
 
 def ngram_hashes(tokens: Column, n: int) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import markers as M
+from ..functions.once import pinned
 from ..functions.text import ngram_hashes
 from ..session import lookup_join
 from .ordering import per_group_limit
@@ -190,19 +191,19 @@ def copy_shares(rows: DataFrame, by: list[str], n: int = 8, least: int = 16) ->
         F.collect_list(F.when(~F.col("from_reply"), F.col("pos"))).alias("ctx"),
         F.collect_list(F.when(F.col("from_reply"), F.col("pos"))).alias("own"),
     )
-    joined = rows.select("id", "mask", "n", *by).join(found, "id", "left")
+    joined = rows.select("id", "mask", *by).join(found, "id", "left")
     none = F.array().cast("array<int>")
 
     def covered(starts: Column) -> Column:
         reach = F.flatten(F.transform(starts, lambda p: F.sequence(p, p + (n - 1))))
         return F.array_distinct(F.coalesce(reach, none))
 
-    ctx, own = covered(F.col("ctx")), covered(F.col("own"))
-    counted = joined.select(
+    reach = pinned(joined, {"c": covered(F.col("ctx")), "o": covered(F.col("own"))}, ["mask", *by])
+    counted = reach.select(
         *by,
         F.aggregate("mask", F.lit(0), lambda a, m: a + m.cast("int")).alias("sup"),
-        F.size(F.filter(ctx, lambda p: F.get("mask", p) == 1)).alias("c"),
-        F.size(F.filter(F.array_except(own, ctx), lambda p: F.get("mask", p) == 1)).alias("s"),
+        F.size(F.filter("c", lambda p: F.get("mask", p) == 1)).alias("c"),
+        F.size(F.filter(F.array_except("o", "c"), lambda p: F.get("mask", p) == 1)).alias("s"),
     )
     return counted.groupBy(*by).agg(
         F.sum("sup").alias("supervised"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import let, pinned
 from ..functions.text import ngram_hashes
 from ..session import lookup_join, settle
 
@@ -30,17 +31,17 @@ def gram_owner(grams: DataFrame) -> DataFrame:
 
 def prompt_grams(rows: DataFrame, n: int = GRAM) -> DataFrame:
     """``id, gram`` of the distinct n-grams of windows without supervised tokens. A null mask means all unsupervised."""
-    grams = ngram_hashes(F.col("tokens"), n)
-    size = F.size("tokens")
-    at = F.sequence(F.lit(0), F.greatest(size - n, F.lit(0)))
-    clean = F.transform(
-        at, lambda i: F.coalesce(F.array_position(F.slice("mask", i + 1, F.lit(n)), F.lit(1).cast("tinyint")), F.lit(0)) == 0
-    )
-    open_grams = F.transform(
-        F.filter(F.arrays_zip(grams.alias("g"), clean.alias("k")), lambda p: p["k"]), lambda p: p["g"]
-    )
-    chosen = F.when(size < n, F.array().cast("array<bigint>")).when(F.col("mask").isNull(), grams).otherwise(open_grams)
-    return rows.select("id", F.explode(F.array_distinct(chosen)).alias("gram"))
+    one = F.lit(1).cast("tinyint")
+
+    def unsupervised(m):
+        starts = F.sequence(F.lit(0), F.greatest(F.size(m) - n, F.lit(0)))
+        return F.transform(starts, lambda i: F.array_position(F.slice(m, i + 1, F.lit(n)), one) == 0)
+
+    open_windows = F.when(F.col("mask").isNotNull(), let(F.col("mask"), unsupervised))
+    made = pinned(rows, {"grams": ngram_hashes(F.col("tokens"), n), "open": open_windows}, ["id"])
+    kept = F.transform(F.filter(F.arrays_zip("grams", "open"), lambda p: p["open"]), lambda p: p["grams"])
+    chosen = F.when(F.col("open").isNull(), F.col("grams")).otherwise(F.filter(kept, lambda g: g.isNotNull()))
+    return made.select("id", F.explode(F.array_distinct(chosen)).alias("gram"))
 
 
 def ngram_hits(rows: DataFrame, problems: DataFrame, n: int = GRAM, shortest: int = SHORTEST) -> DataFrame:

@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import pinned
 from ..functions.seeded import order_key
 from .token_rows import spans_of
 
 
 def _with_replies(rows: DataFrame, replies: DataFrame) -> DataFrame:
-    """Rows with their spans, the gaps around them, and their replies in turn order.
+    """``id, tokens, n_spans, gaps, replies, before``: the text around the spans, the replies in turn order, and the
+    length of the rebuilt row when each reply is about to start.
 
     A row has as many replies as it has assistant turns, so the list is bounded by the row.
     """
     turns = replies.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "reply", "finish"))).alias("replies"))
-    spans = spans_of(F.col("mask"))
-    joined = rows.join(turns, "id", "left").withColumn("spans", spans)
+    none = F.array().cast(turns.schema["replies"].dataType)
+    joined = pinned(
+        rows.join(turns, "id", "left"),
+        {"spans": spans_of(F.col("mask")), "replies": F.coalesce("replies", none)},
+        ["id", "tokens"],
+    )
     n_spans = F.size("spans")
 
     def gap(i: Column) -> Column:
@@ -24,16 +30,22 @@ def _with_replies(rows: DataFrame, replies: DataFrame) -> DataFrame:
         end = F.coalesce(F.get("spans", i)["s"], F.size("tokens"))
         return F.slice("tokens", start + 1, end - start)
 
-    return joined.withColumn("gaps", F.transform(F.sequence(F.lit(0), n_spans), gap)).withColumn(
-        "replies", F.coalesce("replies", F.array().cast(turns.schema["replies"].dataType))
+    cut = pinned(
+        joined,
+        {"n_spans": n_spans, "gaps": F.transform(F.sequence(F.lit(0), n_spans), gap)},
+        ["id", "tokens", "replies"],
     )
 
+    def length_before(k: Column) -> Column:
+        gaps = F.aggregate(F.slice("gaps", F.lit(1), k + 1), F.lit(0), lambda a, g: a + F.size(g))
+        done = F.aggregate(F.slice("replies", F.lit(1), k), F.lit(0), lambda a, r: a + F.size(r["reply"]))
+        return gaps + done
 
-def _length_before(k: Column) -> Column:
-    """Length of the rebuilt row when reply ``k`` is about to start."""
-    gaps = F.aggregate(F.slice("gaps", F.lit(1), k + 1), F.lit(0), lambda a, g: a + F.size(g))
-    done = F.aggregate(F.slice("replies", F.lit(1), k), F.lit(0), lambda a, r: a + F.size(r["reply"]))
-    return gaps + done
+    return pinned(
+        cut,
+        {"before": F.transform(F.sequence(F.lit(0), F.col("n_spans")), length_before)},
+        ["id", "tokens", "n_spans", "gaps", "replies"],
+    )
 
 
 def splice_replies(rows: DataFrame, replies: DataFrame, max_total: int) -> DataFrame:
@@ -43,51 +55,42 @@ def splice_replies(rows: DataFrame, replies: DataFrame, max_total: int) -> DataF
     the row is cut at ``max_total``. Rows without spans are ``no_assistant_turn``; rows still waiting for a reply are left
     out. ``replies``: ``id, k, reply, finish``. Returns ``id, tokens, spans, n_regenerated, status``.
     """
-    base = _with_replies(rows, replies)
-    n_spans = F.size("spans")
+    n_spans = F.col("n_spans")
     turns = F.sequence(F.lit(0), F.greatest(n_spans - 1, F.lit(0)))
-    full = F.coalesce(F.array_min(F.filter(turns, lambda k: _length_before(k) >= max_total - 1)), n_spans)
-    capped_at = F.array_min(
-        F.transform(F.filter("replies", lambda r: r["finish"] != "stop"), lambda r: r["k"].cast("int"))
-    )
-    marked = base.withColumn("full", full).withColumn("capped_at", F.coalesce(capped_at, n_spans))
+    full = F.array_min(F.filter(turns, lambda k: F.get("before", k) >= max_total - 1))
+    cap = F.array_min(F.transform(F.filter("replies", lambda r: r["finish"] != "stop"), lambda r: r["k"].cast("int")))
+    base = pinned(
+        _with_replies(rows, replies),
+        {"full": F.coalesce(full, n_spans), "cap": F.coalesce(cap, n_spans)},
+        ["id", "n_spans", "gaps", "replies", "before"],
+    )
+    capped = F.col("cap") < F.col("full")
     status = (
-        F.when(n_spans == 0, F.lit("no_assistant_turn"))
-        .when((F.col("capped_at") < F.col("full")), F.lit("capped"))
-        .when(F.col("full") < n_spans, F.lit("total_len"))
-        .otherwise(F.lit("complete"))
-    )
-    used = (
-        F.when(F.col("status") == "no_assistant_turn", 0)
-        .when(F.col("status") == "capped", F.col("capped_at") + 1)
-        .when(F.col("status") == "total_len", F.col("full"))
-        .otherwise(n_spans)
+        F.when(n_spans == 0, "no_assistant_turn")
+        .when(capped, "capped")
+        .when(F.col("full") < n_spans, "total_len")
+        .otherwise("complete")
     )
-    ready = (
-        marked.withColumn("status", status)
-        .withColumn("used", used)
-        .filter(F.size(F.filter("replies", lambda r: r["k"] < F.col("used"))) == F.col("used"))
-    )
-    pieces = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(F.col("used") - 1, F.lit(0))),
-            lambda k: F.concat(F.get("gaps", k), F.get("replies", k)["reply"]),
-        )
+    used = F.when(n_spans == 0, 0).when(capped, F.col("cap") + 1).otherwise(F.col("full"))
+    ready = pinned(base, {"status": status, "used": used}, ["id", "gaps", "replies", "before"]).filter(
+        F.size(F.filter("replies", lambda r: r["k"] < F.col("used"))) == F.col("used")
     )
+    each = F.slice(F.sequence(F.lit(0), F.greatest(F.col("used"), F.lit(1))), F.lit(1), F.col("used"))
+    pieces = F.flatten(F.transform(each, lambda k: F.concat(F.get("gaps", k), F.get("replies", k)["reply"])))
     tail = F.when(F.col("status") == "capped", F.array().cast("array<string>")).otherwise(F.get("gaps", F.col("used")))
-    body = F.when(F.col("used") > 0, F.concat(pieces, tail)).otherwise(F.get("gaps", F.lit(0)))
     made = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.col("used") - 1, F.lit(0))),
+        each,
         lambda k: F.struct(
-            _length_before(k).alias("s"),
-            F.least(_length_before(k) + F.size(F.get("replies", k)["reply"]), F.lit(max_total)).alias("e"),
+            F.get("before", k).alias("s"),
+            F.least(F.get("before", k) + F.size(F.get("replies", k)["reply"]), F.lit(max_total)).alias("e"),
         ),
     )
-    spans = F.when(F.col("used") > 0, F.filter(made, lambda p: p["s"] < max_total)).otherwise(
-        F.array().cast("array<struct<s:int,e:int>>")
-    )
     return ready.select(
-        "id", F.slice(body, 1, max_total).alias("tokens"), spans.alias("spans"), F.col("used").alias("n_regenerated"), "status"
+        "id",
+        F.slice(F.concat(pieces, tail), 1, max_total).alias("tokens"),
+        F.filter(made, lambda p: p["s"] < max_total).alias("spans"),
+        F.col("used").alias("n_regenerated"),
+        "status",
     )
 
 
@@ -99,10 +102,9 @@ def next_prompts(
     Rounds with an error have no reply yet and stay out until it is retried.
     """
     earlier = replies.filter(F.col("k") < k)
-    base = _with_replies(rows, earlier)
-    here = _length_before(F.lit(k))
+    base = _with_replies(rows, earlier).withColumn("prompt_tokens", F.get("before", F.lit(k)))
     going = (
-        (F.size("spans") > k)
+        (F.col("n_spans") > k)
         & (F.size("replies") == k)
         & F.forall("replies", lambda r: r["finish"] == "stop")
         & (F.col("prompt_tokens") < max_total - 1)
@@ -116,17 +118,13 @@ def next_prompts(
         )
     )
     request = (F.lit(seed * 1000003) + F.col("id").cast("bigint") * 131 + k).bitwiseAND(F.lit(0x7FFFFFFF))
-    return (
-        base.withColumn("prompt_tokens", F.when(F.size("spans") > k, here))
-        .filter(going)
-        .select(
-            "id",
-            F.lit(k).alias("k"),
-            "prompt_tokens",
-            F.least(F.lit(max_new), F.lit(max_total) - F.col("prompt_tokens")).alias("max_tokens"),
-            request.alias("request_seed"),
-            prompt.alias("prompt"),
-        )
+    return base.filter(going).select(
+        "id",
+        F.lit(k).alias("k"),
+        "prompt_tokens",
+        F.least(F.lit(max_new), F.lit(max_total) - F.col("prompt_tokens")).alias("max_tokens"),
+        request.alias("request_seed"),
+        prompt.alias("prompt"),
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import markers as M
+from ..functions.once import let, pinned
 from ..functions.seeded import order_key
 from ..functions.text import marked_tokens
 from ..session import lookup_join
@@ -36,27 +37,33 @@ def assistant_mask(tokens: Column, newline_tokens: int = 0) -> Column:
     joined = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
     header = " ".join(re.escape(t) for t in (M.START_HEADER, "assistant", M.END_HEADER)) + r" " + r"(?:\S+ )" * newline_tokens
     span = rf"(?s)(?<= ){header}.*?(?:{re.escape(M.END_TURN)} |$)"
-    gaps = F.split(joined, span, -1)
-    spans = F.regexp_extract_all(joined, F.lit(span), F.lit(0))
+    cut = F.struct(
+        F.split(joined, span, -1).alias("gaps"), F.regexp_extract_all(joined, F.lit(span), F.lit(0)).alias("spans")
+    )
     skipped = 3 + newline_tokens
 
     def count(piece: Column) -> Column:
         return F.regexp_count(piece, F.lit(r"\S+"))
 
-    def pieces(i: Column) -> Column:
-        gap = F.array_repeat(F.lit(0).cast("tinyint"), count(F.get(gaps, i)))
-        n = F.coalesce(count(F.get(spans, i)), F.lit(0))
+    def pieces(c: Column, i: Column) -> Column:
+        gap = F.array_repeat(F.lit(0).cast("tinyint"), count(F.get(c["gaps"], i)))
+        n = F.coalesce(count(F.get(c["spans"], i)), F.lit(0))
         head = F.array_repeat(F.lit(0).cast("tinyint"), F.least(n, F.lit(skipped)))
         body = F.array_repeat(F.lit(1).cast("tinyint"), F.greatest(n - skipped, F.lit(0)))
         return F.concat(gap, head, body)
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gaps) - 1), pieces))
+    return let(
+        cut,
+        lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.size(c["gaps"]) - 1), lambda i: pieces(c, i))),
+    )
 
 
 def masked_rows(texts: DataFrame, key: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Rendered texts to token rows with their assistant mask."""
-    rows = tokenize(texts.withColumnRenamed(key, "id"), text)
-    return rows.select("id", *(keep or []), "tokens", assistant_mask(F.col("tokens")).alias("mask"), "n")
+    keep = keep or []
+    rows = pinned(texts.withColumnRenamed(key, "id"), {"tokens": marked_tokens(F.col(text))}, ["id", *keep])
+    masked = pinned(rows, {"mask": assistant_mask(F.col("tokens"))}, ["id", *keep, "tokens"])
+    return masked.withColumn("n", F.size("tokens"))
 
 
 def build_vocab(tokens: DataFrame, size: int, reserved: tuple[str, ...] = ()) -> DataFrame:
@@ -103,11 +110,14 @@ def encode(rows: DataFrame, vocab: DataFrame, bos: int, eos: int, unknown: int,
 
 def spans_of(mask: Column) -> Column:
     """Maximal runs of 1 as ``array<struct<s,e>>``, end exclusive."""
-    n = F.size(mask)
-    at = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-    starts = F.filter(at, lambda i: (F.get(mask, i) == 1) & (F.coalesce(F.get(mask, i - 1), F.lit(0)) == 0))
-    ends = F.filter(at, lambda i: (F.get(mask, i) == 1) & (F.coalesce(F.get(mask, i + 1), F.lit(0)) == 0))
-    return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), (e + 1).alias("e")))
+
+    def spans(m: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(m) - 1, F.lit(0)))
+        starts = F.filter(at, lambda i: (F.get(m, i) == 1) & (F.coalesce(F.get(m, i - 1), F.lit(0)) == 0))
+        ends = F.filter(at, lambda i: (F.get(m, i) == 1) & (F.coalesce(F.get(m, i + 1), F.lit(0)) == 0))
+        return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), (e + 1).alias("e")))
+
+    return let(mask, spans)
 
 
 def mask_spans(rows: DataFrame) -> DataFrame:
@@ -163,7 +173,7 @@ def prompt_before_last_span(rows: DataFrame, high: int) -> DataFrame:
     """Tokens before the last span; no row when there is no span, it starts at 0, or the prompt is longer than ``high``."""
     starts = F.transform(spans_of(F.col("mask")), lambda p: p["s"])
     return (
-        rows.withColumn("prompt_tokens", F.array_max(starts))
+        pinned(rows, {"prompt_tokens": F.array_max(starts)}, ["id", "tokens"])
         .filter((F.col("prompt_tokens") > 0) & (F.col("prompt_tokens") <= high))
         .select("id", F.slice("tokens", 1, F.col("prompt_tokens")).alias("prompt"), "prompt_tokens")
     )
@@ -263,9 +273,9 @@ def sum_freq(*freqs: DataFrame) -> DataFrame:
 def sample_positions(rows: DataFrame, k: int, tail: int, seed: int) -> DataFrame:
     """Up to ``k`` seeded positions per row, inside a span but not its first token, and not among the last ``tail``."""
     at = F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1)))
-    inside = F.filter(
-        at,
-        lambda i: (F.get("mask", i) == 1) & (F.get("mask", i - 1) == 1) & (i + F.lit(tail) < F.col("n")),
+    inside = let(
+        F.col("mask"),
+        lambda m: F.filter(at, lambda i: (F.get(m, i) == 1) & (F.get(m, i - 1) == 1) & (i + F.lit(tail) < F.col("n"))),
     )
     # The k smallest keys are taken inside the row; nothing is exchanged.
     keyed = F.array_sort(
