@@ -183,10 +183,9 @@ def prompt_features(prompts: DataFrame, by: list[str], text: str = "text") -> Da
 
 def compress_ratio(rows: DataFrame, by: list[str], text: str = "text", level: int = 6) -> DataFrame:
     """Compressed bytes over raw bytes of the texts per group; the compressor runs over Arrow batches."""
-    import pandas as pd
 
     @F.pandas_udf("bigint")
-    def packed(texts: pd.Series) -> pd.Series:
+    def packed(texts):
         import zlib
 
         return texts.map(lambda t: len(zlib.compress(t.encode("utf-8"), level)), na_action="ignore").astype("Int64")

@@ -17,9 +17,11 @@ def previous_in_slices(rows: DataFrame, group: list[str], order: str, slice_by:
     table with one row per slice. ``slice_by`` must never decrease along ``order``.
     """
     sliced = rows.withColumn("__slice", slice_by)
-    ends = sliced.groupBy(*group, "__slice").agg(F.max(F.struct(order, value)).alias("__end"))
+    ends = sliced.groupBy(*group, "__slice").agg(
+        F.max(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))).alias("__end")
+    )
     before = W.partitionBy(*group).orderBy("__slice")
-    carried = ends.select(*group, "__slice", F.lag(F.col(f"__end.{value}")).over(before).alias("__carried"))
+    carried = ends.select(*group, "__slice", F.lag("__end.v").over(before).alias("__carried"))
     inside = W.partitionBy(*group, "__slice").orderBy(order)
     return (
         sliced.join(carried, [*group, "__slice"])

@@ -72,7 +72,8 @@ def knn_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             for part in batches:
                 if not len(part):
                     continue
-                scores = mat @ np.vstack(part["vec"].to_numpy()).T
+                # Rounded, so equal vectors tie whatever the order of the sums inside the product.
+                scores = np.round(mat @ np.vstack(part["vec"].to_numpy()).T, 12)
                 ids = part["id"].to_numpy()
                 top = min(k, len(ids))
                 # Everything at least as near as the k-th is kept, so ties are settled by id later.

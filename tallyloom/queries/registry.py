@@ -35,12 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores when the files give fewer splits than there are cores; large inputs stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 # ---- shared inputs ---------------------------------------------------------------------------------------------
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised texts: ``id, source, lang, text``."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "lang", "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "lang", "text"))
 
 
 def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,8 +33,10 @@ def normal(columns, rows):
 
 def compare(spark, con, sf_dir, fn, sql):
     """None when equal, else a short description."""
+    t0 = time.time()
     df = fn(spark, sf_dir)
     got_cols, got = normal(df.columns, [tuple(r) for r in df.collect()])
+    compare.seconds = time.time() - t0
     if sql is None:
         return None if got_cols else "no columns"
     cur = con.execute(sql)
@@ -42,8 +44,9 @@ def compare(spark, con, sf_dir, fn, sql):
     if got_cols != want_cols:
         return f"columns {got_cols} != {want_cols}"
     if got != want:
-        extra = [r for r in got if r not in set(want)][:3]
-        lost = [r for r in want if r not in set(got)][:3]
+        have, need = set(got), set(want)
+        extra = [r for r in got if r not in need][:3]
+        lost = [r for r in want if r not in have][:3]
         return f"{len(got)} rows != {len(want)} rows; only spark {extra}; only sql {lost}"
     return None
 
@@ -64,7 +67,7 @@ def main():
             rows = "ok" if problem is None else problem
         except Exception as e:  # noqa: BLE001
             problem = rows = f"{type(e).__name__}: {str(e)[:600]}"
-        print(f"{'  ' if problem is None else '! '}{name:28} {time.time() - t0:5.1f}s {'sql' if name in ORACLE else 'rows'} {rows}", flush=True)
+        print(f"{'  ' if problem is None else '! '}{name:28} {getattr(compare, 'seconds', 0):5.1f}s of {time.time() - t0:5.1f}s {'sql' if name in ORACLE else 'rows'} {rows}", flush=True)
         if problem:
             bad.append(name)
     print(f"{len(names) - len(bad)}/{len(names)} ok; bad: {bad}")
