@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import let, pinned
 from ..functions.seeded import hex_int
 from ..functions.text import words
 from ..session import settle
@@ -27,12 +28,17 @@ def embed(texts: DataFrame, key: str, text: str = "text", dim: int = 64, fn=None
     counts = slots.groupBy(key, "slot").agg(F.count("*").alias("c"))
     maps = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", F.col("c").cast("double")))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return maps.select(key, unit(dense).alias("vec"))
+    return pinned(maps, {"vec": unit(dense)}, [key])
 
 
 def unit(vec):
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(vec, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+    """Vector over its length; a zero vector stays zero."""
+
+    def scaled(v):
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return let(norm, lambda s: F.transform(v, lambda x: F.when(s > 0, x / s).otherwise(F.lit(0.0))))
+
+    return let(vec.cast("array<double>"), scaled)
 
 
 def label_centroids(vectors: DataFrame, vec: str = "embedding", label: str = "label") -> DataFrame:

@@ -1,6 +1,6 @@
 """Every operator run over the driver's tables, beside the SQL that must give the same rows."""
 
-from . import chats, comparing, curation, mixing, reports, similar, sources_sinks, streams  # noqa: F401
+from . import chats, comparing, curation, mixing, reports, similar, sources_sinks, streams, whole_jobs  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

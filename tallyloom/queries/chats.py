@@ -525,6 +525,31 @@ def next_prompts(spark, sf):
     return out.select("id", "k", F.col("prompt_tokens").cast("bigint"), F.col("max_tokens").cast("bigint"), "request_seed")
 
 
+@query(
+    "generate",
+    f"""WITH {SPLICE},
+pm AS (SELECT l.id, list_concat(p.gap, p.reply, l.gap) AS prompt FROM lens l JOIN lens p ON p.id = l.id AND p.k = 0
+       WHERE l.k = 1 AND l.reply IS NOT NULL AND p.finish = 'stop' AND l.before < {MAX_TOTAL} - 1)
+SELECT id, 1 AS k, CASE WHEN id % 10 = 0 THEN 'none' ELSE md5(array_to_string(list_concat(list_reverse(prompt[-5:]), ['{M.END_TURN}']), ' ')) END AS reply,
+       CASE WHEN id % 10 = 0 THEN 'none' ELSE 'stop' END AS finish, CASE WHEN id % 10 = 0 THEN 'ValueError: no answer' ELSE 'none' END AS error FROM pm""",
+)
+def generate(spark, sf):
+    """A stand-in generator: the prompt's last five tokens backwards; it fails for some rows every time."""
+    prompts = R.next_prompts(chat_rows(spark, sf), replies_of(spark, sf), 1, MAX_TOTAL, 64, SEED)
+
+    def backwards(prompt, max_tokens, request_seed):
+        # request_seed = SEED * 1000003 + id * 131 + 1, so the row id can be read off it.
+        if (request_seed - SEED * 1000003 - 1) // 131 % 10 == 0:
+            raise ValueError("no answer")
+        return prompt[:-6:-1] + [M.END_TURN], "stop"
+
+    out = R.generate(prompts, backwards, retries=1)
+    return out.select(
+        "id", "k", F.coalesce(F.md5(F.array_join("reply", " ")), F.lit("none")).alias("reply"),
+        F.coalesce("finish", F.lit("none")).alias("finish"), F.coalesce("error", F.lit("none")).alias("error"),
+    )
+
+
 @query(
     "merge_parts",
     f"""WITH {SPLICE},

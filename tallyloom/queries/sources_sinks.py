@@ -1 +1,241 @@
-"""Queries."""
+"""Readers and writers: the tables are written to the shared folder in the source's format and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import word_count
+from ..operators import conversations as V
+from ..operators import token_rows as T
+from ..session import fresh_path, settle
+from ..sources import readers as R
+from ..sources import writers as K
+from .chats import PICKED
+from .registry import CHAT, CTOK, SEED, D, bucket_sql, chat_mode, chat_rows, chats, doc_stats, md5_sql, query, table
+
+
+@query("read_rows", "SELECT doc_id, source FROM documents")
+def read_rows(spark, sf):
+    return R.read_rows(spark, f"{sf}/documents.parquet", ["doc_id", "source"])
+
+
+@query(
+    "read_union",
+    """SELECT doc_id AS id, n_chars, lang, NULL AS label FROM documents UNION ALL SELECT vec_id, NULL, NULL, label FROM embeddings""",
+)
+def read_union(spark, sf):
+    a, b = fresh_path(spark, "union-a"), fresh_path(spark, "union-b")
+    table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars", "lang").write.parquet(a)
+    table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label").write.parquet(b)
+    return R.read_union(spark, [a, b])
+
+
+@query(
+    "read_jsonl",
+    "SELECT conv_id, turn, role, md5(replace(text, E'\\n', chr(8232))) AS text_md5 FROM conversations",
+)
+def read_jsonl(spark, sf):
+    """Texts hold U+2028 in place of line feeds; it must not end a record."""
+    path = fresh_path(spark, "jsonl")
+    rows = chats(spark, sf).withColumn("text", F.translate("text", "\n", "\u2028"))
+    rows.write.json(path)
+    back = R.read_jsonl(spark, path, rows.schema)
+    return back.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+@query("read_json_array", "SELECT conv_id, turn, role, md5(text) AS text_md5 FROM conversations")
+def read_json_array(spark, sf):
+    """One file per hundred conversations, each a single JSON array of from/value conversations."""
+    path = fresh_path(spark, "arrays")
+    convs = chats(spark, sf).groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", F.col("role").alias("from"), F.col("text").alias("value")))).alias("m")
+    )
+    named = convs.select(
+        F.floor(F.col("conv_id") / 100).alias("file"),
+        F.struct("conv_id", F.transform("m", lambda x: F.struct(x["from"].alias("from"), x["value"].alias("value"))).alias("conversations")).alias("c"),
+    )
+    arrays = named.groupBy("file").agg(F.to_json(F.collect_list("c")).alias("value"))
+    arrays.repartition("file").write.partitionBy("file").text(path)
+    back = R.read_json_array(spark, path, "conv_id bigint, conversations array<struct<from:string,value:string>>")
+    return V.to_turns(back).select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+@query(
+    "explode_trajectories",
+    """SELECT CAST(conv_id AS VARCHAR) AS task, turn AS i, length(text) + 1 AS prompt_tokens, length(text) AS completion_tokens
+FROM conversations WHERE role = 'assistant' AND turn % 2 = 1""",
+)
+def explode_trajectories(spark, sf):
+    """Compressed JSON lines, one conversation each; usage is recorded on some messages only."""
+    path = fresh_path(spark, "traces")
+    usage = F.when(
+        F.col("turn") % 2 == 1,
+        F.struct((F.length("text") + 1).alias("prompt_tokens"), F.length("text").alias("completion_tokens")),
+    )
+    rows = chats(spark, sf).groupBy(F.col("conv_id").cast("string").alias("task_name")).agg(
+        F.sort_array(F.collect_list(F.struct("turn", "role", usage.alias("usage")))).alias("messages")
+    )
+    rows.write.option("compression", "gzip").json(path)
+    shape = "task_name string, messages array<struct<role:string,usage:struct<prompt_tokens:bigint,completion_tokens:bigint>>>"
+    return R.explode_trajectories(R.read_jsonl(spark, path, shape))
+
+
+@query("read_trials", "SELECT source AS trial, doc_id, n_chars FROM documents")
+def read_trials(spark, sf):
+    path = fresh_path(spark, "trials")
+    table(spark, sf, "documents").select("doc_id", "n_chars", F.col("source").alias("trial_name")).write.partitionBy(
+        "trial_name"
+    ).json(path)
+    return R.read_trials(spark, path, "doc_id bigint, n_chars bigint", r"trial_name=([^/]+)/")
+
+
+def _runs(spark, sf):
+    path = fresh_path(spark, "results")
+    e = table(spark, sf, "events")
+    runs = e.groupBy(
+        F.col("event_type").alias("arm"), F.lit("mix").alias("benchmark"), F.lit("c16").alias("level"),
+        F.expr("dayofmonth(ts)").alias("seed"),
+    ).agg(F.sum(F.floor("value")).alias("tok"), F.count("*").alias("n"))
+    keys = ["arm", "benchmark", "level", "seed"]
+    wrapped = runs.select(
+        *keys,
+        F.struct(F.col("tok").alias("avg")).alias("output_tokens"),
+        F.struct(F.col("n").alias("value")).alias("requests"),
+        (F.col("n") * 2).alias("wall_s"),
+    )
+    wrapped.repartition(*keys).write.partitionBy(*keys).json(path)
+    status = runs.select(*keys, F.concat(F.lit("exit="), (F.col("n") % 3).cast("string"), F.lit("\n")).alias("value"))
+    status.repartition(*keys).write.mode("append").partitionBy(*keys).text(path)
+    return path, R.read_results(spark, path, "*.json", ["output_tokens", "requests", "wall_s"])
+
+
+RUNS = """r AS (SELECT event_type AS arm, 'mix' AS benchmark, 'c16' AS level, dayofmonth(ts) AS seed, sum(floor(value))::DOUBLE AS output_tokens,
+count(*)::DOUBLE AS requests, count(*) * 2.0::DOUBLE AS wall_s FROM events GROUP BY ALL)"""
+
+
+@query("read_results", f"WITH {RUNS} SELECT * FROM r")
+def read_results(spark, sf):
+    return _runs(spark, sf)[1].drop("run")
+
+
+@query("successful_runs", f"WITH {RUNS} SELECT * FROM r WHERE CAST(requests AS INT) % 3 = 0")
+def successful_runs(spark, sf):
+    path, runs = _runs(spark, sf)
+    return R.successful_runs(spark, runs, path, "*.txt").drop("run")
+
+
+# ---- writers ---------------------------------------------------------------------------------------------------
+
+N_SHARDS = 8
+
+
+@query(
+    "write_sharded",
+    f"""WITH s AS (SELECT doc_id AS id, {bucket_sql('md5(CAST(doc_id AS VARCHAR))', N_SHARDS)} AS shard FROM documents)
+SELECT id, shard, row_number() OVER (PARTITION BY shard ORDER BY {md5_sql(SEED, 'shard', 'id')}, id) - 1 AS place FROM s""",
+)
+def write_sharded(spark, sf):
+    """Written and read back; the place inside the shard's file is taken from the file itself."""
+    path = fresh_path(spark, "shards")
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    K.write_sharded(rows, path, N_SHARDS, SEED)
+    back = spark.read.parquet(path).select("id", F.col("shard").cast("int").alias("shard"), "h", F.col("_metadata.row_index").alias("place"))
+    return back.drop("h")
+
+
+@query(
+    "manifest",
+    f"""WITH {CHAT}, x AS (SELECT CASE WHEN f < 0.4 THEN 'think' WHEN f < 0.8 THEN 'nothink' ELSE 'none' END AS source, len(tokens) AS n,
+ CAST(list_sum(mask) AS BIGINT) AS s FROM c JOIN modes ON conv_id = id)
+SELECT coalesce(source, 'ALL') AS source, count(*) AS rows_kept, CAST(sum(n) AS BIGINT) AS tokens_kept, CAST(sum(s) AS BIGINT) AS tokens_supervised,
+ {SEED} AS seed, 32768 AS seq_length, false AS partial FROM x GROUP BY ROLLUP (source)""",
+)
+def manifest(spark, sf):
+    """Written as JSON lines and read back."""
+    path = fresh_path(spark, "manifest")
+    rows = chat_rows(spark, sf).select(
+        F.coalesce(chat_mode("id"), F.lit("none")).alias("source"), "n", T.supervised(F.col("mask")).alias("n_supervised")
+    )
+    K.write_manifest(rows, path, seed=SEED, length=32768)
+    shape = "source string, rows_kept bigint, tokens_kept bigint, tokens_supervised bigint, seed int, seq_length int, partial boolean"
+    return R.read_jsonl(spark, path, shape).withColumn("source", F.coalesce("source", F.lit("ALL")))
+
+
+@query("write_token_freq", f"WITH {CTOK} SELECT token, count(*) AS cnt FROM t WHERE m = 1 GROUP BY token")
+def write_token_freq(spark, sf):
+    path = fresh_path(spark, "freq")
+    K.write_token_freq(chat_rows(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+def prompt_set(spark, sf):
+    """First and later assistant turns with their prompt lengths in tokens."""
+    turns = chats(spark, sf)
+    picked = V.pick_turns(turns, SEED)
+    sizes = turns.select("conv_id", F.col("turn").alias("t"), word_count(F.col("text")).alias("w"))
+    prompts = picked.join(sizes, "conv_id").filter("t < turn").groupBy("conv_id", "turn", "turn_kind").agg(
+        F.sum("w").alias("prompt_tokens")
+    )
+    return prompts.withColumn("assistant_turn", F.floor(F.col("turn") / 2))
+
+
+PROMPTS = rf"""{PICKED},
+ps AS (SELECT pk.conv_id, pk.turn, turn_kind, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS prompt_tokens, pk.turn // 2 AS assistant_turn
+FROM pk JOIN conversations c ON c.conv_id = pk.conv_id AND c.turn < pk.turn GROUP BY ALL)"""
+
+
+@query(
+    "prompt_manifest",
+    f"""WITH {PROMPTS}, rk AS (SELECT *, row_number() OVER (PARTITION BY turn_kind ORDER BY prompt_tokens) - 1 AS i, count(*) OVER (PARTITION BY turn_kind) AS c FROM ps)
+SELECT turn_kind, count(*) AS n_rows, max(CASE WHEN i = c // 2 THEN prompt_tokens END) AS median_rank, max(prompt_tokens) AS longest,
+ CAST(sum(CAST('0x' || substr(md5(conv_id || '|' || turn), 1, 12) AS HUGEINT)) AS VARCHAR) AS checksum FROM rk GROUP BY turn_kind""",
+)
+def prompt_manifest(spark, sf):
+    return K.prompt_manifest(prompt_set(spark, sf), ["conv_id", "turn"])
+
+
+@query(
+    "turn_histogram",
+    f"WITH {PROMPTS} SELECT turn_kind, assistant_turn, count(*) AS n_prompts FROM ps GROUP BY 1, 2",
+)
+def turn_histogram(spark, sf):
+    return K.turn_histogram(prompt_set(spark, sf))
+
+
+@query("write_prompt_set", f"WITH {PROMPTS} SELECT conv_id, turn, turn_kind, prompt_tokens, assistant_turn FROM ps")
+def write_prompt_set(spark, sf):
+    """Written behind the leak check (training rows: conversations without an assistant turn) and read back."""
+    path = fresh_path(spark, "prompts")
+    prompts = settle(prompt_set(spark, sf), "set")
+    train = chats(spark, sf).select("conv_id").distinct().join(prompts.select("conv_id"), "conv_id", "left_anti")
+    K.write_prompt_set(prompts, path, ["conv_id", "turn"], train, ["conv_id"])
+    back = spark.read.schema("conv_id bigint, turn bigint, prompt_tokens bigint, assistant_turn bigint, turn_kind string").json(path + "/prompts")
+    return back
+
+
+@query(
+    "write_report",
+    f"""WITH {D} SELECT source, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS tokens, round(sum(n) / count(*), 4) AS mean_tokens FROM d GROUP BY source""",
+)
+def write_report(spark, sf):
+    path = fresh_path(spark, "report")
+    report = doc_stats(spark, sf).groupBy("source").agg(
+        F.count("*").alias("n_rows"), F.sum("n").alias("tokens"), F.round(F.sum("n") / F.count("*"), 4).alias("mean_tokens")
+    )
+    K.write_report(report, path)
+    return spark.read.csv(path, header=True, schema="source string, n_rows bigint, tokens bigint, mean_tokens double")
+
+
+@query("safe_write", "SELECT doc_id, lang FROM documents")
+def safe_write(spark, sf):
+    """Written once; a second write to the same place must be refused."""
+    path = fresh_path(spark, "safe")
+    rows = table(spark, sf, "documents").select("doc_id", "lang")
+    K.safe_write(rows, path, [f"{sf}/documents.parquet"])
+    try:
+        K.safe_write(rows, path)
+    except Exception as e:  # noqa: BLE001 - the refusal is the point
+        if "ALREADY_EXISTS" not in str(e):
+            raise
+        return spark.read.parquet(path)
+    raise AssertionError("the second write was not refused")

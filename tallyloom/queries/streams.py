@@ -1 +1,123 @@
-"""Queries."""
+"""The streaming jobs, run over the files present until nothing is left."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import marked_count, word_count
+from ..session import fresh_path, settle
+from ..streaming import jobs as Z
+from .registry import query, table
+from .reports import DELTA, HOUR, LOG, dense_log, hour
+
+
+def stream_of(spark, sf, name):
+    """A table's file as a file stream."""
+    shape = table(spark, sf, name).schema
+    return spark.readStream.schema(shape).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def stream_table(rows, name, files_per_batch=None):
+    """Derived rows, written as files, as a file stream."""
+    path = fresh_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    reader = rows.sparkSession.readStream.schema(rows.schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
+
+
+@query(
+    "stream_acceptance",
+    """WITH w AS (SELECT date_trunc('hour', ts) AS h, event_type AS arm, 1 + floor(value / 10) AS drafts, floor(value / 3) AS acc, floor(value) AS tokens FROM events WHERE value < 300)
+SELECT date_diff('hour', TIMESTAMP '2024-01-01', h) AS hour, arm, count(*) AS batches, 1 + sum(acc) / sum(drafts) AS acceptance_length, sum(tokens) / count(*) AS tokens_per_s
+FROM w WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events WHERE value < 300) - INTERVAL 10 MINUTE GROUP BY 1, 2""",
+)
+def stream_acceptance(spark, sf):
+    """Windows the watermark has passed; failed batches (value 300 or more) do not count."""
+    log = stream_of(spark, sf, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("arm"), (F.col("value") < 300).alias("ok"),
+        (1 + F.floor(F.col("value") / 10)).alias("drafts"), F.floor(F.col("value") / 3).alias("accepted"),
+        F.floor("value").alias("tokens"), F.lit(1).alias("seconds"),
+    )
+    out = Z.drain(Z.stream_acceptance(log), "acceptance")
+    start = F.timestamp_seconds("window_start").cast("timestamp_ntz")
+    return out.withColumn("s", start).select(
+        F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-01 00:00:00', s)").alias("hour"),
+        "arm", "batches", "acceptance_length", "tokens_per_s",
+    )
+
+
+@query(
+    "stream_counter_delta",
+    f"""WITH {DELTA} SELECT engine, name, scrape, value, coalesce(CASE WHEN value >= p THEN value - p WHEN p IS NOT NULL THEN value END, -1) AS delta FROM s""",
+)
+def stream_counter_delta(spark, sf):
+    """Four batches in scrape order; the state carries the last value over."""
+    rows = table(spark, sf, "events").select(
+        F.col("user_id").alias("engine"), F.col("event_type").alias("name"), F.col("event_id").alias("scrape"),
+        F.floor("value").cast("double").alias("value"),
+    )
+    # One file per range of scrapes; files are read in the order they were written.
+    source = fresh_path(spark, "scrapes")
+    last = rows.agg(F.max("scrape").alias("m")).first().m or 0
+    for part in range(4):
+        lo, hi = (last + 1) * part // 4, (last + 1) * (part + 1) // 4
+        rows.filter((F.col("scrape") >= lo) & (F.col("scrape") < hi)).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = fresh_path(spark, "deltas")
+    Z.stream_counter_delta(stream, out, fresh_path(spark, "deltas-state"))
+    deltas = spark.read.parquet(f"{out}/deltas").drop("batch")
+    return deltas.withColumn("delta", F.coalesce("delta", F.lit(-1.0)))
+
+
+@query(
+    "stream_latest",
+    "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
+)
+def stream_latest(spark, sf):
+    rows = table(spark, sf, "events").select("user_id", "event_id", "event_type").repartition(4, "event_id")
+    out = fresh_path(spark, "latest")
+    Z.stream_latest(stream_table(rows, "updates", 1), out, fresh_path(spark, "latest-state"), "user_id", ["event_id"])
+    return Z.newest_version(spark, out).select("user_id", "event_id", "event_type")
+
+
+@query("stream_first_per_step", f"SELECT DISTINCT user_id AS run, {HOUR} AS step FROM events")
+def stream_first_per_step(spark, sf):
+    log = stream_of(spark, sf, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("run"), hour().alias("step"), "event_id"
+    )
+    return Z.drain(Z.stream_first_per_step(log), "steps").select("run", "step")
+
+
+@query(
+    "stream_exclude",
+    r"""SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n FROM documents
+WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND len(regexp_extract_all(text, '\S+')) BETWEEN 20 AND 500""",
+)
+def stream_exclude(spark, sf):
+    feed = stream_of(spark, sf, "documents").select("doc_id", word_count(F.col("text")).alias("n"))
+    held = settle(table(spark, sf, "labels").select("doc_id"), "held")
+    return Z.drain(Z.stream_exclude(feed, held, "doc_id", 20, 500), "feed")
+
+
+@query("stream_ingest", r"SELECT doc_id AS id, source, len(regexp_extract_all(text, '\S+')) AS n FROM documents")
+def stream_ingest(spark, sf):
+    """Rate-limited: one file per batch."""
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "text").repartition(4, "id")
+    stats = Z.stream_ingest(
+        stream_table(rows, "texts", 1), lambda t: t.select("id", "source", marked_count(F.col("text")).alias("n"))
+    )
+    return Z.drain(stats, "ingested")
+
+
+@query(
+    "stream_curve",
+    f"""WITH {LOG} SELECT arm, CAST(ceil(done / 100) - 1 AS BIGINT) AS bin, count(*) AS n_rows, round(avg(accept), 6) AS mean_accept FROM lg GROUP BY 1, 2""",
+)
+def stream_curve(spark, sf):
+    stream = stream_table(dense_log(spark, sf).repartition(4, "done"), "curve", 1)
+    out = Z.drain_batches(Z.stream_curve(stream, 100), "curve", ["arm", "bin"])
+    return out.withColumn("mean_accept", F.round("mean_accept", 6))
+
+

@@ -59,17 +59,20 @@ def unwrapped(text: str, field: str) -> Column:
 
 
 def read_results(spark: SparkSession, root: str, name: str, fields: list[str]) -> DataFrame:
-    """Result tree ``<root>/<arm>/<benchmark>/<level>/seed<k>/<name>``: path parts and unwrapped metrics."""
+    """Result tree ``<root>/<arm>/<benchmark>/<level>/seed<k>/<name>``: path parts and unwrapped metrics.
+
+    ``name`` is a file pattern; folders may also be spelt ``arm=<arm>`` and so on, as partitioned writers do.
+    """
     files = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)
     )
-    parts = F.split(F.col("path"), "/")
+    parts = F.transform(F.split(F.col("path"), "/"), lambda p: F.regexp_replace(p, r"^\w+=", ""))
     located = files.withColumn("path", F.col("_metadata.file_path"))
     return located.select(
         F.element_at(parts, -5).alias("arm"),
         F.element_at(parts, -4).alias("benchmark"),
         F.element_at(parts, -3).alias("level"),
-        F.regexp_extract(F.element_at(parts, -2), r"^seed(\d+)$", 1).try_cast("int").alias("seed"),
+        F.regexp_extract(F.element_at(parts, -2), r"^(?:seed)?(\d+)$", 1).try_cast("int").alias("seed"),
         *[unwrapped("value", f).alias(f) for f in fields],
         F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("run"),
     )
