@@ -364,7 +364,8 @@ def _fit_in_order(offered: DataFrame, room: int, seed: int) -> DataFrame:
         if stop is None:
             fits, todo = ahead, None
         else:
-            here = F.struct("__h", "query") < F.struct(F.lit(stop["__h"]), F.lit(stop["query"]))
+            h_stop, q_stop = F.lit(stop["__h"]), F.lit(stop["query"])
+            here = (F.col("__h") < h_stop) | ((F.col("__h") == h_stop) & (F.col("query") < q_stop))
             fits = ahead.filter(here)
             room -= stop["__before"]
             todo = settle(todo.filter((~here) & (F.col("n") <= room)), "todo")

@@ -395,9 +395,13 @@ def draft_vocab_padded(spark, sf):
 @query(
     "draft_vocab_frozen",
     """WITH f AS (SELECT l_partkey AS token, count(*) AS cnt FROM lineitem GROUP BY 1),
-own AS (SELECT token FROM f ORDER BY cnt DESC, token LIMIT 1000),
 g AS (SELECT l_partkey AS token, count(*) AS cnt FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
-frozen AS (SELECT token FROM g ORDER BY cnt DESC, token LIMIT 1000)
+ftop AS (SELECT token FROM f ORDER BY cnt DESC, token LIMIT 1000),
+gtop AS (SELECT token FROM g ORDER BY cnt DESC, token LIMIT 1000),
+own AS (SELECT token FROM (SELECT token, 0 AS pad FROM ftop UNION ALL
+        SELECT range, 1 FROM range(30000) WHERE range NOT IN (SELECT token FROM ftop)) ORDER BY pad, token LIMIT 1000),
+frozen AS (SELECT token FROM (SELECT token, 0 AS pad FROM gtop UNION ALL
+        SELECT range, 1 FROM range(30000) WHERE range NOT IN (SELECT token FROM gtop)) ORDER BY pad, token LIMIT 1000)
 SELECT count(*) FILTER (token IN (SELECT token FROM frozen)) AS shared,
        count(*) FILTER (token NOT IN (SELECT token FROM frozen)) AS differing FROM own""",
 )
