@@ -25,20 +25,18 @@ def marked_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(M.TOKEN_PATTERN))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """Overlapping n-grams as space-joined text, in order; empty when the row is shorter than ``n``."""
-
-    def grams(t: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(t) - F.lit(n - 1), F.lit(1)))
-        joined = F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
-        return F.when(F.size(t) >= n, joined).otherwise(F.array().cast("array<string>"))
+def ngram_hashes(tokens: Column, n: int) -> Column:
+    """64-bit hashes of the overlapping n-grams, in order; empty when the row is shorter than ``n``.
 
-    return let(tokens, grams)
+    Tokens are hashed once and an n-gram is the hash of its ``n`` token hashes, so no n-gram text is ever built.
+    """
 
+    def grams(h: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(h) - n, F.lit(0)))
+        hashed = F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(n)]))
+        return F.when(F.size(h) >= n, hashed).otherwise(F.array().cast("array<bigint>"))
 
-def ngram_hashes(tokens: Column, n: int) -> Column:
-    """64-bit hashes of the n-grams."""
-    return F.transform(ngrams(tokens, n), lambda g: F.xxhash64(g))
+    return let(F.transform(tokens, lambda t: F.xxhash64(t)), grams)
 
 
 def squeeze_space(text: Column, longest: int = 128) -> Column:

@@ -31,11 +31,10 @@ def gram_owner(grams: DataFrame) -> DataFrame:
 
 def prompt_grams(rows: DataFrame, n: int = GRAM) -> DataFrame:
     """``id, gram`` of the distinct n-grams of windows without supervised tokens. A null mask means all unsupervised."""
-    one = F.lit(1).cast("tinyint")
 
     def unsupervised(m):
         starts = F.sequence(F.lit(0), F.greatest(F.size(m) - n, F.lit(0)))
-        return F.transform(starts, lambda i: F.array_position(F.slice(m, i + 1, F.lit(n)), one) == 0)
+        return F.transform(starts, lambda i: F.greatest(*[F.get(m, i + j) for j in range(n)]) == 0)
 
     open_windows = F.when(F.col("mask").isNotNull(), let(F.col("mask"), unsupervised))
     made = pinned(rows, {"grams": ngram_hashes(F.col("tokens"), n), "open": open_windows}, ["id"])

@@ -311,9 +311,7 @@ def mask_audit(rows: DataFrame, turns: DataFrame, least: int = 100, share: float
             ).alias("want"),
         )
     )
-    kept = F.transform(
-        F.filter(F.arrays_zip("tokens", "mask"), lambda p: p["mask"] == 1), lambda p: p["tokens"]
-    )
+    kept = F.filter("tokens", lambda t, i: F.get("mask", i) == 1)
     both = rows.select(F.col("id").alias(CONV), kept.alias("got")).join(said, CONV)
     counts = both.agg(
         F.count("*").alias("compared"), F.count_if(F.col("got") == F.col("want")).alias("same")

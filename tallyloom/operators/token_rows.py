@@ -28,34 +28,36 @@ def tokenize(rows: DataFrame, text: str = "text", tokenizer=None) -> DataFrame:
 
 
 def assistant_mask(tokens: Column, newline_tokens: int = 0) -> Column:
-    """Assistant-only mask of a row of text tokens.
+    """Assistant-only mask of a row of text tokens (tokens hold no spaces).
 
     A span starts after ``header assistant end-header`` (plus ``newline_tokens``) and runs up to and including the end of
-    turn; an unfinished turn runs to the end of the row. The row is joined once and cut at the spans, so the cost is
-    linear in its length.
+    turn; an unfinished turn runs to the end of the row. The row is cut at the ends of turns; the first assistant header
+    of a piece opens its span, so every character is looked at a fixed number of times.
     """
-    joined = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-    header = " ".join(re.escape(t) for t in (M.START_HEADER, "assistant", M.END_HEADER)) + r" " + r"(?:\S+ )" * newline_tokens
-    span = rf"(?s)(?<= ){header}.*?(?:{re.escape(M.END_TURN)} |$)"
-    cut = F.struct(
-        F.split(joined, span, -1).alias("gaps"), F.regexp_extract_all(joined, F.lit(span), F.lit(0)).alias("spans")
-    )
+    header = f" {M.START_HEADER} assistant {M.END_HEADER} "
     skipped = 3 + newline_tokens
 
-    def count(piece: Column) -> Column:
-        return F.regexp_count(piece, F.lit(r"\S+"))
-
-    def pieces(c: Column, i: Column) -> Column:
-        gap = F.array_repeat(F.lit(0).cast("tinyint"), count(F.get(c["gaps"], i)))
-        n = F.coalesce(count(F.get(c["spans"], i)), F.lit(0))
-        head = F.array_repeat(F.lit(0).cast("tinyint"), F.least(n, F.lit(skipped)))
-        body = F.array_repeat(F.lit(1).cast("tinyint"), F.greatest(n - skipped, F.lit(0)))
-        return F.concat(gap, head, body)
-
-    return let(
-        cut,
-        lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.size(c["gaps"]) - 1), lambda i: pieces(c, i))),
+    def zeros(n: Column) -> Column:
+        return F.array_repeat(F.lit(0).cast("tinyint"), n)
+
+    def spaces(text: Column) -> Column:
+        return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+
+    def piece_mask(piece: Column, ended: Column) -> Column:
+        # A piece is " a b c": as many spaces as tokens. ``ended`` is 1 when an end of turn follows it.
+        at = F.instr(F.concat(piece, F.lit(" ")), header)
+        n = spaces(piece) + ended
+        lead = F.least(spaces(F.substring(piece, F.lit(1), at - 1)) + skipped, n)
+        ones = let(lead, lambda k: F.concat(zeros(k), F.array_repeat(F.lit(1).cast("tinyint"), n - k)))
+        return F.when(at == 0, zeros(n)).otherwise(ones)
+
+    joined = F.concat(F.lit(" "), F.array_join(tokens, " "))
+    pieces = F.split(joined, " " + re.escape(M.END_TURN) + "(?= |$)", -1)
+    masks = let(
+        pieces,
+        lambda ps: F.flatten(F.transform(ps, lambda p, i: piece_mask(p, (i < F.size(ps) - 1).cast("int")))),
     )
+    return F.when(F.size(tokens) > 0, masks).otherwise(F.array().cast("array<tinyint>"))
 
 
 def masked_rows(texts: DataFrame, key: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -253,8 +255,8 @@ def bad_rows(rows: DataFrame, length: int) -> DataFrame:
 
 def supervised_tokens(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One ``token`` per supervised position."""
-    kept = F.filter(F.arrays_zip("tokens", "mask"), lambda p: p["mask"] == 1)
-    return rows.select(*(keep or []), F.explode(F.transform(kept, lambda p: p["tokens"])).alias("token"))
+    kept = let(F.col("mask"), lambda m: F.filter("tokens", lambda t, i: F.get(m, i) == 1))
+    return rows.select(*(keep or []), F.explode(kept).alias("token"))
 
 
 def token_freq(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
