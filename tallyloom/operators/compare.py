@@ -119,7 +119,7 @@ def cross_entropy(
     wide = model_freq.groupBy("token").pivot("model", models).agg(F.sum("cnt"))
     totals = model_freq.agg(*[F.sum(F.when(F.col("model") == m, F.col("cnt"))).alias(m) for m in models])
     sized = eval_freq.groupBy(by).agg(F.sum("cnt").alias("__all"))
-    joined = eval_freq.join(wide, "token", "left").join(sized, by)
+    joined = lookup_join(eval_freq.join(wide, "token", "left"), sized, [by])
     p = F.col("cnt") / F.col("__all")
     sums = []
     for m in models:

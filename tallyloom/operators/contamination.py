@@ -60,15 +60,15 @@ def ngram_hits(rows: DataFrame, problems: DataFrame, n: int = GRAM, shortest: in
 def contamination(hits: DataFrame, totals: DataFrame) -> DataFrame:
     """Per tested problem: best coverage, the row that has it (smallest id on ties), rows at >= 0.5 and >= 0.9."""
     best = hits.groupBy("item_id").agg(
-        F.max(F.struct("coverage", (-F.col("id")).alias("neg_id"))).alias("b"),
+        F.min(F.struct((-F.col("coverage")).alias("c"), "id")).alias("b"),
         F.count_if(F.col("coverage") >= 0.5).alias("n50"),
         F.count_if(F.col("coverage") >= 0.9).alias("n90"),
     )
     return totals.join(best, "item_id", "left").select(
         "item_id",
         "total",
-        F.coalesce("b.coverage", F.lit(0.0)).alias("best"),
-        (-F.col("b.neg_id")).alias("best_row"),
+        F.coalesce(-F.col("b.c"), F.lit(0.0)).alias("best"),
+        F.col("b.id").alias("best_row"),
         F.coalesce("n50", F.lit(0)).alias("n50"),
         F.coalesce("n90", F.lit(0)).alias("n90"),
     )

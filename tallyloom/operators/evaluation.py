@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import settle
-from .ordering import total_before
+from .ordering import in_slices, total_before
 
 
 def previous_in_slices(rows: DataFrame, group: list[str], order: str, slice_by: Column, value: str, out: str) -> DataFrame:
@@ -16,7 +16,7 @@ def previous_in_slices(rows: DataFrame, group: list[str], order: str, slice_by:
     Rows look back inside their slice; the first row of a slice takes the last value of the slice before, from a small
     table with one row per slice. ``slice_by`` must never decrease along ``order``.
     """
-    sliced = rows.withColumn("__slice", slice_by)
+    sliced = in_slices(rows, group, slice_by)
     ends = sliced.groupBy(*group, "__slice").agg(
         F.max(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))).alias("__end")
     )

@@ -23,7 +23,7 @@ def total_before(
     """
     value = F.col(value) if isinstance(value, str) else value
     keys = [*group, "__slice"]
-    sliced = rows.withColumn("__slice", _whole(slice_by, group)).withColumn("__value", value)
+    sliced = in_slices(rows, group, slice_by).withColumn("__value", value)
     starts = _slice_starts(sliced, group).select(*keys, "__start")
     inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return sliced.join(starts, keys).withColumn(
@@ -31,12 +31,14 @@ def total_before(
     ).drop("__slice", "__value", "__start")
 
 
-def _whole(slice_by: Column, group: list[str]) -> Column:
-    """The slice, failing on a null group: an equi-join would silently drop its rows."""
-    for name in group:
-        missing = F.raise_error(F.lit(f"group column {name} is null"))
-        slice_by = F.when(F.col(name).isNotNull(), slice_by).otherwise(missing)
-    return slice_by
+def in_slices(rows: DataFrame, group: list[str], slice_by: Column) -> DataFrame:
+    """Rows with their ``__slice``, failing on a null group or order: an equi-join would silently drop such rows."""
+
+    def present(value: Column, name: str) -> Column:
+        return F.coalesce(value, F.raise_error(F.lit(f"null in {name}")))
+
+    checked = {name: present(F.col(name), name) for name in group}
+    return rows.withColumn("__slice", present(slice_by, "the order")).withColumns(checked)
 
 
 def _slice_starts(sliced: DataFrame, group: list[str]) -> DataFrame:
@@ -61,18 +63,14 @@ def prefix_select(
     weight: Column | str,
     seed: int | str,
     target: str = "target",
-    hash_group: bool = True,
 ) -> DataFrame:
     """Per group, rows in seeded order while the total before the row is below the group's target.
 
     ``targets`` has one row per group. The last row taken may overshoot. Weights must be positive.
     """
     weight = F.col(weight) if isinstance(weight, str) else weight
-    sliced = (
-        rows.withColumn("__h", order_key(seed, *(group if hash_group else []), *key))
-        .withColumn("__slice", _whole(slice_of(F.col("__h")), group))
-        .withColumn("__value", weight)
-    )
+    keyed = rows.withColumn("__h", order_key(seed, *group, *key)).withColumn("__value", weight)
+    sliced = in_slices(keyed, group, slice_of(F.col("__h")))
     goal = targets.select(*group, F.col(target).alias("__target"))
     starts = _slice_starts(sliced, group)
     cut = (
@@ -103,12 +101,30 @@ def prefix_select(
 def prefix_select_all(
     rows: DataFrame, key: list[str], weight: Column | str, target: float, seed: int | str
 ) -> DataFrame:
-    """``prefix_select`` with one group made of every row."""
-    spark = rows.sparkSession
-    one = rows.withColumn("__all", F.lit(0))
-    targets = spark.range(1).select(F.lit(0).alias("__all"), F.lit(target).alias("target"))
-    keyed = prefix_select(one, targets, ["__all"], key, weight, seed, hash_group=False)
-    return keyed.drop("__all")
+    """``prefix_select`` over all rows as one group.
+
+    Slice totals (at most 65536) give the one slice in which the target falls; only that slice's rows are ordered.
+    """
+    weight = F.col(weight) if isinstance(weight, str) else weight
+    sliced = (
+        rows.withColumn("__h", order_key(seed, *key))
+        .withColumn("__slice", slice_of(F.col("__h")))
+        .withColumn("__value", weight)
+    )
+    over = F.col("__start") + F.col("__total") > target
+    cut = _slice_starts(sliced, []).agg(F.min(F.when(over, F.struct("__slice", "__start"))).alias("c")).first().c
+    helpers = ["__h", "__slice", "__value"]
+    if cut is None:
+        return rows
+    below = sliced.filter(F.col("__slice") < cut["__slice"])
+    inside = W.partitionBy("__slice").orderBy("__h", *key).rowsBetween(W.unboundedPreceding, -1)
+    edge = (
+        sliced.filter(F.col("__slice") == cut["__slice"])
+        .withColumn("__before", F.lit(cut["__start"]) + F.coalesce(F.sum("__value").over(inside), F.lit(0)))
+        .filter(F.col("__before") < target)
+        .drop("__before")
+    )
+    return below.unionByName(edge).drop(*helpers)
 
 
 def per_group_limit(rows: DataFrame, group: list[str], order: list[Column | str], k: int, rank: str = "rank") -> DataFrame:

@@ -109,10 +109,15 @@ def seeded_shuffle(rows: DataFrame, seed: int, key: str) -> DataFrame:
 
 
 def sample_n(rows: DataFrame, n: int, seed: int, key: str, allow: DataFrame | None = None, workers: int = 1) -> DataFrame:
-    """``n`` rows without replacement, optionally only from ``allow`` keys, with the worker each is dealt to."""
-    pool = rows if allow is None else rows.join(allow.select(key), key, "left_semi")
-    picked = prefix_select_all(pool, [key], F.lit(1), n, seed)
-    return seeded_index(picked, seed, [key], "draw").withColumn("worker", F.col("draw") % workers)
+    """``n`` rows without replacement, optionally only from ``allow`` keys, with the worker each is dealt to.
+
+    Only keys are ordered; whole rows are fetched for the keys drawn.
+    """
+    keys = rows.select(key)
+    pool = settle(keys if allow is None else keys.join(allow.select(key), key, "left_semi"), "pool")
+    picked = settle(prefix_select_all(pool, [key], F.lit(1), n, seed), "picked")
+    draws = settle(seeded_index(picked, seed, [key], "draw").withColumn("worker", F.col("draw") % workers), "draws")
+    return rows.join(draws, key)
 
 
 def sample_replace(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:

@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only when its written form has at most this many rows.
+# A side is broadcast only when its written form has at most this many rows; rows of a few numbers may be more.
 BROADCAST_ROWS = 200_000
+BROADCAST_NARROW_ROWS = 4_000_000
+NUMBERS = {"byte", "short", "integer", "long", "float", "double", "boolean"}
 # Copies of a large lookup side when its keys may be hot and it is too big to broadcast.
 SALTS = 32
 
@@ -24,6 +26,8 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        # Rows may hold long token arrays, so Arrow batches are kept short.
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
@@ -68,7 +72,7 @@ def lookup_join(
     small: DataFrame,
     keys: list[str],
     how: str = "inner",
-    limit: int = BROADCAST_ROWS,
+    limit: int | None = None,
     settled: bool = False,
 ) -> DataFrame:
     """Join a large table, whose keys may be hot, with a small one.
@@ -78,6 +82,9 @@ def lookup_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
+    if limit is None:
+        numbers = all(f.dataType.typeName() in NUMBERS for f in small.schema.fields) and len(small.columns) <= 4
+        limit = BROADCAST_NARROW_ROWS if numbers else BROADCAST_ROWS
     side = small if settled else settle(small, "lookup")
     if side.limit(limit + 1).count() <= limit:
         return big.join(F.broadcast(side), keys, how)

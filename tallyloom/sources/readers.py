@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import BROADCAST_ROWS
+from ..functions.once import pinned
+from ..session import BROADCAST_ROWS, settle
 
 
 def read_rows(spark: SparkSession, path: str, cols: list[str]) -> DataFrame:
@@ -128,57 +129,60 @@ def assemble_log_records(lines: DataFrame, step_key: str = "global_step") -> Dat
     """Multi-line log records to one key/value map per step.
 
     ``lines``: ``file, line_no, value``. A record starts at an INFO line and ends at the continuation line with the step
-    key; other processes' lines in between are ignored. Columns: ``file, block, first_line, step, fields, complete``. A file is
-    one ordered stream of lines; its records are cut by running counts inside line slices, so a very long file is not
-    walked by one task.
+    key; other processes' lines in between are ignored. Columns: ``file, block, first_line, step, fields, complete``. A
+    file is one ordered stream of lines; its records are numbered by running counts inside line slices, and a record's
+    lines are reduced to its last value per key before they meet, so neither a long file nor a long record is walked by
+    one task.
     """
     from ..operators.ordering import total_before
 
-    clean = F.regexp_replace("value", r"\x1b\[[0-9;]*m", "")
     start = r"^(?:\[\d\d:\d\d:\d\d\])?\s+INFO\s+(.*?)\s+trainer\.py:\d+\s*$"
     cont = r"^ {18,}(\S.*?)\s*$"
-    text = lines.withColumn("c", clean)
-    head = F.regexp_extract("c", start, 1)
-    is_start = head.rlike(r"train/|profile/|lr/")
-    tail = F.regexp_extract("c", cont, 1)
-    piece = F.when(is_start, head).when(tail != "", tail)
-    marked = text.select(
-        "file", "line_no", piece.alias("piece"), is_start.cast("bigint").alias("is_start")
-    ).filter(F.col("piece").isNotNull())
-    blocks = total_before(
-        marked, ["file"], ["line_no"], F.floor(F.col("line_no") / 100_000), "is_start", "earlier"
-    ).withColumn("block", F.col("earlier") + F.col("is_start"))
-    closes = rf"(?:^|[\s,]){step_key}=\d+\s*$"
-    grouped = (
-        blocks.filter("block > 0")
-        .groupBy("file", "block")
-        .agg(
-            F.min(F.when((F.col("is_start") == 0) & F.col("piece").rlike(closes), F.col("line_no"))).alias("closed_at"),
-            F.sort_array(F.collect_list(F.struct("line_no", "piece"))).alias("p"),
-        )
+    clean = pinned(lines, {"c": F.regexp_replace("value", r"\x1b\[[0-9;]*m", "")}, ["file", "line_no"])
+    parts = pinned(
+        clean, {"head": F.regexp_extract("c", start, 1), "tail": F.regexp_extract("c", cont, 1)}, ["file", "line_no"]
+    )
+    is_start = F.col("head").rlike(r"train/|profile/|lr/")
+    closes = ~is_start & F.col("tail").rlike(rf"(?:^|[\s,]){step_key}=\d+$")
+    marked = parts.filter(is_start | (F.col("tail") != "")).select(
+        "file",
+        "line_no",
+        F.when(is_start, F.col("head")).otherwise(F.col("tail")).alias("piece"),
+        is_start.cast("bigint").alias("is_start"),
+        closes.alias("closes"),
+    )
+    blocks = (
+        total_before(marked, ["file"], ["line_no"], F.floor(F.col("line_no") / 100_000), "is_start", "earlier")
+        .withColumn("block", F.col("earlier") + F.col("is_start"))
+        .filter("block > 0")
+        .select("file", "block", "line_no", "piece", "closes")
+    )
+    blocks = settle(blocks, "log")
+    ends = blocks.groupBy("file", "block").agg(
+        F.min("line_no").alias("first_line"), F.min(F.when(F.col("closes"), F.col("line_no"))).alias("closed_at")
     )
-    inside = F.filter("p", lambda x: F.col("closed_at").isNull() | (x["line_no"] <= F.col("closed_at")))
-    joined = F.array_join(F.transform(inside, lambda x: x["piece"]), " ")
     pair = r"([A-Za-z_]\w*(?:/\w+)*)=([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|None)(?=[,\s]|$)"
-    # Reversed, so the last value of a repeated key is found first.
-    keys = F.reverse(F.regexp_extract_all(joined, F.lit(pair), F.lit(1)))
-    values = F.reverse(F.regexp_extract_all(joined, F.lit(pair), F.lit(2)))
-    fields = F.map_from_entries(
-        F.transform(
-            F.array_distinct(keys), lambda k: F.struct(k, F.element_at(values, F.array_position(keys, k).cast("int")))
-        )
+    pairs = F.arrays_zip(
+        F.regexp_extract_all("piece", F.lit(pair), F.lit(1)).alias("key"),
+        F.regexp_extract_all("piece", F.lit(pair), F.lit(2)).alias("val"),
     )
-    return (
-        grouped.withColumn("fields", fields)
-        .withColumn("complete", F.col("closed_at").isNotNull())
-        .select(
-            "file",
-            "block",
-            F.col("p")[0]["line_no"].alias("first_line"),
-            F.when(F.col("complete"), F.try_element_at("fields", F.lit(step_key)).try_cast("bigint")).alias("step"),
-            "fields",
-            "complete",
-        )
+    said = (
+        blocks.join(ends.filter("closed_at IS NOT NULL").select("file", "block", "closed_at"), ["file", "block"])
+        .filter(F.col("line_no") <= F.col("closed_at"))
+        .select("file", "block", "line_no", F.posexplode(pairs).alias("i", "p"))
+    )
+    # A key said twice keeps its last value.
+    last = said.groupBy("file", "block", "p.key").agg(F.max(F.struct("line_no", "i", "p.val")).alias("m"))
+    fields = last.groupBy("file", "block").agg(
+        F.map_from_entries(F.collect_list(F.struct("key", "m.val"))).alias("fields")
+    )
+    return ends.join(fields, ["file", "block"], "left").select(
+        "file",
+        "block",
+        "first_line",
+        F.try_element_at("fields", F.lit(step_key)).try_cast("bigint").alias("step"),
+        "fields",
+        F.col("closed_at").isNotNull().alias("complete"),
     )
 
 

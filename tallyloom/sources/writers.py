@@ -21,11 +21,12 @@ def shard_count(tokens: int, shard_tokens: int) -> int:
 def write_sharded(rows: DataFrame, path: str, n: int, seed: int, key: str = "id") -> None:
     """One folder per shard, rows in seeded order, every source in proportion in every shard.
 
-    One shuffle. A shard's rows are one sorted file, whose size the caller sets through ``n`` (see ``shard_count``).
+    One shuffle straight into one partition per shard. A shard's rows are one sorted file, whose size the caller sets
+    through ``n`` (see ``shard_count``).
     """
     placed = shard_columns(rows, n, seed, key)
     (
-        placed.repartition(n, "shard")
+        placed.repartitionById(n, F.col("shard"))
         .sortWithinPartitions("shard", "h", key)
         .write.mode("errorifexists")
         .partitionBy("shard")
