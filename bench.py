@@ -28,9 +28,13 @@ HEADLINE = [
 RUNS = 2
 
 
+COPIES = 8
+
+
 def masked_documents(spark, sf_dir):
-    """Every document as the reply of a rendered conversation, tokenised and masked."""
+    """Every document, eight times, as the reply of a rendered conversation, tokenised and masked."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text"))
+    docs = docs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(COPIES)))).drop("copy")
     text = F.concat(
         F.lit(M.BEGIN_TEXT), turn_markup(F.lit("user"), F.lit("go on")), turn_markup(F.lit("assistant"), F.col("text"))
     )

@@ -46,8 +46,8 @@ def prompt_grams(rows: DataFrame, n: int = GRAM) -> DataFrame:
 def ngram_hits(rows: DataFrame, problems: DataFrame, n: int = GRAM, shortest: int = SHORTEST) -> DataFrame:
     """``id, item_id, found, total, coverage`` for every training row and problem that share an n-gram.
 
-    The index holds one owner per n-gram, so a row's n-gram joins at most one problem. It is broadcast while small;
-    a bigger index is joined with salts, since boilerplate n-grams may sit in most rows.
+    The index holds one owner per n-gram, so a row's n-gram joins at most one problem. It is broadcast while small; with
+    a bigger index the most frequent n-grams (boilerplate sits in most rows) are still joined by broadcast.
     """
     grams = settle(problem_grams(problems, n, shortest), "grams")
     hits = lookup_join(prompt_grams(rows, n), gram_owner(grams), ["gram"])

@@ -94,10 +94,33 @@ def round_robin_select(spark, sf):
     return taken(spark, sf)[0].withColumn("score", F.round("score", 6))
 
 
-@query("round_robin_dedup")
+def dedup_sql(budget: str) -> str:
+    """Rounds unrolled: round r offers every query's nearest row that no earlier round took."""
+    rounds = []
+    for r in range(1, TOP + 1):
+        seen = " UNION ALL ".join(f"SELECT id FROM o{i}" for i in range(1, r))
+        free = f"WHERE id NOT IN ({seen})" if seen else ""
+        rounds.append(f"o{r} AS (SELECT query, rank, id, score, n FROM kn {free} QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank) = 1)")
+    every = " UNION ALL ".join(f"SELECT {r} AS round, * FROM o{r}" for r in range(1, TOP + 1))
+    return f"""WITH RECURSIVE {D}, {KNN},
+kn AS (SELECT knn.*, n FROM knn JOIN d USING (id)),
+bd AS ({budget}), {", ".join(rounds)},
+every_ AS ({every}),
+rt AS (SELECT round, sum(sum(n)) OVER (ORDER BY round) AS e FROM every_ GROUP BY round),
+full_ AS (SELECT coalesce(max(round), 0) AS r, coalesce(max(e), 0) AS spent FROM rt, bd WHERE e <= budget),
+cand AS (SELECT every_.*, row_number() OVER (ORDER BY {md5_sql(SEED, 'round', 'query')}, query) AS o FROM every_, full_ WHERE round = r + 1),
+walk AS (
+  SELECT o, n <= budget - spent AS take, budget - spent - CASE WHEN n <= budget - spent THEN n ELSE 0 END AS room
+  FROM cand, bd, full_ WHERE o = 1
+  UNION ALL
+  SELECT c.o, c.n <= walk.room, walk.room - CASE WHEN c.n <= walk.room THEN c.n ELSE 0 END FROM walk JOIN cand c ON c.o = walk.o + 1)
+SELECT round, query, rank, id, round(score, 6) AS score, n FROM every_, full_ WHERE round <= r
+UNION ALL SELECT c.round, query, rank, id, round(score, 6), n FROM cand c JOIN walk USING (o) WHERE take"""
+
+
+@query("round_robin_dedup", dedup_sql("SELECT CAST(floor(sum(n) * 0.6) AS BIGINT) AS budget FROM kn"))
 def round_robin_dedup(spark, sf):
-    """Rounds depend on what earlier rounds took; tested against a plain walk in the tests."""
-    return taken(spark, sf, dedup=True)[0]
+    return taken(spark, sf, dedup=True)[0].withColumn("score", F.round("score", 6))
 
 
 @query(

@@ -10,6 +10,7 @@ from ..plans import curation, decontaminate, regenerate, similar_rows
 from ..session import fresh_path, settle
 
 from .comparing import HITS, SUMMARY, problems
+from .similar import dedup_sql
 from .registry import CHAT, SEED, bucket_sql, chat_mode, chat_rows, chat_texts, doc_tokens, docs, md5_sql, query, table
 
 LENGTH = 150
@@ -51,17 +52,19 @@ def decontaminated(spark, sf):
     return kept.select("item_id", F.size("tokens").alias("n"))
 
 
-@query("similar_subset")
+@query("similar_subset", dedup_sql("SELECT CAST(floor(sum(n) * 0.01) AS BIGINT) AS budget FROM d"))
 def similar_subset(spark, sf):
-    """Rows that keep the nearest free neighbour per round; the plain rounds are checked by round_robin_select."""
+    """Every problem's nearest free document per round, a hundredth of all tokens."""
     from ..functions.text import word_count
 
     prompts = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), "text")
     universe = settle(
         docs(spark, sf).select("id", "text", word_count(F.col("text")).cast("bigint").alias("n")), "universe"
     )
-    budget = int((universe.agg(F.sum("n").alias("t")).first().t or 0) * 0.1)
-    return similar_rows.similar_subset(prompts, universe, 6, budget, SEED, dedup=True)
+    budget = int((universe.agg(F.sum("n").alias("t")).first().t or 0) * 0.01)
+    return similar_rows.similar_subset(prompts, universe, 6, budget, SEED, dedup=True).withColumn(
+        "score", F.round("score", 6)
+    )
 
 
 @query(

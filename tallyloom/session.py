@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 BROADCAST_NARROW_ROWS = 4_000_000
 NUMBERS = {"byte", "short", "integer", "long", "float", "double", "boolean"}
-# Copies of a large lookup side when its keys may be hot and it is too big to broadcast.
-SALTS = 32
+# Most frequent keys that are joined apart when the lookup side is too big to broadcast.
+HOT_KEYS = 1000
 
 
 def build_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -75,10 +75,11 @@ def lookup_join(
     limit: int | None = None,
     settled: bool = False,
 ) -> DataFrame:
-    """Join a large table, whose keys may be hot, with a small one.
+    """Join a large table, whose keys may be hot, with a table that has one row per key.
 
-    ``small`` is written once and counted. Up to ``limit`` rows it is broadcast, so the large side does not move.
-    Beyond that it is copied once per salt and the large side is spread over the salts, so no key lands in one task.
+    ``small`` is written once and counted. Up to ``limit`` rows it is broadcast, so the large side does not move. Beyond
+    that the large side's most frequent keys are joined by broadcasting their few rows, and only the rest is shuffled;
+    no key left there holds more than one in HOT_KEYS of the rows.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
@@ -86,13 +87,11 @@ def lookup_join(
         numbers = all(f.dataType.typeName() in NUMBERS for f in small.schema.fields) and len(small.columns) <= 4
         limit = BROADCAST_NARROW_ROWS if numbers else BROADCAST_ROWS
     side = small if settled else settle(small, "lookup")
-    if side.limit(limit + 1).count() <= limit:
+    if side.count() <= limit:
         return big.join(F.broadcast(side), keys, how)
-    spread = big.withColumn("__salt", F.pmod(F.xxhash64(*_atomic(big)), F.lit(SALTS)).cast("int"))
-    copies = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return spread.join(copies, [*keys, "__salt"], how).drop("__salt")
-
-
-def _atomic(df: DataFrame) -> list[str]:
-    """Columns a hash can take (maps cannot be hashed)."""
-    return [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    counted = big.select(*keys).dropna().groupBy(*keys).agg(F.count("*").alias("__rows"))
+    hot = settle(counted.orderBy(F.desc("__rows"), *keys).limit(HOT_KEYS).select(*keys), "hot")
+    hot_rows = big.join(F.broadcast(hot), keys, "left_semi")
+    hot_side = side.join(F.broadcast(hot), keys, "left_semi")
+    rest = big.join(F.broadcast(hot), keys, "left_anti")
+    return hot_rows.join(F.broadcast(hot_side), keys, how).unionByName(rest.join(side, keys, how))
