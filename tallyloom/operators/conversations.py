@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import markers as M
 from ..functions.seeded import key_fraction, order_key
-from ..functions.text import solution_block, strip_think, think_parts
+from ..functions.text import marked_count, marked_tokens, solution_block, strip_think, think_parts
+from .ordering import total_before
 
 CONV = "conv_id"
 
@@ -183,9 +184,26 @@ def turn_markup(role: Column, text: Column) -> Column:
     )
 
 
-def render(turns: DataFrame, mode: Column | None = None, keep: list[str] | None = None) -> DataFrame:
-    """One text per conversation: opening marker, optional reasoning header, headed turns in order, closing marker."""
+def turn_starts(turns: DataFrame, turns_per_slice: int = 1000) -> DataFrame:
+    """Add ``n_piece`` and ``start``: tokens of a turn with its markers, and of the turns before it.
+
+    Very long conversations are summed in slices of turns, not walked by one task.
+    """
+    sized = turns.withColumn("n_piece", marked_count(F.col("text")) + 4)
+    return total_before(sized, [CONV], ["turn"], F.floor(F.col("turn") / turns_per_slice), "n_piece", "start")
+
+
+def render(
+    turns: DataFrame, mode: Column | None = None, keep: list[str] | None = None, clip_at: int | None = None
+) -> DataFrame:
+    """One text per conversation: opening marker, optional reasoning header, headed turns in order, closing marker.
+
+    With ``clip_at``, turns that start beyond that many tokens are left out before a conversation is put together. The
+    first ``clip_at`` tokens are the same, so a later ``clip`` to that length gives the same rows.
+    """
     keep = keep or []
+    if clip_at is not None:
+        turns = turn_starts(turns).filter(F.col("start") < clip_at)
     pieces = turns.withColumn("piece", turn_markup(F.col("role"), F.col("text")))
     grouped = pieces.groupBy(CONV, *keep).agg(F.sort_array(F.collect_list(F.struct("turn", "piece"))).alias("p"))
     header = F.lit("")
@@ -298,8 +316,6 @@ def mask_audit(rows: DataFrame, turns: DataFrame, least: int = 100, share: float
 
     One row: compared, same, passed (at least ``least`` compared and at least ``share`` of them equal).
     """
-    from ..functions.text import marked_tokens
-
     said = (
         turns.filter("role = 'assistant'")
         .groupBy(CONV)
@@ -320,8 +336,13 @@ def mask_audit(rows: DataFrame, turns: DataFrame, least: int = 100, share: float
     return counts.withColumn("passed", passed)
 
 
-def expand_per_turn(turns: DataFrame) -> DataFrame:
-    """One example per assistant turn: the text before it as prompt and its own text as the only supervised part."""
+def expand_per_turn(turns: DataFrame, longest: int | None = None) -> DataFrame:
+    """One example per assistant turn: the text before it as prompt and its own text as the only supervised part.
+
+    Examples of more than ``longest`` tokens are dropped, before any prompt is put together.
+    """
+    if longest is not None:
+        turns = turn_starts(turns).filter(F.col("start") + F.col("n_piece") <= longest)
     before = W.partitionBy(CONV).orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
     marked = turns.withColumn("piece", turn_markup(F.col("role"), F.col("text"))).withColumn(
         "prompt", F.array_join(F.collect_list("piece").over(before), "")

@@ -537,11 +537,14 @@ def generate(spark, sf):
     """A stand-in generator: the prompt's last five tokens backwards; it fails for some rows every time."""
     prompts = R.next_prompts(chat_rows(spark, sf), replies_of(spark, sf), 1, MAX_TOTAL, 64, SEED)
 
+    # Plain values only: the function travels to the workers.
+    first_seed, end = SEED * 1000003 + 1, M.END_TURN
+
     def backwards(prompt, max_tokens, request_seed):
-        # request_seed = SEED * 1000003 + id * 131 + 1, so the row id can be read off it.
-        if (request_seed - SEED * 1000003 - 1) // 131 % 10 == 0:
+        # request_seed = first_seed + id * 131, so the row id can be read off it.
+        if (request_seed - first_seed) // 131 % 10 == 0:
             raise ValueError("no answer")
-        return prompt[:-6:-1] + [M.END_TURN], "stop"
+        return prompt[:-6:-1] + [end], "stop"
 
     out = R.generate(prompts, backwards, retries=1)
     return out.select(

@@ -76,8 +76,10 @@ SELECT id, CAST(n + turns AS BIGINT) AS n, turns AS n_regenerated, CASE WHEN tur
 def regenerated(spark, sf):
     """Every reply becomes one word and the end of the turn."""
 
+    end = M.END_TURN
+
     def short(prompt, max_tokens, request_seed):
-        return ["yes", M.END_TURN], "stop"
+        return ["yes", end], "stop"
 
     parts = regenerate.regenerate(chat_rows(spark, sf), short, 1_000_000, 64, SEED)
     return parts.select("id", F.size("tokens").cast("bigint").alias("n"), "n_regenerated", "status")

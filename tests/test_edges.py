@@ -141,6 +141,17 @@ def test_solution_block(spark):
     assert got == [plain(t) for t in texts]
 
 
+def test_long_conversations_are_cut_before_they_are_joined(spark):
+    turns = turns_of(spark, [("user" if t % 2 == 0 else "assistant", f"a{t} b c") for t in range(50)], [("user", "x")])
+    for clip_at in (1, 7, 40, 400):
+        whole = T.clip(T.masked_rows(V.render(turns), "conv_id"), clip_at).select("id", "tokens", "mask", "n")
+        early = T.clip(T.masked_rows(V.render(turns, clip_at=clip_at), "conv_id"), clip_at).select("id", "tokens", "mask", "n")
+        assert sorted(map(str, whole.collect())) == sorted(map(str, early.collect()))
+    every = {(r.conv_id, r.turn): r.prompt for r in V.expand_per_turn(turns).collect()}
+    short = {(r.conv_id, r.turn): r.prompt for r in V.expand_per_turn(turns, longest=50).collect()}
+    assert short == {k: p for k, p in every.items() if (k[1] + 1) * 7 <= 50}
+
+
 def test_swap_header_fails_on_violation(spark):
     df = spark.createDataFrame([("old x",), ("other",)], "text string")
     with pytest.raises(Exception, match="does not start with"):
