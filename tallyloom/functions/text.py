@@ -71,7 +71,7 @@ def solution_block(text: Column) -> Column:
     before = F.when(has_close, F.substr(text, F.lit(1), closer))
     has_open = F.instr(before, "<solution>") > 0
     inner = F.when(has_open, _strip(F.substring_index(before, "<solution>", -1)))
-    bad = (inner == "") | inner.rlike(r"(?i)</?(sql|observation|solution)\b")
+    bad = (inner == "") | inner.rlike(M.SOLUTION_TAGS)
     return F.when(~bad, inner)
 
 

@@ -10,22 +10,15 @@ from ..functions import markers as M
 from ..functions.once import pinned
 from ..functions.text import ngram_hashes
 from ..session import lookup_join
-from .ordering import per_group_limit
+from .ordering import per_group_limit, placed_by_id
 
 
 def token_class(token: Column) -> Column:
     """Class of a token; the first match wins."""
-    return (
-        F.when(token.rlike(r"(?s)^<\|.*\|>$"), F.lit("special"))
-        .when(token.rlike(r"[぀-ヿ㐀-鿿가-힯]"), F.lit("cjk"))
-        .when(token.rlike(r"[^\x00-\x7f]"), F.lit("other_non_ascii"))
-        .when(token.rlike(r"^\s*\d+\s*$"), F.lit("digits"))
-        .when(token.rlike(r"^\s*$"), F.lit("whitespace"))
-        .when(token.rlike(r"[\\{}^_$]"), F.lit("latex_code"))
-        .when(token.rlike(r"[A-Za-z]") & ~token.rlike(r"\d"), F.lit("english"))
-        .when(token.rlike(r"[A-Za-z0-9]"), F.lit("mixed"))
-        .otherwise(F.lit("punctuation"))
-    )
+    name = F.lit("punctuation")
+    for label, pattern in reversed(M.TOKEN_CLASSES):
+        name = F.when(token.rlike(pattern), F.lit(label)).otherwise(name)
+    return name
 
 
 def token_classes(vocab: DataFrame) -> DataFrame:
@@ -170,7 +163,7 @@ def repeated_ngrams(rows: DataFrame, n: int = 8) -> DataFrame:
     ``first`` is its first position; ``from_reply`` says whether that earlier copy ends in supervised text. Rows are
     placed by id once; the first occurrence is found inside that placement.
     """
-    placed = rows.select("id", "tokens", "mask").repartition("id")
+    placed = placed_by_id(rows.select("id", "tokens", "mask"))
     grams = placed.select("id", "mask", F.posexplode(ngram_hashes(F.col("tokens"), n)).alias("pos", "gram")).select(
         "id", "pos", "gram", F.element_at("mask", F.col("pos") + n).alias("end_mask")
     )

@@ -225,12 +225,12 @@ def parse_rendered(rows: DataFrame, key: str = CONV, text: str = "text") -> Data
     body = F.when(F.startswith(body, F.lit(M.BEGIN_TEXT)), F.substring(body, len(M.BEGIN_TEXT) + 1, 2**30)).otherwise(
         F.raise_error(F.lit("row does not start with the opening marker"))
     )
-    body = F.regexp_replace(body, r" <\|end_of_text\|>$", "")
-    parts = F.split(body, r"<\|start_header_id\|>(?=\w+<\|end_header_id\|>)")
+    body = F.regexp_replace(body, M.DOCUMENT_END, "")
+    parts = F.split(body, M.HEADER_START)
     head = rows.withColumn("__aux", F.element_at(parts, 2)).withColumn("__parts", parts)
     is_aux = F.startswith("__aux", F.lit("system" + M.END_HEADER))
-    mode = F.regexp_extract("__aux", r"Reasoning: (/think|/nothink)", 1)
-    tools = F.regexp_extract("__aux", r"(?s)<tools>\n(.*?)\n</tools>", 1)
+    mode = F.regexp_extract("__aux", M.REASONING_MODE, 1)
+    tools = F.regexp_extract("__aux", M.TOOL_LIST, 1)
     aux = is_aux & ((mode != "") | (tools != ""))
     first = F.when(aux, F.lit(3)).otherwise(F.lit(2))
     split_rows = head.select(
@@ -239,8 +239,8 @@ def parse_rendered(rows: DataFrame, key: str = CONV, text: str = "text") -> Data
         F.when(aux & (mode != ""), mode == "/think").alias("thinking"),
         F.posexplode(F.slice("__parts", first, F.size("__parts"))).alias("turn", "__p"),
     )
-    role = F.regexp_extract("__p", r"^(\w+)<\|end_header_id\|>", 1)
-    raw = F.regexp_replace(F.regexp_replace("__p", r"^\w+<\|end_header_id\|>\n?", ""), r"<\|eot_id\|>\n?$", "")
+    role = F.regexp_extract("__p", M.HEADER_ROLE, 1)
+    raw = F.regexp_replace(F.regexp_replace("__p", M.HEADER_ROLE + r"\n?", ""), M.TURN_END, "")
     parsed = split_rows.withColumn("role", role).withColumn("__c", raw)
     is_reply = F.col("role") == "assistant"
     opened = is_reply & F.startswith("__c", F.lit(M.START_THINK)) & (F.instr("__c", M.END_THINK) > 0)
@@ -248,7 +248,7 @@ def parse_rendered(rows: DataFrame, key: str = CONV, text: str = "text") -> Data
     reasoning = F.when(opened, F.substring_index(inner, M.END_THINK, 1))
     after = F.when(opened, F.substr(inner, F.length(F.substring_index(inner, M.END_THINK, 1)) + len(M.END_THINK) + 1))
     said = F.coalesce(after, F.col("__c"))
-    blocks = F.regexp_extract_all("__said", F.lit(r"(?s)<tool_call>\n(\{.*?\})\n</tool_call>"), F.lit(1))
+    blocks = F.regexp_extract_all("__said", F.lit(M.TOOL_CALL_BLOCK), F.lit(1))
     calls = F.transform(
         blocks,
         lambda b: F.struct(
@@ -257,7 +257,7 @@ def parse_rendered(rows: DataFrame, key: str = CONV, text: str = "text") -> Data
         ),
     )
     is_tool = F.col("role") == "tool"
-    reply = r'(?s)^<tool_response(?: name="([^"]*)")?>(.*)</tool_response>$'
+    reply = M.TOOL_RESPONSE
     result = F.when(F.col("__c").rlike(reply), F.regexp_extract("__c", reply, 2)).otherwise(F.col("__c"))
     content = (
         F.when(is_reply, F.substring_index("__said", M.TOOL_CALL, 1)).when(is_tool, result).otherwise(F.col("__c"))

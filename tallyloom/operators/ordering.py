@@ -127,6 +127,15 @@ def prefix_select_all(
     return below.unionByName(edge).drop(*helpers)
 
 
+def placed_by_id(rows: DataFrame) -> DataFrame:
+    """Rows placed by id, over as many partitions as the session's shuffles have.
+
+    The number is given, so the adaptive planner does not merge small partitions whose exploded rows are much larger.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "id")
+
+
 def per_group_limit(rows: DataFrame, group: list[str], order: list[Column | str], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of every group; Spark trims each task to ``k`` rows per group before the shuffle."""
     return rows.withColumn(rank, F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col(rank) <= k)

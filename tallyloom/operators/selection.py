@@ -246,17 +246,16 @@ def group_components(edges: DataFrame, node: str = "node", key: str = "key") ->
             .select(node, F.least("low", "label").alias("label"), F.col("label").alias("old"))
         )
         lowered = settle(lowered, "lowered")
+        if lowered.filter("label <> old").isEmpty():
+            return lowered.select(node, F.col("label").alias("component"))
         jump = (
             lowered.select(F.col("label").alias(node))
             .distinct()
             .join(lowered.select(node, F.col("label").alias("further")), node)
             .select(F.col(node).alias("label"), "further")
         )
-        jumped = lookup_join(lowered, jump, ["label"]).select(node, F.col("further").alias("label"), "old")
-        jumped = settle(jumped, "jumped")
-        labels = jumped.select(node, "label")
-        if jumped.filter("label <> old").isEmpty():
-            return labels.select(node, F.col("label").alias("component"))
+        jumped = lookup_join(lowered, jump, ["label"]).select(node, F.col("further").alias("label"))
+        labels = settle(jumped, "labels")
 
 
 def balance_groups(groups: DataFrame, n: int, group: str = "component", weight: str = "weight") -> DataFrame:

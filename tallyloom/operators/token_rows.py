@@ -17,6 +17,7 @@ from ..functions.once import let, pinned
 from ..functions.seeded import order_key
 from ..functions.text import marked_tokens
 from ..session import lookup_join
+from .ordering import placed_by_id
 
 # ---- building --------------------------------------------------------------------------------------------------
 
@@ -97,7 +98,7 @@ def encode(rows: DataFrame, vocab: DataFrame, bos: int, eos: int, unknown: int,
     order without a second shuffle.
     """
     # Placed by id before the explode, the lookup and the regrouping both stay inside the task.
-    placed = rows.select("id", tokens).repartition("id")
+    placed = placed_by_id(rows.select("id", tokens))
     items = placed.select("id", F.posexplode(tokens).alias("pos", "token"))
     found = lookup_join(items, vocab, ["token"], "left")
     ids = found.groupBy("id").agg(
@@ -292,7 +293,7 @@ def marker_depth(rows: DataFrame, opening: str, closing: str) -> DataFrame:
     Rows are placed by id once; exploding and the running sum keep that placement.
     """
     items = (
-        rows.repartition("id")
+        placed_by_id(rows.select("id", "tokens", "mask"))
         .select("id", F.posexplode(F.arrays_zip("tokens", "mask")).alias("pos", "p"))
         .select("id", "pos", F.col("p.tokens").alias("token"), F.col("p.mask").alias("mask"))
     )

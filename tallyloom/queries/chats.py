@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import markers as M
 from ..functions.seeded import key_fraction, order_key
-from ..functions.text import defuse, words
+from ..functions.text import words
 from ..operators import conversations as V
 from ..operators import regen as R
+from ..operators import texts as X
 from ..operators import token_rows as T
 from ..session import settle
 from .registry import CHAT, CSPAN, CTOK, SEED, chat_mode, chat_rows, chat_texts, chats, frac_sql, md5_sql, query, table
@@ -241,7 +242,7 @@ def rewrite_system(spark, sf):
 )
 def sanitize(spark, sf):
     pages = table(spark, sf, "pages").withColumn("html", F.replace("html", F.lit("<img"), F.lit("<|image|>")))
-    return pages.select("page_id", F.md5(defuse(F.col("html"))).alias("text_md5"))
+    return X.sanitize(pages, "html").select("page_id", F.md5("html").alias("text_md5"))
 
 
 @query(

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import squeeze_space
 from ..operators import aggregates as A
 from ..operators import compare as C
 from ..operators import selection as S
 from ..operators import sets as X
 from ..operators import token_rows as T
+from ..operators.texts import normalize_text as normalize
 from ..session import settle
 from ..sources.readers import mix_from_column
 from .registry import CHAT, CTOK, MIX, SEED, D, chat_mode, chat_rows, doc_stats, docs, half_mix, md5_sql, query, table
@@ -109,9 +109,8 @@ def load_mix(spark, sf):
 FROM documents WHERE length(trim(text)) > 0""",
 )
 def normalize_text(spark, sf):
-    clean = docs(spark, sf).filter(F.length(F.trim("text")) > 0).withColumn("text", squeeze_space(F.col("text")))
-    return clean.select(
-        F.md5("text").alias("text_id"), F.col("id").alias("source_id"), F.length("text").cast("bigint").alias("n_chars")
+    return normalize(docs(spark, sf)).select(
+        "text_id", F.col("id").alias("source_id"), F.length("text").cast("bigint").alias("n_chars")
     )
 
 

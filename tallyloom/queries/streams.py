@@ -27,6 +27,17 @@ def stream_table(rows, name, files_per_batch=None):
     return reader.parquet(path)
 
 
+def ordered_stream(rows, order, name, parts=4):
+    """Rows as a file stream in ``parts`` batches, by ranges of ``order``; files are read in the order written."""
+    spark = rows.sparkSession
+    source = fresh_path(spark, name)
+    last = rows.agg(F.max(order).alias("m")).first().m or 0
+    for part in range(parts):
+        lo, hi = (last + 1) * part // parts, (last + 1) * (part + 1) // parts
+        rows.filter((F.col(order) >= lo) & (F.col(order) < hi)).coalesce(1).write.mode("append").parquet(source)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
 @query(
     "stream_acceptance",
     """WITH w AS (SELECT date_trunc('hour', ts) AS h, event_type AS arm, 1 + floor(value / 10) AS drafts, floor(value / 3) AS acc, floor(value) AS tokens FROM events WHERE value < 300)
@@ -58,13 +69,7 @@ def stream_counter_delta(spark, sf):
         F.col("user_id").alias("engine"), F.col("event_type").alias("name"), F.col("event_id").alias("scrape"),
         F.floor("value").cast("double").alias("value"),
     )
-    # One file per range of scrapes; files are read in the order they were written.
-    source = fresh_path(spark, "scrapes")
-    last = rows.agg(F.max("scrape").alias("m")).first().m or 0
-    for part in range(4):
-        lo, hi = (last + 1) * part // 4, (last + 1) * (part + 1) // 4
-        rows.filter((F.col("scrape") >= lo) & (F.col("scrape") < hi)).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = ordered_stream(rows, "scrape", "scrapes")
     out = fresh_path(spark, "deltas")
     Z.stream_counter_delta(stream, out, fresh_path(spark, "deltas-state"))
     deltas = spark.read.parquet(f"{out}/deltas").drop("batch")
@@ -82,12 +87,25 @@ def stream_latest(spark, sf):
     return Z.newest_version(spark, out).select("user_id", "event_id", "event_type")
 
 
-@query("stream_first_per_step", f"SELECT DISTINCT user_id AS run, {HOUR} AS step FROM events")
+@query(
+    "stream_first_per_step",
+    f"""SELECT user_id AS run, {HOUR} AS step, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY 1, 2""",
+)
 def stream_first_per_step(spark, sf):
+    """Records arrive in order, in four batches; steps repeat inside and across batches."""
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("run"), hour().alias("step"), "event_id", "event_type")
+    stream = ordered_stream(rows, "event_id", "log")
+    out = fresh_path(spark, "first")
+    Z.stream_first_per_step(stream, out, fresh_path(spark, "first-state"), ["run", "step"], "event_id")
+    return spark.read.parquet(out).drop("batch")
+
+
+@query("drop_repeats", f"SELECT DISTINCT user_id AS run, {HOUR} AS step FROM events")
+def drop_repeats(spark, sf):
     log = stream_of(spark, sf, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("run"), hour().alias("step"), "event_id"
     )
-    return Z.drain(Z.stream_first_per_step(log), "steps").select("run", "step")
+    return Z.drain(Z.drop_repeats(log, ["run", "step"]), "steps").select("run", "step")
 
 
 @query(

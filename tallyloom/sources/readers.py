@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions import markers as M
 from ..functions.once import pinned
 from ..session import BROADCAST_ROWS, settle
 
@@ -96,11 +97,11 @@ def parse_metrics(lines: DataFrame, by: list[str], value: str = "value") -> Data
     Comment lines are skipped, the ``_total`` suffix is removed, the ``position`` label is kept apart.
     """
     line = F.trim(value)
-    pattern = r"^([A-Za-z_:][A-Za-z0-9_:]*)(?:\{([^}]*)\})?\s+([-+0-9.eE]+|NaN|\+Inf|-Inf)\s*$"
+    pattern = M.METRIC_LINE
     parsed = lines.filter(line.rlike(pattern)).select(
         *by,
         F.regexp_replace(F.regexp_extract(line, pattern, 1), "_total$", "").alias("name"),
-        F.nullif(F.regexp_extract(F.regexp_extract(line, pattern, 2), r'position="(\d+)"', 1), F.lit(""))
+        F.nullif(F.regexp_extract(F.regexp_extract(line, pattern, 2), M.METRIC_POSITION, 1), F.lit(""))
         .cast("int")
         .alias("position"),
         F.regexp_replace(F.regexp_extract(line, pattern, 3), "Inf", "Infinity").try_cast("double").alias("x"),
@@ -110,10 +111,7 @@ def parse_metrics(lines: DataFrame, by: list[str], value: str = "value") -> Data
 
 def parse_log_windows(lines: DataFrame, by: list[str], k: int | None = None, value: str = "value") -> DataFrame:
     """Acceptance windows in free-form server logs: ``accepted, drafts, rates``; drafts = drafted tokens / k."""
-    pattern = (
-        r"SpecDecoding metrics: Mean acceptance length: ([\d.]+).*?Accepted: (\d+) tokens, Drafted: (\d+) tokens, "
-        r"Per-position acceptance rate: ([\d., ]+),"
-    )
+    pattern = M.ACCEPTANCE_WINDOW
     rates = F.transform(F.split(F.regexp_extract(value, pattern, 4), ","), lambda x: F.trim(x).try_cast("double"))
     found = lines.filter(F.col(value).rlike(pattern)).select(
         *by,
@@ -136,13 +134,11 @@ def assemble_log_records(lines: DataFrame, step_key: str = "global_step") -> Dat
     """
     from ..operators.ordering import total_before
 
-    start = r"^(?:\[\d\d:\d\d:\d\d\])?\s+INFO\s+(.*?)\s+trainer\.py:\d+\s*$"
-    cont = r"^ {18,}(\S.*?)\s*$"
-    clean = pinned(lines, {"c": F.regexp_replace("value", r"\x1b\[[0-9;]*m", "")}, ["file", "line_no"])
+    clean = pinned(lines, {"c": F.regexp_replace("value", M.ANSI_CODE, "")}, ["file", "line_no"])
     parts = pinned(
-        clean, {"head": F.regexp_extract("c", start, 1), "tail": F.regexp_extract("c", cont, 1)}, ["file", "line_no"]
+        clean, {"head": F.regexp_extract("c", M.RECORD_START, 1), "tail": F.regexp_extract("c", M.RECORD_LINE, 1)}, ["file", "line_no"]
     )
-    is_start = F.col("head").rlike(r"train/|profile/|lr/")
+    is_start = F.col("head").rlike(M.RECORD_PREFIXES)
     closes = ~is_start & F.col("tail").rlike(rf"(?:^|[\s,]){step_key}=\d+$")
     marked = parts.filter(is_start | (F.col("tail") != "")).select(
         "file",
@@ -161,7 +157,7 @@ def assemble_log_records(lines: DataFrame, step_key: str = "global_step") -> Dat
     ends = blocks.groupBy("file", "block").agg(
         F.min("line_no").alias("first_line"), F.min(F.when(F.col("closes"), F.col("line_no"))).alias("closed_at")
     )
-    pair = r"([A-Za-z_]\w*(?:/\w+)*)=([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|None)(?=[,\s]|$)"
+    pair = M.RECORD_PAIR
     pairs = F.arrays_zip(
         F.regexp_extract_all("piece", F.lit(pair), F.lit(1)).alias("key"),
         F.regexp_extract_all("piece", F.lit(pair), F.lit(2)).alias("val"),

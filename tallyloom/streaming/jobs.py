@@ -147,9 +147,31 @@ def newest_version(spark: SparkSession, path: str) -> DataFrame:
     return versions.filter(F.col("v") == versions.agg(F.max("v")).scalar()).drop("v")
 
 
-def stream_first_per_step(log: DataFrame, late: str = LATE) -> DataFrame:
-    """First record per run and step of a log that repeats steps after a restart."""
-    return log.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run", "step"])
+def stream_first_per_step(log: DataFrame, path: str, checkpoint: str, key: list[str], order: str) -> None:
+    """First record per step of a log that repeats steps after a restart, appended to ``path``.
+
+    Inside a batch the smallest ``order`` wins; a step written by an earlier batch is not written again. A repeated batch
+    looks only at the batches before it, so it writes the same rows.
+    """
+    from ..operators.evaluation import first_per_step
+    from ..operators.joins import exclude_keys
+
+    shape = log.schema
+
+    def step(batch: DataFrame, number: int) -> None:
+        first = first_per_step(batch, key, order).select(*shape.fieldNames())
+        if number > 0:
+            before = batch.sparkSession.read.schema(f"{shape.toDDL()}, batch bigint").parquet(path)
+            first = exclude_keys(first, before.filter(F.col("batch") < number), key).select(*shape.fieldNames())
+        first.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = log.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def drop_repeats(log: DataFrame, key: list[str], late: str = LATE) -> DataFrame:
+    """The bounded-state form: repeats within the watermark's reach are dropped, whichever of them came first."""
+    return log.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
 
 
 def stream_exclude(prompts: DataFrame, held: DataFrame, key: str, low: int, high: int, length: str = "n") -> DataFrame:
