@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import markers as M
+from ..session import lookup_join, settle
 
 
 
@@ -40,13 +41,17 @@ def distinct_sum(rows: DataFrame, group: str, key: str, value: str) -> DataFrame
 
 
 def exact_dedup(rows: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
-    """One row per distinct text: the one with the smallest key.
+    """One row per distinct text: the one with the smallest key. Rows without a text or key are kept.
 
-    Only (hash, key) is grouped, and combined first, so copies of one text cost one small row per task; texts move
-    once, by their unique key.
+    Texts are hashed once into a written (key, hash) table. Copies are found there, combined before the shuffle, and the
+    keys to drop are taken out of the rows: texts do not move unless that list is too long to broadcast.
     """
-    survivors = rows.groupBy(F.sha2(F.col(text), 256).alias("__h")).agg(F.min(key).alias(key)).select(key)
-    return rows.join(survivors, key, "left_semi")
+    hashed = settle(rows.select(key, F.sha2(F.col(text), 256).alias("__h")), "hashes")
+    copied = (
+        hashed.groupBy("__h").agg(F.min(key).alias("__keep"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
+    )
+    extra = lookup_join(hashed, copied, ["__h"]).filter(F.col(key) != F.col("__keep")).select(key)
+    return rows.join(settle(extra, "copies"), key, "left_anti")
 
 
 def length_quantiles(lengths: DataFrame, qs: list[float], by: list[str], value: str = "n") -> DataFrame:

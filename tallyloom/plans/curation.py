@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import word_count
 from ..operators import aggregates as A
-from ..operators import joins as J
 from ..operators import selection as S
 from ..operators import token_rows as T
+from ..operators.ordering import prefix_select
 from ..session import settle
 from ..sources import writers as K
 
@@ -27,8 +27,9 @@ def curate(
     """Write the curated set below ``path`` (rows, manifest, token frequencies) and return its manifest.
 
     ``texts``: ``id, source, text`` rendered with role headers; ``mix``: ``source, allocated``. Texts are tokenised once
-    into a written table; statistics and selection read only its lengths, and the selected rows cross one shuffle into
-    their shards. A source below its allocation stops the job unless ``allow_partial``.
+    into a written table, and statistics read only its lengths. Selection compares a row's slice with its source's cut,
+    so whole rows stay where they are until the one shuffle into their shards. A source below its allocation stops the
+    job unless ``allow_partial``.
     """
     rows = settle(T.masked_rows(texts, "id", keep=["source"]), "tokens")
     stats = rows.select("source", "id", F.col("n").cast("bigint").alias("n"))
@@ -36,9 +37,9 @@ def curate(
     if not allow_partial:
         S.refuse_partial(S.allocation_status(mix, stats))
     targets = S.scale_allocation(stats, mix, sample_rows) if sample_rows else mix.withColumnRenamed("allocated", "target")
-    chosen = settle(S.budget_select(stats, targets, seed), "chosen")
+    chosen = prefix_select(rows, targets, ["source"], ["id"], "n", seed)
     expected = chosen.agg(F.sum("n").alias("t")).first().t or 0
-    kept = T.drop_unsupervised(T.clip(J.keep_selected(rows, chosen), length))
+    kept = T.drop_unsupervised(T.clip(chosen, length))
     K.write_sharded(kept, f"{path}/rows", K.shard_count(expected, shard_tokens), seed)
 
     written = rows.sparkSession.read.parquet(f"{path}/rows")

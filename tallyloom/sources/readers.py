@@ -50,7 +50,16 @@ def explode_trajectories(tasks: DataFrame) -> DataFrame:
 def read_trials(spark: SparkSession, root: str, schema: StructType | str, pattern: str) -> DataFrame:
     """A tree of JSON files; the trial id is taken from the file's path by ``pattern``."""
     files = spark.read.schema(schema).option("recursiveFileLookup", "true").json(root, lineSep="\n")
-    return files.withColumn("trial", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
+    return with_path(files, files.columns).withColumn("trial", F.regexp_extract("path", pattern, 1)).drop("path")
+
+
+def with_path(files: DataFrame, keep: list[str]) -> DataFrame:
+    """Add the ``path`` of a row's file.
+
+    It is pinned: conditions on a file's path would otherwise be evaluated by the driver while it lists files, for several
+    scans at once, where regular expressions share state and fail at random.
+    """
+    return pinned(files, {"path": F.col("_metadata.file_path")}, keep)
 
 
 def unwrapped(text: str, field: str) -> Column:
@@ -68,9 +77,8 @@ def read_results(spark: SparkSession, root: str, name: str, fields: list[str]) -
     files = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)
     )
-    parts = F.transform(F.split(F.col("path"), "/"), lambda p: F.regexp_replace(p, r"^\w+=", ""))
-    located = files.withColumn("path", F.col("_metadata.file_path"))
-    return located.select(
+    parts = F.transform(F.split(F.col("path"), "/"), lambda p: F.substring_index(p, "=", -1))
+    return with_path(files, ["value"]).select(
         F.element_at(parts, -5).alias("arm"),
         F.element_at(parts, -4).alias("benchmark"),
         F.element_at(parts, -3).alias("level"),
@@ -85,8 +93,8 @@ def successful_runs(spark: SparkSession, runs: DataFrame, root: str, name: str =
     status = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)
     )
-    good = status.filter(F.trim(F.regexp_replace("value", r"\s+$", "")) == "exit=0").select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]*$", 1).alias("run")
+    good = with_path(status, ["value"]).filter(F.col("value").rlike(r"^\s*exit=0\s*$")).select(
+        F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("run")
     )
     return runs.join(good, "run", "left_semi")
 
