@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: _wide_integers(fn(spark, sf_dir))
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -31,6 +31,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def _wide_integers(df: DataFrame) -> DataFrame:
+    """Integer columns as bigint, the type SQL counts have."""
+    narrow = [f.name for f in df.schema.fields if f.dataType.typeName() in ("byte", "short", "integer")]
+    return df.withColumns({name: F.col(name).cast("bigint") for name in narrow}) if narrow else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
