@@ -214,46 +214,47 @@ def with_pieces(rows: DataFrame, pattern: str, text: str = "text") -> DataFrame:
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.Array, np.ndarray]]:
     """Slices of a batch's rows with their flat pieces and offsets."""
-    lists = batch.column(batch.schema.get_field_index("pieces"))
+    lists = batch.column(batch.num_columns - 1)
     offsets = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.values
     for a, b in slices(np.diff(offsets), SLICE_PIECES):
         yield a, b, flat.slice(offsets[a], offsets[b] - offsets[a]), offsets[a : b + 1] - offsets[a]
 
 
-def encode(spark: SparkSession, rows: DataFrame, key: str, path: str, pattern: str, decode: bool = False) -> DataFrame:
-    """``key, ids`` of every row's text and, if asked, ``decoded``: the bytes decoded from those ids again."""
-    return _mapped(spark, rows, key, path, pattern, decode, digest=False)
+# What can be asked of the encoding of a text.
+COLUMNS = {"n_tokens": "bigint", "ids": "array<int>", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def digests(spark: SparkSession, rows: DataFrame, key: str, path: str, pattern: str) -> DataFrame:
-    """``key, n_tokens, ids_sha256, decoded_sha256`` of every row's text."""
-    return _mapped(spark, rows, key, path, pattern, True, digest=True)
-
-
-def _mapped(spark, rows: DataFrame, key: str, path: str, pattern: str, decode: bool, digest: bool) -> DataFrame:
+def encode(spark: SparkSession, rows: DataFrame, keep: list[str], path: str, pattern: str, columns: list[str]) -> DataFrame:
+    """``keep`` columns of every row and, of its whole text, the asked ``COLUMNS``; what is decoded comes from the ids."""
     tokens = read_ranks(path)
     sent = spark.sparkContext.broadcast((tokens, merge_table(tokens)))
-    kind = dict(rows.dtypes)[key]
-    schema = f"`{key}` {kind}, " + (
-        "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>" + ", decoded binary" * decode
-    )
+    given = with_pieces(rows.select(*keep, F.col("text").alias("__text")), pattern, "__text").select(*keep, F.col("pieces").alias("__pieces"))
+    schema = given.select(*keep).schema
+    for name in columns:
+        schema = schema.add(name, COLUMNS[name])
+    decode = "decoded" in columns or "decoded_sha256" in columns
+
+    def made(ids: np.ndarray, ends: np.ndarray, texts: list[bytes]) -> Iterator[pa.Array]:
+        wide = ids.astype("<u4")
+        for name in columns:
+            if name == "n_tokens":
+                yield pa.array(np.diff(ends))
+            elif name == "ids":
+                yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            elif name == "decoded":
+                yield pa.array(texts, pa.binary())
+            elif name == "ids_sha256":
+                yield pa.array([hashlib.sha256(wide[s:e]).hexdigest() for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+            else:
+                yield pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, *sent.value)
         for batch in batches:
             for a, b, pieces, offsets in _runs(batch):
                 ids, ends = codec.encode(pieces, offsets)
-                texts = codec.decode(ids, ends) if decode else []
-                made = [batch.column(0).slice(a, b - a)]
-                if digest:
-                    wide = ids.astype("<u4")
-                    hashes = [hashlib.sha256(wide[s:e]).hexdigest() for s, e in zip(ends[:-1], ends[1:], strict=True)]
-                    made += [np.diff(ends), hashes, [hashlib.sha256(t).hexdigest() for t in texts]]
-                else:
-                    made.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)))
-                    made += [pa.array(texts, pa.binary())] * decode
-                names = [key, "n_tokens", "ids_sha256", "decoded_sha256"] if digest else [key, "ids", "decoded"][: 2 + decode]
-                yield pa.RecordBatch.from_arrays([pa.array(x) if not isinstance(x, pa.Array) else x for x in made], names=names)
-
-    return with_pieces(rows.select(key, "text"), pattern).select(key, "pieces").mapInArrow(work, schema)
+                new = made(ids, ends, codec.decode(ids, ends) if decode else [])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), *new], names=[*keep, *columns])
+
+    return given.mapInArrow(work, schema)

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import lookup_join, settle
 
 # The characters that separate words, and the letters that are lower-cased.
 SPACE = "\\x20\\x09-\\x0D"
@@ -83,3 +83,17 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 40) -> DataFram
     else:
         raise RuntimeError("links did not converge")
     return nodes.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
+
+
+def deal_blocks(rows: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
+    """Rows dealt to pairs of blocks, so that all members of a key meet though no task holds a large key.
+
+    A key of many members is cut into blocks by the hash of the member; each row goes to every pair of blocks that its own
+    block is in (columns ``low, high``; ``own`` is its block). A key of at most ``block`` members is one pair, ``0, 0``.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > block)
+    big = settle(sizes.select(*keys, F.ceil(F.col("__n") / block).cast("int").alias("__blocks")), "blocks")
+    dealt = lookup_join(rows, big, keys, "left", settled=True).withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(member), F.col("__blocks")).cast("int"))
+    dealt = dealt.withColumn("__with", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    return dealt.withColumns({"low": F.least("own", "__with"), "high": F.greatest("own", "__with")}).drop("__blocks", "__with")

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii
-from .common import table
+from . import bpe, class_lm, embedding_dedup, fingerprints, html_extract, mixing, near_dedup, pii, token_counts, toxicity
+from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,12 +30,61 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
 
 
+@query("op1_document_fingerprints")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir))
+
+
+@query("op2_class_lm")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.model_scores(spark, documents(spark, sf_dir).withColumn("train", fold(F.col("doc_id")) != 1))
+
+
 @query("op3_byte_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(RANKS)
-    return bpe.digests(spark, documents(spark, sf_dir), "doc_id", ranks, public_tokenizers.PATTERN)
+    digests = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    return bpe.encode(spark, documents(spark, sf_dir), ["doc_id"], ranks, public_tokenizers.PATTERN, digests)
+
+
+@query("op4_minhash_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(documents(spark, sf_dir), "doc_id", 3, 85)
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
+
+
+@query("op5_source_mix")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(spark, documents(spark, sf_dir))
 
 
 @query("op6_pii")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir), "doc_id")
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", fold(F.col("doc_id")) == 0)
+    net = toxicity.fitted(docs.where("NOT held_out"), table(spark, sf_dir, "labels"))
+    scores = toxicity.scored(spark, docs, net, ["doc_id", "held_out"])
+    return scores.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op8_embedding_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark, table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op9_main_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extracted(spark, pages, html_extract.fitted(pages))
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    edits = token_counts.sample_edits(F.col("text"))
+    return token_counts.counted(spark, docs, "doc_id", edits, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
