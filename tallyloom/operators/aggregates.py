@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import markers as M
 from ..session import lookup_join, settle
 
+PERCENTS = (10, 50, 90, 99)
 
 
 def source_totals(stats: DataFrame, length: int) -> DataFrame:
@@ -120,9 +121,13 @@ def clip_keep_rate(stats: DataFrame, clips: list[int]) -> DataFrame:
 
 
 def selection_summary(selected: DataFrame, universe: DataFrame) -> DataFrame:
-    """One row: rows, unique and duplicate rows, tokens, median length of the selection and of the universe."""
-    def middle(df: DataFrame):
-        return df.groupBy("n").agg(F.count("*").alias("c")).agg(F.percentile("n", F.lit(0.5), F.col("c")).alias("m")).scalar()
+    """One row: rows, unique and duplicate rows, tokens, and the 10th, 50th, 90th and 99th percentile of the lengths of the
+    selection and of the universe."""
+
+    def percentiles(df: DataFrame, name: str) -> list[Column]:
+        counts = df.groupBy("n").agg(F.count("*").alias("c"))
+        at = counts.agg(F.percentile("n", F.array(*[F.lit(q / 100) for q in PERCENTS]), F.col("c")).alias("m")).scalar()
+        return [at[i].alias(f"{name}_p{q}" if q != 50 else f"{name}_median") for i, q in enumerate(PERCENTS)]
 
     copies = selected.groupBy("id").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     return copies.agg(
@@ -131,7 +136,7 @@ def selection_summary(selected: DataFrame, universe: DataFrame) -> DataFrame:
         (F.sum("c") - F.count("*")).alias("duplicate_rows"),
         F.sum("n").alias("selected_tokens"),
     ).select(
-        "*", middle(selected).alias("selected_median"), middle(universe).alias("universe_median")
+        "*", *percentiles(selected, "selected"), *percentiles(universe, "universe")
     )
 
 
@@ -144,15 +149,19 @@ def status_counts(rows: DataFrame, by: list[str], status: str = "status") -> Dat
 
 
 def mode_crosstab(stats: DataFrame, window: int) -> DataFrame:
-    """Rows, tokens, supervised, prompt tokens, turns and window-filling rows by mode and terminal flag, with totals."""
+    """Rows, tokens, supervised, prompt tokens, turns and window-filling rows by mode and terminal flag, with totals.
+
+    Rows without a supervised token count as rows, tokens and empty rows only.
+    """
+    trained = F.col("n_supervised") > 0
     return stats.cube("mode", "terminal").agg(
         F.count("*").alias("n_rows"),
         F.sum("n_tokens").alias("tokens"),
         F.sum("n_supervised").alias("supervised"),
-        F.sum(F.col("n_tokens") - F.col("n_supervised")).alias("prompt_tokens"),
-        F.sum("n_assistant").alias("turns"),
-        F.count_if(F.col("n_tokens") >= window).alias("window_rows"),
-        F.count_if(F.col("n_supervised") == 0).alias("empty_rows"),
+        F.sum(F.when(trained, F.col("n_tokens") - F.col("n_supervised")).otherwise(0)).alias("prompt_tokens"),
+        F.sum(F.when(trained, F.col("n_assistant")).otherwise(0)).alias("turns"),
+        F.count_if(trained & (F.col("n_tokens") >= window)).alias("window_rows"),
+        F.count_if(~trained).alias("empty_rows"),
     )
 
 
@@ -184,20 +193,3 @@ def prompt_features(prompts: DataFrame, by: list[str], text: str = "text") -> Da
     return prompts.groupBy(*by).agg(
         F.count("*").alias("n_rows"), *[(F.count_if(v) / F.count("*")).alias(k) for k, v in flags.items()]
     )
-
-
-def compress_ratio(rows: DataFrame, by: list[str], text: str = "text", level: int = 6) -> DataFrame:
-    """Compressed bytes over raw bytes of the texts per group; the compressor runs over Arrow batches."""
-
-    @F.pandas_udf("bigint")
-    def packed(texts):
-        import zlib
-
-        return texts.map(lambda t: len(zlib.compress(t.encode("utf-8"), level)), na_action="ignore").astype("Int64")
-
-    sized = rows.select(*by, F.octet_length(text).alias("__raw"), packed(text).alias("__packed"))
-    return sized.groupBy(*by).agg(
-        F.sum("__raw").alias("raw_bytes"),
-        F.sum("__packed").alias("packed_bytes"),
-        (F.sum("__packed") / F.sum("__raw")).alias("ratio"),
-    )

@@ -31,46 +31,40 @@ def class_hist(freq: DataFrame, by: list[str]) -> DataFrame:
     return counted.withColumn("share", F.col("cnt") / F.sum("cnt").over(W.partitionBy(*by)))
 
 
-def _with_labels(freq: DataFrame, vocabs: DataFrame) -> DataFrame:
-    held = vocabs.groupBy("token").agg(F.collect_set("vocab").alias("labels"))
-    return lookup_join(freq, held, ["token"], "left").withColumn(
-        "labels", F.coalesce("labels", F.array().cast("array<string>"))
+def vocab_coverage(freq: DataFrame, vocabs: DataFrame) -> DataFrame:
+    """Share of the counted tokens each vocabulary holds. ``vocabs``: ``vocab, token``; every vocabulary in it is shown."""
+    held = vocabs.join(freq.groupBy("token").agg(F.sum("cnt").alias("cnt")), "token", "left")
+    total = freq.agg(F.sum("cnt").alias("t")).scalar()
+    return held.groupBy("vocab").agg(F.sum(F.coalesce("cnt", F.lit(0))).alias("covered")).select(
+        "vocab", total.alias("tokens"), "covered", (F.col("covered") / total).alias("coverage")
     )
 
 
-def vocab_coverage(freq: DataFrame, vocabs: DataFrame, labels: list[str]) -> DataFrame:
-    """Share of the counted tokens each vocabulary holds. ``vocabs``: ``vocab, token``; ``labels`` names them."""
-    held = _with_labels(freq, vocabs)
-    sums = [F.sum("cnt").alias("tokens")] + [
-        F.sum(F.when(F.array_contains("labels", v), F.col("cnt")).otherwise(0)).alias(f"c_{v}") for v in labels
-    ]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(v).alias("vocab"), F.col("tokens"), F.col(f"c_{v}").alias("covered"),
-                (F.col(f"c_{v}") / F.col("tokens")).alias("coverage"),
-            )
-            for v in labels
-        ]
-    )
-    return held.agg(*sums).select(F.inline(rows))
-
-
-def uncovered_classes(freq: DataFrame, vocabs: DataFrame, labels: list[str]) -> DataFrame:
-    """Token classes of what each vocabulary misses."""
-    return _missing(freq, vocabs, labels).groupBy("vocab", token_class(F.col("token")).alias("class")).agg(
-        F.sum("cnt").alias("cnt")
-    )
-
+def uncovered_classes(freq: DataFrame, vocabs: DataFrame) -> DataFrame:
+    """Token classes of what each vocabulary misses: all counts of a class less those the vocabulary holds."""
+    counts = freq.groupBy("token").agg(F.sum("cnt").alias("cnt")).withColumn("class", token_class(F.col("token")))
+    every = counts.groupBy("class").agg(F.sum("cnt").alias("all"))
+    held = vocabs.join(counts, "token").groupBy("vocab", "class").agg(F.sum("cnt").alias("held"))
+    # One entry per class, put beside each vocabulary.
+    classes = every.agg(F.collect_list(F.struct("class", "all")).alias("c")).scalar()
+    wanted = vocabs.select("vocab").distinct().select("vocab", F.inline(classes))
+    missed = wanted.join(held, ["vocab", "class"], "left").withColumn("cnt", F.col("all") - F.coalesce("held", F.lit(0)))
+    return missed.filter("cnt > 0").select("vocab", "class", "cnt")
 
-def _missing(freq: DataFrame, vocabs: DataFrame, labels: list[str]) -> DataFrame:
-    wanted = F.array(*[F.lit(v) for v in labels])
-    return _with_labels(freq, vocabs).withColumn("vocab", F.explode(F.array_except(wanted, "labels"))).drop("labels")
 
+def top_uncovered(freq: DataFrame, vocabs: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """The ``k`` most frequent tokens each vocabulary misses, per group.
 
-def top_uncovered(freq: DataFrame, vocabs: DataFrame, labels: list[str], k: int, by: list[str]) -> DataFrame:
-    """The ``k`` most frequent tokens each vocabulary misses, per group."""
-    missing = _missing(freq, vocabs, labels)
+    A vocabulary of s tokens misses k of a group's k + s most frequent, so only those are put beside the vocabularies.
+    """
+    largest = vocabs.groupBy("vocab").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    top = per_group_limit(freq, by, [F.desc("cnt"), F.col("token")], k + largest, "__r").drop("__r")
+    held = vocabs.groupBy("token").agg(F.collect_set("vocab").alias("__held"))
+    wanted = vocabs.agg(F.collect_set("vocab").alias("v")).scalar()
+    none = F.array().cast(vocabs.select(F.collect_set("vocab").alias("v")).schema["v"].dataType)
+    missing = lookup_join(top, held, ["token"], "left").withColumn(
+        "vocab", F.explode(F.array_except(wanted, F.coalesce("__held", none)))
+    )
     return per_group_limit(missing, [*by, "vocab"], [F.desc("cnt"), F.col("token")], k).select(
         *by, "vocab", "token", "cnt", "rank"
     )
@@ -101,34 +95,33 @@ def vocab_difference(own: DataFrame, frozen: DataFrame) -> DataFrame:
     return both.agg(F.count("f").alias("shared"), (F.count("*") - F.count("f")).alias("differing"))
 
 
-def cross_entropy(
-    eval_freq: DataFrame, model_freq: DataFrame, vocab_size: int, models: list[str], by: str = "eval_set"
-) -> DataFrame:
+def cross_entropy(eval_freq: DataFrame, model_freq: DataFrame, vocab_size: int, by: str = "eval_set") -> DataFrame:
     """Bits per token of each eval set's replies under each unigram model with add-0.5 smoothing.
 
-    ``eval_freq``: ``<by>, token, cnt``; ``model_freq``: ``model, token, cnt``. The models are named up front, so one
-    wide lookup table serves all of them.
+    ``eval_freq``: ``<by>, token, cnt``; ``model_freq``: ``model, token, cnt``. All models are joined at once: what a model
+    does not know costs the same bits everywhere, so only the tokens it knows are met.
     """
-    wide = model_freq.groupBy("token").pivot("model", models).agg(F.sum("cnt"))
-    totals = model_freq.agg(*[F.sum(F.when(F.col("model") == m, F.col("cnt"))).alias(m) for m in models])
-    sized = eval_freq.groupBy(by).agg(F.sum("cnt").alias("__all"))
-    joined = lookup_join(eval_freq.join(wide, "token", "left"), sized, [by])
-    p = F.col("cnt") / F.col("__all")
-    sums = []
-    for m in models:
-        total = totals.select(m).scalar()
-        q = (F.coalesce(F.col(f"`{m}`"), F.lit(0)) + 0.5) / (F.coalesce(F.col(f"__t_{m}"), F.lit(0)) + 0.5 * vocab_size)
-        joined = joined.withColumn(f"__t_{m}", total)
-        sums.append(F.sum(-p * F.log2(q)).alias(m))
-    rows = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"`{m}`").alias("bits")) for m in models])
-    return joined.groupBy(by).agg(*sums).select(by, F.inline(rows))
+    shares = eval_freq.groupBy(by).agg(F.sum("cnt").alias("__all"))
+    p = lookup_join(eval_freq, shares, [by]).withColumn("p", F.col("cnt") / F.col("__all")).select(by, "token", "p")
+    known = model_freq.select("model", "token", F.log2(F.col("cnt") + 0.5).alias("bits"))
+    met = p.join(known, "token").groupBy(by, "model").agg(F.sum(F.col("p") * F.col("bits")).alias("b"), F.sum("p").alias("known"))
+    sizes = model_freq.groupBy("model").agg(F.sum("cnt").alias("n"))
+    # One entry per model, put beside each eval set.
+    models = sizes.agg(F.collect_list(F.struct("model", "n")).alias("m")).scalar()
+    wanted = shares.select(by, F.inline(models))
+    paired = wanted.join(met, [by, "model"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("b", "known")})
+    unknown = (1 - F.col("known")) * F.log2(F.lit(0.5))
+    return paired.select(by, "model", (F.log2(F.col("n") + 0.5 * vocab_size) - F.col("b") - unknown).alias("bits"))
 
 
 # ---- reasoning blocks and repetition inside a row --------------------------------------------------------------
 
 
 def think_stats(rows: DataFrame, by: list[str], opening: str = M.START_THINK, closing: str = M.END_THINK) -> DataFrame:
-    """Rows with a reasoning block, supervised tokens inside one, rows whose block never closes, first block length."""
+    """Rows with a reasoning block, supervised tokens inside one, rows whose block never closes, first block length.
+
+    Rows without a supervised token are left out of every figure.
+    """
     # Everything is one pass inside the row: the running depth needs no neighbours from other rows.
     step = lambda t: F.when(t == opening, 1).when(t == closing, -1).otherwise(0)
     state = F.aggregate(
@@ -144,7 +137,7 @@ def think_stats(rows: DataFrame, by: list[str], opening: str = M.START_THINK, cl
     open_at = F.array_position("tokens", F.lit(opening)).cast("int")
     rest = F.slice("tokens", F.greatest("open_at", F.lit(1)), F.size("tokens"))
     per_row = (
-        rows.select("tokens", *by, state.alias("st"), open_at.alias("open_at"))
+        rows.filter(F.exists("mask", lambda m: m == 1)).select("tokens", *by, state.alias("st"), open_at.alias("open_at"))
         .filter("open_at > 0")
         .withColumn("close_at", F.array_position(rest, F.lit(closing)))
     )

@@ -73,7 +73,7 @@ def exact_roles(turns: DataFrame, roles: list[str], empty: tuple[int, ...] = (0,
     for i, role in enumerate(roles):
         fits = (F.col("turn") == i) & (F.col("role") == role)
         if i in empty:
-            fits = fits & (F.trim("text") == "")
+            fits = fits & ~F.col("text").rlike(r"\S")
         expected = expected | fits
     return (
         turns.groupBy(CONV)
@@ -91,11 +91,13 @@ def starts_with_user(turns: DataFrame) -> DataFrame:
 def first_turn_text(turns: DataFrame, auxiliary: str = "Reasoning:") -> DataFrame:
     """System prompts before the first user turn, joined by blank lines, then the first user text.
 
-    The first system message is skipped when it is the auxiliary header. Conversations without a user turn are left out.
+    Line feeds round the system prompts and before the user text are taken off. The first system message is skipped when it
+    is the auxiliary header. Conversations without a user turn are left out.
     """
     user = turns.filter("role = 'user'").groupBy(CONV).agg(F.min(F.struct("turn", "text")).alias("u"))
-    first = user.select(CONV, F.col("u.turn").alias("user_turn"), F.col("u.text").alias("user_text"))
-    system = turns.filter("role = 'system'").select(CONV, "turn", F.col("text").alias("sys"))
+    first = user.select(CONV, F.col("u.turn").alias("user_turn"), F.regexp_replace("u.text", r"\A\n+", "").alias("user_text"))
+    bare = F.regexp_replace("text", r"\A\n+|\n+\z", "")
+    system = turns.filter("role = 'system'").select(CONV, "turn", bare.alias("sys"))
     lead = (
         system.join(first.select(CONV, "user_turn"), CONV)
         .filter(F.col("turn") < F.col("user_turn"))
@@ -104,7 +106,7 @@ def first_turn_text(turns: DataFrame, auxiliary: str = "Reasoning:") -> DataFram
     )
     header = F.startswith(F.col("s")[0]["sys"], F.lit(auxiliary))
     kept = F.when(header, F.slice("s", F.lit(2), F.greatest(F.size("s") - 1, F.lit(0)))).otherwise(F.col("s"))
-    texts = F.filter(F.transform(kept, lambda m: F.trim(m["sys"])), lambda t: t != "")
+    texts = F.filter(F.transform(kept, lambda m: m["sys"]), lambda t: t != "")
     joined = first.join(lead.select(CONV, F.array_join(texts, "\n\n").alias("system_text")), CONV, "left")
     system_text = F.coalesce("system_text", F.lit(""))
     return joined.select(
@@ -277,45 +279,75 @@ def parse_rendered(rows: DataFrame, key: str = CONV, text: str = "text") -> Data
 
 
 def render_parsed(messages: DataFrame, key: str = CONV) -> DataFrame:
-    """Inverse of ``parse_rendered`` for messages without tools."""
-    shown = F.concat(
-        F.when(
-            F.col("reasoning").isNotNull(), F.concat(F.lit(M.START_THINK), F.col("reasoning"), F.lit(M.END_THINK))
-        ).otherwise(F.lit("")),
-        F.col("content"),
+    """Inverse of ``parse_rendered``: reasoning, text, tool calls and tool results as they were written.
+
+    Rows whose header lists tools are rendered without that list.
+    """
+    call = lambda c: F.concat(
+        F.lit(M.TOOL_CALL + '\n{"name": "'), c["name"], F.lit('", "arguments": '), c["arguments"], F.lit("}\n" + M.END_TOOL_CALL)
     )
+    calls = F.coalesce(F.array_join(F.transform("calls", call), "\n"), F.lit(""))
+    thought = F.concat(F.lit(M.START_THINK), F.col("reasoning"), F.lit(M.END_THINK))
+    named = F.coalesce(F.concat(F.lit(' name="'), F.col("tool_name"), F.lit('"')), F.lit(""))
+    result = F.concat(F.lit("<tool_response"), named, F.lit(">"), F.col("content"), F.lit("</tool_response>"))
+    said = F.concat(F.coalesce(thought, F.lit("")), F.col("content"), calls)
+    shown = F.when(F.col("role") == "tool", result).otherwise(said)
     label = F.when(F.col("thinking"), F.lit("think")).when(~F.col("thinking"), F.lit("nothink"))
     turns = messages.select(F.col(key).alias(CONV), "turn", "role", shown.alias("text"), label.alias("__mode"))
     return render(turns, mode=F.col("__mode"), keep=["__mode"]).drop("__mode").withColumnRenamed(CONV, key)
 
 
 def roundtrip_audit(rows: DataFrame, key: str = CONV, text: str = "text") -> DataFrame:
-    """Per row: whether render(parse(text)) is the text again, and the first differing position."""
+    """Per row: whether render(parse(text)) is the text again, the first differing position, and the kind of failure.
+
+    A row that was clipped has no closing marker; it is exact when the text begins with it. ``kind`` is null for exact rows,
+    else ``tools`` (the header lists tools), ``shorter`` (the text ends early) or ``differs``.
+    """
     again = render_parsed(parse_rendered(rows, key, text), key).withColumnRenamed("text", "again")
     both = rows.select(key, F.col(text).alias("original")).join(again, key, "left")
+    closed = F.endswith("original", F.lit(M.END_TEXT))
+    exact = F.coalesce((F.col("again") == F.col("original")) | (~closed & F.startswith("again", F.col("original"))), F.lit(False))
     shorter = F.least(F.length("again"), F.length("original"))
-    return both.select(
-        key,
-        (F.col("again") == F.col("original")).alias("exact"),
-        F.when(F.col("again") == F.col("original"), F.lit(None).cast("int"))
-        .otherwise(first_difference(F.col("again"), F.col("original"), shorter))
-        .alias("first_diff"),
+    first = F.when(~exact, first_difference(F.coalesce("again", F.lit("")), F.col("original"), F.coalesce(shorter, F.lit(0))))
+    kind = (
+        F.when(exact, F.lit(None))
+        .when(F.col("original").rlike(M.TOOL_LIST), F.lit("tools"))
+        .when(F.col("first_diff") >= F.length("again"), F.lit("shorter"))
+        .otherwise(F.lit("differs"))
+    )
+    return both.select(key, "again", "original", exact.alias("exact"), first.cast("int").alias("first_diff")).select(
+        key, "exact", "first_diff", kind.alias("kind")
     )
 
 
+def roundtrip_share(audit: DataFrame) -> DataFrame:
+    """One row: rows, exact rows, their share."""
+    exact = F.count_if(F.col("exact"))
+    return audit.agg(F.count("*").alias("n_rows"), exact.alias("n_exact"), (exact / F.count("*")).alias("share"))
+
+
 def first_difference(a: Column, b: Column, shorter: Column) -> Column:
-    """0-based position of the first differing character, or the shorter length."""
-    spots = F.filter(
-        F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))), lambda i: F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1))
-    )
-    return F.when(F.size(spots) > 0, spots[0] - 1).otherwise(shorter)
+    """0-based position of the first differing character, or the shorter length: bisection on equal beginnings."""
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = ((s["low"] + s["high"] + 1) / 2).cast("int")
+        same = F.substr(a, F.lit(1), middle) == F.substr(b, F.lit(1), middle)
+        return F.struct(
+            F.when(same, middle).otherwise(s["low"]).alias("low"), F.when(same, s["high"]).otherwise(middle - 1).alias("high")
+        )
+
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(F.bin(shorter.cast("bigint")))))
+    start = F.struct(F.lit(0).alias("low"), shorter.cast("int").alias("high"))
+    return F.aggregate(steps, start, lambda s, i: F.when(s["low"] < s["high"], halve(s, i)).otherwise(s))["low"]
 
 
 def mask_audit(rows: DataFrame, turns: DataFrame, least: int = 100, share: float = 0.99) -> DataFrame:
     """Supervised text decoded from token rows against the assistant texts they came from.
 
-    One row: compared, same, passed (at least ``least`` compared and at least ``share`` of them equal).
+    ``turns`` may say in a boolean column ``changed`` which texts were changed on the way; their rows are left out. One row: compared, same, passed (at least ``least`` compared and at least ``share`` of them equal).
     """
+    if "changed" in turns.columns:
+        turns = turns.join(turns.filter("changed").select(CONV).distinct(), CONV, "left_anti")
     said = (
         turns.filter("role = 'assistant'")
         .groupBy(CONV)
@@ -360,8 +392,14 @@ def hash_split(rows: DataFrame, key: str, share: float, out: str = "is_val") ->
     return rows.withColumn(out, key_fraction(F.sha2(F.col(key).cast("string"), 256)) < share)
 
 
-def pick_turns(turns: DataFrame, seed: int) -> DataFrame:
-    """Per conversation the first assistant turn and one random later assistant turn, each with its prompt length."""
+def pick_turns(turns: DataFrame, seed: int, longest: int | None = None) -> DataFrame:
+    """Per conversation the first assistant turn and one random later assistant turn.
+
+    With ``longest``, only turns whose prompt (all before them) has at most that many tokens are drawn from, so a
+    conversation is not lost because its draw was too long.
+    """
+    if longest is not None:
+        turns = turn_starts(turns).filter(F.col("start") <= longest)
     replies = turns.filter((F.col("role") == "assistant") & (F.col("turn") > 0)).select(CONV, "turn")
     first = replies.groupBy(CONV).agg(F.min("turn").alias("first_turn"))
     later = (

@@ -154,19 +154,19 @@ def accept_curve(log: DataFrame, width: int) -> DataFrame:
     )
 
 
-def moving_average(log: DataFrame, w: int, rows_per_slice: int = 100_000) -> DataFrame:
-    """Mean of each record and the ``w`` before it, per arm. ``log``: ``arm, done, accept``; ``done`` is dense from 1.
+def moving_average(log: DataFrame, w: int, per_slice: int = 100_000) -> DataFrame:
+    """Mean of each record and the ``w`` before it, per arm. ``log``: ``arm, done, accept``; ``done`` grows, by any steps.
 
-    Totals up to a record come from sliced prefix sums, and a window mean is a difference of two of them, so the cost
-    does not depend on ``w`` and no arm is walked by one task.
+    Records are numbered per arm. Totals up to a record come from sliced prefix sums, and a window mean is a difference of
+    two of them, so the cost does not depend on ``w`` and no arm is walked by one task.
     """
-    slices = F.floor((F.col("done") - 1) / rows_per_slice)
-    upto = settle(
-        total_before(log.select("arm", "done", "accept"), ["arm"], ["done"], slices, "accept", "before"), "totals"
-    )
-    older = upto.select("arm", (F.col("done") + w + 1).alias("done"), (F.col("before") + F.col("accept")).alias("cut"))
-    size = F.least("done", F.lit(w + 1))
-    return upto.join(older, ["arm", "done"], "left").select(
+    slices = F.floor(F.col("done") / per_slice)
+    rows = log.select("arm", "done", "accept")
+    numbered = total_before(rows, ["arm"], ["done"], slices, F.lit(1).cast("bigint"), "nth")
+    upto = settle(total_before(numbered, ["arm"], ["nth"], F.floor(F.col("nth") / per_slice), "accept", "before"), "totals")
+    older = upto.select("arm", (F.col("nth") + w + 1).alias("nth"), (F.col("before") + F.col("accept")).alias("cut"))
+    size = F.least(F.col("nth") + 1, F.lit(w + 1))
+    return upto.join(older, ["arm", "nth"], "left").select(
         "arm",
         "done",
         ((F.col("before") + F.col("accept") - F.coalesce("cut", F.lit(0.0))) / size).alias("smooth"),

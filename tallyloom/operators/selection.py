@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,8 +12,6 @@ from .ordering import per_group_limit, prefix_select, prefix_select_all, seeded_
 
 # Up to this many rows per group Spark trims groups inside each task (spark.sql.optimizer.windowGroupLimitThreshold).
 TRIM_LIMIT = 1000
-# Groups that one task may place greedily; the rest is placed by hash.
-GREEDY_GROUPS = 100_000
 
 
 def seeded_limit(rows: DataFrame, group: list[str], key: str, k: int, seed: int) -> DataFrame:
@@ -108,14 +104,22 @@ def seeded_shuffle(rows: DataFrame, seed: int, key: str) -> DataFrame:
     return rows.withColumn("__h", order_key(seed, key)).orderBy("__h", key).drop("__h")
 
 
+def require_rows(rows: DataFrame, n: int, what: str) -> None:
+    """Stop when a written selection has fewer rows than were asked for."""
+    found = rows.count()
+    if found < n:
+        raise ValueError(f"{what}: {n} rows asked for, {found} there")
+
+
 def sample_n(rows: DataFrame, n: int, seed: int, key: str, allow: DataFrame | None = None, workers: int = 1) -> DataFrame:
     """``n`` rows without replacement, optionally only from ``allow`` keys, with the worker each is dealt to.
 
-    Only keys are ordered; whole rows are fetched for the keys drawn.
+    Only keys are ordered; whole rows are fetched for the keys drawn. Fewer than ``n`` keys stop the job.
     """
     keys = rows.select(key)
     pool = settle(keys if allow is None else keys.join(allow.select(key), key, "left_semi"), "pool")
     picked = settle(prefix_select_all(pool, [key], F.lit(1), n, seed), "picked")
+    require_rows(picked, n, "sample")
     draws = settle(seeded_index(picked, seed, [key], "draw").withColumn("worker", F.col("draw") % workers), "draws")
     return rows.join(draws, key)
 
@@ -164,7 +168,10 @@ def heaviest_first(rows: DataFrame, weight: str, key: str) -> DataFrame:
 def capped_sample(
     rows: DataFrame, group: str, bucket: str, cap: int, n: int, seed: int, key: str, spare: float = 1.2
 ) -> DataFrame:
-    """Per bucket at most ``cap`` rows of one group, then ``n`` rows plus a spare share, in seeded order."""
+    """Per bucket at most ``cap`` rows of one group, then ``n`` rows plus a spare share, in seeded order.
+
+    ``short_buckets`` names the buckets that have fewer than ``n``.
+    """
     h = "__h"
     keyed = rows.withColumn(h, order_key(seed, bucket, key))
     capped = per_group_limit(keyed, [bucket, group], [h, key], cap, "__r").drop("__r")
@@ -175,6 +182,12 @@ def capped_sample(
     return prefix_select(capped.drop(h), targets, [bucket], [key], F.lit(1), seed)
 
 
+def short_buckets(sample: DataFrame, bucket: str, n: int) -> DataFrame:
+    """``bucket, n_rows, missing`` of the buckets with fewer than ``n`` rows."""
+    sizes = sample.groupBy(bucket).agg(F.count("*").alias("n_rows"))
+    return sizes.filter(F.col("n_rows") < n).withColumn("missing", F.lit(n) - F.col("n_rows"))
+
+
 # ---- splits ----------------------------------------------------------------------------------------------------
 
 
@@ -259,33 +272,70 @@ def group_components(edges: DataFrame, node: str = "node", key: str = "key") ->
 
 
 def balance_groups(groups: DataFrame, n: int, group: str = "component", weight: str = "weight") -> DataFrame:
-    """``group, weight, shard``: heaviest group first onto the currently lightest shard.
+    """``group, weight, shard``: heaviest group first onto the currently lightest shard, ties by group and by shard.
 
-    One task places at most GREEDY_GROUPS groups; when there are more, the light rest is placed by its hash.
+    The order of the weights decides everything, so only their histogram is walked: one stream of (weight, count) rows
+    against ``n`` loads gives, for every weight, how many of its groups each shard takes next. A group finds its shard by
+    its place among the groups of its weight, which sliced totals give.
     """
-    sized = settle(groups.select(group, weight), "groups")
-    # Groups by weight are cut at the limit; ranks are needed only to find the cut.
-    heavy = sized.orderBy(F.desc(weight), group).limit(GREEDY_GROUPS)
-    schema = f"{group} {sized.schema[group].dataType.simpleString()}, {weight} {sized.schema[weight].dataType.simpleString()}, shard int"
-
-    def place(part):
-        part = part.sort_values([weight, group], ascending=[False, True])
-        loads = [(0.0, i) for i in range(n)]
-        shard = []
-        for w in part[weight]:
-            load, i = heapq.heappop(loads)
-            shard.append(i)
-            heapq.heappush(loads, (load + float(w), i))
-        return part.assign(shard=shard)[[group, weight, "shard"]]
-
-    placed = heavy.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(place, schema)
-    if sized.limit(GREEDY_GROUPS + 1).count() <= GREEDY_GROUPS:
-        return placed
-    placed = settle(placed, "placed")
-    rest = sized.join(placed.select(group), group, "left_anti").withColumn(
-        "shard", key_bucket(order_key(0, group), n).cast("int")
-    )
-    return placed.unionByName(rest)
+    sized = settle(groups.select(group, F.col(weight).alias("__w"), weight), "groups")
+    counts = sized.groupBy("__w").agg(F.count("*").alias("c"))
+    ordered = counts.repartition(1).sortWithinPartitions(F.desc("__w"))
+    w_type = counts.schema["__w"].dataType.simpleString()
+
+    def runs(batches):
+        import numpy as np
+        import pandas as pd
+
+        loads = np.zeros(n)
+        for part in batches:
+            out = []
+            for w, c in zip(part["__w"].tolist(), part["c"].tolist()):
+                first = 0
+                for shard in _lightest_first(loads, float(w), int(c)):
+                    out.append((w, first, first + len(shard), shard.tolist()))
+                    first += len(shard)
+            yield pd.DataFrame(out, columns=["__w", "first", "last", "shards"])
+
+    placed = settle(ordered.mapInPandas(runs, f"__w {w_type}, first bigint, last bigint, shards array<int>"), "runs")
+    by_number = sized.schema[group].dataType.typeName() in ("byte", "short", "integer", "long")
+    slices = F.floor(F.col(group) / 4096) if by_number else F.substring(F.col(group).cast("string"), 1, 4)
+    nth = total_before(sized, ["__w"], [group], slices, F.lit(1).cast("bigint"), "__nth")
+    binned = placed.withColumn("__bin", F.floor(F.col("first") / RUN))
+    joined = lookup_join(nth.withColumn("__bin", F.floor(F.col("__nth") / RUN)), binned, ["__w", "__bin"])
+    shard = F.get("shards", (F.col("__nth") - F.col("first")).cast("int"))
+    return joined.select(group, weight, shard.alias("shard"))
+
+
+# Groups of one weight that one row of the plan deals out.
+RUN = 4096
+
+
+def _lightest_first(loads, w: float, count: int):
+    """Shards that take ``count`` groups of one weight in turn, ``RUN`` at a time; the loads grow with them.
+
+    Once no two loads differ by the weight, the shards take turns in one fixed order.
+    """
+    import heapq
+
+    import numpy as np
+
+    while count:
+        turn = np.empty(min(RUN, count), np.int32)
+        k = 0
+        heap = [(load, i) for i, load in enumerate(loads.tolist())]
+        heapq.heapify(heap)
+        while k < len(turn) and loads.max() - loads.min() >= w:
+            load, i = heap[0]
+            heapq.heapreplace(heap, (load + w, i))
+            loads[i] = load + w
+            turn[k] = i
+            k += 1
+        order = np.lexsort((np.arange(len(loads)), loads))
+        turn[k:] = np.resize(order, len(turn) - k)
+        loads += w * np.bincount(turn[k:], minlength=len(loads))
+        count -= len(turn)
+        yield turn
 
 
 def latest_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -344,48 +394,24 @@ def _rounds_without_repeats(near: DataFrame, budget: int, seed: int) -> DataFram
         left = settle(left.join(offered.select("id").distinct(), "id", "left_anti"), "left")
 
 
-# One task finishes the walk once no more candidates than this are left.
-WALK_ROWS = 100_000
-
-
 def _fit_in_order(offered: DataFrame, room: int, seed: int) -> DataFrame:
     """Rows in seeded order, each taken when it still fits into what is left of ``room``.
 
-    While many candidates remain, the longest fitting prefix is cut off by distributed prefix totals and the rows that
-    can no longer fit are dropped; a short remainder is walked by one task.
+    Distributed prefix totals give the longest prefix that fits; the row behind it and all that are now too big go, and the
+    next prefix is sought among the rest. Each step fills the room but for less than the row that did not fit.
     """
     columns = offered.columns
     h = order_key(seed, "round", "query")
     todo = settle(offered.withColumn("__h", h).filter(F.col("n") <= room), "todo")
-    done: DataFrame | None = None
-    while todo.limit(WALK_ROWS + 1).count() > WALK_ROWS:
-        ahead = settle(
-            total_before(todo, [], ["__h", "query"], slice_of(F.col("__h")), "n", "__before"), "ahead"
-        )
-        stop = ahead.filter(F.col("__before") + F.col("n") > room).agg(
-            F.min(F.struct("__h", "query", "__before")).alias("s")
-        ).first().s
+    done = todo.select(*columns).limit(0)
+    while not todo.isEmpty():
+        ahead = settle(total_before(todo, [], ["__h", "query"], slice_of(F.col("__h")), "n", "__before"), "ahead")
+        stop = ahead.filter(F.col("__before") + F.col("n") > room).agg(F.min(F.struct("__h", "query", "__before")).alias("s")).first().s
         if stop is None:
-            fits, todo = ahead, None
-        else:
-            h_stop, q_stop = F.lit(stop["__h"]), F.lit(stop["query"])
-            here = (F.col("__h") < h_stop) | ((F.col("__h") == h_stop) & (F.col("query") < q_stop))
-            fits = ahead.filter(here)
-            room -= stop["__before"]
-            todo = settle(todo.filter((~here) & (F.col("n") <= room)), "todo")
-        fits = fits.select(*columns)
-        done = fits if done is None else done.unionByName(fits)
-        if todo is None:
-            return done
-
-    def walk(part):
-        part = part.sort_values(["__h", "query"])
-        left, keep = room, []
-        for n in part["n"]:
-            keep.append(n <= left)
-            left -= int(n) if n <= left else 0
-        return part[keep][columns]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in offered.schema.fields)
-    rest = todo.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(lambda p: walk(p.drop(columns="__one")), schema)
-    return rest if done is None else done.unionByName(rest)
+            return done.unionByName(ahead.select(*columns))
+        h_stop, q_stop = F.lit(stop["__h"]), F.lit(stop["query"])
+        here = (F.col("__h") < h_stop) | ((F.col("__h") == h_stop) & (F.col("query") < q_stop))
+        done = settle(done.unionByName(ahead.filter(here).select(*columns)), "done")
+        room -= stop["__before"]
+        todo = settle(todo.filter((~here) & (F.col("n") <= room)), "todo")
+    return done

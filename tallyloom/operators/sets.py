@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from .ordering import prefix_select_all
+from .selection import require_rows
 
 
 def assert_unique(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,13 +67,16 @@ def mix_datasets(
     """Original and regenerated rows in one labelled set, validation quotas taken out first.
 
     Both inputs have ``id`` (the prompt's row) and ``n``. A regenerated row whose prompt is anywhere in the original part
-    is skipped, so no prompt is on both sides. Returns ``id, n, part, split``.
+    is skipped, so no prompt is on both sides. Too few rows for the part or a quota stop the job. Returns ``id, n, part,
+    split``.
     """
     clean = settle(regenerated.join(original.select("id"), "id", "left_anti").select("id", "n"), "regenerated")
     chosen = settle(prefix_select_all(clean, ["id"], F.lit(1), n_regenerated + val_regenerated, seed), "chosen")
+    require_rows(chosen, n_regenerated + val_regenerated, "regenerated part")
     labelled = []
     for part, rows, quota in (("original", original.select("id", "n"), val_original), ("regenerated", chosen, val_regenerated)):
         held = settle(prefix_select_all(rows, ["id"], F.lit(1), quota, f"{seed}:{part}"), "held")
+        require_rows(held, quota, f"validation of the {part} part")
         labelled.append(held.withColumn("split", F.lit("val")).withColumn("part", F.lit(part)))
         labelled.append(
             rows.join(held.select("id"), "id", "left_anti")

@@ -19,16 +19,25 @@ QUERY_BYTES = 64 * 2**20
 def embed(texts: DataFrame, key: str, text: str = "text", dim: int = 64, fn=None) -> DataFrame:
     """``key, vec`` with unit vectors; ``fn`` is a pandas UDF text -> array<float>.
 
-    The default counts hashed tokens. Counts are combined before the shuffle, so at most ``dim`` rows per text move.
+    The default counts hashed tokens inside the row. A text without words, or null, has the zero vector.
     """
     if fn is not None:
         return texts.select(key, unit(fn(F.col(text))).alias("vec"))
-    items = texts.select(key, F.explode(words(F.col(text))).alias("t"))
-    slots = items.withColumn("slot", F.pmod(hex_int(F.substring(F.md5("t"), 1, 8)), F.lit(dim)).cast("int"))
-    counts = slots.groupBy(key, "slot").agg(F.count("*").alias("c"))
-    maps = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", F.col("c").cast("double")))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return pinned(maps, {"vec": unit(dense)}, [key])
+
+    def slot(t):
+        return F.pmod(hex_int(F.substring(F.md5(t), 1, 8)), F.lit(dim)).cast("int")
+
+    def counts(ordered):
+        # Every slot is put in once, so it starts somewhere in the ordered slots; its run is one longer than its count.
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))
+        )
+        return let(starts, lambda s: F.transform(s, lambda a, k: (F.coalesce(F.get(s, k + 1), F.size(ordered)) - a - 1).cast("double")))
+
+    once = F.sequence(F.lit(0), F.lit(dim - 1))
+    held = F.transform(words(F.coalesce(F.col(text), F.lit(""))), slot)
+    rows = pinned(texts, {"__slots": F.sort_array(F.concat(held, once))}, [key])
+    return pinned(rows, {"vec": unit(let(F.col("__slots"), counts))}, [key])
 
 
 def unit(vec):

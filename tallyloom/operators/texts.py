@@ -10,8 +10,8 @@ from ..functions.text import defuse, squeeze_space
 
 
 def normalize_text(docs: DataFrame, text: str = "text", longest: int = 128) -> DataFrame:
-    """Blank texts dropped, whitespace runs cut to ``longest``, ``text_id`` = hash of the result."""
-    kept = docs.filter(F.length(F.trim(text)) > 0).withColumn(text, squeeze_space(F.col(text), longest))
+    """Texts of white space only dropped, whitespace runs cut to ``longest``, ``text_id`` = hash of the result."""
+    kept = docs.filter(F.col(text).rlike(r"\S")).withColumn(text, squeeze_space(F.col(text), longest))
     return kept.withColumn("text_id", F.md5(text))
 
 

@@ -92,17 +92,19 @@ def build_vocab(tokens: DataFrame, size: int, reserved: tuple[str, ...] = ()) ->
 
 
 def encode(rows: DataFrame, vocab: DataFrame, bos: int, eos: int, unknown: int, tokens: str = "tokens") -> DataFrame:
-    """Add ``input_ids``: opening id, the id of every token, closing id.
+    """Add ``input_ids``: opening id, the id of every token, closing id. A row without tokens has the two.
 
     Rows are placed by id once; the vocabulary (bounded by its size) is looked up there and the ids are put back in
     order without a second shuffle.
     """
     # Placed by id before the explode, the lookup and the regrouping both stay inside the task.
     placed = placed_by_id(rows.select("id", tokens))
-    items = placed.select("id", F.posexplode(tokens).alias("pos", "token"))
+    items = placed.select("id", F.posexplode_outer(tokens).alias("pos", "token"))
     found = lookup_join(items, vocab, ["token"], "left")
     ids = found.groupBy("id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(unknown)).alias("t")))).alias("p")
+        F.sort_array(
+            F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(unknown)).alias("t"))))
+        ).alias("p")
     )
     body = F.transform("p", lambda x: x["t"])
     return ids.select("id", F.concat(F.array(F.lit(bos)), body, F.array(F.lit(eos))).alias("input_ids"))
@@ -130,6 +132,11 @@ def mask_spans(rows: DataFrame) -> DataFrame:
     )
 
 
+def says_early(token: str, within: int = 400) -> Column:
+    """Whether a token is among the first ``within`` of a row, where an agent's opening phrase stands."""
+    return F.exists(F.slice("tokens", 1, within), lambda t: t == token)
+
+
 def supervised(mask: Column) -> Column:
     return F.aggregate(mask, F.lit(0), lambda a, m: a + m.cast("int"))
 

@@ -68,7 +68,7 @@ def exact_roles(spark, sf):
     """Every conversation gets an empty system message in front, as the reasoning corpus has."""
     turns = chats(spark, sf)
     empty = turns.filter("turn = 0").select(
-        "conv_id", F.lit(0).cast("bigint").alias("turn"), F.lit("system").alias("role"), F.lit(" ").alias("text")
+        "conv_id", F.lit(0).cast("bigint").alias("turn"), F.lit("system").alias("role"), F.lit("\n\t ").alias("text")
     )
     return V.exact_roles(empty.unionByName(turns.withColumn("turn", F.col("turn") + 1)), ["system", "user", "assistant"])
 
@@ -87,19 +87,20 @@ def starts_with_user(spark, sf):
 
 @query(
     "first_turn_text",
-    """WITH u AS (SELECT conv_id, min(turn) AS ut, arg_min(text, turn) AS utext FROM conversations WHERE role = 'user' GROUP BY 1),
-s AS (SELECT c.conv_id, string_agg(trim(text), E'\\n\\n' ORDER BY turn) AS stext FROM conversations c JOIN u USING (conv_id)
-      WHERE role = 'system' AND turn < ut AND trim(text) <> '' GROUP BY 1)
+    """WITH u AS (SELECT conv_id, min(turn) AS ut, regexp_replace(arg_min(text, turn), '^\\n+', '') || E'\\n\\n' AS utext FROM conversations WHERE role = 'user' GROUP BY 1),
+s AS (SELECT c.conv_id, string_agg(regexp_replace(E'\\n' || text || E'\\n\\n', '^\\n+|\\n+$', '', 'g'), E'\\n\\n' ORDER BY turn) AS stext FROM conversations c JOIN u USING (conv_id)
+      WHERE role = 'system' AND turn < ut AND regexp_matches(text, '[^\\n]') GROUP BY 1)
 SELECT conv_id, md5(CASE WHEN stext IS NULL THEN utext ELSE stext || E'\\n\\n' || utext END) AS text_md5
 FROM u LEFT JOIN s USING (conv_id)""",
 )
 def first_turn_text(spark, sf):
-    """With a reasoning header in front of every conversation that has one; the header is skipped."""
+    """With line feeds round every text, and a reasoning header in front of conversations that have one; it is skipped."""
     turns = chats(spark, sf).withColumn("turn", F.col("turn") + 1)
+    turns = turns.withColumn("text", F.concat(F.lit("\n"), F.col("text"), F.lit("\n\n")))
     header = (
         turns.filter("turn = 1").withColumn("m", chat_mode()).filter("m IS NOT NULL")
         .select("conv_id", F.lit(0).cast("bigint").alias("turn"), F.lit("system").alias("role"),
-                F.concat(F.lit("Reasoning: /"), F.col("m")).alias("text"))
+                F.concat(F.lit("\nReasoning: /"), F.col("m")).alias("text"))
     )
     return V.first_turn_text(header.unionByName(turns)).select("conv_id", text_md5("first_text"))
 
@@ -379,7 +380,13 @@ def parse_tool_calls(spark, sf):
 
 @query(
     "roundtrip_audit",
-    """SELECT conv_id, NOT bool_or(turn % 3 = 2 AND role = 'user') AS exact FROM conversations GROUP BY conv_id""",
+    rf"""WITH m AS (
+  SELECT conv_id, turn, role, turn % 3 = 2 AND role = 'user' AS odd,
+         '{M.START_HEADER}' || role || '{M.END_HEADER}' || E'\n' AS head, text || '{M.END_TURN}' || E'\n' AS body FROM conversations),
+b AS (
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM m),
+f AS (SELECT conv_id, min(start + length(head) - 1) FILTER (odd) + {len(M.BEGIN_TEXT)} AS first_diff FROM b GROUP BY conv_id)
+SELECT conv_id, first_diff IS NULL AS exact, first_diff, CASE WHEN first_diff IS NOT NULL THEN 'differs' END AS kind FROM f""",
 )
 def roundtrip_audit(spark, sf):
     """Some user turns lose a newline behind their header on the way, which the audit must find."""
@@ -387,7 +394,7 @@ def roundtrip_audit(spark, sf):
     odd = (F.col("turn") % 3 == 2) & (F.col("role") == "user")
     texts = V.render(turns.withColumn("text", F.when(odd, F.concat(F.lit("\x00"), F.col("text"))).otherwise(F.col("text"))))
     broken = texts.withColumn("text", F.replace("text", F.lit("\n\x00"), F.lit("")))
-    return V.roundtrip_audit(broken).select("conv_id", "exact")
+    return V.roundtrip_audit(broken).withColumn("first_diff", F.col("first_diff").cast("bigint"))
 
 
 @query(

@@ -12,7 +12,7 @@ from ..operators import joins as J
 from ..operators import sets as X
 from ..operators import token_rows as T
 from ..session import settle
-from .registry import CTOK, chat_mode, chat_rows, chats, doc_tokens, docs, query, table
+from .registry import CHAT, CTOK, chat_mode, chat_rows, chats, doc_tokens, docs, query, table
 
 MODE = "CASE WHEN f < 0.4 THEN 'think' WHEN f < 0.8 THEN 'nothink' ELSE 'none' END"
 
@@ -21,22 +21,28 @@ def with_mode(rows):
     return rows.withColumn("mode", F.coalesce(chat_mode("id"), F.lit("none")))
 
 
+def partly_supervised(spark, sf):
+    """Rows of the conversations; those whose id ends in 0 or 5 have no supervised token."""
+    none = F.transform("mask", lambda m: F.lit(0).cast("tinyint"))
+    return chat_rows(spark, sf).withColumn("mask", F.when(F.col("id") % 5 == 0, none).otherwise(F.col("mask")))
+
+
 @query(
     "mode_crosstab",
     f"""WITH {CTOK},
-e AS (SELECT *, coalesce(lag(m) OVER (PARTITION BY id ORDER BY pos), 0) AS pm FROM t),
+tm AS (SELECT id, pos, token, CASE WHEN id % 5 = 0 THEN 0 ELSE m END AS m FROM t),
+e AS (SELECT *, coalesce(lag(m) OVER (PARTITION BY id ORDER BY pos), 0) AS pm FROM tm),
 s AS (SELECT id, count(*) AS n, sum(m) AS sup, count(*) FILTER (m = 1 AND pm = 0) AS turns,
              bool_or(pos < 400 AND token = 'the') AS terminal FROM e GROUP BY id),
 x AS (SELECT s.*, {MODE} AS mode FROM s JOIN modes ON s.id = modes.conv_id)
 SELECT coalesce(mode, 'ALL') AS mode, coalesce(CAST(terminal AS VARCHAR), 'ALL') AS terminal, count(*) AS n_rows,
-       CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(sup) AS BIGINT) AS supervised, CAST(sum(n - sup) AS BIGINT) AS prompt_tokens,
-       CAST(sum(turns) AS BIGINT) AS turns, count(*) FILTER (n >= 200) AS window_rows, count(*) FILTER (sup = 0) AS empty_rows
+       CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(sup) AS BIGINT) AS supervised, CAST(sum(CASE WHEN sup > 0 THEN n - sup ELSE 0 END) AS BIGINT) AS prompt_tokens,
+       CAST(sum(CASE WHEN sup > 0 THEN turns ELSE 0 END) AS BIGINT) AS turns, count(*) FILTER (sup > 0 AND n >= 200) AS window_rows, count(*) FILTER (sup = 0) AS empty_rows
 FROM x GROUP BY CUBE (mode, terminal)""",
 )
 def mode_crosstab(spark, sf):
-    """The word 'the' in the opening stands for the terminal agent's phrase."""
-    rows = with_mode(chat_rows(spark, sf))
-    marked = rows.withColumn("terminal", F.exists(F.slice("tokens", 1, 400), lambda t: t == "the"))
+    """The word 'the' in the opening stands for the terminal agent's phrase; every fifth row has nothing supervised."""
+    marked = with_mode(partly_supervised(spark, sf)).withColumn("terminal", T.says_early("the"))
     out = A.mode_crosstab(T.row_stats(marked), 200)
     return out.withColumn("mode", F.coalesce("mode", F.lit("ALL"))).withColumn(
         "terminal", F.coalesce(F.col("terminal").cast("string"), F.lit("ALL"))
@@ -47,7 +53,8 @@ def mode_crosstab(spark, sf):
 @query(
     "think_stats",
     f"""WITH {CTOK},
-x AS (SELECT t.*, {MODE} AS mode FROM t JOIN modes ON t.id = modes.conv_id),
+tm AS (SELECT id, pos, token, CASE WHEN id % 5 = 0 THEN 0 ELSE m END AS m FROM t),
+x AS (SELECT tm.*, {MODE} AS mode FROM tm JOIN modes ON tm.id = modes.conv_id WHERE id IN (SELECT id FROM tm WHERE m = 1)),
 dd AS (SELECT *, sum(CASE token WHEN 'user' THEN 1 WHEN 'assistant' THEN -1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) AS depth FROM x),
 r AS (SELECT id, mode, min(pos) FILTER (token = 'user') AS open_at, count(*) FILTER (depth > 0 AND m = 1) AS inside,
              arg_max(depth, pos) AS last_depth, count(*) AS n FROM dd GROUP BY id, mode),
@@ -57,8 +64,8 @@ SELECT mode, count(*) AS think_rows, CAST(sum(inside) AS BIGINT) AS think_tokens
 FROM r LEFT JOIN k USING (id) WHERE open_at IS NOT NULL GROUP BY mode""",
 )
 def think_stats(spark, sf):
-    """The role words stand for the block markers: user opens, assistant closes."""
-    return C.think_stats(with_mode(chat_rows(spark, sf)), ["mode"], "user", "assistant")
+    """The role words stand for the block markers: user opens, assistant closes; every fifth row has nothing supervised."""
+    return C.think_stats(with_mode(partly_supervised(spark, sf)), ["mode"], "user", "assistant")
 
 
 CLASS = r"""CASE WHEN regexp_full_match(token, '<\|.*\|>') THEN 'special'
@@ -119,8 +126,7 @@ SELECT vocab, (SELECT CAST(sum(cnt) AS BIGINT) FROM freq) AS tokens, CAST(sum(cn
 def vocab_coverage(spark, sf):
     by_lang, vocabs = vocabs_of(spark, sf)
     freq = by_lang.groupBy("token").agg(F.sum("cnt").alias("cnt"))
-    labels = [r.vocab for r in vocabs.select("vocab").distinct().orderBy("vocab").limit(100).collect()]
-    return C.vocab_coverage(freq, vocabs, labels)
+    return C.vocab_coverage(freq, vocabs)
 
 
 @query(
@@ -132,8 +138,7 @@ WHERE NOT EXISTS (SELECT 1 FROM vocabs v WHERE v.vocab = ls.vocab AND v.token =
 def uncovered_classes(spark, sf):
     by_lang, vocabs = vocabs_of(spark, sf)
     freq = by_lang.groupBy("token").agg(F.sum("cnt").alias("cnt"))
-    labels = [r.vocab for r in vocabs.select("vocab").distinct().orderBy("vocab").limit(100).collect()]
-    return C.uncovered_classes(freq, vocabs, labels)
+    return C.uncovered_classes(freq, vocabs)
 
 
 @query(
@@ -144,8 +149,7 @@ SELECT lang, vocab, token, cnt, row_number() OVER (PARTITION BY lang, vocab ORDE
 )
 def top_uncovered(spark, sf):
     by_lang, vocabs = vocabs_of(spark, sf)
-    labels = [r.vocab for r in vocabs.select("vocab").distinct().orderBy("vocab").limit(100).collect()]
-    return C.top_uncovered(by_lang, vocabs, labels, 12, ["lang"])
+    return C.top_uncovered(by_lang, vocabs, 12, ["lang"])
 
 
 @query(
@@ -175,8 +179,7 @@ def cross_entropy(spark, sf):
     model = doc_freq(spark, sf, ["lang"]).withColumnRenamed("lang", "model")
     model = settle(model, "models")
     evals = chats(spark, sf).select(F.col("role").alias("eval_set"), F.explode(words(F.col("text"))).alias("token"))
-    names = [r.model for r in model.select("model").distinct().orderBy("model").limit(100).collect()]
-    out = C.cross_entropy(evals.groupBy("eval_set", "token").agg(F.count("*").alias("cnt")), model, 128256, names)
+    out = C.cross_entropy(evals.groupBy("eval_set", "token").agg(F.count("*").alias("cnt")), model, 128256)
     return out.withColumn("bits", F.round("bits", 6))
 
 
@@ -203,27 +206,20 @@ def marker_rates(spark, sf):
  count(*) FILTER (contains(lower(text), 'step by step') OR contains(lower(text), 'step-by-step')) / count(*) AS step_by_step,
  count(*) FILTER (contains(text, '```')) / count(*) AS fence,
  count(*) FILTER (contains(text, '$') OR contains(text, '\(') OR contains(text, '\[')) / count(*) AS latex,
- count(*) FILTER (length(text) > 0 AND (length(text) - length(regexp_replace(text, '[^\x00-\x7f]', '', 'g'))) / length(text) > 0.1) / count(*) AS dummy,
  count(*) FILTER (length(text) > 0 AND (length(text) - length(regexp_replace(text, '[^\x00-\x7f]', '', 'g'))) / length(text) > 0.3) / count(*) AS non_ascii
-FROM documents GROUP BY lang""".replace(
-        " count(*) FILTER (length(text) > 0 AND (length(text) - length(regexp_replace(text, '[^\\x00-\\x7f]', '', 'g'))) / length(text) > 0.1) / count(*) AS dummy,\n",
-        "",
-    ),
+FROM documents GROUP BY lang""",
 )
 def prompt_features(spark, sf):
     return A.prompt_features(docs(spark, sf), ["lang"])
 
 
-@query("compress_ratio")
-def compress_ratio(spark, sf):
-    """DuckDB has no zlib; tested against Python's own in the tests."""
-    return A.compress_ratio(docs(spark, sf), ["source"])
-
-
 # ---- repetition ------------------------------------------------------------------------------------------------
 
-GRAM8 = CTOK + """,
-g8 AS (SELECT id, unnest(range(len(tokens) - 7)) AS pos, tokens, mask FROM c WHERE len(tokens) >= 8),
+# Every conversation told twice, its tokens, and the 8-grams that occurred earlier in it.
+GRAM8 = CHAT + """,
+c2 AS (SELECT id, list_concat(tokens, tokens) AS tokens, list_concat(mask, mask) AS mask FROM c),
+t AS (SELECT id, unnest(range(len(tokens))) AS pos, unnest(tokens) AS token, unnest(mask) AS m FROM c2),
+g8 AS (SELECT id, unnest(range(len(tokens) - 7)) AS pos, tokens, mask FROM c2 WHERE len(tokens) >= 8),
 gr AS (SELECT id, pos, array_to_string(tokens[pos + 1:pos + 8], ' ') AS gram, mask FROM g8),
 fi AS (SELECT id, pos, min(pos) OVER (PARTITION BY id, gram) AS first_, mask FROM gr),
 rep AS (SELECT id, pos, first_ AS first, mask[first_ + 8] = 1 AS from_reply FROM fi WHERE pos > first_)"""
@@ -240,13 +236,6 @@ def echoing_rows(spark, sf):
     )
 
 
-GRAM8 = GRAM8.replace("t AS (SELECT id, unnest(range(len(tokens)))", """tw AS (SELECT 1),
-c2 AS (SELECT id, list_concat(tokens, tokens) AS tokens, list_concat(mask, mask) AS mask FROM c),
-t AS (SELECT id, unnest(range(len(tokens)))""").replace("unnest(mask) AS m FROM c)", "unnest(mask) AS m FROM c2)").replace(
-    "mask FROM c WHERE", "mask FROM c2 WHERE"
-)
-
-
 @query("repeated_ngrams", f"WITH {GRAM8} SELECT id, pos, first, from_reply FROM rep")
 def repeated_ngrams(spark, sf):
     return C.repeated_ngrams(echoing_rows(spark, sf)).withColumn("pos", F.col("pos").cast("bigint"))

@@ -106,10 +106,13 @@ def load_mix(spark, sf):
     "normalize_text",
     r"""SELECT md5(regexp_replace(text, '(\s{128})\s+', '\1', 'g')) AS text_id, doc_id AS source_id,
        length(regexp_replace(text, '(\s{128})\s+', '\1', 'g')) AS n_chars
-FROM documents WHERE length(trim(text)) > 0""",
+FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -doc_id - 1, E'\n\t \n' FROM documents) WHERE regexp_matches(text, '\S')""",
 )
 def normalize_text(spark, sf):
-    return normalize(docs(spark, sf)).select(
+    """Every document, and one of white space only beside it."""
+    rows = docs(spark, sf)
+    blank = rows.withColumns({"id": -F.col("id") - 1, "text": F.lit("\n\t \n")})
+    return normalize(rows.unionByName(blank)).select(
         "text_id", F.col("id").alias("source_id"), F.length("text").cast("bigint").alias("n_chars")
     )
 

@@ -170,12 +170,14 @@ def seeded_shuffle(spark, sf):
 @query(
     "sample_n",
     f"""WITH p AS (SELECT doc_id AS id, row_number() OVER (ORDER BY {md5_sql(SEED, 'doc_id')}, doc_id) - 1 AS draw FROM documents
-WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT id, draw, draw % 4 AS worker FROM p WHERE draw < 150""",
+WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT id, draw, draw % 4 AS worker FROM p WHERE draw < (SELECT floor(count(*) * 0.4) FROM p)""",
 )
 def sample_n(spark, sf):
+    """Two fifths of the labelled documents."""
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
     allow = table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
-    return S.sample_n(rows, 150, SEED, "id", allow, 4)
+    n = rows.join(allow, "id", "left_semi").count()
+    return S.sample_n(rows, int(n * 0.4), SEED, "id", allow, 4)
 
 
 @query(
@@ -414,15 +416,16 @@ def overlap(spark, sf):
     "mix_datasets",
     f"""WITH {D}, org AS (SELECT id, n FROM d WHERE id IN (SELECT doc_id FROM labels)),
 tg AS (SELECT id, n + 5 AS n, row_number() OVER (ORDER BY {md5_sql(SEED, 'id')}, id) AS r FROM d WHERE id NOT IN (SELECT id FROM org)),
-ch AS (SELECT id, n FROM tg WHERE r <= 350),
+ch AS (SELECT id, n FROM tg WHERE r <= (SELECT floor(count(*) * 0.5) FROM tg) + 20),
 x AS (SELECT id, n, 'original' AS part, row_number() OVER (ORDER BY {md5_sql(f'{SEED}:original', 'id')}, id) <= 30 AS v FROM org
-UNION ALL SELECT id, n, 'regenerated', row_number() OVER (ORDER BY {md5_sql(f'{SEED}:regenerated', 'id')}, id) <= 50 FROM ch)
+UNION ALL SELECT id, n, 'regenerated', row_number() OVER (ORDER BY {md5_sql(f'{SEED}:regenerated', 'id')}, id) <= 20 FROM ch)
 SELECT id, n, part, CASE WHEN v THEN 'val' ELSE 'train' END AS split FROM x""",
 )
 def mix_datasets(spark, sf):
     """Labelled documents are the original part; every document, a little longer, was regenerated."""
     rows = doc_stats(spark, sf).select("id", "n")
     original = rows.join(table(spark, sf, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi")
-    return X.mix_datasets(original, rows.withColumn("n", F.col("n") + 5), 300, 30, 50, SEED)
+    others = rows.join(original.select("id"), "id", "left_anti").count()
+    return X.mix_datasets(original, rows.withColumn("n", F.col("n") + 5), int(others * 0.5), 30, 20, SEED)
 
 

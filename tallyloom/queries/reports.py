@@ -315,10 +315,12 @@ def accept_curve(spark, sf):
 
 @query(
     "moving_average",
-    f"""WITH {LOG} SELECT arm, done, round(avg(accept) OVER (PARTITION BY arm ORDER BY done ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), 5) AS smooth FROM lg""",
+    f"""WITH {LOG} SELECT arm, done * 16 AS done, round(avg(accept) OVER (PARTITION BY arm ORDER BY done ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), 5) AS smooth FROM lg""",
 )
 def moving_average(spark, sf):
-    return E.moving_average(dense_log(spark, sf), 20).withColumn("smooth", F.round("smooth", 5))
+    """``done`` grows by batches of 16, as a rollout log's does."""
+    log = dense_log(spark, sf).withColumn("done", F.col("done") * 16)
+    return E.moving_average(log, 20).withColumn("smooth", F.round("smooth", 5))
 
 
 @query(

@@ -123,13 +123,20 @@ def round_robin_dedup(spark, sf):
     return taken(spark, sf, dedup=True)[0].withColumn("score", F.round("score", 6))
 
 
+def percentiles_sql(name: str, source: str) -> str:
+    return ", ".join(
+        f"(SELECT round(quantile_cont(n, {q / 100}), 6) FROM {source}) AS {name}_{'median' if q == 50 else f'p{q}'}" for q in A.PERCENTS
+    )
+
+
 @query(
     "selection_summary",
     f"""WITH RECURSIVE {BUDGET} SELECT count(*) AS selected_rows, count(DISTINCT id) AS unique_rows, count(*) - count(DISTINCT id) AS duplicate_rows,
-CAST(sum(n) AS BIGINT) AS selected_tokens, median(n) AS selected_median, (SELECT median(n) FROM d) AS universe_median FROM taken""",
+CAST(sum(n) AS BIGINT) AS selected_tokens, {percentiles_sql('selected', 'taken')}, {percentiles_sql('universe', 'd')} FROM taken""",
 )
 def selection_summary(spark, sf):
-    return A.selection_summary(*taken(spark, sf))
+    out = A.selection_summary(*taken(spark, sf))
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith(("selected_p", "universe_p")) or c.endswith("_median")})
 
 
 @query(

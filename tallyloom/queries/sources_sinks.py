@@ -80,13 +80,20 @@ def explode_trajectories(spark, sf):
     return R.explode_trajectories(R.read_jsonl(spark, path, shape))
 
 
-@query("read_trials", "SELECT source AS trial, doc_id, n_chars FROM documents")
+@query(
+    "read_trials",
+    "SELECT source AS trial, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS step, doc_id, n_chars FROM documents",
+)
 def read_trials(spark, sf):
+    """One document of many lines per trial, with the trial's steps."""
     path = fresh_path(spark, "trials")
-    table(spark, sf, "documents").select("doc_id", "n_chars", F.col("source").alias("trial_name")).write.partitionBy(
-        "trial_name"
-    ).json(path)
-    return R.read_trials(spark, path, "doc_id bigint, n_chars bigint", r"trial_name=([^/]+)/")
+    steps = F.sort_array(F.collect_list(F.struct("doc_id", "n_chars")))
+    trials = table(spark, sf, "documents").groupBy(F.col("source").alias("trial_name")).agg(steps.alias("steps"))
+    lines = F.replace(F.to_json(F.struct("steps")), F.lit(","), F.lit(",\n"))
+    trials.select("trial_name", lines.alias("value")).write.partitionBy("trial_name").text(path)
+    schema = "steps array<struct<doc_id:bigint,n_chars:bigint>>"
+    steps = R.trial_steps(R.read_trials(spark, path, schema, r"trial_name=([^/]+)/"))
+    return steps.select("trial", "step", "s.doc_id", "s.n_chars")
 
 
 def _runs(spark, sf):

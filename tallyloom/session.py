@@ -8,16 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only when its written form has at most this many rows; rows of a few numbers may be more.
-BROADCAST_ROWS = 200_000
-BROADCAST_NARROW_ROWS = 4_000_000
-NUMBERS = {"byte", "short", "integer", "long", "float", "double", "boolean"}
-# Most frequent keys that are joined apart when the lookup side is too big to broadcast.
+# A side is broadcast only when its written form has at most this many bytes and rows.
+BROADCAST_BYTES = 16 * 2**20
+BROADCAST_ROWS = 4_000_000
+# When the lookup side is too big to broadcast: most frequent keys whose rows are spread, and over how many salts.
 HOT_KEYS = 1000
+SALTS = 32
 
 
-def build_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
-    """Local session for tests and the benchmark; a cluster supplies its own."""
+def build_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "12g", shared: str | None = None) -> SparkSession:
+    """Local session for tests and the benchmark, with its shared folder; a cluster supplies its own."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tallyloom")
@@ -29,6 +29,7 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         # Rows may hold long token arrays, so Arrow batches are kept short.
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", shared or tempfile.mkdtemp(prefix="tallyloom-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -36,20 +37,10 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the session's checkpoint folder.
-
-    Only a local session without one gets a fresh temporary folder.
-    """
+    """Folder every executor can reach: the session's checkpoint folder, or else a folder in its warehouse."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="tallyloom-")
-    sc.setCheckpointDir(configured)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
     return sc.getCheckpointDir()
 
 
@@ -67,6 +58,11 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a settled table reads, as the planner knows them."""
+    return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+
+
 def lookup_join(
     big: DataFrame,
     small: DataFrame,
@@ -77,21 +73,21 @@ def lookup_join(
 ) -> DataFrame:
     """Join a large table, whose keys may be hot, with a table that has one row per key.
 
-    ``small`` is written once and counted. Up to ``limit`` rows it is broadcast, so the large side does not move. Beyond
-    that the large side's most frequent keys are joined by broadcasting their few rows, and only the rest is shuffled;
-    no key left there holds more than one in HOT_KEYS of the rows.
+    ``small`` is written once and measured. While it has at most BROADCAST_BYTES bytes and ``limit`` rows it is broadcast, so
+    the large side does not move. Beyond that both are shuffled, and the rows of the large side's most frequent keys are
+    spread over SALTS salts, with their few lookup rows copied to each; no key left unsalted holds more than one in HOT_KEYS
+    of the rows. Only the keys of the large side are read beforehand.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    if limit is None:
-        numbers = all(f.dataType.typeName() in NUMBERS for f in small.schema.fields) and len(small.columns) <= 4
-        limit = BROADCAST_NARROW_ROWS if numbers else BROADCAST_ROWS
     side = small if settled else settle(small, "lookup")
-    if side.count() <= limit:
+    if written_bytes(side) <= BROADCAST_BYTES and side.count() <= (BROADCAST_ROWS if limit is None else limit):
         return big.join(F.broadcast(side), keys, how)
     counted = big.select(*keys).dropna().groupBy(*keys).agg(F.count("*").alias("__rows"))
-    hot = settle(counted.orderBy(F.desc("__rows"), *keys).limit(HOT_KEYS).select(*keys), "hot")
-    hot_rows = big.join(F.broadcast(hot), keys, "left_semi")
-    hot_side = side.join(F.broadcast(hot), keys, "left_semi")
-    rest = big.join(F.broadcast(hot), keys, "left_anti")
-    return hot_rows.join(F.broadcast(hot_side), keys, how).unionByName(rest.join(side, keys, how))
+    hot = settle(counted.orderBy(F.desc("__rows"), *keys).limit(HOT_KEYS).select(*keys, F.lit(1).alias("__hot")), "hot")
+    # The salt follows the task that reads a row, so a repeated task salts alike.
+    salt = F.when(F.col("__hot") == 1, F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(F.lit(0))
+    spread = big.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__hot")
+    copies = F.when(F.col("__hot") == 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = side.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    return spread.join(copied, [*keys, "__salt"], how).drop("__salt")

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import markers as M
 from ..functions.once import pinned
-from ..session import BROADCAST_ROWS, settle
+from ..session import settle
 
 
 def read_rows(spark: SparkSession, path: str, cols: list[str]) -> DataFrame:
@@ -47,12 +47,21 @@ def explode_trajectories(tasks: DataFrame) -> DataFrame:
     )
 
 
-def read_trials(spark: SparkSession, root: str, schema: StructType | str, pattern: str) -> DataFrame:
-    """A tree of JSON files; the trial id is taken from the file's path by ``pattern``."""
-    files = spark.read.schema(schema).option("recursiveFileLookup", "true").json(root, lineSep="\n")
+def read_trials(spark: SparkSession, root: str, schema: StructType | str, pattern: str, lines: bool = False) -> DataFrame:
+    """A tree of JSON files, one document per file (or per line); the trial id is taken from the file's path by ``pattern``.
+
+    A document that does not fit the schema stops the job.
+    """
+    reader = spark.read.schema(schema).option("recursiveFileLookup", "true").option("mode", "FAILFAST")
+    files = reader.json(root, lineSep="\n") if lines else reader.json(root, multiLine=True)
     return with_path(files, files.columns).withColumn("trial", F.regexp_extract("path", pattern, 1)).drop("path")
 
 
+def trial_steps(trials: DataFrame, steps: str = "steps") -> DataFrame:
+    """One row per step of every trial: ``trial, step, s``."""
+    return trials.select("trial", F.posexplode(steps).alias("step", "s"))
+
+
 def with_path(files: DataFrame, keep: list[str]) -> DataFrame:
     """Add the ``path`` of a row's file.
 
@@ -219,11 +228,9 @@ def log_anomalies(records: DataFrame) -> DataFrame:
 def load_mix(spark: SparkSession, spec: str | dict, known: DataFrame | None = None) -> DataFrame:
     """Mix specification (JSON text or dict with ``allocations_tokens``) to ``source, allocated``.
 
-    Sources unknown to ``known`` stop the job. The specification is a hand-written file, so its size is checked here.
+    Sources unknown to ``known`` stop the job.
     """
     allocations = (json.loads(spec) if isinstance(spec, str) else spec)["allocations_tokens"]
-    if len(allocations) > BROADCAST_ROWS:
-        raise ValueError(f"{len(allocations)} sources in one mix specification")
     mix = spark.createDataFrame([(k, int(v)) for k, v in sorted(allocations.items())], "source string, allocated bigint")
     if known is not None:
         unknown = [r.source for r in mix.join(known.select("source").distinct(), "source", "left_anti").limit(5).collect()]

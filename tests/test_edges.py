@@ -1,7 +1,7 @@
 """Hand-made rows for the edge cases."""
 
+import math
 import random
-import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from tallyloom.operators import selection as S
 from tallyloom.operators import sets as X
 from tallyloom.operators import similarity as K
 from tallyloom.operators import token_rows as T
+from tallyloom.operators.texts import normalize_text
 
 ROW = "id bigint, tokens array<string>, mask array<tinyint>, n int"
 
@@ -124,21 +125,28 @@ def test_reasoning_blocks(spark):
     assert out == [("abc", ""), ("a", "b"), ("", "c"), ("", "d")]
 
 
-def test_solution_block(spark):
-    def plain(text):
-        end = text.rfind("</solution>")
-        start = text.rfind("<solution>", 0, end) if end >= 0 else -1
-        if start < 0:
-            return None
-        body = text[start + 10 : end].strip()
-        tagged = any(t in body.lower() for t in ("<sql", "<solution", "</solution"))
-        return body if body and not tagged else None
-
-    texts = ["<solution>a</solution>", "<solution>a</solution><solution>b", "</solution><solution>", "x", "<solution> </solution>",
-             "<solution><sql>q</solution>", "<solution>a<solution> b </solution> t </solution>"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    got = [r[0] for r in df.select(solution_block(F.col("text"))).collect()]
-    assert got == [plain(t) for t in texts]
+@pytest.mark.parametrize(
+    "text, block",
+    [
+        ("<solution>a</solution>", "a"),
+        ("before <solution>\n two words \n</solution> after", "two words"),
+        # The last closer counts, with the opener nearest before it.
+        ("<solution>a</solution><solution>b</solution>", "b"),
+        ("<solution>a</solution><solution>b", "a"),
+        ("<solution>a<solution> b </solution> t", "b"),
+        # Nothing between the tags, tags in the wrong order, one missing, no tag at all.
+        ("<solution> </solution>", None),
+        ("</solution><solution>", None),
+        ("<solution>open", None),
+        ("x", None),
+        # A block that holds other tags is no answer.
+        ("<solution><sql>q</solution>", None),
+        ("<solution>a<SQL>b</solution>", None),
+    ],
+)
+def test_solution_block(spark, text, block):
+    df = spark.createDataFrame([(text,)], "text string")
+    assert df.select(solution_block(F.col("text"))).first()[0] == block
 
 
 def test_long_conversations_are_cut_before_they_are_joined(spark):
@@ -177,6 +185,103 @@ def test_first_difference(spark):
     assert (out.exact, out.first_diff) == (False, len(M.BEGIN_TEXT + M.START_HEADER + "user" + M.END_HEADER))
 
 
+def test_first_difference_of_long_texts(spark):
+    text = "a" * 80_000
+    rows = spark.createDataFrame([(0, text, text[:50_000] + "b" + text[50_001:]), (1, text, text[:700]), (2, "", "x"), (3, "xy", "y")], "i int, a string, b string")
+    d = V.first_difference(F.col("a"), F.col("b"), F.least(F.length("a"), F.length("b")))
+    assert [r[0] for r in rows.orderBy("i").select(d).collect()] == [50_000, 700, 0, 0]
+
+
+def rendered(body, closed=True):
+    turn = f"{M.START_HEADER}user{M.END_HEADER}\nhi{M.END_TURN}\n{M.START_HEADER}assistant{M.END_HEADER}\n{body}{M.END_TURN}\n"
+    return M.BEGIN_TEXT + turn + (" " + M.END_TEXT if closed else "")
+
+
+def test_tools_and_clipped_rows_go_round(spark):
+    call = M.TOOL_CALL + '\n{"name": "run", "arguments": {"x": 1}}\n' + M.END_TOOL_CALL
+    tool = f'{M.END_TURN}\n{M.START_HEADER}tool{M.END_HEADER}\n<tool_response name="run">3</tool_response>'
+    texts = [rendered("ok " + call), rendered(call + "\n" + call), rendered("ok " + call + tool), rendered("cut sho", closed=False)[:-20], rendered("x").replace("hi", "\nhi", 1)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "conv_id bigint, text string")
+    audit = V.roundtrip_audit(rows)
+    got = {r.conv_id: (r.exact, r.first_diff, r.kind) for r in audit.collect()}
+    assert [got[i][0] for i in range(4)] == [True] * 4
+    share = V.roundtrip_share(audit).first()
+    assert share.n_rows == 5 and share.n_exact >= 4
+
+
+def test_white_space_is_blank(spark):
+    turns = turns_of(spark, [("system", "\n\t"), ("user", "a"), ("assistant", "b")], [("system", "x"), ("user", "a"), ("assistant", "b")])
+    assert [r.conv_id for r in V.exact_roles(turns, ["system", "user", "assistant"]).collect()] == [0]
+    turns = turns_of(spark, [("system", "\nReasoning: /think"), ("system", "\nBe brief.\n"), ("system", "\n"), ("user", "\n\nhi\n")])
+    assert V.first_turn_text(turns).first().first_text == "Be brief.\n\nhi\n"
+    docs = spark.createDataFrame([("\n\t",), ("a",), ("",)], "text string")
+    assert [r.text for r in normalize_text(docs).collect()] == ["a"]
+
+
+def test_later_turn_is_drawn_within_the_limit(spark):
+    long = [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d"), ("user", "e " * 500), ("assistant", "f")]
+    turns = turns_of(spark, *[long] * 20)
+    picked = V.pick_turns(turns, 1, longest=100).collect()
+    assert {(r.turn, r.turn_kind) for r in picked} == {(1, "first"), (3, "later")} and len(picked) == 40
+
+
+def test_changed_texts_are_not_compared(spark):
+    turns = turns_of(spark, [("user", "a"), ("assistant", "b")], [("user", "a"), ("assistant", "c")])
+    rows = T.masked_rows(V.render(turns), "conv_id")
+    said = turns.withColumn("text", F.when(F.col("conv_id") == 1, F.lit("other")).otherwise(F.col("text")))
+    assert tuple(V.mask_audit(rows, said, 1).first())[:2] == (2, 1)
+    assert tuple(V.mask_audit(rows, said.withColumn("changed", F.col("conv_id") == 1), 1).first())[:2] == (1, 1)
+
+
+def test_rows_without_tokens_or_words_stay(spark):
+    vocab = spark.createDataFrame([("a", 5)], "token string, token_id int")
+    rows = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None)], "id bigint, tokens array<string>")
+    assert {r.id: r.input_ids for r in T.encode(rows, vocab, 0, 1, 9).collect()} == {1: [0, 5, 9, 1], 2: [0, 1], 3: [0, 1]}
+    texts = spark.createDataFrame([(1, "a a b"), (2, " "), (3, None)], "id bigint, text string")
+    vecs = {r.id: r.vec for r in K.embed(texts, "id", dim=8).collect()}
+    assert sorted(vecs) == [1, 2, 3] and vecs[2] == vecs[3] == [0.0] * 8
+    assert sum(x * x for x in vecs[1]) == pytest.approx(1)
+
+
+def test_moving_average_of_any_steps(spark):
+    log = spark.createDataFrame([("a", 16, 1.0), ("a", 32, 2.0), ("a", 48, 3.0), ("b", 5, 7.0)], "arm string, done bigint, accept double")
+    for per_slice in (1, 20, 1000):
+        got = {(r.arm, r.done): r.smooth for r in E.moving_average(log, 1, per_slice).collect()}
+        assert got == {("a", 16): 1.0, ("a", 32): 1.5, ("a", 48): 2.5, ("b", 5): 7.0}
+
+
+def test_rows_without_supervision_count_apart(spark):
+    stats = spark.createDataFrame([("m", True, 100, 0, 0), ("m", True, 100, 40, 1)], "mode string, terminal boolean, n_tokens int, n_supervised int, n_assistant int")
+    total = A.mode_crosstab(stats, 100).filter("mode IS NULL AND terminal IS NULL").first()
+    assert (total.n_rows, total.tokens, total.prompt_tokens, total.window_rows, total.turns, total.empty_rows) == (2, 200, 60, 1, 1, 1)
+    rows = rows_of(spark, ([M.START_THINK, "a"], [0, 0])).withColumn("mode", F.lit("m"))
+    assert C.think_stats(rows, ["mode"]).count() == 0
+
+
+def test_every_vocabulary_and_model_is_shown(spark):
+    freq = spark.createDataFrame([("a", 5), ("b", 3), ("7", 2)], "token string, cnt bigint")
+    vocabs = spark.createDataFrame([(f"v{i:03}", "a") for i in range(150)] + [("v000", "b"), ("w", "zzz")], "vocab string, token string")
+    cover = {r.vocab: (r.tokens, r.covered) for r in C.vocab_coverage(freq, vocabs).collect()}
+    assert len(cover) == 151 and cover["v000"] == (10, 8) and cover["v149"] == (10, 5) and cover["w"] == (10, 0)
+    missed = {(r.vocab, r["class"]): r.cnt for r in C.uncovered_classes(freq, vocabs).collect()}
+    assert missed["v149", "english"] == 3 and missed["w", "english"] == 8 and ("v000", "english") not in missed and missed["v000", "digits"] == 2
+    top = C.top_uncovered(freq.withColumn("g", F.lit(1)), vocabs, 1, ["g"]).collect()
+    assert {r.vocab: r.token for r in top} == {"v000": "7", "w": "a"} | {f"v{i:03}": "b" for i in range(1, 150)}
+    models = spark.createDataFrame([(f"m{i}", "a", i + 1) for i in range(150)], "model string, token string, cnt bigint")
+    bits = {r.model: r.bits for r in C.cross_entropy(freq.withColumn("eval_set", F.lit("e")), models, 100).collect()}
+    assert len(bits) == 150
+    assert bits["m9"] == pytest.approx(-0.5 * math.log2(10.5 / 60) - 0.5 * math.log2(0.5 / 60))
+
+
+def test_too_few_rows_are_refused(spark):
+    rows = spark.range(10).select("id", F.lit(1).alias("n"))
+    with pytest.raises(ValueError, match="asked for"):
+        S.sample_n(rows, 11, 1, "id")
+    with pytest.raises(ValueError, match="regenerated part"):
+        X.mix_datasets(rows.filter("id < 3"), rows, 8, 1, 1, 1)
+    assert {r.b: r.missing for r in S.short_buckets(spark.createDataFrame([(1,), (1,), (2,)], "b int"), "b", 2).collect()} == {2: 1}
+
+
 # ---- selection -------------------------------------------------------------------------------------------------
 
 
@@ -209,41 +314,10 @@ def test_shared_neighbour(spark):
     assert dedup == plain
 
 
-def plain_rounds(near, n, budget, order, dedup):
-    """A row-at-a-time walk of the same rules."""
-    queries = sorted({q for q, _ in near})
-    depth = max(r for _, r in near)
-    seen, used, total, out = set(), dict.fromkeys(queries, 1), 0, []
-    for turn in range(1, depth + 1):
-        offered = []
-        for q in queries:
-            r = used[q] if dedup else turn
-            while dedup and (q, r) in near and near[q, r] in seen:
-                r += 1
-            if (q, r) in near:
-                used[q] = r + 1
-                offered.append((q, near[q, r]))
-        size = sum(n[i] for _, i in offered)
-        if total + size <= budget:
-            part = offered
-            total += size
-            whole = True
-        else:
-            part, whole = [], False
-            for q, i in sorted(offered, key=lambda x: order(turn, x[0])):
-                if total + n[i] <= budget:
-                    part.append((q, i))
-                    total += n[i]
-        out += [(turn, q, i) for q, i in part]
-        seen |= {i for _, i in part}
-        if not whole:
-            break
-    return sorted(out)
-
-
 @pytest.mark.parametrize("dedup", [False, True])
 @pytest.mark.parametrize("budget", [10, 150, 400, 10_000])
-def test_rounds_against_a_plain_walk(spark, dedup, budget):
+def test_rounds_keep_the_rules(spark, dedup, budget):
+    """Whole rounds fit, what the boundary round skips did not fit in its turn, and no row comes after it was taken."""
     import hashlib
 
     rnd = random.Random(3)
@@ -251,21 +325,53 @@ def test_rounds_against_a_plain_walk(spark, dedup, budget):
     n = {i: rnd.randint(1, 30) for i in range(20)}
     df = near_of(spark, [(q, r, i, 1.0 / r) for (q, r), i in near.items()])
     lengths = spark.createDataFrame(list(n.items()), "id bigint, n bigint")
-    got = S.round_robin_select(df, lengths, budget, 5, dedup)
-    order = lambda turn, q: hashlib.md5(f"5:{turn}:{q}".encode()).hexdigest()
-    assert sorted((r.round, r.query, r.id) for r in got.collect()) == plain_rounds(near, n, budget, order, dedup)
-
+    got = S.round_robin_select(df, lengths, budget, 5, dedup).collect()
+    by_round = {}
+    for r in got:
+        assert near[r.query, r.rank] == r.id and r.n == n[r.id]
+        assert r.query not in by_round.setdefault(r.round, {})
+        by_round[r.round][r.query] = r
+    assert sum(r.n for r in got) <= budget
+    assert sorted(by_round) == list(range(1, len(by_round) + 1))
+    first = {q: near[q, 1] for q in range(8)}
+    if sum(n[i] for i in first.values()) <= budget:
+        assert {q: r.id for q, r in by_round[1].items()} == first
+    earlier = set()
+    for turn in sorted(by_round):
+        rows = by_round[turn]
+        if dedup:
+            # The nearest row of the query that no earlier round took.
+            for q, r in rows.items():
+                assert r.id not in earlier and all(near[q, k] in earlier for k in range(1, r.rank))
+        else:
+            assert all(r.rank == turn for r in rows.values())
+        if turn < max(by_round):
+            open_queries = [q for q in range(8) if any(near[q, k] not in earlier for k in range(1, 7))] if dedup else range(8)
+            assert sorted(rows) == sorted(open_queries)
+        earlier |= {r.id for r in rows.values()}
+    last = max(by_round, default=0)
+    if last and len(by_round[last]) < 8 and not dedup:
+        room = budget - sum(r.n for r in got if r.round < last)
+        for q in sorted(range(8), key=lambda q: hashlib.md5(f"5:{last}:{q}".encode()).hexdigest()):
+            fits = n[near[q, last]] <= room
+            assert fits == (q in by_round[last])
+            room -= n[near[q, last]] if fits else 0
+
+
+def test_boundary_round_skips_and_goes_on(spark):
+    """Room for 500: every row is taken that fits when its turn comes."""
+    import hashlib
 
-def test_boundary_round_skips_and_goes_on(spark, monkeypatch):
-    """Both the one-task walk and the distributed prefix steps take the same rows."""
     rnd = random.Random(1)
+    sizes = [rnd.randint(1, 40) for _ in range(300)]
     offered = spark.createDataFrame(
-        [(q, 1, q, 1.0, rnd.randint(1, 40), 1) for q in range(300)],
-        "query bigint, rank int, id bigint, score double, n bigint, round int",
+        [(q, 1, q, 1.0, n, 1) for q, n in enumerate(sizes)], "query bigint, rank int, id bigint, score double, n bigint, round int"
     )
-    walked = sorted(r.query for r in S._fit_in_order(offered, 500, 2).collect())
-    monkeypatch.setattr(S, "WALK_ROWS", 3)
-    assert sorted(r.query for r in S._fit_in_order(offered, 500, 2).collect()) == walked
+    taken = {r.query for r in S._fit_in_order(offered, 500, 2).collect()}
+    room = 500
+    for q in sorted(range(300), key=lambda q: hashlib.md5(f"2:1:{q}".encode()).hexdigest()):
+        assert (sizes[q] <= room) == (q in taken)
+        room -= sizes[q] if q in taken else 0
 
 
 def test_components_of_a_chain(spark):
@@ -277,13 +383,25 @@ def test_components_of_a_chain(spark):
     assert all(got[i] == 0 for i in range(40)) and got[100] == got[101] == 100 and got[200] == 200
 
 
-def test_every_group_in_one_shard(spark, monkeypatch):
-    groups = spark.createDataFrame([(i, i * i % 97 + 1) for i in range(200)], "component bigint, weight bigint")
-    for limit in (100_000, 50):
-        monkeypatch.setattr(S, "GREEDY_GROUPS", limit)
-        placed = S.balance_groups(groups, 5).collect()
-        assert sorted(r.component for r in placed) == list(range(200))
-        assert {r.shard for r in placed} == set(range(5))
+def test_heaviest_groups_go_to_the_lightest_shards(spark):
+    groups = spark.createDataFrame([(1, 9), (2, 7), (3, 7), (4, 4), (5, 4), (6, 4), (7, 1)], "component bigint, weight bigint")
+    got = {r.component: r.shard for r in S.balance_groups(groups, 3).collect()}
+    # 9 | 7 | 7, then the fours: on 7 (shard 1), 7 (shard 2), 9 (shard 0), and the one on 11 (shard 1).
+    assert got == {1: 0, 2: 1, 3: 2, 4: 1, 5: 2, 6: 0, 7: 1}
+
+
+def test_every_group_in_one_shard(spark):
+    groups = spark.createDataFrame([(f"g{i}", i * i % 97 + 1) for i in range(900)], "component string, weight bigint")
+    placed = S.balance_groups(groups, 5).collect()
+    assert sorted(r.component for r in placed) == sorted(f"g{i}" for i in range(900))
+    loads = [sum(r.weight for r in placed if r.shard == s) for s in range(5)]
+    assert max(loads) - min(loads) <= 1
+
+
+def test_many_equal_groups_balance_exactly(spark):
+    groups = spark.range(200_000).select(F.col("id").alias("component"), F.lit(3).alias("weight"))
+    shards = S.balance_groups(groups, 8).groupBy("shard").count().collect()
+    assert {r.shard: r["count"] for r in shards} == dict.fromkeys(range(8), 25_000)
 
 
 def test_stratified_is_no_prefix(spark):
@@ -314,14 +432,6 @@ def test_token_classes(spark):
     assert {r.token: r["class"] for r in C.token_classes(df).collect()} == want
 
 
-def test_compressed_bytes(spark):
-    texts = ["abc " * 50, "xyz", "é" * 10]
-    df = spark.createDataFrame([("g", t) for t in texts], "g string, text string")
-    out = A.compress_ratio(df, ["g"]).first()
-    raw = [t.encode() for t in texts]
-    assert (out.raw_bytes, out.packed_bytes) == (sum(map(len, raw)), sum(len(zlib.compress(r, 6)) for r in raw))
-
-
 def test_log2_buckets(spark):
     df = spark.createDataFrame([(n,) for n in (0, 1, 2, 3, 7, 8, 2**29 - 1, 2**40)], "n bigint")
     assert [r[0] for r in df.select(A.log2_bucket(F.col("n"))).collect()] == [0, 1, 1, 2, 3, 3, 19, 19]

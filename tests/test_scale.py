@@ -85,7 +85,6 @@ def test_hits_do_not_depend_on_the_broadcast(spark, monkeypatch):
     rows = spark.range(200).select("id", F.array(*[F.lit(w) for w in words]).alias("tokens"), F.lit(None).cast("array<tinyint>").alias("mask"))
     want = sorted(map(tuple, N.ngram_hits(rows, problems).collect()))
     monkeypatch.setattr(session, "BROADCAST_ROWS", 1)
-    monkeypatch.setattr(session, "BROADCAST_NARROW_ROWS", 1)
     assert sorted(map(tuple, N.ngram_hits(rows, problems).collect())) == want
 
 
