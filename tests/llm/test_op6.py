@@ -1,0 +1,94 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from tallyloom.llm import pii
+from tallyloom.llm.queries import QUERIES
+
+PATTERNS = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def fits(kind, match):
+    digits = re.sub("[^0-9]", "", match)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in match.split("."))
+    if kind == "card":
+        doubled = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits)))
+        return 13 <= len(digits) <= 19 and doubled % 10 == 0
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def base(text):
+    return [(k, *m.span()) for k, p in PATTERNS.items() for m in p.finditer(text or "") if fits(k, m[0])]
+
+
+def test_query(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = QUERIES["op6_pii"](spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = base(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in want) for k in PATTERNS]
+        listed = [f"{k}:{s}:{e}" for k, s, e in want]
+        assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert [x for x in r.spans.split(",") if x][: len(listed)] == listed
+    assert sum(r.n_more for r in got) > 0
+
+
+def test_base_spans_of_random_texts():
+    rng = random.Random(1)
+    bits = ["a", "@", ".", "1", "2", "25", "256", "+", "-", " ", "(", ")", "4111111111111111", "a@b.c", "1.2.3.4", "é", "%", "+49 30 1234567"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))
+        assert pii.base_spans(text) == base(text)
+
+
+@pytest.mark.parametrize("text", ["1" * 60_000, "1." * 30_000, "a@" * 30_000, "+1" * 30_000, "a" * 60_000 + "@x.y", "a-" * 30_000])
+def test_long_runs_take_linear_time(text):
+    pii.find(text)
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("iban DE89 3704 0044 0532 0130 00 here", "iban"),
+        ("pay to GB82WEST12345698765432 now", "iban"),
+        ("her ssn 123-45-6789", "ssn"),
+        ('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "secret"),
+        ("call 555-123-4567", "phone_local"),
+    ],
+)
+def test_more_kinds(text, kind):
+    assert [k for k, *_ in pii.find(text)[1]] == [kind]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["DE88 3704 0044 0532 0130 00", "000-12-3456", "order 123-45-6789", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "in 1990-12-24 and 555-123-4567"],
+)
+def test_what_is_not_confirmed(text):
+    assert pii.find(text) == ([], [])
+
+
+def test_odd_rows(spark, docs):
+    rows = [(1, None), (2, ""), (3, "a@b.cc"), (3, "a@b.cc"), (None, "é 1.2.3.4")]
+    got = pii.report(docs(rows, "spans"), "doc_id").collect()
+    assert sorted(r.spans for r in got) == ["", "", "email:0:6", "email:0:6", "ip:2:9"]
+    spans = pii.spans_of(docs(rows), "doc_id").collect()
+    assert sorted(len(r.spans) for r in spans) == [0, 0, 1, 1, 1]
+    clean = pii.redacted(docs(rows, "kind"))
+    assert clean.columns == ["doc_id", "text", "source", "kind"]
+    assert sorted((r.text is None, r.text or "") for r in clean.collect()) == [(False, ""), (False, "<email>"), (False, "<email>"), (False, "é <ip>"), (True, "")]
+    assert pii.report(docs([]), "doc_id").collect() == []
+
+
+def test_overlapping_spans_are_redacted_once():
+    text = "+1 4111 1111 1111 1111 x"
+    assert pii.redact(text).endswith(" x") and "4111" not in pii.redact(text)
