@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import lookup_join
 
 def keep_selected(rows: DataFrame, selected: DataFrame, key: str = "id") -> DataFrame:
-    return rows.join(selected.select(key), key, "left_semi")
+    return lookup_join(rows, selected.select(key), [key], "left_semi")
 
 
 def exclude_keys(rows: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose composite key is not among the held-out keys (a null key never matches)."""
-    return rows.join(held.select(*keys).distinct(), keys, "left_anti")
+    return lookup_join(rows, held.select(*keys), keys, "left_anti")
 
 
 resume_against = exclude_keys
@@ -55,8 +56,6 @@ def locate_rows(index: DataFrame, shards: DataFrame, position: str) -> DataFrame
 
 def in_vocab(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """Flag ``known`` for every token row; the vocabulary has one row per token."""
-    from ..session import lookup_join
-
     marked = vocab.select("token").distinct().withColumn("__v", F.lit(1))
     return lookup_join(tokens, marked, ["token"], "left").withColumn("known", F.col("__v").isNotNull()).drop("__v")
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import lookup_join, settle
 from .ordering import prefix_select_all
 from .selection import require_rows
 
@@ -42,7 +42,7 @@ def gather_parts(old: DataFrame, new: DataFrame, offset: int = 1000, row: str =
 
 
 def remove_source(rows: DataFrame, removed: DataFrame, key: str = "id") -> DataFrame:
-    return rows.join(removed.select(key), key, "left_anti")
+    return lookup_join(rows, removed.select(key), [key], "left_anti")
 
 
 def overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ vocabulary building and the exploded views, which say so.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -61,6 +63,78 @@ def assistant_mask(tokens: Column, newline_tokens: int = 0) -> Column:
     return F.when(F.size(tokens) > 0, masks).otherwise(F.array().cast("array<tinyint>"))
 
 
+class IdTokenizer(NamedTuple):
+    """A tokenizer whose tokens are integer ids: ``encode`` gives the ids of a text column, the rest are marker ids."""
+
+    encode: Callable[[Column], Column]
+    start_header: int
+    assistant: tuple[int, ...]
+    end_header: int
+    end_turn: int
+    newline_tokens: int = 1
+
+
+def id_spans(ids: Column, t: IdTokenizer) -> Column:
+    """Assistant spans ``array<struct<s,e>>`` of a row of ids, end exclusive.
+
+    A span starts after ``header assistant end-header`` and the newline tokens and runs up to and including the next end of
+    turn, or to the end of the row. A header inside a span opens none. The row is walked once, inside the row.
+    """
+    skipped = 2 + len(t.assistant) + t.newline_tokens
+
+    def walk(row: Column) -> Column:
+        def opens(i: Column) -> Column:
+            at = F.get(row, i) == t.start_header
+            for k, word in enumerate((*t.assistant, t.end_header)):
+                at = at & F.coalesce(F.get(row, i + (k + 1)) == word, F.lit(False))
+            return at
+
+        def step(s: Column, i: Column) -> Column:
+            # ``open`` is the start of an open span, or -1; nothing opens before ``free``.
+            closes = (s["open"] >= 0) & (i >= s["open"]) & (F.get(row, i) == t.end_turn)
+            starts = (s["open"] < 0) & opens(i)
+            return F.struct(
+                F.when(closes, F.lit(-1)).when(starts, i + skipped).otherwise(s["open"]).alias("open"),
+                F.when(closes, F.concat(s["done"], F.array(F.struct(s["open"].alias("s"), (i + 1).alias("e"))))).otherwise(s["done"]).alias("done"),
+            )
+
+        start = F.struct(F.lit(-1).alias("open"), F.array().cast("array<struct<s:int,e:int>>").alias("done"))
+        n = F.size(row)
+        last = F.aggregate(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), start, step)
+        return let(
+            last,
+            lambda s: F.when(
+                (s["open"] >= 0) & (s["open"] < n), F.concat(s["done"], F.array(F.struct(s["open"].alias("s"), n.alias("e"))))
+            ).otherwise(s["done"]),
+        )
+
+    return let(ids, walk)
+
+
+def id_mask(ids: Column, spans: Column) -> Column:
+    """The 0/1 mask of a row from its spans."""
+
+    def run(value: int, n: Column) -> Column:
+        return F.array_repeat(F.lit(value).cast("tinyint"), n)
+
+    def filled(s: Column) -> Column:
+        pieces = F.transform(
+            s, lambda p, i: F.concat(run(0, p["s"] - F.coalesce(F.get(s, i - 1)["e"], F.lit(0))), run(1, p["e"] - p["s"]))
+        )
+        return F.concat(F.flatten(pieces), run(0, F.size(ids) - F.coalesce(F.try_element_at(s, F.lit(-1))["e"], F.lit(0))))
+
+    return let(spans, filled)
+
+
+def id_rows(texts: DataFrame, t: IdTokenizer, key: str = "id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Rendered texts to rows of integer ids with their assistant mask; a text without ids is dropped."""
+    keep = keep or []
+    rows = pinned(texts.withColumnRenamed(key, "id"), {"tokens": t.encode(F.col(text))}, ["id", *keep])
+    spanned = pinned(rows.filter(F.size("tokens") > 0), {"__spans": id_spans(F.col("tokens"), t)}, ["id", *keep, "tokens"])
+    masked = pinned(spanned, {"mask": id_mask(F.col("tokens"), F.col("__spans"))}, ["id", *keep, "tokens"])
+    return masked.withColumn("n", F.size("tokens"))
+
+
 def masked_rows(texts: DataFrame, key: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Rendered texts to token rows with their assistant mask."""
     keep = keep or []

@@ -10,7 +10,7 @@ from ..operators import aggregates as A
 from ..operators import selection as S
 from ..operators import token_rows as T
 from ..operators.ordering import prefix_select
-from ..session import settle
+from ..session import lookup_join, settle
 from ..sources import writers as K
 
 
@@ -23,32 +23,75 @@ def curate(
     seed: int,
     sample_rows: int | None = None,
     allow_partial: bool = False,
+    whole: bool = False,
+    tokenizer: T.IdTokenizer | None = None,
+    parts: int = 1,
+    resume: bool = False,
 ) -> DataFrame:
     """Write the curated set below ``path`` (rows, manifest, token frequencies) and return its manifest.
 
-    ``texts``: ``id, source, text`` rendered with role headers; ``mix``: ``source, allocated``. Texts are tokenised once
-    into a written table, and statistics read only its lengths. Selection compares a row's slice with its source's cut,
-    so whole rows stay where they are until the one shuffle into their shards. A source below its allocation stops the
-    job unless ``allow_partial``.
+    ``texts``: ``id, source, text`` rendered with role headers; ``mix``: ``source, allocated``. A first pass keeps only the
+    lengths of every text; selection and all counters come from them, and only chosen texts are tokenised into shards. With
+    a ``tokenizer`` of integer ids the rows are ``input_ids, loss_mask, seq_len``, else ``tokens, mask, n``.
+
+    A source below its allocation stops the job unless ``allow_partial``; with ``whole`` every source is taken whole,
+    whatever its allocation says. Shards are written in ``parts`` jobs; ``resume`` leaves out those an earlier run finished.
     """
-    rows = settle(T.masked_rows(texts, "id", keep=["source"]), "tokens")
-    stats = rows.select("source", "id", F.col("n").cast("bigint").alias("n"))
+    spark = texts.sparkSession
+    build = (lambda rows: T.masked_rows(rows, "id", keep=["source"])) if tokenizer is None else (lambda rows: T.id_rows(rows, tokenizer, keep=["source"]))
+    inside = T.supervised(F.slice("mask", 1, length))
+    stats = settle(build(texts).select("source", "id", F.col("n").cast("bigint").alias("n"), inside.alias("n_supervised")), "stats")
     mix = settle(mix, "mix")
+    status = S.allocation_status(mix, stats, whole)
     if not allow_partial:
-        S.refuse_partial(S.allocation_status(mix, stats))
-    targets = S.scale_allocation(stats, mix, sample_rows) if sample_rows else mix.withColumnRenamed("allocated", "target")
-    chosen = prefix_select(rows, targets, ["source"], ["id"], "n", seed)
+        S.refuse_partial(status)
+    if sample_rows:
+        targets = S.scale_allocation(stats, mix, sample_rows)
+    elif whole:
+        targets = status.filter("store_tokens IS NOT NULL").select("source", F.col("store_tokens").alias("target"))
+    else:
+        targets = mix.withColumnRenamed("allocated", "target")
+    chosen = settle(prefix_select(stats, settle(targets.select("source", "target"), "targets"), ["source"], ["id"], "n", seed), "chosen")
     expected = chosen.agg(F.sum("n").alias("t")).first().t or 0
-    kept = T.drop_unsupervised(T.clip(chosen, length))
-    K.write_sharded(kept, f"{path}/rows", K.shard_count(expected, shard_tokens), seed)
+    n_shards = K.shard_count(expected, shard_tokens)
+
+    wanted = settle(chosen.filter("n_supervised > 0").select("source", "id"), "wanted")
+    picked = lookup_join(texts, wanted, ["source", "id"], "left_semi", settled=True)
+    for part in range(parts):
+        target = f"{path}/rows/part={part}"
+        if resume and K.finished(spark, target):
+            continue
+        mine = K.shard_columns(picked, n_shards, seed).filter(F.pmod("shard", F.lit(parts)) == part).drop("shard", "h")
+        K.write_sharded(_named(T.clip(build(mine), length), tokenizer), target, n_shards, seed, resume=resume)
 
-    written = rows.sparkSession.read.parquet(f"{path}/rows")
+    written = _unnamed(spark.read.parquet(f"{path}/rows"), tokenizer)
     if not T.bad_rows(written, length).isEmpty():
         raise ValueError("written rows break an invariant")
-    counted = written.select("source", "n", T.supervised(F.col("mask")).alias("n_supervised"))
-    K.write_manifest(counted, f"{path}/manifest", seed=seed, length=length, partial=allow_partial)
-    K.write_token_freq(written, f"{path}/token_freq")
-    return K.manifest(counted, seed, length, allow_partial)
+    kept = written.count()
+    counted = A.source_totals(
+        chosen.select("source", F.col("n").alias("n_tokens"), F.col("n_supervised").alias("n_supervised_clipped")), length
+    ).withColumns({"seed": F.lit(seed), "seq_length": F.lit(length), "shards": F.lit(n_shards), "partial": F.lit(allow_partial)})
+    manifest = settle(counted, "manifest")
+    if kept != (manifest.filter("source IS NULL").first() or {"rows_kept": 0})["rows_kept"]:
+        raise ValueError("the shards do not hold the rows that were kept")
+    if not (resume and K.finished(spark, f"{path}/manifest")):
+        manifest.coalesce(1).write.mode("overwrite" if resume else "errorifexists").json(f"{path}/manifest")
+    if not (resume and K.finished(spark, f"{path}/token_freq")):
+        T.token_freq(written).write.mode("overwrite" if resume else "errorifexists").parquet(f"{path}/token_freq")
+    return manifest
+
+
+def _named(rows: DataFrame, tokenizer: T.IdTokenizer | None) -> DataFrame:
+    """Rows under the names that training reads."""
+    if tokenizer is None:
+        return rows
+    return rows.withColumnsRenamed({"tokens": "input_ids", "mask": "loss_mask", "n": "seq_len"})
+
+
+def _unnamed(rows: DataFrame, tokenizer: T.IdTokenizer | None) -> DataFrame:
+    if tokenizer is None:
+        return rows
+    return rows.withColumnsRenamed({"input_ids": "tokens", "loss_mask": "mask", "seq_len": "n"})
 
 
 def curated_totals(texts: DataFrame, length: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.seeded import key_bucket, order_key
@@ -18,17 +18,23 @@ def shard_count(tokens: int, shard_tokens: int) -> int:
     return max(1, -(-tokens // shard_tokens))
 
 
-def write_sharded(rows: DataFrame, path: str, n: int, seed: int, key: str = "id") -> None:
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write below ``path`` was committed: Spark marks it with a ``_SUCCESS`` file."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def write_sharded(rows: DataFrame, path: str, n: int, seed: int, key: str = "id", resume: bool = False) -> None:
     """One folder per shard, rows in seeded order, every source in proportion in every shard.
 
     One shuffle straight into one partition per shard. A shard's rows are one sorted file, whose size the caller sets
-    through ``n`` (see ``shard_count``).
+    through ``n`` (see ``shard_count``). With ``resume`` what an unfinished run left at ``path`` is replaced.
     """
     placed = shard_columns(rows, n, seed, key)
     (
         placed.repartitionById(n, F.col("shard"))
         .sortWithinPartitions("shard", "h", key)
-        .write.mode("errorifexists")
+        .write.mode("overwrite" if resume else "errorifexists")
         .partitionBy("shard")
         .parquet(path)
     )

@@ -20,6 +20,7 @@ from tallyloom.operators import sets as X
 from tallyloom.operators import similarity as K
 from tallyloom.operators import token_rows as T
 from tallyloom.operators.texts import normalize_text
+from tallyloom.sources.readers import parse_metrics
 
 ROW = "id bigint, tokens array<string>, mask array<tinyint>, n int"
 
@@ -556,3 +557,19 @@ def test_query_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, K.knn_topk(q, docs, 4).collect()))
     monkeypatch.setattr(K, "QUERY_BYTES", 64)
     assert sorted(map(tuple, K.knn_topk(q, docs, 4).collect())) == whole
+
+
+# ---- metric text and log lines ---------------------------------------------------------------------------------
+
+
+def test_metric_lines(spark):
+    lines = ['# TYPE a counter', 'a_total{x="{}",position="1"} 5 1700000000', 'a_total{x="q\\"}",position="1"} 5', "b 1e3", "c{} -Inf", "d 1 2 3", "e x"]
+    df = spark.createDataFrame([("r", line) for line in lines], "run string, value string")
+    got = {(r.name, r.position): r.total for r in parse_metrics(df, ["run"]).collect()}
+    assert got == {("a", 1): 10.0, ("b", None): 1000.0, ("c", None): float("-inf")}
+
+
+def test_record_pairs_hold_what_loggers_print(spark):
+    df = spark.createDataFrame([("train/loss=nan, lr=-inf a=None b=1.5e-3,c=x d=2",)], "t string")
+    keys = df.select(F.regexp_extract_all("t", F.lit(M.RECORD_PAIR), F.lit(1))).first()[0]
+    assert keys == ["train/loss", "lr", "a", "b", "d"]
