@@ -81,7 +81,7 @@ def learn(sample: np.ndarray, seed: int = 7) -> Quantiser:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     dims = len(column[0]) if len(column) else 0
-    return column.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dims)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dims)
 
 
 def unit(x: np.ndarray) -> np.ndarray:

@@ -83,11 +83,11 @@ def test_gradients_match_differences():
     for weight, grad in [(net.p[k], grads[k]) for k in ("Wf", "Wb", "Uf", "Ub", "cf", "wo")] + [(x, dx)]:
         for at in list(np.ndindex(weight.shape))[:: max(1, weight.size // 3)]:
             old, values = weight[at], []
-            for step in (1e-5, -1e-5):
+            for step in (1e-3, -1e-3):
                 weight[at] = old + step
                 values.append(loss())
             weight[at] = old
-            assert grad[at] == pytest.approx((values[0] - values[1]) / 2e-5, rel=2e-2, abs=2e-6)
+            assert grad[at] == pytest.approx((values[0] - values[1]) / 2e-3, rel=3e-2, abs=2e-4)
 
 
 def test_odd_rows(spark, net):
