@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, text_of
 
@@ -222,7 +223,13 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.Array, np.ndarra
 
 
 # What can be asked of the encoding of a text.
-COLUMNS = {"n_tokens": "bigint", "ids": "array<int>", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
+COLUMNS = {
+    "n_tokens": T.LongType(),
+    "ids": T.ArrayType(T.IntegerType()),
+    "decoded": T.BinaryType(),
+    "ids_sha256": T.StringType(),
+    "decoded_sha256": T.StringType(),
+}
 
 
 def encode(spark: SparkSession, rows: DataFrame, keep: list[str], path: str, pattern: str, columns: list[str]) -> DataFrame:
