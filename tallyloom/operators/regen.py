@@ -131,25 +131,38 @@ def next_prompts(
 def generate(prompts: DataFrame, fn, retries: int = 3) -> DataFrame:
     """Run a reply generator over Arrow batches of prompts: ``id, k, reply, finish, error``.
 
-    ``fn(prompt, max_tokens, request_seed) -> (tokens, finish)``. A prompt that keeps failing gets its error text.
+    ``fn(prompts, max_tokens, request_seeds)`` gets lists for a whole batch and returns ``(tokens, finish)`` for each, or the
+    exception of the prompts that failed. Those are handed in again, up to ``retries`` times; what still fails keeps its
+    whole error text. A call that raises counts as a failure of all its prompts.
     """
 
     def run(batches):
         import pandas as pd
 
         for part in batches:
-            out = []
-            for row in part.itertuples():
-                reply, finish, error = None, None, None
-                for _ in range(retries + 1):
-                    try:
-                        reply, finish = fn(list(row.prompt), int(row.max_tokens), int(row.request_seed))
-                        error = None
-                        break
-                    except Exception as e:  # noqa: BLE001 - the error is data
-                        error = f"{type(e).__name__}: {str(e)[:150]}"
-                out.append((row.id, row.k, reply, finish, error))
-            yield pd.DataFrame(out, columns=["id", "k", "reply", "finish", "error"])
+            results: list = [None] * len(part)
+            todo = list(range(len(part)))
+            for _ in range(retries + 1):
+                if not todo:
+                    break
+                some = part.iloc[todo]
+                try:
+                    made = fn([list(p) for p in some["prompt"]], some["max_tokens"].tolist(), some["request_seed"].tolist())
+                except Exception as e:  # noqa: BLE001 - the error is data
+                    made = [e] * len(todo)
+                for i, result in zip(todo, made, strict=True):
+                    results[i] = result
+                todo = [i for i, result in zip(todo, made, strict=True) if isinstance(result, Exception)]
+            failed = [isinstance(r, Exception) for r in results]
+            yield pd.DataFrame(
+                {
+                    "id": part["id"],
+                    "k": part["k"],
+                    "reply": [None if bad else r[0] for r, bad in zip(results, failed, strict=True)],
+                    "finish": [None if bad else r[1] for r, bad in zip(results, failed, strict=True)],
+                    "error": [f"{type(r).__name__}: {r}" if bad else None for r, bad in zip(results, failed, strict=True)],
+                }
+            )
 
     id_type = prompts.schema["id"].dataType.simpleString()
     return prompts.mapInPandas(run, f"id {id_type}, k int, reply array<string>, finish string, error string")

@@ -12,8 +12,9 @@ from ..functions.text import words
 from ..session import settle
 from .ordering import per_group_limit
 
-# Query vectors held by one task at a time, in bytes of float64.
-QUERY_BYTES = 64 * 2**20
+# Query vectors held by the driver and by a task at a time, in bytes of float64, and scores that a task makes at a time.
+QUERY_BYTES = 32 * 2**20
+TILE_CELLS = 4_000_000
 
 
 def embed(texts: DataFrame, key: str, text: str = "text", dim: int = 64, fn=None) -> DataFrame:
@@ -61,32 +62,44 @@ def label_centroids(vectors: DataFrame, vec: str = "embedding", label: str = "la
 def knn_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Exact ``k`` nearest documents of every query by the dot product of unit vectors: ``query, rank, id, score``.
 
-    Query vectors are taken in blocks of bounded size. Each task multiplies its Arrow batches of documents with the
-    block and keeps ``k`` per query and batch, so only those reach the shuffle. Ties go to the smaller id.
+    Query vectors are taken in blocks of bounded size, one at a time: a block is sent to the tasks, its finds are written,
+    and it is let go before the next. A task multiplies its documents with the block in tiles of bounded size and keeps ``k``
+    per query, so only those reach the shuffle. Ties go to the smaller id. With several blocks the documents' vectors are
+    written first, so they are made once.
     """
     spark = docs.sparkSession
     q = settle(queries.select("query", "vec"), "queries")
     size = q.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
     n_blocks = max(1, -(-(size.n * (size.d or 1) * 8) // QUERY_BYTES))
-    id_type = docs.schema["id"].dataType.simpleString()
-    q_type = q.schema["query"].dataType.simpleString()
+    rows = settle(docs.select("id", "vec"), "vectors") if n_blocks > 1 else docs.select("id", "vec")
     found = None
     for b in range(n_blocks):
-        block = q.filter(F.pmod(F.xxhash64("query"), F.lit(n_blocks)) == b).toPandas()
-        shared = spark.sparkContext.broadcast(
-            (block["query"].to_numpy(), np.vstack(block["vec"].to_numpy()) if len(block) else np.zeros((0, 1)))
-        )
+        block = q.filter(F.pmod(F.xxhash64("query"), F.lit(n_blocks)) == b).toArrow()
+        if not block.num_rows:
+            continue
+        names = block["query"].to_numpy()
+        sent = spark.sparkContext.broadcast((names, np.vstack(block["vec"].to_numpy())))
+        near = settle(_near_block(rows, sent, k, q.schema["query"].dataType.simpleString()), "near")
+        sent.destroy()
+        found = near if found is None else found.unionByName(near)
+    if found is None:
+        return q.limit(0).select("query", F.lit(0).alias("rank"), F.lit(None).cast(docs.schema["id"].dataType).alias("id"), F.lit(0.0).alias("score"))
+    ranked = per_group_limit(found, ["query"], [F.desc("score"), F.col("id")], k)
+    return ranked.select("query", F.col("rank").cast("int").alias("rank"), "id", "score")
+
 
-        def nearest(batches, shared=shared):
-            import pandas as pd
+def _near_block(docs: DataFrame, sent, k: int, q_type: str) -> DataFrame:
+    """``query, id, score``: per task, the nearest documents of the queries of one block."""
 
-            names, mat = shared.value
-            if not len(names):
-                return
-            held = None
-            for part in batches:
-                if not len(part):
-                    continue
+    def nearest(batches):
+        import pandas as pd
+
+        names, mat = sent.value
+        held = None
+        tile = max(1, TILE_CELLS // len(names))
+        for batch in batches:
+            for start in range(0, len(batch), tile):
+                part = batch.iloc[start : start + tile]
                 # Rounded, so equal vectors tie whatever the order of the sums inside the product.
                 scores = np.round(mat @ np.vstack(part["vec"].to_numpy()).T, 12)
                 ids = part["id"].to_numpy()
@@ -97,13 +110,11 @@ def knn_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                 now = pd.DataFrame({"q": qi, "id": ids[di], "score": scores[qi, di]})
                 held = now if held is None else pd.concat([held, now], ignore_index=True)
                 held = held.sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
-            if held is not None:
-                yield pd.DataFrame({"query": names[held["q"].to_numpy()], "id": held["id"].to_numpy(), "score": held["score"].to_numpy()})
+        if held is not None:
+            yield pd.DataFrame({"query": names[held["q"].to_numpy()], "id": held["id"].to_numpy(), "score": held["score"].to_numpy()})
 
-        near = docs.select("id", "vec").mapInPandas(nearest, f"query {q_type}, id {id_type}, score double")
-        found = near if found is None else found.unionByName(near)
-    ranked = per_group_limit(found, ["query"], [F.desc("score"), F.col("id")], k)
-    return ranked.select("query", F.col("rank").cast("int").alias("rank"), "id", "score")
+    id_type = docs.schema["id"].dataType.simpleString()
+    return docs.mapInPandas(nearest, f"query {q_type}, id {id_type}, score double")
 
 
 def knn_join(queries: DataFrame, docs: DataFrame, k: int, payload: DataFrame) -> DataFrame:

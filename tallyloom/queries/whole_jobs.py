@@ -139,8 +139,8 @@ def regenerated(spark, sf):
 
     end = M.END_TURN
 
-    def short(prompt, max_tokens, request_seed):
-        return ["yes", end], "stop"
+    def short(prompts, max_tokens, request_seeds):
+        return [(["yes", end], "stop") for _ in prompts]
 
     parts = regenerate.regenerate(chat_rows(spark, sf), short, 1_000_000, 64, SEED)
     return parts.select("id", F.size("tokens").cast("bigint").alias("n"), "n_regenerated", "status")

@@ -73,9 +73,9 @@ def test_regenerate_stops_where_a_reply_is_cut(spark):
     texts = texts_of(spark, 3)
     rows = T.masked_rows(texts, "id")
 
-    def reply(prompt, max_tokens, request_seed):
-        turn = sum(t == "assistant" for t in prompt)
-        return (["fine", M.END_TURN], "stop") if turn == 1 else (["cut"], "length")
+    def reply(prompts, max_tokens, request_seeds):
+        turns = [sum(t == "assistant" for t in prompt) for prompt in prompts]
+        return [(["fine", M.END_TURN], "stop") if turn == 1 else (["cut"], "length") for turn in turns]
 
     parts = regenerate.regenerate(rows, reply, 10_000, 64, 1).collect()
     assert len(parts) == 6 and {p.status for p in parts} == {"capped"} and {p.n_regenerated for p in parts} == {2}
@@ -83,7 +83,7 @@ def test_regenerate_stops_where_a_reply_is_cut(spark):
 
 
 def test_regenerate_refuses_many_errors(spark):
-    def broken(prompt, max_tokens, request_seed):
+    def broken(prompts, max_tokens, request_seeds):
         raise RuntimeError("no server")
 
     with pytest.raises(ValueError, match="failed"):
