@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,7 +43,8 @@ def fold(column: Column) -> Column:
 
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
     """Words of every text: offsets into the flat array of words, and that array."""
-    plain = pc.fill_null(texts.cast(pa.large_string()), "")
+    # A slice is copied first: case mapping reads the cast of a slice from the wrong place.
+    plain = pa.concat_arrays([pc.fill_null(texts, "")]).cast(pa.large_string())
     if lower:
         plain = pc.ascii_lower(plain)
     lists = pc.ascii_split_whitespace(plain)
@@ -52,6 +56,18 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Arr
     return count[offsets - offsets[0]], flat.filter(full)
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While it lasts, tasks hand at most so many rows at a time to Python; for steps that run inside it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(sizes: np.ndarray, most: int):
     """Ranges of consecutive rows whose sizes sum to ``most`` at most; a larger row is a range of its own."""
     start, total = 0, 0

@@ -31,7 +31,7 @@ def test_gradients_match_differences():
     texts = ["bad word here " * 3, "fine text there " * 3, "bad again", "good and well"] * 3
     net = toxicity.train(texts, [1, 0, 1, 0] * 3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x = rng.standard_normal((6, toxicity.WORD_DIM + toxicity.GRAM_DIM))
+    x = rng.standard_normal((6, toxicity.WIDTH))
     codes, mask = rng.integers(0, 6, (4, 5)), (np.arange(5) < np.array([[5], [3], [1], [5]])).astype(float)
     target = np.array([1.0, 0, 1, 0])
     _, grads, dx = net.backward(x, codes, mask, target)
