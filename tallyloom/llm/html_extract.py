@@ -5,8 +5,8 @@ vector is the mean of learned vectors of its hashed path tokens (element names,
 learned vectors of its hashed words, and four numbers (length, share of linked words, place, end mark). The network reads the
 blocks of the whole page in both directions and labels each as main text or not.
 
-It is trained here, on at most ``SAMPLE`` pages (those with the smallest hash of their id and address; the bound does not
-depend on the input). Labels come from the elements that say what they hold (``article`` and ``main`` against ``nav``,
+It is trained here, on at most ``SAMPLE`` pages (those with the smallest hashes; the bound does not depend on the
+input). Labels come from the elements that say what they hold (``article`` and ``main`` against ``nav``,
 ``header``, ``footer``, ``aside``, ``form`` and classes of adverts, notices and comments). So that labels do not hang on
 these names alone, training pages are also rewritten: elements take other names and classes in use, lose them, and more
 menus, notices, forms, sidebars, adverts and reader comments made from other pages' text are put around the article.
@@ -444,12 +444,12 @@ def _subset(f: Features, rows: np.ndarray) -> Features:
 
 
 def fitted(pages: DataFrame, most: int = SAMPLE) -> Labeller | None:
-    """A labeller trained on a bounded sample: the pages with the smallest hash of their id and address."""
-    chosen = (
-        pages.where("html IS NOT NULL").select("html", F.xxhash64(F.lit("pages"), "page_id", "url").alias("__h"))
-        .orderBy("__h", F.xxhash64("html")).limit(most).collect()
-    )
-    return train([r.html for r in chosen])
+    """A labeller trained on a bounded sample: the pages with the smallest hashes."""
+    keyed = pages.where("html IS NOT NULL").withColumn("__h", F.xxhash64(F.lit("pages"), "page_id", "url", "html"))
+    # Hashes are ordered first, so only the chosen pages travel.
+    chosen = keyed.select("__h").orderBy("__h").limit(most).distinct()
+    found = keyed.select("__h", "html").join(F.broadcast(chosen), "__h").orderBy("__h").limit(most).collect()
+    return train([r.html for r in found])
 
 
 def extracted(spark: SparkSession, pages: DataFrame, net: Labeller | None) -> DataFrame:
