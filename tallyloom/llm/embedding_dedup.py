@@ -98,7 +98,10 @@ def valid(vector) -> F.Column:
 
 def learned(classes: DataFrame, dims: int, most: int = SAMPLE) -> Quantiser | None:
     """A quantiser from the classes of one length with the smallest hashes; a bounded sample."""
-    rows = classes.where(F.size("embedding") == dims).orderBy("cls").limit(most).select("embedding").toArrow()
+    same = classes.where(F.size("embedding") == dims)
+    # Hashes are ordered first, so only the chosen vectors travel.
+    chosen = same.select("cls").orderBy("cls").limit(most)
+    rows = same.select("cls", "embedding").join(F.broadcast(chosen), "cls").select("embedding").toArrow()
     if rows.num_rows < 2:
         return None
     return learn(unit(_matrix(rows["embedding"].combine_chunks())))
