@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import lookup_join, settle
-from .common import components, deal_blocks, slices, split_words
+from .common import components, deal_blocks, short_batches, slices, split_words
 
 ROWS, BANDS = 6, 36
 # Coordinates of the longer signatures, of which the lowest eight bits are kept, and how many deviations they may err.
@@ -38,8 +38,8 @@ LONG, DEVIATIONS = 1024, 4.5
 STAR_ROUNDS = 3
 # Members of a block, rows of a task's group, characters that are hashed together.
 BLOCK = 1024
-GROUP_ROWS = 8_000
-CHARS = 8_000_000
+GROUP_ROWS = 5_000
+CHARS = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -121,6 +121,7 @@ def sketches(rows: DataFrame, size: int) -> DataFrame:
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), cls, keys],
                     names=["id", "t", "n", "cls", "keys"],
                 )
+            pa.default_memory_pool().release_unused()
 
     return rows.select("id", "t", "text").mapInArrow(work, f"id {kind}, t bigint, n bigint, cls bigint, keys array<bigint>")
 
@@ -147,10 +148,13 @@ def sets_of(rows: DataFrame, classes: DataFrame, wanted: DataFrame, size: int, l
                     ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                     column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), column], names=["cls", "shingles"])
+            pa.default_memory_pool().release_unused()
 
     made = found.select("cls", "text").mapInArrow(work, "cls bigint, shingles " + ("binary" if long else "array<bigint>"))
     # A class may stand for several equal rows.
-    return settle(made.dropDuplicates(["cls"]) if long else made.groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
+    once = made.dropDuplicates(["cls"]) if long else made.groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    with short_batches(rows.sparkSession):
+        return settle(once, "sets")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -226,7 +230,8 @@ def near_duplicates(documents: DataFrame, id_column: str, size: int, percent: in
     """
     rows = documents.select(F.col(id_column).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("t", F.xxhash64("text"))
-    made = settle(sketches(rows, size), "sketches")
+    with short_batches(rows.sparkSession):
+        made = settle(sketches(rows, size), "sketches")
     # One class per set of shingles; one of its rows stands for it when the set is needed again.
     classes = settle(
         made.where("cls IS NOT NULL").groupBy("cls").agg(
