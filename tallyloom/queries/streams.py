@@ -123,10 +123,11 @@ def stream_exclude(spark, sf):
 def stream_ingest(spark, sf):
     """Rate-limited: one file per batch."""
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "text").repartition(4, "id")
-    stats = Z.stream_ingest(
-        stream_table(rows, "texts", 1), lambda t: t.select("id", "source", marked_count(F.col("text")).alias("n"))
-    )
-    return Z.drain(stats, "ingested")
+    folder, path = fresh_path(spark, "texts"), fresh_path(spark, "ingested")
+    rows.write.parquet(folder)
+    sized = lambda t: t.select("id", "source", marked_count(F.col("text")).alias("n"))
+    Z.stream_ingest(spark, folder, rows.schema, sized, path, fresh_path(spark, "ingested-state"), files_per_batch=1)
+    return spark.read.parquet(path)
 
 
 @query(

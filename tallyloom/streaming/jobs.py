@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import fresh_path
 
@@ -117,7 +118,8 @@ def stream_counter_delta(scrapes: DataFrame, path: str, checkpoint: str, scrapes
 def stream_latest(updates: DataFrame, path: str, checkpoint: str, key: str, order: list[str]) -> None:
     """Newest update per key as a table with one version per batch; older pending updates are superseded.
 
-    Every batch writes ``<path>/v=<number>`` from the version before it, so a repeated batch gives the same result.
+    Every batch writes ``<path>/v=<number>`` from the version before it, so a repeated batch gives the same result, and
+    counts what it superseded below ``<path>-superseded`` (see ``superseded``).
     """
     from ..operators.selection import latest_per_key
 
@@ -128,6 +130,9 @@ def stream_latest(updates: DataFrame, path: str, checkpoint: str, key: str, orde
         known = _version(spark, path, number - 1, shape)
         both = batch if known is None else known.select(*batch.columns).unionByName(batch)
         latest_per_key(both, key, order).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v={number}")
+        kept = _version(spark, path, number, shape).count()
+        counted = both.agg((F.count("*") - kept).alias("superseded"))
+        counted.write.mode("overwrite").parquet(f"{path}-superseded/batch={number}")
 
     query = (
         updates.writeStream.foreachBatch(merge)
@@ -138,6 +143,11 @@ def stream_latest(updates: DataFrame, path: str, checkpoint: str, key: str, orde
     query.awaitTermination()
 
 
+def superseded(spark: SparkSession, path: str) -> int:
+    """Updates that a newer one of the same key replaced, over all batches of ``stream_latest``."""
+    return spark.read.parquet(f"{path}-superseded").agg(F.sum("superseded").alias("n")).first().n
+
+
 def _version(spark: SparkSession, path: str, number: int, shape) -> DataFrame | None:
     return None if number < 0 else spark.read.schema(shape).parquet(f"{path}/v={number}")
 
@@ -177,12 +187,24 @@ def drop_repeats(log: DataFrame, key: list[str], late: str = LATE) -> DataFrame:
 def stream_exclude(prompts: DataFrame, held: DataFrame, key: str, low: int, high: int, length: str = "n") -> DataFrame:
     """Prompt feed without held-out keys and over-long prompts. ``held`` is a static table."""
     fits = prompts.filter((F.col(length) >= low) & (F.col(length) <= high))
-    return fits.join(held.select(key).distinct(), key, "left_anti")
+    return fits.join(held.select(key), key, "left_anti")
 
 
-def stream_ingest(files: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """New files through a row-local transformation (tokens, statistics); the checkpoint makes it exactly once."""
-    return make(files)
+def stream_ingest(
+    spark: SparkSession,
+    folder: str,
+    schema: StructType,
+    make: Callable[[DataFrame], DataFrame],
+    path: str,
+    checkpoint: str,
+    files_per_batch: int = 100,
+) -> None:
+    """New Parquet files of a folder through a row-local transformation (tokens, statistics), appended to ``path``.
+
+    At most ``files_per_batch`` files make a batch, so a backlog is taken in steps; the checkpoint makes it exactly once.
+    """
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    run_available(make(files), path, checkpoint)
 
 
 def stream_curve(log: DataFrame, width: int) -> DataFrame:

@@ -209,3 +209,16 @@ def test_log_records(spark):
     assert got == [(1, "0.3", False), (1, "0.5", False)]
     a = R.log_anomalies(records).first()
     assert (a.kept, a.truncated_blocks, a.duplicate_steps, a.missing_keys) == (1, 1, 1, 1)
+
+
+def test_superseded_updates_are_counted(spark):
+    from tallyloom.session import fresh_path
+    from tallyloom.streaming import jobs as Z
+
+    folder, path = fresh_path(spark, "updates"), fresh_path(spark, "latest")
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("a", 3), ("b", 0)], "key string, version int").repartition(3)
+    rows.write.parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    Z.stream_latest(stream, path, fresh_path(spark, "latest-state"), "key", ["version"])
+    assert sorted(map(tuple, Z.newest_version(spark, path).collect())) == [("a", 3), ("b", 1)]
+    assert Z.superseded(spark, path) == 3
