@@ -1,8 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, in numpy.
 
-A word's input is a learned vector of the word (zero for words outside the model's vocabulary) beside the mean of learned
-vectors of its hashed character 3- to 5-grams. Both start from the smoothed log-odds of the word or n-gram in the training
-texts and are trained on. A text is cut into overlapping windows; two gated recurrent units read each window in both
+A word's input is a learned vector of the word (zero for words outside the model's vocabulary), the mean of learned vectors of
+its known character n-grams (3 to 5 bytes anywhere, longer ones at the start), and two numbers: the smoothed log-odds of the word,
+and the largest of its n-grams', among toxic texts. While the network is trained, the log-odds of a text come from the other
+training texts only, so that it learns how far to trust them. A text is cut into overlapping windows; two gated recurrent units read each window in both
 directions, attention pools their states, and a linear layer gives the window's score. A text scores as its highest window,
 calibrated on held-back training texts.
 
@@ -13,7 +14,7 @@ network's bias. Without labelled texts of both classes every score is 0. A text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,15 +27,25 @@ from .common import slices, split_words
 
 # Labelled texts of each class that training may use, and how they are used.
 SAMPLE = 2000
-EPOCHS = 4
+# Rounds of training and steps of each; after a round the windows that score highest are trained on.
+ROUNDS, STEPS = 4, 48
+# Parts of the training texts; each is read with the log-odds of the others.
+FOLDS = 4
+# Learned vectors move more slowly than the network, which reads the log-odds beside them.
+VECTOR_RATE = 0.2
 BATCH = 256
+# Texts by which the log-odds of words and n-grams are drawn to the share of toxic texts.
+PRIOR = 3.0
 RATE = 0.01
 # Words of a window, and the words from one window to the next.
 WINDOW, STRIDE = 48, 32
-# Sizes: word vectors kept, hashed n-grams, their vectors, recurrent units, attention units.
-WORDS, GRAMS = 30_000, 1 << 16
-WORD_DIM, GRAM_DIM, UNITS, ATTENTION = 8, 8, 8, 8
+# Words and n-grams kept, those in most training texts, and in how many one must be.
+WORDS, GRAMS, SEEN = 30_000, 300_000, 3
+# Sizes: vectors of words and of n-grams, recurrent units, attention units.
+WORD_DIM, GRAM_DIM, UNITS, ATTENTION = 8, 4, 8, 8
 GRAM_SIZES = (3, 4, 5)
+START_SIZES = (6, 7, 8, 9, 10)
+WIDTH = WORD_DIM + GRAM_DIM + 2
 # Windows that are scored together.
 SCORED = 4096
 
@@ -44,8 +55,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def grams_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed character n-grams of distinct words, with a mark at either end: flat buckets and the words' offsets."""
-    raw = words.cast(pa.large_binary())
+    """64-bit hashes of the character n-grams of distinct words, with a mark at either end, and longer ones at the start.
+
+    Flat hashes and the words' offsets in them.
+    """
+    raw = pa.concat_arrays([words]).cast(pa.large_binary())
     sizes = pc.binary_length(raw).to_numpy().astype(np.int64) + 2
     ends = np.cumsum(sizes)
     flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
@@ -55,18 +69,18 @@ def grams_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     flat[ends - sizes], flat[ends - 1] = 2, 3
     left = np.repeat(ends, sizes) - np.arange(len(flat))  # bytes from here to the end of the word
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    buckets, owners = [], []
-    for n in GRAM_SIZES:
-        here = np.flatnonzero(left >= n)
+    hashes, owners = [], []
+    for n in GRAM_SIZES + START_SIZES:
+        here = np.flatnonzero(left >= n) if n in GRAM_SIZES else (ends - sizes)[sizes >= n]
         h = np.full(len(here), n, np.uint64)
         for k in range(n):
             h = (h ^ flat[here + k]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        buckets.append((h >> np.uint64(48)).astype(np.int64) % GRAMS)
+        hashes.append(h)
         owners.append(owner[here])
-    bucket, owner = np.concatenate(buckets), np.concatenate(owners)
+    gram, owner = np.concatenate(hashes), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    return bucket[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
+    return gram[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
 
 
 def windows_of(n_words: int) -> range:
@@ -78,21 +92,42 @@ def windows_of(n_words: int) -> range:
 class Network:
     words: list[str]
     p: dict[str, np.ndarray]
+    word_odds: np.ndarray
+    # Hashes of the known n-grams, sorted; their odds, and after them those of all others.
+    grams: np.ndarray
+    gram_odds: np.ndarray
     scale: float = 1.0
     shift: float = 0.0
+    rounds: int = 0
 
     def inputs(self, distinct: pa.Array) -> np.ndarray:
         """Input vectors of distinct words; the row after the last is the padding."""
-        x = np.zeros((len(distinct) + 1, WORD_DIM + GRAM_DIM), np.float32)
+        x = np.zeros((len(distinct) + 1, WIDTH), np.float32)
         if len(distinct):
             at = pc.index_in(distinct, value_set=pa.array(self.words, distinct.type)).to_numpy(zero_copy_only=False)
             known = ~np.isnan(at) if at.dtype.kind == "f" else np.ones(len(at), bool)
-            x[:-1][known, :WORD_DIM] = self.p["word"][at[known].astype(np.int64)]
-            bucket, ends = grams_of(distinct)
-            for a in range(0, len(distinct), 50_000):
-                b = min(a + 50_000, len(distinct))
-                sums = np.add.reduceat(self.p["gram"][bucket[ends[a] : ends[b]]], ends[a:b] - ends[a])
-                x[a:b, WORD_DIM:] = sums / np.diff(ends[a : b + 1])[:, None]
+            for a in range(0, len(distinct), 20_000):
+                b = min(a + 20_000, len(distinct))
+                rows = np.where(known[a:b], at[a:b], -1).astype(np.int64)
+                gram, ends = grams_of(distinct.slice(a, b - a))
+                x[a:b] = self.vectors(rows, self.places(gram), ends)
+        return x
+
+    def places(self, gram: np.ndarray) -> np.ndarray:
+        """Places of n-grams among the known ones; the place after the last for the others."""
+        at = np.searchsorted(self.grams, gram)
+        at[at == len(self.grams)] = 0
+        return np.where(self.grams[at] == gram, at, len(self.grams)) if len(self.grams) else np.zeros(len(gram), np.int64)
+
+    def vectors(self, rows: np.ndarray, bucket: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Input vectors of words, given by their rows in the vocabulary (-1: none) and their n-grams."""
+        x = np.zeros((len(rows), WIDTH), np.float32)
+        if len(rows):
+            known = rows >= 0
+            x[known, :WORD_DIM] = self.p["word"][rows[known]]
+            x[:, WORD_DIM:-2] = np.add.reduceat(self.p["gram"][bucket], ends[:-1]) / np.diff(ends)[:, None]
+            x[:, -2] = np.maximum.reduceat(self.gram_odds[bucket], ends[:-1])
+            x[known, -1] = self.word_odds[rows[known]]
         return x
 
     def forward(self, x: np.ndarray, codes: np.ndarray, mask: np.ndarray, keep: bool = False):
@@ -161,8 +196,8 @@ class Network:
             dx += dread @ p["W" + d].T
         return float(loss), g, dx
 
-    def score(self, texts: pa.Array) -> np.ndarray:
-        """Highest window of every text, before calibration."""
+    def windows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every window of the texts: its text, the place of its first word among all words, and its score."""
         offsets, flat = split_words(texts)
         coded = flat.dictionary_encode()
         x = self.inputs(coded.dictionary)
@@ -170,26 +205,39 @@ class Network:
         starts = [s + np.arange(0, max(1, e - s - WINDOW + STRIDE), STRIDE) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
         owner = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
         at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        best = np.full(len(texts), -np.inf)
+        scores = np.zeros(len(at))
         for a in range(0, len(at), SCORED):
             where = at[a : a + SCORED, None] + np.arange(WINDOW)
             inside = where < offsets[1:][owner[a : a + SCORED], None]
             some = np.where(inside, codes[np.minimum(where, len(codes) - 1)], len(x) - 1)
-            np.maximum.at(best, owner[a : a + SCORED], self.forward(x, some, inside.astype(np.float32)))
+            scores[a : a + SCORED] = self.forward(x, some, inside.astype(np.float32))
+        return owner, at, scores
+
+    def score(self, texts: pa.Array) -> np.ndarray:
+        """Highest window of every text, before calibration."""
+        best = np.full(len(texts), -np.inf)
+        owner, _, scores = self.windows(texts)
+        np.maximum.at(best, owner, scores)
         return best
 
     def probability(self, texts: pa.Array) -> np.ndarray:
         return _sigmoid(self.scale * self.score(texts) + self.shift)
 
 
-def _odds(owner: np.ndarray, item: np.ndarray, n_items: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed log-odds of the items by the texts that hold them, and the number of those texts."""
-    pairs = np.unique(owner.astype(np.int64) * n_items + item)
-    text, item = pairs // n_items, pairs % n_items
-    bad = np.bincount(item[label[text] > 0], minlength=n_items)
-    all_ = np.bincount(item, minlength=n_items)
-    share = (label > 0).mean()
-    return np.log((bad + share) / (all_ - bad + 1 - share)) - np.log(share / (1 - share)), all_
+def _counts(held: Iterable[tuple[int, np.ndarray]], n_items: int, label: np.ndarray) -> np.ndarray:
+    """Texts that hold each item, and toxic texts among them."""
+    out = np.zeros((2, n_items))
+    for text, items in held:
+        out[0, items] += 1
+        out[1, items] += label[text] > 0
+    return out
+
+
+def _odds(counts: np.ndarray, share: float) -> np.ndarray:
+    """Smoothed log-odds of items against the share of toxic texts."""
+    all_, bad = counts
+    odds = np.log((bad + PRIOR * share) / (all_ - bad + PRIOR * (1 - share))) - np.log(share / (1 - share))
+    return odds.astype(np.float32)
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
@@ -201,78 +249,117 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     offsets, flat = split_words(pa.array(texts, pa.string()))
     coded = flat.dictionary_encode()
     codes = coded.indices.to_numpy().astype(np.int64)
-    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    pad = len(coded.dictionary)
     held = np.arange(len(texts)) % 5 == 4
-    fit = ~held[owner]
-    odds, seen = _odds(owner[fit], codes[fit], len(coded.dictionary), label)
-    kept = np.argsort(-seen, kind="stable")[: min(WORDS, int((seen >= 2).sum()))]
-    bucket, ends = grams_of(coded.dictionary) if len(coded.dictionary) else (np.zeros(0, np.int64), np.zeros(1, np.int64))
-    # n-grams of a text: those of its distinct words.
-    distinct = np.unique(owner[fit] * max(1, len(coded.dictionary)) + codes[fit])
-    d_owner, d_code = distinct // max(1, len(coded.dictionary)), distinct % max(1, len(coded.dictionary))
-    sizes = np.diff(ends)[d_code]
-    where = np.arange(sizes.sum()) + np.repeat(ends[:-1][d_code] - (np.cumsum(sizes) - sizes), sizes)
-    gram_odds, _ = _odds(np.repeat(d_owner, sizes), bucket[where], GRAMS, label)
+    fit = np.flatnonzero(~held)
+    if not (label[fit] > 0).any() or not (label[fit] <= 0).any():
+        fit = np.arange(len(texts))
+    share = float((label[fit] > 0).mean())
+    fold_of = {i: k % FOLDS for k, i in enumerate(fit.tolist())}
+    mine = [(i, np.unique(codes[offsets[i] : offsets[i + 1]])) for i in fit.tolist()]
+    hashed, ends = grams_of(coded.dictionary) if pad else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
+    every, bucket = np.unique(hashed, return_inverse=True)
+
+    def grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.diff(ends)[words]
+        after = np.concatenate([[0], np.cumsum(n)])
+        return bucket[np.arange(after[-1]) + np.repeat(ends[:-1][words] - after[:-1], n)], after
+
+    def most_seen(held_items: Iterable[tuple[int, np.ndarray]], n_items: int, most: int) -> np.ndarray:
+        seen = _counts(held_items, n_items, label)[0]
+        return np.argsort(-seen, kind="stable")[: min(most, int((seen >= SEEN).sum()))]
+
+    # n-grams of a text are those of its distinct words.
+    kept = most_seen(mine, pad, WORDS)
+    known = np.sort(most_seen(((i, np.unique(grams(words)[0])) for i, words in mine), len(every), GRAMS))
+    place = np.full(len(every), len(known))
+    place[known] = np.arange(len(known))
+    bucket = place[bucket]
+    row_of_word = np.full(pad + 1, -1)
+    row_of_word[kept] = np.arange(len(kept))
+
+    # Counts by fold; a fold's texts are read with the odds of the other folds, new texts with those of all.
+    word_counts, gram_counts = [], []
+    for k in range(FOLDS):
+        part = [(i, words) for i, words in mine if fold_of[i] == k]
+        rows = ((i, row_of_word[words][row_of_word[words] >= 0]) for i, words in part)
+        word_counts.append(_counts(rows, len(kept), label))
+        gram_counts.append(_counts(((i, np.unique(grams(words)[0])) for i, words in part), len(known) + 1, label)[:, :-1])
+    word_all, gram_all = sum(word_counts), sum(gram_counts)
+
+    def odds_without(k: int | None) -> tuple[np.ndarray, np.ndarray]:
+        words, grams_ = (word_all, gram_all) if k is None else (word_all - word_counts[k], gram_all - gram_counts[k])
+        return _odds(words, share), np.append(_odds(grams_, share), np.float32(0))
+
+    odds = [odds_without(k) for k in range(FOLDS)]
 
     def small(*shape):
         return (rng.standard_normal(shape) * 0.1).astype(np.float32)
 
-    p = {"word": small(len(kept), WORD_DIM), "gram": small(GRAMS, GRAM_DIM)}
-    p["word"][:, 0], p["gram"][:, 0] = odds[kept] / 4, gram_odds / 2
-    width = WORD_DIM + GRAM_DIM
+    p = {"word": small(len(kept), WORD_DIM), "gram": np.vstack([small(len(known), GRAM_DIM), np.zeros((1, GRAM_DIM), np.float32)])}
     for d in ("f", "b"):
-        p |= {"W" + d: small(width, 3 * UNITS) * 3, "c" + d: np.zeros(3 * UNITS, np.float32), "U" + d: small(UNITS, 2 * UNITS), "V" + d: small(UNITS, UNITS)}
+        p |= {"W" + d: small(WIDTH, 3 * UNITS) * 3, "c" + d: np.zeros(3 * UNITS, np.float32), "U" + d: small(UNITS, 2 * UNITS), "V" + d: small(UNITS, UNITS)}
     p |= {"Wa": small(2 * UNITS, ATTENTION) * 3, "ca": np.zeros(ATTENTION, np.float32), "va": small(ATTENTION) * 3, "wo": small(2 * UNITS) * 3, "co": np.zeros(1, np.float32)}
-    net = Network([str(w) for w in coded.dictionary.take(pa.array(kept)).to_pylist()], p)
+    names = [str(w) for w in coded.dictionary.take(pa.array(kept)).to_pylist()]
+    net = Network(names, p, *odds[0][:1], every[known], odds[0][1])
+
+    def window_scores(k: int) -> dict[int, np.ndarray]:
+        """Scores of all windows of a fold's texts; at first, without a trained network, their strongest log-odds."""
+        some = [i for i in fit.tolist() if fold_of[i] == k]
+        if net.rounds == 0:
+            word, gram = odds[k]
+            strength = np.append(word, np.float32(-9))[row_of_word[:-1]]
+            if pad:
+                strength = np.maximum(strength, np.maximum.reduceat(gram[bucket], ends[:-1]))
+            spans = {i: [(s, min(s + WINDOW, offsets[i + 1])) for s in offsets[i] + np.array(windows_of(int(offsets[i + 1] - offsets[i])))] for i in some}
+            return {i: np.array([strength[codes[a:b]].max(initial=-9) for a, b in spans[i]]) for i in some}
+        net.word_odds, net.gram_odds = odds[k]
+        owner, _, scores = net.windows(pa.array([texts[i] for i in some], pa.string()))
+        return {i: scores[owner == j] for j, i in enumerate(some)}
+
+    def chosen(k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Windows of a fold by class: the highest of a toxic text; of a clean one the two highest and another."""
+        out: list[list[tuple[int, int]]] = [[], []]
+        for i, scores in window_scores(k).items():
+            best = np.argsort(-scores, kind="stable")
+            picks = best[:1] if label[i] > 0 else [*best[:2], rng.integers(len(best))]
+            out[int(label[i] > 0)] += [(offsets[i] + STRIDE * int(w), i) for w in picks]
+        return [np.array(x, np.int64).reshape(-1, 2) for x in out]
 
-    row_of_word = np.full(len(coded.dictionary) + 1, -1)
-    row_of_word[kept] = np.arange(len(kept))
-    pad = len(coded.dictionary)
-    strength = np.append(np.where(row_of_word[:-1] >= 0, odds, 0), 0)
-    gram_strength = np.add.reduceat(np.append(gram_odds[bucket], 0), ends[:-1]) / np.maximum(1, np.diff(ends)) if len(bucket) else np.zeros(pad)
-    strength[:-1] += gram_strength
-    starts, of = [], []
-    for i in np.flatnonzero(~held):
-        here = [offsets[i] + s for s in windows_of(int(offsets[i + 1] - offsets[i]))]
-        if label[i] > 0:  # the window with the strongest word stands for a toxic text
-            here = [max(here, key=lambda s: strength[codes[s : min(s + WINDOW, offsets[i + 1])]].max(initial=-9))]
-        else:
-            hardest = max(here, key=lambda s: strength[codes[s : min(s + WINDOW, offsets[i + 1])]].max(initial=-9))
-            here = [hardest, *rng.choice(here, min(2, len(here)), replace=False)]
-        starts += here
-        of += [i] * len(here)
-    starts, of = np.array(starts), np.array(of)
     padded = np.append(codes, np.full(WINDOW, pad))
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
-    step = 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(starts))
-        for a in range(0, len(order), BATCH):
-            pick = order[a : a + BATCH]
-            at = starts[pick, None] + np.arange(WINDOW)
-            inside = at < offsets[1:][of[pick], None]
-            some = np.where(inside, padded[np.minimum(at, len(padded) - 1)], pad)
-            used, local = np.unique(some, return_inverse=True)
-            real = used[used != pad]
-            x = np.zeros((len(used), width), np.float32)
-            rows = row_of_word[real]
-            x[: len(real)][rows >= 0, :WORD_DIM] = p["word"][rows[rows >= 0]]
-            n = np.diff(ends)[real]
-            idx = np.arange(n.sum()) + np.repeat(ends[:-1][real] - (np.cumsum(n) - n), n)
-            belongs = np.repeat(np.arange(len(real)), n)
-            if len(real):
-                x[: len(real), WORD_DIM:] = np.add.reduceat(p["gram"][bucket[idx]], np.cumsum(n) - n) / n[:, None]
-            _, g, dx = net.backward(x, local.reshape(some.shape), inside.astype(np.float32), label[of[pick]])
-            g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
-            np.add.at(g["word"], rows[rows >= 0], dx[: len(real)][rows >= 0, :WORD_DIM])
-            if len(real):
-                np.add.at(g["gram"], bucket[idx], (dx[: len(real), WORD_DIM:] / n[:, None])[belongs])
-            step += 1
-            for k, v in p.items():
-                m, s = moments[k]
-                m += 0.1 * (g[k] - m)
-                s += 0.001 * (g[k] * g[k] - s)
-                v -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-6)
+    # Every step takes windows of one fold, as many of either class, each class in shuffled turns.
+    half = BATCH // 2
+    for step in range(1, ROUNDS * STEPS + 1):
+        turn, k = divmod((step - 1) % STEPS, FOLDS)
+        if (step - 1) % STEPS == 0:
+            folds = [chosen(j) for j in range(FOLDS)]
+            net.rounds += 1
+            turns = [[rng.permutation(np.resize(rng.permutation(len(c)), -(-STEPS // FOLDS) * half)) if len(c) else None for c in f] for f in folds]
+        pick = np.concatenate([c[t[turn * half : (turn + 1) * half]] for c, t in zip(folds[k], turns[k], strict=True) if t is not None])
+        net.word_odds, net.gram_odds = odds[k]
+        starts, of = pick[:, 0], pick[:, 1]
+        at = starts[:, None] + np.arange(WINDOW)
+        inside = at < offsets[1:][of, None]
+        some = np.where(inside, padded[np.minimum(at, len(padded) - 1)], pad)
+        used, local = np.unique(some, return_inverse=True)
+        real = used[used != pad]
+        rows, (flat_grams, after) = row_of_word[real], grams(real)
+        x = np.zeros((len(used), WIDTH), np.float32)
+        x[: len(real)] = net.vectors(rows, flat_grams, after)
+        _, g, dx = net.backward(x, local.reshape(some.shape), inside.astype(np.float32), label[of])
+        g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
+        np.add.at(g["word"], rows[rows >= 0], dx[: len(real)][rows >= 0, :WORD_DIM])
+        n = np.diff(after)
+        np.add.at(g["gram"], flat_grams, np.repeat(dx[: len(real), WORD_DIM:-2] / np.maximum(1, n)[:, None], n, 0))
+        g["gram"][-1] = 0
+        rate = RATE * min(1.0, 2 * (1 - step / (ROUNDS * STEPS + 1)))
+        for k, v in p.items():
+            m, s = moments[k]
+            m += 0.1 * (g[k] - m)
+            s += 0.001 * (g[k] * g[k] - s)
+            v -= rate * (VECTOR_RATE if k in ("word", "gram") else 1.0) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-6)
+    net.word_odds, net.gram_odds = odds_without(None)
     raw = net.score(pa.array([t for t, h in zip(texts, held, strict=True) if h], pa.string())) if held.any() else np.zeros(0)
     net.scale, net.shift = _calibrated(raw, label[held])
     return net
