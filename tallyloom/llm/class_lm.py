@@ -17,7 +17,7 @@ as the empty text when it is dealt to training.
 
 from __future__ import annotations
 
-import uuid
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,75 +28,91 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import slices, split_words
+from .common import short_batches, slices, split_words
 
 # Units: the end, frequent words, hashed endings of this many bytes.
 WORDS, ENDINGS, ENDING_BYTES = 2048, 2048, 3
 UNITS = 1 + WORDS + ENDINGS
 CLASSES = 48
-ROUNDS = 9
+ROUNDS = 6
 # Units are moved in turns, so that neighbours do not move at once.
 TURNS = 3
 # Added to every count of a word or unit; weight of the class shares in class transitions.
 ADDED = 0.5
 TRANSITION_PRIOR = 20.0
-CHUNK_WORDS = 1_000_000
+CHUNK_BYTES = 8_000_000
 # The end of a text, among words; no word is empty.
 END = ""
 
 
 def chunks(documents: DataFrame, train: str) -> DataFrame:
-    """Texts as coded chunks, written once.
+    """Texts as coded chunks, written once. A chunk's number is random; the written table keeps it.
 
     ``documents`` has ``doc_id``, ``text`` and the boolean column ``train``.
     """
     kind = dict(documents.dtypes)["doc_id"]
-    schema = f"chunk string, ids array<{kind}>, train array<boolean>, sizes array<int>, codes binary, words array<string>"
+    schema = f"chunk bigint, ids array<{kind}>, train array<boolean>, sizes array<int>, codes binary, words array<string>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2)
             lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            for a, b in slices(lengths, 4 * CHUNK_WORDS):
+            for a, b in slices(lengths, CHUNK_BYTES):
                 offsets, flat = split_words(texts.slice(a, b - a))
                 coded = flat.dictionary_encode()
                 one = [
-                    pa.array([uuid.uuid4().hex]),
+                    pa.array([secrets.randbits(63)]),
                     pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(0).slice(a, b - a)),
                     pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(1).slice(a, b - a)),
                     pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), pa.array(np.diff(offsets).astype(np.int32))),
-                    pa.array([coded.indices.to_numpy().astype("<i4").tobytes()], pa.binary()),
+                    pa.array([pa.compress(coded.indices.to_numpy().astype("<i4").tobytes(), "zstd", asbytes=True)], pa.binary()),
                     pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string())),
                 ]
                 yield pa.RecordBatch.from_arrays(one, names=["chunk", "ids", "train", "sizes", "codes", "words"])
 
-    return settle(documents.select("doc_id", F.col(train).alias("train"), "text").mapInArrow(work, schema), "chunks")
+    with short_batches(documents.sparkSession, 2000):
+        return settle(documents.select("doc_id", F.col(train).alias("train"), "text").mapInArrow(work, schema), "chunks")
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray]]:
     """Rows of a batch of chunks: the row, codes of its words, sizes of its texts, and which are for training."""
     for i in range(batch.num_rows):
         row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
-        codes = np.frombuffer(row["codes"].as_py(), "<i4")
         sizes = row["sizes"].values.to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = np.frombuffer(pa.decompress(row["codes"].as_py(), 4 * int(sizes.sum()), "zstd", asbytes=True), "<i4")
         yield row, codes, sizes, row["train"].values.to_numpy(zero_copy_only=False).astype(bool)
 
 
+# Chunks whose word counts a task sums before it sends them.
+COMBINED = 8
+
+
+def _summed(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    sums = pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")])
+    yield from pa.table([sums["word"], sums["n_sum"]], names=["word", "n"]).combine_chunks().to_batches()
+
+
 def word_counts(table: DataFrame) -> DataFrame:
     """``word, n``: every word of the training texts and the end, written."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for batch in batches:
             for row, codes, sizes, train in _rows(batch):
                 words = row["words"].values
                 n = np.bincount(codes[np.repeat(train, sizes)], minlength=len(words))
                 seen = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([words.take(pa.array(seen)), pa.array([END])]), pa.array(np.append(n[seen], train.sum()))], names=["word", "n"]
-                )
+                columns = [pa.concat_arrays([words.take(pa.array(seen)), pa.array([END])]), pa.array(np.append(n[seen], train.sum()))]
+                held.append(pa.table(columns, names=["word", "n"]))
+                if len(held) == COMBINED:
+                    yield from _summed(held)
+                    held = []
+        if held:
+            yield from _summed(held)
 
     partial = table.mapInArrow(work, "word string, n bigint")
-    return settle(partial.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "counts")
+    with short_batches(table.sparkSession, 1):
+        return settle(partial.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "counts")
 
 
 def units_of(words: pa.Array, frequent: pa.Array) -> np.ndarray:
@@ -104,7 +120,7 @@ def units_of(words: pa.Array, frequent: pa.Array) -> np.ndarray:
     if not len(words):
         return np.zeros(0, np.int64)
     at = pc.fill_null(pc.index_in(words, value_set=frequent), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    raw = words.cast(pa.large_binary())
+    raw = pa.concat_arrays([words]).cast(pa.large_binary())
     tail = pc.binary_slice(raw, -ENDING_BYTES, 2**31 - 1)
     flat = np.frombuffer(b"".join(b.rjust(ENDING_BYTES, b"\0") for b in tail.to_pylist()), np.uint8).reshape(-1, ENDING_BYTES)
     h = np.zeros(len(words), np.uint64)
@@ -131,20 +147,37 @@ def unit_bigrams(table: DataFrame, frequent: pa.Array) -> DataFrame:
     sent = table.sparkSession.sparkContext.broadcast(frequent)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # All pairs of units of a task: their number is bounded by the model.
+        counts = np.zeros(UNITS * UNITS, np.int32)
         for batch in batches:
             for row, codes, sizes, train in _rows(batch):
                 units = units_of(row["words"].values, sent.value)
                 seq, _ = _sequence(units, codes[np.repeat(train, sizes)], sizes[train])
                 pair, n = np.unique(seq[:-1] * UNITS + seq[1:], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair // UNITS), pa.array(pair % UNITS), pa.array(n)], names=["a", "b", "n"])
+                counts[pair] += n
+        seen = np.flatnonzero(counts)
+        for a in range(0, len(seen), 1_000_000):
+            some = seen[a : a + 1_000_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["pair", "n"])
+
+    partial = table.mapInArrow(work, "pair int, n int")
+    sums = partial.groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = sums.select(F.floor(F.col("pair") / UNITS).cast("int").alias("a"), (F.col("pair") % UNITS).alias("b"), "n")
+    with short_batches(table.sparkSession, 1):
+        return settle(pairs, "bigrams")
+
 
-    partial = table.mapInArrow(work, "a bigint, b bigint, n bigint")
-    return settle(partial.groupBy("a", "b").agg(F.sum("n").alias("n")), "bigrams")
+def _own(bigrams: DataFrame) -> np.ndarray:
+    """How often each unit follows itself."""
+    own = np.zeros(UNITS)
+    same = bigrams.where("a = b").select("a", "n").toArrow()
+    own[same["a"].to_numpy()] = same["n"].to_numpy()
+    return own
 
 
-def _beside(spark: SparkSession, bigrams: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per unit, how often a unit of each class precedes it and follows it, and how often it follows itself."""
-    names = spark.createDataFrame([(i, int(c)) for i, c in enumerate(classes)], "unit bigint, class int")
+def _beside(spark: SparkSession, bigrams: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per unit, how often a unit of each class precedes it and follows it."""
+    names = spark.createDataFrame([(i, int(c)) for i, c in enumerate(classes)], "unit int, class int")
     left = bigrams.join(F.broadcast(names.withColumnRenamed("unit", "a")), "a").groupBy(F.col("b").alias("unit"), "class")
     right = bigrams.join(F.broadcast(names.withColumnRenamed("unit", "b")), "b").groupBy(F.col("a").alias("unit"), "class")
     out = []
@@ -153,10 +186,7 @@ def _beside(spark: SparkSession, bigrams: DataFrame, classes: np.ndarray) -> tup
         m = np.zeros((UNITS, CLASSES))
         m[got["unit"].to_numpy(), got["class"].to_numpy()] = got["n"].to_numpy()
         out.append(m)
-    own = np.zeros(UNITS)
-    same = bigrams.where("a = b").select("a", "n").toArrow()
-    own[same["a"].to_numpy()] = same["n"].to_numpy()
-    return out[0], out[1], own
+    return out[0], out[1]
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -235,21 +265,22 @@ def fit(spark: SparkSession, table: DataFrame, counts: DataFrame) -> ClassModel:
     words[got["unit"].to_numpy()] = got["words"].to_numpy()
 
     bigrams = unit_bigrams(table, frequent)
+    own = _own(bigrams)
     # Frequent units are dealt to the classes in turn.
     classes = np.zeros(UNITS, np.int64)
     order = np.argsort(-total, kind="stable")
     classes[order] = np.arange(UNITS) % CLASSES
     best, rounds = None, []
     for k in range(ROUNDS):
-        left, right, own = _beside(spark, bigrams, classes)
+        left, right = _beside(spark, bigrams, classes)
         value = likelihood(_table(right, classes))
         rounds.append(value)
         if best is None or value > best[0]:
-            best = (value, classes, left, right, own)
-        _, kept, left, right, own = best
+            best = (value, classes, left, right)
+        _, kept, left, right = best
         movers = [int(u) for u in order if u % TURNS == k % TURNS and total[u] > 0]
         classes = exchanged(left, right, own, kept, np.array(movers, np.int64))
-    left, right, own = _beside(spark, bigrams, classes)
+    left, right = _beside(spark, bigrams, classes)
     rounds.append(likelihood(_table(right, classes)))
     if best is not None and rounds[-1] < best[0]:
         classes, right = best[1], best[3]
@@ -281,7 +312,7 @@ def scored(spark: SparkSession, table: DataFrame, counts: DataFrame, model: Clas
         for batch in batches:
             for row, codes, sizes, train in _rows(batch):
                 words = row["words"].values
-                n = np.zeros(0) if row["counts"].as_py() is None else row["counts"].values.to_numpy(zero_copy_only=False).astype(np.float64)
+                n = np.zeros(0) if not row["counts"].is_valid else row["counts"].values.to_numpy(zero_copy_only=False).astype(np.float64)
                 unit = units_of(words, model.frequent)
                 inside = np.where(
                     unit > WORDS, np.log10(n + ADDED) - np.log10(model.unit_total[unit] + ADDED * (model.unit_words[unit] + 1)), 0.0
@@ -303,10 +334,12 @@ def scored(spark: SparkSession, table: DataFrame, counts: DataFrame, model: Clas
                 yield pa.RecordBatch.from_arrays(
                     [row["ids"].values, pa.array(~train), pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(np.full(len(sizes), model.train_tokens)),
                      pa.array(base), pa.array(score), pa.array(10 ** (-score / tokens))], names=names)
+                pa.default_memory_pool().release_unused()
 
-    return joined.mapInArrow(
-        work, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double"
-    )
+    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double"
+    # A chunk at a time goes to Python.
+    with short_batches(spark, 1):
+        return settle(joined.mapInArrow(work, schema), "scores")
 
 
 def model_scores(spark: SparkSession, documents: DataFrame) -> DataFrame:
