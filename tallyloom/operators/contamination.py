@@ -74,6 +74,16 @@ def contamination(hits: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
+def flagged_share(summary: DataFrame, sets: DataFrame, by: str = "set", least: float = 0.5) -> DataFrame:
+    """Per problem set: problems, those tested, those flagged, and their share of the tested. ``sets``: ``item_id, <by>``."""
+    marked = sets.join(summary.select("item_id", "best"), "item_id", "left")
+    tested, flagged = F.count("best"), F.count_if(F.col("best") >= least)
+    return marked.groupBy(by).agg(
+        F.count("*").alias("n_items"), tested.alias("n_tested"), flagged.alias("n_flagged"),
+        F.when(tested > 0, flagged / tested).alias("share"),
+    )
+
+
 def flagged_items(summary: DataFrame, least: float = 0.5) -> DataFrame:
     """Problems to remove; problems too short to test never appear in the summary and stay."""
     return summary.filter(F.col("best") >= least).select("item_id")

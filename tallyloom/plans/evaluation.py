@@ -26,8 +26,9 @@ def speedup_report(spark: SparkSession, root: str, pattern: str, status_pattern:
     return E.speedup(J.pair_arms(pooled))
 
 
-def acceptance_from_scrapes(before: DataFrame, after: DataFrame, by: str = "subset") -> DataFrame:
-    """Counters of two scrapes (``<by>, name, position, total``) to pooled acceptance per subset."""
+def acceptance_from_scrapes(before: DataFrame, after: DataFrame, by: str = "subset", positions: int = 0) -> DataFrame:
+    """Counters of two scrapes (``<by>, name, position, total``) to pooled acceptance per subset, with the rates of the
+    first ``positions`` draft positions."""
     keys = [by, "name", "position"]
     b = before.withColumnRenamed("total", "b")
     same = [after[k].eqNullSafe(b[k]) for k in keys]
@@ -39,9 +40,14 @@ def acceptance_from_scrapes(before: DataFrame, after: DataFrame, by: str = "subs
     def counter(label: str):
         return F.sum(F.when((name == label) & F.col("position").isNull(), F.col("d")).otherwise(0.0))
 
+    def at(position: int):
+        here = (name == "spec_decode_num_accepted_tokens_per_pos") & (F.col("position") == position)
+        return F.sum(F.when(here, F.col("d")).otherwise(0.0))
+
     counters = grown.groupBy(by).agg(
         counter("spec_decode_num_drafts").alias("drafts"),
         counter("spec_decode_num_draft_tokens").alias("draft_tokens"),
         counter("spec_decode_num_accepted_tokens").alias("accepted_tokens"),
+        *[at(i).alias(f"pos_{i}") for i in range(positions)],
     )
-    return E.acceptance(counters, by)
+    return E.acceptance(counters, by, positions)

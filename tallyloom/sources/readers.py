@@ -32,6 +32,28 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType | str) ->
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def read_log_lines(spark: SparkSession, root: str, pattern: str = "*.log") -> DataFrame:
+    """Lines of log files with their numbers from 0: ``file, line_no, value``, as ``assemble_log_records`` takes them.
+
+    Each file is read as one row and cut into lines there, so a file must fit into a task.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
+    lines = with_path(files, ["value"]).select(F.col("path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
+    return lines.withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
+def attempt_messages(records: DataFrame) -> DataFrame:
+    """Published trajectory records to ``task_name, messages`` with the usage beside each message.
+
+    ``records``: ``task_name, attempts ARRAY<STRUCT<trajectory STRUCT<messages ARRAY<STRUCT<role, extra STRUCT<response
+    STRUCT<usage>>>>>>>``. The messages of a task's attempts follow one another.
+    """
+    message = lambda m: F.struct(m["role"].alias("role"), m["extra"]["response"]["usage"].alias("usage"))
+    given = F.filter("attempts", lambda a: a["trajectory"]["messages"].isNotNull())
+    every = F.flatten(F.transform(given, lambda a: a["trajectory"]["messages"]))
+    return records.select("task_name", F.transform(every, message).alias("messages"))
+
+
 def explode_trajectories(tasks: DataFrame) -> DataFrame:
     """One row per assistant message with recorded usage: ``task, i, prompt_tokens, completion_tokens``.
 

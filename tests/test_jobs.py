@@ -222,3 +222,46 @@ def test_superseded_updates_are_counted(spark):
     Z.stream_latest(stream, path, fresh_path(spark, "latest-state"), "key", ["version"])
     assert sorted(map(tuple, Z.newest_version(spark, path).collect())) == [("a", 3), ("b", 1)]
     assert Z.superseded(spark, path) == 3
+
+
+def test_flagged_share_per_set(spark):
+    from tallyloom.operators import contamination as N
+
+    summary = spark.createDataFrame([(1, 0.7), (2, 0.1), (3, 0.5)], "item_id bigint, best double")
+    sets = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, "c")], "item_id bigint, set string")
+    got = {r["set"]: (r.n_items, r.n_tested, r.n_flagged, r.share) for r in N.flagged_share(summary, sets).collect()}
+    assert got == {"a": (2, 2, 1, 0.5), "b": (2, 1, 1, 1.0), "c": (1, 0, 0, None)}
+
+
+def test_rates_by_position_from_scrapes(spark):
+    from tallyloom.plans.evaluation import acceptance_from_scrapes
+
+    shape = "subset string, name string, position bigint, total double"
+    names = ["drafts", "draft_tokens", "accepted_tokens"]
+    rows = [("s", f"srv:spec_decode_num_{n}", None, v) for n, v in zip(names, (10.0, 20.0, 12.0))]
+    rows += [("s", "srv:spec_decode_num_accepted_tokens_per_pos", i, v) for i, v in ((0, 8.0), (1, 4.0))]
+    before = spark.createDataFrame([r[:3] + (0.0,) for r in rows], shape)
+    got = acceptance_from_scrapes(before, spark.createDataFrame(rows, shape), positions=2).filter("subset = 's'").first()
+    assert (got.acceptance_length, got.acceptance_at_pos_0, got.acceptance_at_pos_1) == (2.2, 0.8, 0.4)
+
+
+def test_log_lines_have_numbers(spark, tmp_path):
+    from tallyloom.sources.readers import read_log_lines
+
+    (tmp_path / "a.log").write_text("one\n\nthree")
+    (tmp_path / "b.txt").write_text("no")
+    rows = read_log_lines(spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [(r.line_no, r.value) for r in rows] == [(0, "one"), (1, ""), (2, "three")] and rows[0].file.endswith("a.log")
+
+
+def test_published_trajectories(spark, tmp_path):
+    from tallyloom.sources import readers as R
+
+    usage = {"prompt_tokens": 7, "completion_tokens": 3}
+    message = {"role": "assistant", "extra": {"response": {"usage": usage}}}
+    record = {"task_name": "t", "attempts": [{"trajectory": {"messages": [{"role": "user"}, message]}}, {"trajectory": None}, {"trajectory": {"messages": [message]}}]}
+    (tmp_path / "x.jsonl").write_text(json.dumps(record) + "\n")
+    schema = ("task_name string, attempts array<struct<trajectory:struct<messages:array<struct<role:string,extra:struct<response:"
+              "struct<usage:struct<prompt_tokens:bigint,completion_tokens:bigint>>>>>>>>")
+    rows = R.explode_trajectories(R.attempt_messages(R.read_jsonl(spark, str(tmp_path), schema))).collect()
+    assert sorted((r.task, r.i, r.prompt_tokens, r.completion_tokens) for r in rows) == [("t", 1, 7, 3), ("t", 2, 7, 3)]
