@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import slices, split_words
 
 # Labelled texts of each class that training may use, and how they are used.
-SAMPLE = 2000
+SAMPLE = 1500
 # Rounds of training and steps of each; after a round the windows that score highest are trained on.
 ROUNDS, STEPS = 4, 48
 # Parts of the training texts; each is read with the log-odds of the others.
@@ -226,7 +226,7 @@ class Network:
 
 def _counts(held: Iterable[tuple[int, np.ndarray]], n_items: int, label: np.ndarray) -> np.ndarray:
     """Texts that hold each item, and toxic texts among them."""
-    out = np.zeros((2, n_items))
+    out = np.zeros((2, n_items), np.float32)
     for text, items in held:
         out[0, items] += 1
         out[1, items] += label[text] > 0
@@ -257,8 +257,16 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     share = float((label[fit] > 0).mean())
     fold_of = {i: k % FOLDS for k, i in enumerate(fit.tolist())}
     mine = [(i, np.unique(codes[offsets[i] : offsets[i + 1]])) for i in fit.tolist()]
-    hashed, ends = grams_of(coded.dictionary) if pad else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
-    every, bucket = np.unique(hashed, return_inverse=True)
+    # Some words at a time: the driver's memory is small.
+    parts = [grams_of(coded.dictionary.slice(a, 10_000)) for a in range(0, pad, 10_000)]
+    hashed = np.concatenate([g for g, _ in parts]) if parts else np.zeros(0, np.uint64)
+    ends = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(e) for _, e in parts]))]) if parts else np.zeros(1, np.int64)
+    del parts
+    every = np.unique(hashed)
+    bucket = np.empty(len(hashed), np.int32)
+    for a in range(0, len(hashed), 500_000):
+        bucket[a : a + 500_000] = np.searchsorted(every, hashed[a : a + 500_000])
+    del hashed
 
     def grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = np.diff(ends)[words]
@@ -272,7 +280,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     # n-grams of a text are those of its distinct words.
     kept = most_seen(mine, pad, WORDS)
     known = np.sort(most_seen(((i, np.unique(grams(words)[0])) for i, words in mine), len(every), GRAMS))
-    place = np.full(len(every), len(known))
+    place = np.full(len(every), len(known), np.int32)
     place[known] = np.arange(len(known))
     bucket = place[bucket]
     row_of_word = np.full(pad + 1, -1)
