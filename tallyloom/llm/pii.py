@@ -3,7 +3,8 @@
 The four base kinds follow their patterns exactly: matches are leftmost and do not overlap within a kind, and a match that
 fails its check is dropped without another try. They always stay. Beyond them the method proposes
 
-- ``iban``: country letters and 13 to 32 further characters, in groups of four or run together; modulo 97 must give 1;
+- ``iban``: country letters and 13 to 32 further characters, in groups of four or run together; modulo 97 must give 1 for
+  the country's length, for the whole match, or, where the length is not known, for the match without its last groups;
 - ``ssn``: three, two and four digits between dashes, no group of zeros;
 - ``secret``: 24 or more hexadecimal or 32 or more base-64 characters with a digit, taken only with a word such as token or key nearby;
 - ``phone_local``: 7 to 15 digits with separators and no plus sign, taken only with a word such as phone or call nearby.
@@ -39,15 +40,28 @@ MORE_KINDS = ("iban", "ssn", "secret", "phone_local")
 
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])(?!000|666)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[0-9a-f]{24,}+|[A-Za-z0-9+/_-]{32,}+={0,2})(?![A-Za-z0-9+/_=-])")
-PHONE_LOCAL = re.compile(r"(?<![0-9+.-])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,5}){1,4}(?![0-9.-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[0-9a-f]{24,}+|[A-Za-z0-9+/_-]{32,}+={0,2})(?![A-Za-z0-9+/_=-])")
+PHONE_LOCAL = re.compile(r"(?<![0-9+])(?<![0-9][.-])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,5}){1,4}(?![.-]?[0-9])")
+# Characters of an account number by country, from the register; the least of any country.
+IBAN_LENGTHS = {
+    country: int(n)
+    for n, countries in (x.split(":") for x in (
+        "15:NO 16:BE 18:DK,FI,FO,GL,NL,FK,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,HR,LI,LV "
+        "22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,TL,SO 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG "
+        "25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA "
+        "30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+    ).split())
+    for country in countries.split(",")
+}
+IBAN_LEAST = 15
 
 # Score of a proposal alone, what its supporting words add, and the words.
 BASIC = {"iban": 0.5, "ssn": 0.4, "secret": 0.2, "phone_local": 0.2}
 SUPPORT = {
     "iban": re.compile(r"(?i)\b(?:iban|bank|account|konto|compte|cuenta)\b"),
     "ssn": re.compile(r"(?i)\b(?:ssn|social|security|insurance)\b"),
-    "secret": re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_ -]?key|apikey|bearer|credential)s?\b"),
+    # Words may stand in a name, such as access_token.
+    "secret": re.compile(r"(?i)(?<![^\W_])(?:token|secret|password|passwd|api[_ -]?key|apikey|bearer|credential)s?(?![^\W_])"),
     "phone_local": re.compile(r"(?i)\b(?:phone|telephone|tel|mobile|cell|call|fax|telefon|teléfono|téléphone)\b"),
 }
 AGAINST = re.compile(r"(?i)\b(?:order|invoice|page|version|isbn|issue|article)\b")
@@ -113,10 +127,27 @@ def score(kind: str, text: str, start: int, end: int, confirmed: bool) -> float:
     )
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Confirmed account numbers: what follows in capitals is cut off, and a match of none is tried again from its next group."""
+    at = 0
+    while m := IBAN.search(text, at):
+        groups = m[0].split(" ")
+        cuts = [" ".join(groups[:k]) for k in range(len(groups), 0, -1)]
+        sizes = [len(c) - c.count(" ") for c in cuts]
+        known = IBAN_LENGTHS.get(m[0][:2])
+        if known:
+            tried = [c for c, n in zip(cuts, sizes, strict=True) if n == known] + cuts[:1]
+        else:
+            tried = [c for c, n in zip(cuts, sizes, strict=True) if n >= IBAN_LEAST]
+        found = next((c for c in tried if mod97(c)), None)
+        if found:
+            yield m.start(), m.start() + len(found)
+        at = m.start() + len(found or groups[0])
+
+
 def _proposals(text: str) -> Iterator[tuple[str, int, int, bool]]:
-    for m in IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", *m.span(), True
+    for s, e in ibans(text):
+        yield "iban", s, e, True
     for m in SSN.finditer(text):
         yield "ssn", *m.span(), True
     for m in SECRET.finditer(text):

@@ -63,12 +63,38 @@ def test_long_runs_take_linear_time(text):
         ("her ssn 123-45-6789", "ssn"),
         ('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "secret"),
         ("call 555-123-4567", "phone_local"),
+        ("Please call 555-123-4567.", "phone_local"),
+        ("cell 555.123.4567.", "phone_local"),
+        ("phone: 020 7946 0958. Thanks", "phone_local"),
+        ("tel.020 7946 0958", "phone_local"),
+        ("token=0123456789abcdef0123456789abcdef", "secret"),
+        ("api_key=0123456789abcdef0123456789abcdef", "secret"),
+        ("access_token=0123456789abcdef0123456789abcdef", "secret"),
+        ("ES91 2100 0418 4502 0005 1332 BIC", "iban"),
+        ("BE68 5390 0754 7034 EUR", "iban"),
+        ("AT61 1904 3002 3457 3201 BI", "iban"),
+        ("ES91 2100 0418 4502 0005 1332 BANK BIC", "iban"),
+        ("AB12 CODE WXYZ ES91 2100 0418 4502 0005 1332", "iban"),
     ],
 )
 def test_more_kinds(text, kind):
     assert [k for k, *_ in pii.find(text)[1]] == [kind]
 
 
+@pytest.mark.parametrize(
+    "text, clean",
+    [
+        ("Please call 555-123-4567.", "Please call <phone_local>."),
+        ("phone: 020 7946 0958. Thanks", "phone: <phone_local>. Thanks"),
+        ("token=0123456789abcdef0123456789abcdef", "token=<secret>"),
+        ("ES91 2100 0418 4502 0005 1332 BANK BIC", "<iban> BANK BIC"),
+        ("BE68 5390 0754 7034 EUR", "<iban> EUR"),
+    ],
+)
+def test_nothing_of_a_span_is_left(text, clean):
+    assert pii.redact(text) == clean
+
+
 @pytest.mark.parametrize(
     "text",
     ["DE88 3704 0044 0532 0130 00", "000-12-3456", "order 123-45-6789", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "in 1990-12-24 and 555-123-4567"],
