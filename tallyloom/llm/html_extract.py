@@ -12,7 +12,9 @@ these names alone, training pages are also rewritten: elements take other names
 menus, notices, forms, sidebars, adverts and reader comments made from other pages' text are put around the article.
 
 White space inside a block, as Unicode has it, becomes one space; blocks without text are none. Null or empty pages have the
-empty text. Repeated rows are extracted each. Without any training page nothing is taken as main text.
+empty text. Repeated rows are extracted each. A page that names no main text is not taught as one without; where no page
+names it, long text outside other parts is the article of the rewritten pages. Without any training page nothing is taken as
+main text.
 """
 
 from __future__ import annotations
@@ -288,14 +290,19 @@ def _padded(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
 
 # ---- training ----------------------------------------------------------------------------------------------------------
 
+# Words of a block that counts as main text where no page names it.
+LONG = 10
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 # Elements and class words that say what they hold.
 MAIN_NAMES = frozenset(("article", "main"))
-OTHER_NAMES = frozenset("nav header footer aside form button select dialog menu head title figure".split())
+OTHER_NAMES = frozenset("nav header footer aside form button select dialog menu head title".split())
 OTHER_WORDS = frozenset(
     ".ad .ads .advert .advertisement .sponsored .banner .promo .nav .navigation .menu .breadcrumb .breadcrumbs .sidebar .widget "
     ".related .footer .header .cookie .consent .notice .alert .popup .modal .newsletter .subscribe .share .social .comment "
     ".comments .reply .replies .discussion .disqus .login .search".split()
 )
+# A word after one of these says what the page has, not what the element is.
+MODIFIERS = frozenset((".has", ".no", ".with", ".without", ".not"))
 # What pages in use call these parts: each entry is an opening element.
 MAIN_FORMS = [
     ("article", ""), ("article", ' class="post"'), ("main", ""), ("main", ' id="main"'), ("div", ' class="content"'), ("div", ' id="content"'),
@@ -314,10 +321,63 @@ FOOTER_FORMS = [("footer", ""), ("div", ' class="footer"'), ("div", ' id="footer
 WRAPPERS = ["", "", '<div id="page">', '<div class="wrapper"><div class="container">', "<div>"]
 
 
+def _elements(path: tuple[str, ...]) -> list[list[str]]:
+    """The open elements, each its name and words, without words after a modifier."""
+    out: list[list[str]] = []
+    before = ""
+    for token in path:
+        if not token.startswith("."):
+            out.append([token])
+        elif out and before not in MODIFIERS:
+            out[-1].append(token)
+        before = token
+    return out
+
+
 def named_label(block: Block) -> bool:
-    """What the elements above a block say: in the article, and in nothing else of a name."""
-    tokens = set(block.path)
-    return bool(tokens & MAIN_NAMES) and not tokens & OTHER_NAMES and not tokens & OTHER_WORDS
+    """What the elements above a block say: in the article or main element, and in nothing of another name there.
+
+    Words count on elements inside it, and outside it on the nearest element with a name that says something; the page's own
+    body never counts. On an article or main element itself only the first word says what it is.
+    """
+    elements = _elements(block.path)
+    at = next((i for i, e in enumerate(elements) if e[0] in MAIN_NAMES), None)
+    if at is None:
+        return False
+    for name, *words in elements[at:]:
+        if name in OTHER_NAMES or OTHER_WORDS.intersection(words[:1] if name in MAIN_NAMES else words):
+            return False
+    outside = [e for e in elements[:at] if e[0] not in ("html", "body")]
+    # A form may hold a whole page.
+    if any(e[0] in OTHER_NAMES and e[0] != "form" for e in outside):
+        return False
+    nearest = next((e for e in reversed(outside) if len(e) > 1), [""])
+    return not OTHER_WORDS.intersection(nearest[1:])
+
+
+def long_blocks(page: list[Block]) -> list[Block]:
+    """Where no page of a table names its main text: long text, hardly linked, in nothing of another name, and its headings."""
+    out: list[Block] = []
+    follows = False
+    for block in reversed(page):
+        inside = [e for e in _elements(block.path) if e[0] not in ("html", "body", "form")]
+        other = any(e[0] in OTHER_NAMES or OTHER_WORDS.intersection(e[1:]) for e in inside)
+        heading = bool(inside) and inside[-1][0] in HEADINGS
+        follows = not other and block.linked < 0.3 and (len(block.text.split()) >= LONG or heading and follows)
+        if follows:
+            out.append(block)
+    return out[::-1]
+
+
+def _body(path: tuple[str, ...]) -> str:
+    """The opening of a page whose body has the words it has in the path: they are above all of a page's blocks alike."""
+    words, own = [], False
+    for token in path:
+        if not token.startswith("."):
+            own = token == "body"
+        elif own:
+            words.append(token[1:])
+    return "<html><body class=\"" + " ".join(words) + '">' if words else "<html><body>"
 
 
 def _wrapped(rng, forms: list[tuple[str, str]], inner: str) -> str:
@@ -325,9 +385,8 @@ def _wrapped(rng, forms: list[tuple[str, str]], inner: str) -> str:
     return f"<{name}{attributes}>{inner}</{name}>"
 
 
-def rewritten(rng, page: list[Block], texts: list[str]) -> tuple[list[Block], list[bool]]:
-    """A page of the same article in another dress, and the labels of its blocks."""
-    main = [b for b in page if named_label(b)]
+def rewritten(rng, main: list[Block], texts: list[str]) -> tuple[list[Block], list[bool]]:
+    """A page of the same article, given by its blocks, in another dress, and the labels of its blocks."""
 
     def some_text(most: int) -> str:
         words = texts[rng.integers(len(texts))].split()
@@ -364,11 +423,11 @@ def rewritten(rng, page: list[Block], texts: list[str]) -> tuple[list[Block], li
         head = html.escape(main[0].text) if main else "x"
         parts.insert(0, f"<header><h2>{some_text(6)}</h2></header><title>{head}</title>")
     tail = _wrapped(rng, FOOTER_FORMS, f"<p>&copy; {some_text(20)}</p>" if rng.random() < 0.5 else f"&copy; {some_text(20)}") if rng.random() < 0.8 else ""
-    wrapper = WRAPPERS[rng.integers(len(WRAPPERS))]
-    before = blocks_of(f"<html><body>{wrapper}" + "".join(parts))
-    whole = blocks_of(f"<html><body>{wrapper}" + "".join(parts) + article.replace(mark, "") + "".join(after) + tail)
+    wrapper = (_body(main[0].path) if main else "<html><body>") + WRAPPERS[rng.integers(len(WRAPPERS))]
+    before = blocks_of(wrapper + "".join(parts))
+    whole = blocks_of(wrapper + "".join(parts) + article.replace(mark, "") + "".join(after) + tail)
     # Blocks of the article are those between the ones before and after it, without what was put inside it.
-    own = blocks_of(f"<html><body>{wrapper}" + article.replace(mark, ""))
+    own = blocks_of(wrapper + article.replace(mark, ""))
     put = [b for piece in inside.split(mark)[1::2] for b in blocks_of(piece)]
     left: dict[str, int] = {}
     for b in put:
@@ -389,8 +448,14 @@ def train(pages: list[str], seed: int = 7) -> Labeller | None:
     texts = [b.text for c in cut for b in c]
     if not texts:
         return None
-    sets = [(c, [named_label(b) for b in c]) for c in cut]
-    sets += [rewritten(rng, c, texts) for c in cut for _ in range(COPIES)]
+    # A page that does not name its main text says nothing of what is main: it only gives text for the others.
+    sets = [(c, labels) for c, labels in ((c, [named_label(b) for b in c]) for c in cut) if any(labels)]
+    articles = [[b for b, label in zip(c, labels, strict=True) if label] for c, labels in sets]
+    if not articles:
+        articles = [a for a in map(long_blocks, cut) if a]
+    if not articles:
+        return None
+    sets += [rewritten(rng, a, texts) for a in articles for _ in range(COPIES)]
     f = features_of([c for c, _ in sets])
     target = np.array([x for _, labels in sets for x in labels], np.float32)
     sizes = np.array([len(c) for c, _ in sets], np.int64)
@@ -444,11 +509,12 @@ def _subset(f: Features, rows: np.ndarray) -> Features:
 
 
 def fitted(pages: DataFrame, most: int = SAMPLE) -> Labeller | None:
-    """A labeller trained on a bounded sample: the pages with the smallest hashes."""
+    """A labeller trained on a bounded sample: the pages with the smallest hashes, those that name their main text first."""
     keyed = pages.where("html IS NOT NULL").withColumn("__h", F.xxhash64(F.lit("pages"), "page_id", "url", "html"))
+    keyed = keyed.withColumn("__other", ~F.col("html").rlike("(?i)<(article|main)[\\s/>]"))
     # Hashes are ordered first, so only the chosen pages travel.
-    chosen = keyed.select("__h").orderBy("__h").limit(most).distinct()
-    found = keyed.select("__h", "html").join(F.broadcast(chosen), "__h").orderBy("__h").limit(most).collect()
+    chosen = keyed.select("__other", "__h").orderBy("__other", "__h").limit(most).distinct()
+    found = keyed.select("__other", "__h", "html").join(F.broadcast(chosen), ["__other", "__h"]).orderBy("__other", "__h").limit(most).collect()
     return train([r.html for r in found])
 
 

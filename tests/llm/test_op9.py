@@ -52,6 +52,68 @@ def test_other_templates(net, main, form):
     assert text_of(net, page) == ["Thand inthe ered", *PARAGRAPHS]
 
 
+def labels_of(page):
+    return [H.named_label(b) for b in H.blocks_of(page)]
+
+
+@pytest.mark.parametrize(
+    "page, labels",
+    [
+        ("<body class='has-sidebar'><article><p>a</p></article><div class='sidebar'>b</div></body>", [True, False]),
+        ("<body><article class='post no-share'><p>a</p><div class='share'>b</div></article></body>", [True, False]),
+        ("<body><div class='sidebar'><article><p>a</p></article></div></body>", [False]),
+        ("<body class='search'><div class='menu'><div class='page'><main><p>a</p></main></div></div></body>", [True]),
+        ("<article><figure><p>a</p><figcaption>b</figcaption></figure><article class='comment depth-1'>c</article></article>", [True, True, False]),
+        ("<form><main class='post comments-open'>a</main></form><aside><article>b</article></aside>", [True, False]),
+    ],
+)
+def test_labels(page, labels):
+    assert labels_of(page) == labels
+
+
+def mixed_pages(templates):
+    """Pages of three templates, one a div of the site's own class names, one with figures, and their main texts."""
+    rng = np.random.default_rng(11)
+    stems = ["ond", "than", "ered", "hae", "whe", "ertio", "inth", "forn", "sel", "quar", "mist", "bole"]
+    pages, wanted = [], []
+
+    def words(n):
+        return " ".join(stems[rng.integers(12)] + stems[rng.integers(12)] for _ in range(n))
+
+    for i in range(90):
+        blocks = [f"{words(4)}", *(words(12 + rng.integers(20)) + "." for _ in range(3 + rng.integers(4)))]
+        body = "<h1>{}</h1>".format(blocks[0]) + "".join(f"<p>{b}</p>" for b in blocks[1:])
+        kind = templates[i % len(templates)]
+        if kind == 0:
+            body = f'<div class="zq-region"><div class="zq-pane">{body}</div></div>'
+        elif kind == 1:
+            caption = words(9) + "."
+            body = f"<article>{body}<figure><img src=x><figcaption>{caption}</figcaption></figure></article>"
+            blocks.append(caption)
+        else:
+            body = f"<article>{body}</article>"
+        menu = "".join(f'<li><a href="/">{words(1)}</a></li>' for _ in range(4))
+        foot = f"<footer><p>&copy; {words(3)}</p></footer>"
+        pages.append(f'<html><body class="has-sidebar"><nav><ul>{menu}</ul></nav>{body}<aside class="sidebar"><p>{words(6)}</p></aside>{foot}</body></html>')
+        wanted.append(blocks)
+    return pages, wanted
+
+
+@pytest.mark.parametrize("templates", [(0, 1, 2), (0,)])
+def test_a_template_without_article_is_not_empty(spark, templates):
+    """All three templates, and a table whose pages all lack the elements that name their main text."""
+    pages, wanted = mixed_pages(templates)
+    rows = [(i, "u", p) for i, p in enumerate(pages)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in H.extracted(spark, table, H.fitted(table)).collect()}
+    for k in templates:
+        own = [i for i, *_ in rows if templates[i % len(templates)] == k]
+        found = sum(len(set(got[i]) & set(wanted[i])) for i in own)
+        false = sum(len(set(got[i]) - set(wanted[i]) - {""}) for i in own)
+        assert found >= 0.95 * sum(len(wanted[i]) for i in own), k
+        assert false <= 0.05 * found, k
+
+
 def test_blocks():
     page = "<!-- a <p> --><script>var x='</p><p>no';</script><p>one <b>two<br>three</b>&amp;&nbsp;four<p>five <a href=x>six</a></p></p><ul><li>a<li>b</ul>tail<style>p{}</style>"
     got = H.blocks_of(page)
