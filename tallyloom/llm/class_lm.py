@@ -1,15 +1,17 @@
 """Language-model scoring with a Brown class-based bigram model.
 
-``log P(text)`` sums, over its words and one end, ``P(class | class before) * P(unit | class) * P(word | unit)``. A unit is
-one of the most frequent training words, or all other words that share a hashed ending; the end is a unit of its own and
-stands before the first word too. Exchange clustering assigns the units to classes: each round counts, over all training
-text, the classes beside every unit, and moves units to the class that raises the likelihood of the class bigrams most; a
-round that lowers it is taken back. So every word has a class, also one never seen.
+``log P(text)`` sums, over its words and one end, ``P(class | class before) * P(word | class)``; the end stands before the
+first word too. Every training word has a class of its own. First, exchange clustering assigns units: the most frequent
+words, each alone, and all other words by a hashed ending. Each round counts the classes beside every unit and moves units to
+the class that raises the likelihood of the class bigrams most, a third of them at a time, until no third raises it; a round
+that lowers it is taken back. Then the frequent words stand, and every other training word goes to the class that raises the
+likelihood most, by the classes beside it in all training text, in rounds until the likelihood rises by less than
+``SETTLED`` of itself. Endings stay for words that training has not seen: those share the class of their ending.
 
 The texts are cut into words once and written as chunks: the distinct words of a chunk and codes into them. Word counts cover
 the whole training vocabulary and are joined with the chunks' distinct words, not with every occurrence; nothing that grows
-with the corpus is broadcast or collected. What is sent to the driver is bounded by the model: ``WORDS + ENDINGS + 1`` units
-times ``CLASSES``.
+with the corpus is broadcast or collected. Classes of words travel as their counts do. What is sent to the driver is bounded
+by the model: ``WORDS + ENDINGS + 1`` units times ``CLASSES``.
 
 Null text counts as empty: one token, the end. Repeated rows are scored each and count in training each. A missing id counts
 as the empty text when it is dealt to training.
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import secrets
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,8 @@ from .common import short_batches, slices, split_words
 WORDS, ENDINGS, ENDING_BYTES = 2048, 2048, 3
 UNITS = 1 + WORDS + ENDINGS
 CLASSES = 48
-ROUNDS = 6
+# Rounds end when the likelihood rises by less than this share of itself.
+SETTLED = 1e-4
 # Units are moved in turns, so that neighbours do not move at once.
 TURNS = 3
 # Added to every count of a word or unit; weight of the class shares in class transitions.
@@ -131,14 +134,14 @@ def units_of(words: pa.Array, frequent: pa.Array) -> np.ndarray:
     return np.where(at >= 0, 1 + at, rare)
 
 
-def _sequence(units: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sequence(units: np.ndarray, codes: np.ndarray, sizes: np.ndarray, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Units of the texts one after the other, an end before the first and after each, and the places of those ends."""
     ends = np.cumsum(sizes + 1)
-    out = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int64)
+    out = np.full(int(ends[-1]) + 1 if len(ends) else 1, end, np.int64)
     place = np.ones(len(out), bool)
     place[0] = False
     place[ends] = False
-    out[place] = units[codes] if len(codes) else 0
+    out[place] = units[codes] if len(codes) else end
     return out, ends
 
 
@@ -232,17 +235,175 @@ def exchanged(left: np.ndarray, right: np.ndarray, own: np.ndarray, classes: np.
 
 @dataclass
 class ClassModel:
-    """The bounded part of the model; counts of single words are joined, not held."""
+    """The bounded part of the model; counts and classes of single words are joined, not held."""
 
     frequent: pa.Array
     classes: np.ndarray
     log_transition: np.ndarray
     log_unit: np.ndarray
-    unit_total: np.ndarray
-    unit_words: np.ndarray
+    # Per class, what a word's or an unseen ending's count is divided by.
+    log_size: np.ndarray
     train_tokens: int
     vocabulary: int
+    end_count: int
+    # Likelihoods of the rounds of units, and of the rounds of words after them.
     rounds: list[float]
+    word_rounds: list[float]
+    # ``word, n, class``: the training words that are not frequent, with the class each has.
+    words: DataFrame | None = None
+
+
+def _unit_classes(spark: SparkSession, bigrams: DataFrame, total: np.ndarray) -> tuple[np.ndarray, list[float]]:
+    """Exchange of units until no third of them raises the likelihood."""
+    own = _own(bigrams)
+    # Frequent units are dealt to the classes in turn.
+    classes = np.zeros(UNITS, np.int64)
+    order = np.argsort(-total, kind="stable")
+    classes[order] = np.arange(UNITS) % CLASSES
+    left, right = _beside(spark, bigrams, classes)
+    best = likelihood(_table(right, classes))
+    rounds, still, k = [best], 0, 0
+    while still < TURNS:
+        movers = [int(u) for u in order if u % TURNS == k % TURNS and total[u] > 0]
+        after = exchanged(left, right, own, classes, np.array(movers, np.int64))
+        beside = _beside(spark, bigrams, after)
+        value = likelihood(_table(beside[1], after))
+        rounds.append(value)
+        still = still + 1 if value - best <= SETTLED * abs(best) else 0
+        if value > best:
+            best, classes, (left, right) = value, after, beside
+        k += 1
+    return classes, rounds
+
+
+# Pairs of a side and a class; a word's contexts are packed as such a pair and a count, both of four bytes.
+SIDES = 2 * CLASSES
+
+
+def _word_classes(row: dict, units: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Classes of a chunk's distinct words: their own where training gave one, else those of their units."""
+    own = classes[units]
+    if "classes" not in row or not row["classes"].is_valid:
+        return own
+    given = row["classes"].values.to_numpy(zero_copy_only=False)
+    return np.where((units > WORDS) & (given >= 0), given, own)
+
+
+def contexts(table: DataFrame, frequent: pa.Array, classes: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """``word, packed``: per chunk, the classes beside each training word that is not frequent, written; and the class bigrams.
+
+    The class bigrams come as rows without a word, one a task.
+    """
+    sent = table.sparkSession.sparkContext.broadcast((frequent, classes))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, classes = sent.value
+        m = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            for row, codes, sizes, train in _rows(batch):
+                words = row["words"].values
+                units = units_of(words, frequent)
+                of = np.append(_word_classes(row, units, classes), classes[0])
+                codes, sizes = codes[np.repeat(train, sizes)], sizes[train]
+                seq, _ = _sequence(np.arange(len(words)), codes, sizes, len(words))
+                c = of[seq]
+                m += np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
+                rare = np.append(units > WORDS, False)[seq]
+                at = np.flatnonzero(rare)
+                key = np.concatenate([seq[at] * SIDES + c[at - 1], seq[at] * SIDES + CLASSES + c[at + 1]])
+                pair, n = np.unique(key, return_counts=True)
+                word = pair // SIDES
+                first = np.flatnonzero(np.diff(word, prepend=-1))
+                flat = np.stack([pair % SIDES, n], 1).astype("<i4")
+                offsets = pa.array(np.append(first, len(word)) * 8, pa.int32())
+                packed = pa.Array.from_buffers(pa.binary(), len(first), [None, offsets.buffers()[1], pa.py_buffer(flat.tobytes())])
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(word[first])), packed], names=["word", "packed"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([m.astype("<i8").tobytes()], pa.binary())], names=["word", "packed"])
+
+    with short_batches(table.sparkSession, 1):
+        found = settle(table.mapInArrow(work, "word string, packed binary"), "contexts")
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                m += np.frombuffer(x, "<i8")
+        seen = np.flatnonzero(m)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(m[seen])], names=["pair", "n"])
+
+    sums = found.where("word IS NULL").select("packed").mapInArrow(added, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    m = np.zeros(CLASSES * CLASSES)
+    m[sums["pair"].to_numpy()] = sums["n"].to_numpy()
+    return found.where("word IS NOT NULL"), m.reshape(CLASSES, CLASSES)
+
+
+def gains(left: np.ndarray, right: np.ndarray, own: np.ndarray, m: np.ndarray, known: dict | None = None) -> np.ndarray:
+    """The class that raises the likelihood most, of each word alone: per word the classes before and after it, and its class.
+
+    ``known`` keeps the answers for words that occur once, ``CLASSES ** 3`` at most.
+    """
+    known = {} if known is None else known
+    once = right.sum(1) == 1
+    before, after = left.argmax(1), right.argmax(1)
+    diag = np.arange(CLASSES)
+    out = np.zeros(len(own), np.int64)
+    for u, a in enumerate(own):
+        key = (int(a), int(before[u]), int(after[u])) if once[u] else None
+        if key in known:
+            out[u] = known[key]
+            continue
+        r, l = right[u], left[u]
+        base = m.copy()
+        base[a] -= r
+        base[:, a] -= l
+        base = np.maximum(base, 0)
+        # Only the classes beside the word change a term.
+        gain = np.zeros(CLASSES)
+        some = np.flatnonzero(r)
+        gain += (_f(base[:, some] + r[some]) - _f(base[:, some])).sum(1)
+        some = np.flatnonzero(l)
+        gain += (_f(base[some] + l[some, None]) - _f(base[some])).sum(0)
+        d = base[diag, diag]
+        gain += _f(d + r + l) - _f(d + r) - _f(d + l) + _f(d)
+        rows, cols = base.sum(1), base.sum(0)
+        gain -= _f(rows + r.sum()) - _f(rows) + _f(cols + l.sum()) - _f(cols)
+        out[u] = int(np.argmax(gain)) if gain.max() > gain[a] else a
+        if key:
+            known[key] = out[u]
+    return out
+
+
+def moved(found: DataFrame, words: DataFrame, m: np.ndarray) -> DataFrame:
+    """``word, n, class``: each word in the class of greatest gain, chosen in the tasks, written."""
+    sent = found.sparkSession.sparkContext.broadcast(m)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in batches:
+            parts = batch.column(3)
+            beside = np.zeros((batch.num_rows, SIDES))
+            ends = parts.offsets.to_numpy()
+            of = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            for i, x in zip(of.tolist(), parts.flatten().to_pylist(), strict=True):
+                pair = np.frombuffer(x, "<i4").reshape(-1, 2)
+                beside[i, pair[:, 0]] += pair[:, 1]
+            own = batch.column(2).to_numpy()
+            best = gains(beside[:, :CLASSES], beside[:, CLASSES:], own, sent.value, known)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best.astype(np.int32))], names=["word", "n", "class"])
+
+    lists = found.groupBy("word").agg(F.collect_list("packed").alias("parts"))
+    with short_batches(found.sparkSession, 4000):
+        return settle(words.join(lists, "word").select("word", "n", "class", "parts").mapInArrow(work, "word string, n bigint, class int"), "classes")
+
+
+def answered(table: DataFrame, words: DataFrame) -> DataFrame:
+    """The chunks with the counts and classes of their distinct words; a word that is not there has count 0 and class -1."""
+    asked = table.select("chunk", F.posexplode("words").alias("i", "word")).join(words, "word", "left")
+    known = F.struct("i", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(-1)).cast("short").alias("class"))
+    answers = asked.groupBy("chunk").agg(F.sort_array(F.collect_list(known)).alias("a"))
+    answers = answers.select("chunk", F.col("a.n").alias("counts"), F.col("a.class").alias("classes"))
+    # A chunk whose texts have no words asks for nothing.
+    return table.join(answers, "chunk", "left")
 
 
 def fit(spark: SparkSession, table: DataFrame, counts: DataFrame) -> ClassModel:
@@ -260,65 +421,72 @@ def fit(spark: SparkSession, table: DataFrame, counts: DataFrame) -> ClassModel:
 
     sums = counts.mapInArrow(work, "unit bigint, n bigint, words bigint").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     got = sums.toArrow()
-    total, words = np.zeros(UNITS), np.zeros(UNITS)
+    total, kinds = np.zeros(UNITS), np.zeros(UNITS)
     total[got["unit"].to_numpy()] = got["n"].to_numpy()
-    words[got["unit"].to_numpy()] = got["words"].to_numpy()
+    kinds[got["unit"].to_numpy()] = got["words"].to_numpy()
 
-    bigrams = unit_bigrams(table, frequent)
-    own = _own(bigrams)
-    # Frequent units are dealt to the classes in turn.
-    classes = np.zeros(UNITS, np.int64)
-    order = np.argsort(-total, kind="stable")
-    classes[order] = np.arange(UNITS) % CLASSES
-    best, rounds = None, []
-    for k in range(ROUNDS):
-        left, right = _beside(spark, bigrams, classes)
-        value = likelihood(_table(right, classes))
-        rounds.append(value)
-        if best is None or value > best[0]:
-            best = (value, classes, left, right)
-        _, kept, left, right = best
-        movers = [int(u) for u in order if u % TURNS == k % TURNS and total[u] > 0]
-        classes = exchanged(left, right, own, kept, np.array(movers, np.int64))
-    left, right = _beside(spark, bigrams, classes)
-    rounds.append(likelihood(_table(right, classes)))
-    if best is not None and rounds[-1] < best[0]:
-        classes, right = best[1], best[3]
-    m = _table(right, classes)
-    size = np.bincount(classes, weights=total, minlength=CLASSES)
+    classes, rounds = _unit_classes(spark, unit_bigrams(table, frequent), total)
+    given = spark.sparkContext.broadcast(classes)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = units_of(batch.column(0), sent.value)
+            own = np.where(unit > WORDS, given.value[unit], -1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own)], names=["word", "n", "class"])
+
+    rest = counts.where(F.col("word") != END).mapInArrow(first, "word string, n bigint, class int").where("class >= 0")
+    words = settle(rest, "classes")
+    found, m = contexts(table, frequent, classes)
+    word_rounds = [likelihood(m)]
+    while kinds[1 + WORDS :].any():
+        after = moved(found, words, m)
+        found, m_after = contexts(answered(table, after), frequent, classes)
+        word_rounds.append(likelihood(m_after))
+        gain = word_rounds[-1] - word_rounds[-2]
+        if gain > 0:
+            words, m = after, m_after
+        if gain <= SETTLED * abs(word_rounds[-2]):
+            break
+
+    size = np.bincount(classes[: 1 + WORDS], weights=total[: 1 + WORDS], minlength=CLASSES)
+    # Members of a class: its units, of which endings stand for words never seen, and its training words.
+    members = np.bincount(classes, minlength=CLASSES).astype(float)
+    for r in words.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+        size[r["class"]] += r["n"]
+        members[r["class"]] += r["kinds"]
     share = (size + 1) / (size.sum() + CLASSES)
     transition = (m + TRANSITION_PRIOR * share) / (m.sum(1, keepdims=True) + TRANSITION_PRIOR)
-    members = np.bincount(classes, minlength=CLASSES)
-    unit = (total + ADDED) / (size + ADDED * members)[classes]
-    return ClassModel(frequent, classes, np.log10(transition), np.log10(unit), total, words, int(total.sum()), int(words.sum()), rounds)
+    log_size = np.log10(size + ADDED * members)
+    alone = np.where(np.arange(UNITS) > WORDS, 0, total)
+    log_unit = np.log10(alone + ADDED) - log_size[classes]
+    return ClassModel(frequent, classes, np.log10(transition), log_unit, log_size, int(total.sum()), int(kinds.sum()), int(total[0]), rounds, word_rounds, words)
 
 
 def scored(spark: SparkSession, table: DataFrame, counts: DataFrame, model: ClassModel) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity`` of every text."""
+    words, model = model.words, replace(model, words=None)
     sent = spark.sparkContext.broadcast(model)
-    end_count = model.unit_total[0]
-    asked = table.select("chunk", F.posexplode("words").alias("i", "word")).join(counts, "word", "left")
-    answers = asked.groupBy("chunk").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: x["n"]).alias("counts")
-    )
-    # A chunk whose texts have no words asks for nothing.
-    joined = table.join(answers, "chunk", "left")
+    frequent = counts.join(words, "word", "left_anti").where(F.col("word") != END)
+    joined = answered(table, words.unionByName(frequent.withColumn("class", F.lit(-1))))
     kind = table.schema["ids"].dataType.elementType.simpleString()
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
+        end_count = model.end_count
         base_all = np.log10(model.train_tokens + 0.5 * (model.vocabulary + 1))
         for batch in batches:
             for row, codes, sizes, train in _rows(batch):
                 words = row["words"].values
                 n = np.zeros(0) if not row["counts"].is_valid else row["counts"].values.to_numpy(zero_copy_only=False).astype(np.float64)
                 unit = units_of(words, model.frequent)
-                inside = np.where(
-                    unit > WORDS, np.log10(n + ADDED) - np.log10(model.unit_total[unit] + ADDED * (model.unit_words[unit] + 1)), 0.0
-                ) if len(unit) else np.zeros(0)
-                seq, ends = _sequence(unit, codes, sizes)
-                step = model.log_transition[model.classes[seq[:-1]], model.classes[seq[1:]]] + model.log_unit[seq[1:]]
+                of = _word_classes(row, unit, model.classes)
+                # The end is one more code.
+                own = np.append(np.where(unit > WORDS, np.log10(n + ADDED) - model.log_size[of], model.log_unit[unit]), model.log_unit[0])
+                of = np.append(of, model.classes[0])
+                seq, ends = _sequence(np.arange(len(words)), codes, sizes, len(words))
+                c = of[seq]
+                step = model.log_transition[c[:-1], c[1:]] + own[seq[1:]]
                 start = ends - sizes - 1  # of each text in the steps
 
                 def per_text(values: np.ndarray, sizes=sizes) -> np.ndarray:
@@ -327,7 +495,7 @@ def scored(spark: SparkSession, table: DataFrame, counts: DataFrame, model: Clas
                     return running[at[1:]] - running[at[:-1]]
 
                 running = np.concatenate([[0], np.cumsum(step)])
-                score = running[ends] - running[start] + per_text(inside[codes])
+                score = running[ends] - running[start]
                 known = per_text((n[codes] > 0).astype(np.int64)) + (end_count > 0)
                 tokens = sizes + 1
                 base = per_text(np.log10(n + 0.5)[codes]) + np.log10(end_count + 0.5) - tokens * base_all

@@ -100,3 +100,22 @@ def test_exchange_raises_the_likelihood():
     after = class_lm.likelihood(class_lm._table(beside(classes)[1], classes))
     assert after > before
     assert not set(classes[0:12:2]) & set(classes[1:12:2])
+
+
+def test_words_outside_the_frequent_ones_get_classes_of_their_own(spark, docs):
+    """Rare words that share an ending but stand in other places part; every round of words raises the likelihood or is the last."""
+    rng = np.random.default_rng(5)
+    nouns, verbs = [f"n{i:02d}same" for i in range(20)], [f"v{i:02d}same" for i in range(20)]
+    # As many nouns and verbs beside these, each more frequent, as fill the frequent words.
+    half = class_lm.WORDS // 2 - 1
+    texts = [" ".join(f"the a{i} will b{j}" for i, j in zip(rng.permutation(half), rng.permutation(half), strict=True)) for _ in range(40)]
+    texts += [" ".join(f"the {rng.choice(nouns)} will {rng.choice(verbs)}" for _ in range(30)) for _ in range(10)]
+    table = class_lm.chunks(docs(list(enumerate(texts))).withColumn("train", F.lit(True)), "train")
+    counts = class_lm.word_counts(table)
+    model = class_lm.fit(spark, table, counts)
+    found = {r.word: r["class"] for r in model.words.collect()}
+    assert set(found) == {*nouns, *verbs}
+    assert not {found[w] for w in nouns} & {found[w] for w in verbs}
+    assert all(b > a for a, b in zip(model.word_rounds, model.word_rounds[1:-1]))
+    inside = sum((r.n + class_lm.ADDED) * 10.0 ** -model.log_size[r["class"]] for r in model.words.collect())
+    assert inside + (10.0**model.log_unit).sum() == pytest.approx(len(set(model.classes) | set(found.values())))
