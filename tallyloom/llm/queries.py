@@ -1,4 +1,4 @@
-"""Queries of the ten operators, each over its whole table with production parameters, and their SQL where SQL can say it."""
+"""Queries of the operators, each over its whole table with production parameters, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, class_lm, embedding_dedup, fingerprints, html_extract, mixing, near_dedup, pii, token_counts, toxicity
+from . import (
+    bpe,
+    centroid_clusters,
+    class_lm,
+    embedding_dedup,
+    fingerprints,
+    html_extract,
+    mixing,
+    near_dedup,
+    pii,
+    quality_rules,
+    spelling_trie,
+    token_counts,
+    toxicity,
+)
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +102,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     edits = token_counts.sample_edits(F.col("text"))
     return token_counts.counted(spark, docs, "doc_id", edits, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+@query("op11_quality_rules")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(documents(spark, sf_dir), table(spark, sf_dir, "labels"), "doc_id", fold(F.col("doc_id")) != 0)
+
+
+@query("op12_centroid_clusters", centroid_clusters.oracle(k=8, rounds=10, size=64, scale=1024, seed=3))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return centroid_clusters.clusters(vectors, "vec_id", "embedding", k=8, rounds=10, size=64, scale=1024, seed=3)
+
+
+@query("op13_spelling_variants", spelling_trie.oracle(every=199, shortest=6, rarest=5, times=5))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_trie.variants(documents(spark, sf_dir), "doc_id", "text", every=199, shortest=6, rarest=5, times=5)
