@@ -14,6 +14,7 @@ again from its last step.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -21,11 +22,12 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_of
+from .common import slices, text_of, tidied
 
 # Rows that one recursion may make, bytes of a long piece, pieces handled together, and encodings a worker remembers.
 RECURSION_ROWS = 4_000_000
@@ -208,9 +210,73 @@ def _codec(key: str, tokens: list[bytes], merges: pa.Table) -> Codec:
     return _codecs[key]
 
 
+# Classes whose members depend on the Unicode version of whoever reads the pattern.
+CLASSES = ("\\p{L}", "\\p{N}", "\\s")
+SURROGATES = (0xD800, 0xE000)
+
+
+def _ranges(points: np.ndarray) -> str:
+    """Code points as ranges of a character class."""
+    if not len(points):
+        return ""
+    cuts = np.flatnonzero(np.diff(points) > 1)
+    firsts, lasts = points[np.append(0, cuts + 1)], points[np.append(cuts, len(points) - 1)]
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True))
+
+
+@functools.cache
+def library_members(name: str) -> np.ndarray:
+    """The code points that the tokenizer library counts to a class: what a pattern of that class alone finds among all."""
+    every = "".join(map(chr, (*range(SURROGATES[0]), *range(SURROGATES[1], 0x110000))))
+    bytes_only = {bytes([b]): b for b in range(256)}
+    reader = tiktoken.Encoding(name="class", pat_str=name, mergeable_ranks=bytes_only, special_tokens={})
+    return np.array([ord(c) for c in reader.decode(reader.encode_ordinary(every))], np.int64)
+
+
+def session_members(spark: SparkSession) -> dict[str, np.ndarray]:
+    """The code points that the session's Java counts to each class; the table has one row per code point."""
+    points = spark.range(0x110000).where(~F.col("id").between(SURROGATES[0], SURROGATES[1] - 1))
+    char = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    found = points.select("id", *[char.rlike(f"(?U)^{name}\\z").alias(f"c{i}") for i, name in enumerate(CLASSES)]).where("c0 OR c1 OR c2").toArrow()
+    return {name: np.sort(found["id"].filter(found[f"c{i}"]).to_numpy()) for i, name in enumerate(CLASSES)}
+
+
+_patterns: dict[tuple[str, str], str] = {}
+
+
+def session_pattern(spark: SparkSession, pattern: str) -> str:
+    """The pattern for the session's Java with the classes of the tokenizer library, whatever Unicode versions they know.
+
+    Code points that only the library counts to a class are written behind it; a class that has too many in Java is written
+    out as ranges.
+    """
+    key = (spark.sparkContext.applicationId, pattern)
+    if key in _patterns:
+        return _patterns[key]
+    members = session_members(spark)
+    written = {}
+    for name in CLASSES:
+        theirs, ours = library_members(name), members[name]
+        written[name] = _ranges(theirs) if len(np.setdiff1d(ours, theirs)) else name + _ranges(np.setdiff1d(theirs, ours))
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        name = next((c for c in CLASSES if pattern.startswith(c, i)), None)
+        if name:
+            out.append(written[name] if inside else f"[{written[name]}]")
+            i += len(name)
+            continue
+        step = 2 if pattern[i] == "\\" else 1
+        inside = {"[": True, "]": False}.get(pattern[i], inside) if step == 1 else inside
+        out.append(pattern[i : i + step])
+        i += step
+    _patterns[key] = "(?U)" + "".join(out)
+    return _patterns[key]
+
+
 def with_pieces(rows: DataFrame, pattern: str, text: str = "text") -> DataFrame:
-    """Rows with ``pieces``, the matches of the pattern in the whole text; classes and white space as Unicode has them."""
-    return rows.withColumn("pieces", F.regexp_extract_all(text_of(F.col(text)), F.lit("(?U)" + pattern), F.lit(0)))
+    """Rows with ``pieces``, the matches of the pattern in the whole text, its classes as the tokenizer library has them."""
+    own = session_pattern(rows.sparkSession, pattern)
+    return rows.withColumn("pieces", F.regexp_extract_all(text_of(F.col(text)), F.lit(own), F.lit(0)))
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.Array, np.ndarray]]:
@@ -264,4 +330,4 @@ def encode(spark: SparkSession, rows: DataFrame, keep: list[str], path: str, pat
                 new = made(ids, ends, codec.decode(ids, ends) if decode else [])
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), *new], names=[*keep, *columns])
 
-    return given.mapInArrow(work, schema)
+    return given.mapInArrow(tidied(work), schema)

@@ -57,3 +57,18 @@ def test_recursion_is_taken_up_again(spark, docs, reference, monkeypatch):
 
 def test_empty(spark, docs):
     assert bpe.encode(spark, docs([]), ["doc_id"], PATH, public_tokenizers.PATTERN, ["n_tokens"]).collect() == []
+
+
+def test_every_code_point_has_the_ids_of_the_library(spark, docs, reference):
+    """Each code point alone, doubled, and between letters, digits and spaces; many of them to a text."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)} {chr(c)}1{chr(c)}{chr(c)}. " for c in points[i : i + 4000]) for i in range(0, len(points), 4000)]
+    got = bpe.encode(spark, docs(list(enumerate(texts))).repartition(8), ["doc_id"], public_tokenizers.path(RANKS), public_tokenizers.PATTERN, ["ids"])
+    for r in got.toLocalIterator():
+        assert r["ids"] == reference.encode_ordinary(texts[r.doc_id]), hex(points[r.doc_id * 4000])
+
+
+def test_a_class_with_too_many_members_is_written_out(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "library_members", lambda name: np.array({"\\p{L}": [97, 98, 99], "\\p{N}": [49], "\\s": [32]}[name]))
+    monkeypatch.setattr(bpe, "_patterns", {})
+    assert bpe.session_pattern(spark, r"\p{L}+|[^\s\p{N}]\[") == "(?U)[\\x{61}-\\x{63}]+|[^\\x{20}-\\x{20}\\x{31}-\\x{31}]\\["
