@@ -23,10 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, split_words
+from ..session import settle
+from .common import give_back, slices, split_words, tidied
 
 # Labelled texts of each class that training may use, and how they are used.
 SAMPLE = 1500
+SAMPLE_BYTES = 16_000_000
 # Rounds of training and steps of each; after a round the windows that score highest are trained on.
 ROUNDS, STEPS = 4, 48
 # Parts of the training texts; each is read with the log-odds of the others.
@@ -386,15 +388,30 @@ def _calibrated(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(a / spread), float(b - a * centre / spread)
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """At most ``most`` labelled texts of each class, by the hash of the id; a bounded set, as training needs it."""
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
+    """At most ``most`` labelled texts and ``most_bytes`` of each class, by the hash of the id; training needs a bounded set.
+
+    Labels meet the documents' ids before anything is cut, so labels of other documents take no place. A text that would
+    pass the bytes is left out for the next smaller one.
+    """
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    keyed = marked.withColumn("__h", F.xxhash64(F.lit("toxicity"), "doc_id"))
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("text").alias("__t"))
+    met = settle(sizes.join(marked, "doc_id").withColumn("__h", F.xxhash64(F.lit("toxicity"), "doc_id")), "labelled")
     texts, classes = [], []
     for toxic in (1, 0):
-        chosen = keyed.where((F.col("toxic") > 0) == bool(toxic)).orderBy("__h", "doc_id").limit(most).select("doc_id", "__h")
-        found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("__h", "doc_id", F.xxhash64("text")).limit(most).collect()
-        texts += [r.text or "" for r in found]
+        of = met.where((F.col("toxic") > 0) == bool(toxic)).orderBy("__h", "doc_id", "__t").limit(most).select("doc_id", "__t", "size").collect()
+        room, chosen = most_bytes, []
+        for r in of:
+            if r["size"] <= room:
+                room -= r["size"]
+                chosen.append((r["doc_id"], r["__t"], len(chosen)))
+        if not chosen:
+            continue
+        # Repeated rows are one each.
+        named = docs.sparkSession.createDataFrame(chosen, met.select("doc_id", "__t").schema.add("__at", "integer")).dropDuplicates(["doc_id", "__t"])
+        found = docs.select("doc_id", "text", F.xxhash64("text").alias("__t")).join(F.broadcast(named), ["doc_id", "__t"])
+        found = found.groupBy("__at").agg(F.first("text", ignorenulls=True).alias("text")).collect()
+        texts += [r["text"] or "" for r in sorted(found, key=lambda r: r["__at"])]
         classes += [toxic] * len(found)
     # Interleave the classes, so that every fifth text is a fair sample.
     order = sorted(range(len(texts)), key=lambda i: (i if i < classes.count(1) else i - classes.count(1), classes[i]))
@@ -402,7 +419,9 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Network | None:
-    return train(*sample(docs, labels, most))
+    net = train(*sample(docs, labels, most))
+    give_back()
+    return net
 
 
 def scored(spark: SparkSession, rows: DataFrame, net: Network | None, keep: list[str], out: str = "score") -> DataFrame:
@@ -423,4 +442,4 @@ def scored(spark: SparkSession, rows: DataFrame, net: Network | None, keep: list
                 columns = [*part.columns[: len(keep)], pa.array(model.probability(texts.slice(a, b - a)).astype(np.float64))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, out])
 
-    return given.mapInArrow(work, rows.select(*keep).schema.add(out, "double"))
+    return given.mapInArrow(tidied(work), rows.select(*keep).schema.add(out, "double"))

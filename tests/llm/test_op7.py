@@ -87,3 +87,15 @@ def test_without_both_classes(spark, docs):
     table = docs([(1, "a"), (2, "b")])
     assert toxicity.fitted(table, labels) is None
     assert [r.score for r in toxicity.scored(spark, table, None, ["doc_id"]).collect()] == [0.0, 0.0]
+
+
+def test_labels_of_other_documents_take_no_place(spark, docs):
+    rows = [(i, f"text {i} {'scum' if i % 2 else 'kind'}") for i in range(200)] + [(7, "again")]
+    given = [(i, i % 2) for i in range(200)] + [(i, i % 2) for i in range(1000, 9000)]
+    labels = spark.createDataFrame(given, "doc_id long, toxic int")
+    texts, classes = toxicity.sample(docs(rows), labels, most=120)
+    assert len(texts) == 201 and sum(classes) == 101 and "again" in texts
+    texts, classes = toxicity.sample(docs(rows), labels, most=30)
+    assert len(texts) == 60 and sum(classes) == 30
+    texts, classes = toxicity.sample(docs([*rows, (9999, "x" * 5000)]), labels.unionAll(spark.createDataFrame([(9999, 1)], labels.schema)), most_bytes=1000)
+    assert max(map(len, texts)) < 100 and sum(map(len, texts)) <= 2000 and len(set(classes)) == 2
