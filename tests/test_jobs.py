@@ -171,7 +171,7 @@ def test_ingest_is_exactly_once(spark):
     for batch in ([(1, "a b")], [(2, "c")], []):
         if batch:
             write_batch(spark, path, batch, shape)
-        Z.run_available(Z.stream_ingest(spark.readStream.schema(shape).parquet(path), make), out, state)
+        Z.stream_ingest(spark, path, spark.createDataFrame([], shape).schema, make, out, state, files_per_batch=1)
     assert sorted((r.id, r.n) for r in spark.read.parquet(out).collect()) == [(1, 2), (2, 1)]
 
 
