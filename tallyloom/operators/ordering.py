@@ -6,12 +6,14 @@ inside their slice. With the seeded key a slice holds about 1/65536 of its group
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.seeded import order_key, slice_of
-from ..session import lookup_join
+from ..session import lookup_join, settle
 
 
 def total_before(
@@ -127,6 +129,23 @@ def prefix_select_all(
     return below.unionByName(edge).drop(*helpers)
 
 
+def key_at(rows: DataFrame, seed: int, key: list[str], place: Callable[[int], int]):
+    """The order key and key columns of the row at a place of the seeded order, or None beyond the last.
+
+    ``place`` gets the number of rows. Counts of the order's slices tell the one slice that holds the place; only the keys of
+    that slice are ordered, about 1/65536 of them.
+    """
+    keyed = rows.select(*key).withColumn("__h", order_key(seed, *key)).withColumn("__slice", slice_of(F.col("__h")))
+    sizes = settle(keyed.groupBy("__slice").agg(F.count("*").alias("__total")), "slices")
+    nth = place(sizes.agg(F.coalesce(F.sum("__total"), F.lit(0)).alias("n")).first().n)
+    starts = sizes.withColumn("__start", F.coalesce(F.sum("__total").over(W.orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    cut = starts.filter(F.col("__start") + F.col("__total") > nth).orderBy("__slice").first()
+    if cut is None or nth < 0:
+        return None
+    inside = keyed.filter(F.col("__slice") == cut["__slice"]).select("__h", *key)
+    return inside.orderBy("__h", *key).offset(nth - cut["__start"]).limit(1).first()
+
+
 def placed_by_id(rows: DataFrame) -> DataFrame:
     """Rows placed by id, over as many partitions as the session's shuffles have.
 

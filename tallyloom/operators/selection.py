@@ -8,17 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions.seeded import hex_int, key_bucket, key_fraction, order_key, slice_of
 from ..session import lookup_join, settle
-from .ordering import per_group_limit, prefix_select, prefix_select_all, seeded_index, total_before
-
-# Up to this many rows per group Spark trims groups inside each task (spark.sql.optimizer.windowGroupLimitThreshold).
-TRIM_LIMIT = 1000
+from .ordering import key_at, per_group_limit, prefix_select, prefix_select_all, seeded_index, total_before
 
 
 def seeded_limit(rows: DataFrame, group: list[str], key: str, k: int, seed: int) -> DataFrame:
     """``k`` rows per group in seeded order, however large a group is."""
-    if k <= TRIM_LIMIT:
-        keyed = rows.withColumn("__h", order_key(seed, *group, key))
-        return per_group_limit(keyed, group, ["__h", key], k, "__rank").drop("__h", "__rank")
     targets = rows.select(*group).distinct().withColumn("target", F.lit(k))
     return prefix_select(rows, targets, group, [key], F.lit(1), seed)
 
@@ -176,8 +170,6 @@ def capped_sample(
     keyed = rows.withColumn(h, order_key(seed, bucket, key))
     capped = per_group_limit(keyed, [bucket, group], [h, key], cap, "__r").drop("__r")
     wanted = int(n * spare + 1e-9)
-    if wanted <= TRIM_LIMIT:
-        return per_group_limit(capped, [bucket], [h, key], wanted, "__r").drop("__r", h)
     targets = rows.select(bucket).distinct().withColumn("target", F.lit(wanted))
     return prefix_select(capped.drop(h), targets, [bucket], [key], F.lit(1), seed)
 
@@ -198,6 +190,20 @@ def positional_split(rows: DataFrame, ratio: float, seed: int, key: list[str]) -
     return indexed.withColumn("is_val", F.col("row_index") >= first_val)
 
 
+def split_at_ratio(rows: DataFrame, ratio: float, seed: int, key: list[str]) -> DataFrame:
+    """``is_val`` for the last (1 - ratio) of the rows in the seeded order, as ``positional_split`` without the index.
+
+    The key at the cut is found from counts; rows are then compared with it where they are, so nothing is numbered or moved.
+    The key must be unique: repeated keys would stay on one side.
+    """
+    cut = key_at(rows, seed, key, lambda n: int(n * ratio))
+    if cut is None:
+        return rows.withColumn("is_val", F.lit(False))
+    at = F.struct(F.lit(cut["__h"]), *[F.lit(cut[c]).cast(rows.schema[c].dataType) for c in key])
+    own = F.struct(order_key(seed, *key), *[F.col(c) for c in key])
+    return rows.withColumn("is_val", own >= at)
+
+
 def split_ratio(n_train: int, n_total: int) -> float:
     """Ratio that gives back exactly ``n_train`` when a trainer truncates ``n_total * ratio``."""
     return (n_train + 0.5) / n_total

@@ -273,6 +273,15 @@ def positional_split(spark, sf):
     return S.positional_split(table(spark, sf, "documents").select(F.col("doc_id").alias("id")), 0.9, SEED, ["id"])
 
 
+@query(
+    "split_at_ratio",
+    f"""WITH i AS (SELECT doc_id AS id, source, row_number() OVER (ORDER BY {md5_sql(SEED, 'doc_id')}, doc_id) - 1 AS row_index FROM documents)
+SELECT id, source, row_index >= CAST(floor((SELECT count(*) FROM documents) * 0.9::DOUBLE) AS BIGINT) AS is_val FROM i""",
+)
+def split_at_ratio(spark, sf):
+    return S.split_at_ratio(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source"), 0.9, SEED, ["id"])
+
+
 @query(
     "shards_to_budget",
     f"""WITH {D}, s AS (SELECT CAST(substr(source, 4) AS INT) AS shard, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS n_rows FROM d GROUP BY 1),

@@ -60,6 +60,27 @@ def read_json_array(spark, sf):
     return V.to_turns(back).select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
 
 
+@query(
+    "read_log_lines",
+    """WITH f AS (SELECT source, regexp_split_to_array(string_agg(replace(coalesce(text, ''), ',', chr(13)) || chr(10), '' ORDER BY doc_id), '\\r\\n|\\r|\\n') AS parts
+ FROM documents GROUP BY source)
+SELECT source, unnest(range(0, len(parts) - 1)) AS line_no, md5(unnest(parts[:len(parts) - 1])) AS value_md5 FROM f""",
+)
+def read_log_lines(spark, sf):
+    """One log per source, in which commas are carriage returns; a split holds 256 KiB."""
+    path = fresh_path(spark, "logs")
+    rows = table(spark, sf, "documents").select("source", "doc_id", F.translate(F.coalesce("text", F.lit("")), ",", "\r").alias("value"))
+    placed = rows.repartition("source").sortWithinPartitions("source", "doc_id")
+    placed.select("source", "value").write.partitionBy("source").text(path)
+    name, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(name, "256k")
+    try:
+        lines = R.read_log_lines(spark, path, "*.txt")
+    finally:
+        spark.conf.set(name, before)
+    return lines.select(F.regexp_extract("file", "source=([^/]+)/", 1).alias("source"), "line_no", F.md5("value").alias("value_md5"))
+
+
 @query(
     "explode_trajectories",
     """SELECT CAST(conv_id AS VARCHAR) AS task, turn AS i, length(text) + 1 AS prompt_tokens, length(text) AS completion_tokens

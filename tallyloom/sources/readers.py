@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import markers as M
 from ..functions.once import pinned
-from ..session import settle
+from ..session import lookup_join, settle
 
 
 def read_rows(spark: SparkSession, path: str, cols: list[str]) -> DataFrame:
@@ -35,11 +36,25 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType | str) ->
 def read_log_lines(spark: SparkSession, root: str, pattern: str = "*.log") -> DataFrame:
     """Lines of log files with their numbers from 0: ``file, line_no, value``, as ``assemble_log_records`` takes them.
 
-    Each file is read as one row and cut into lines there, so a file must fit into a task.
+    A line ends at a line feed, at a carriage return (progress bars) or at both together. Files are split like any text: the
+    lines are written once with their split and their place in the reading task, then numbered by the line counts of the
+    splits before theirs, of which there is one row per split.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
-    lines = with_path(files, ["value"]).select(F.col("path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
-    return lines.withColumn("line_no", F.col("line_no").cast("bigint"))
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
+    lines = settle(
+        files.select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("place"),
+            "value",
+        ),
+        "lines",
+    )
+    splits = lines.groupBy("file", "split").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    earlier = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")
+    numbered = lookup_join(lines, splits.select("file", "split", start.alias("shift")), ["file", "split"])
+    return numbered.select("file", (F.col("place") + F.col("shift")).alias("line_no"), "value")
 
 
 def attempt_messages(records: DataFrame) -> DataFrame:
