@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import lookup_join, settle
-from .common import components, deal_blocks, short_batches, slices, split_words
+from .common import components, deal_blocks, short_batches, slices, split_words, tidied
 
 ROWS, BANDS = 6, 36
 # Coordinates of the longer signatures, of which the lowest eight bits are kept, and how many deviations they may err.
@@ -123,7 +123,7 @@ def sketches(rows: DataFrame, size: int) -> DataFrame:
                 )
             pa.default_memory_pool().release_unused()
 
-    return rows.select("id", "t", "text").mapInArrow(work, f"id {kind}, t bigint, n bigint, cls bigint, keys array<bigint>")
+    return rows.select("id", "t", "text").mapInArrow(tidied(work), f"id {kind}, t bigint, n bigint, cls bigint, keys array<bigint>")
 
 
 def sets_of(rows: DataFrame, classes: DataFrame, wanted: DataFrame, size: int, long: bool = False) -> DataFrame:
@@ -150,7 +150,7 @@ def sets_of(rows: DataFrame, classes: DataFrame, wanted: DataFrame, size: int, l
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), column], names=["cls", "shingles"])
             pa.default_memory_pool().release_unused()
 
-    made = found.select("cls", "text").mapInArrow(work, "cls bigint, shingles " + ("binary" if long else "array<bigint>"))
+    made = found.select("cls", "text").mapInArrow(tidied(work), "cls bigint, shingles " + ("binary" if long else "array<bigint>"))
     # A class may stand for several equal rows.
     once = made.dropDuplicates(["cls"]) if long else made.groupBy("cls").agg(F.first("shingles").alias("shingles"))
     with short_batches(rows.sparkSession):
