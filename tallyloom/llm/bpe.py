@@ -22,18 +22,20 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_of, tidied
+from ..session import settle
+from .common import short_batches, slices, text_of, tidied
 
 # Rows that one recursion may make, bytes of a long piece, pieces handled together, and encodings a worker remembers.
-RECURSION_ROWS = 4_000_000
+RECURSION_ROWS = 1_500_000
 LONG_PIECE = 255
-SLICE_PIECES = 500_000
-REMEMBERED = 300_000
+SLICE_PIECES = 150_000
+REMEMBERED = 100_000
+# Rows handed to Python at a time.
+ROWS = 250
 
 _FIRST = """
   SELECT i.w, i.p, i.t, 0 AS step, m.id, m.safe
@@ -162,7 +164,7 @@ class Codec:
             out[i] = np.array([rank], np.int32) if rank is not None else self.known.get(piece)
             if out[i] is None:
                 (long if len(piece) > LONG_PIECE else short).append(i)
-        for group, sql, most in ((short, LEFTMOST, 400_000), (long, TOGETHER, 400_000)):
+        for group, sql, most in ((short, LEFTMOST, 200_000), (long, TOGETHER, 200_000)):
             sizes = np.array([len(pieces[i]) for i in group], np.int64)
             for a, b in slices(sizes, most):
                 some = group[a:b]
@@ -227,6 +229,8 @@ def _ranges(points: np.ndarray) -> str:
 @functools.cache
 def library_members(name: str) -> np.ndarray:
     """The code points that the tokenizer library counts to a class: what a pattern of that class alone finds among all."""
+    import tiktoken  # only where queries are planned; tasks do without it
+
     every = "".join(map(chr, (*range(SURROGATES[0]), *range(SURROGATES[1], 0x110000))))
     bytes_only = {bytes([b]): b for b in range(256)}
     reader = tiktoken.Encoding(name="class", pat_str=name, mergeable_ranks=bytes_only, special_tokens={})
@@ -247,8 +251,8 @@ _patterns: dict[tuple[str, str], str] = {}
 def session_pattern(spark: SparkSession, pattern: str) -> str:
     """The pattern for the session's Java with the classes of the tokenizer library, whatever Unicode versions they know.
 
-    Code points that only the library counts to a class are written behind it; a class that has too many in Java is written
-    out as ranges.
+    Code points that only the library counts to a class are written behind it, after the least of them, so that no other
+    character is held against them one by one; a class that has too many in Java is written out as ranges.
     """
     key = (spark.sparkContext.applicationId, pattern)
     if key in _patterns:
@@ -257,7 +261,11 @@ def session_pattern(spark: SparkSession, pattern: str) -> str:
     written = {}
     for name in CLASSES:
         theirs, ours = library_members(name), members[name]
-        written[name] = _ranges(theirs) if len(np.setdiff1d(ours, theirs)) else name + _ranges(np.setdiff1d(theirs, ours))
+        more = np.setdiff1d(theirs, ours)
+        if len(np.setdiff1d(ours, theirs)):
+            written[name] = _ranges(theirs)
+        else:
+            written[name] = name + (f"[\\x{{{more[0]:X}}}-\\x{{10FFFF}}&&[{_ranges(more)}]]" if len(more) else "")
     out, inside, i = [], False, 0
     while i < len(pattern):
         name = next((c for c in CLASSES if pattern.startswith(c, i)), None)
@@ -330,4 +338,5 @@ def encode(spark: SparkSession, rows: DataFrame, keep: list[str], path: str, pat
                 new = made(ids, ends, codec.decode(ids, ends) if decode else [])
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), *new], names=[*keep, *columns])
 
-    return given.mapInArrow(tidied(work), schema)
+    with short_batches(spark, ROWS):
+        return settle(given.mapInArrow(tidied(work), schema), "encoded")
