@@ -32,10 +32,10 @@ from .common import short_batches, slices, text_of, tidied
 # Rows that one recursion may make, bytes of a long piece, pieces handled together, and encodings a worker remembers.
 RECURSION_ROWS = 1_500_000
 LONG_PIECE = 255
-SLICE_PIECES = 150_000
-REMEMBERED = 100_000
+SLICE_PIECES = 300_000
+REMEMBERED = 250_000
 # Rows handed to Python at a time.
-ROWS = 250
+ROWS = 500
 
 _FIRST = """
   SELECT i.w, i.p, i.t, 0 AS step, m.id, m.safe
@@ -164,7 +164,7 @@ class Codec:
             out[i] = np.array([rank], np.int32) if rank is not None else self.known.get(piece)
             if out[i] is None:
                 (long if len(piece) > LONG_PIECE else short).append(i)
-        for group, sql, most in ((short, LEFTMOST, 200_000), (long, TOGETHER, 200_000)):
+        for group, sql, most in ((short, LEFTMOST, 150_000), (long, TOGETHER, 150_000)):
             sizes = np.array([len(pieces[i]) for i in group], np.int64)
             for a, b in slices(sizes, most):
                 some = group[a:b]
