@@ -32,10 +32,10 @@ from .common import short_batches, slices, text_of, tidied
 # Rows that one recursion may make, bytes of a long piece, pieces handled together, and encodings a worker remembers.
 RECURSION_ROWS = 1_500_000
 LONG_PIECE = 255
-SLICE_PIECES = 300_000
-REMEMBERED = 250_000
+SLICE_PIECES = 500_000
+REMEMBERED = 400_000
 # Rows handed to Python at a time.
-ROWS = 500
+ROWS = 1000
 
 _FIRST = """
   SELECT i.w, i.p, i.t, 0 AS step, m.id, m.safe
@@ -53,13 +53,13 @@ WITH RECURSIVE r AS ({_FIRST}
                 WHEN w1 = w THEN (CASE WHEN p1 = best THEN b ELSE t1 END) END AS n
     FROM (
       SELECT r.w, p, t, step + 1 AS step, best, b, lead(t) OVER o AS t1, lead(t, 2) OVER o AS t2, lead(p) OVER o AS p1,
-             lead(r.w) OVER o AS w1, lead(r.w, 2) OVER o AS w2, lag(p) OVER o AS p0, lag(r.w) OVER o AS w0
+             lead(r.w) OVER o AS w1, lead(r.w, 2) OVER o AS w2, lag(p) OVER o AS p0
       FROM r JOIN (
-        SELECT w, (k & 4294967295) AS best, CAST(k >> 32 AS INTEGER) AS b
+        SELECT w, CAST(k & 4294967295 AS INTEGER) AS best, CAST(k >> 32 AS INTEGER) AS b
         FROM (SELECT w, min((CAST(id AS BIGINT) << 32) | p) AS k FROM r WHERE id IS NOT NULL GROUP BY w)) g ON g.w = r.w
       WHERE step < $steps
-      WINDOW o AS (ORDER BY (CAST(r.w AS BIGINT) << 32) | p))
-    WHERE NOT coalesce(p0 = best AND w0 = w, false)) s
+      WINDOW o AS (ORDER BY p))
+    WHERE NOT coalesce(p0 = best, false)) s
   LEFT JOIN merges m ON m.l = s.t AND m.r = s.n)
 """
 
@@ -122,9 +122,12 @@ class Codec:
 
     def __init__(self, tokens: list[bytes], merges: pa.Table):
         self.tokens = tokens
-        self.rank = {token: i for i, token in enumerate(tokens)}
-        self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[bytes, np.ndarray] = {}
+        rank = {token: i for i, token in enumerate(tokens)}
+        self.byte = np.array([rank[bytes([b])] for b in range(256)], np.int32)
+        # Ids of a piece as the bytes of int32 values: tokens, and pieces met before.
+        every = np.arange(len(tokens), dtype=np.int32).tobytes()
+        self.known: dict[bytes, bytes] = {token: every[4 * i : 4 * i + 4] for token, i in rank.items()}
+        self.room = len(self.known) + REMEMBERED
         self.db = duckdb.connect(":memory:")
         self.db.execute("SET threads = 1; SET memory_limit = '500MB'; SET temp_directory = ''")
         vocabulary = pa.table({"id": np.arange(len(tokens), dtype=np.int32), "bytes": pa.array(tokens, pa.binary())})
@@ -133,44 +136,46 @@ class Codec:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
 
-    def _contract(self, words: list[bytes], sql: str) -> list[np.ndarray]:
+    def _contract(self, words: list[bytes], sql: str) -> list[bytes]:
         sizes = np.array([len(w) for w in words], np.int64)
-        first = np.cumsum(sizes) - sizes
         flat = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-        p = (np.arange(len(flat)) - np.repeat(first, sizes)).astype(np.int64)
+        # Positions run on over the words, so a position names its word too.
+        p = np.arange(len(flat), dtype=np.int32)
         out: list = [None] * len(words)
         while len(w):
             self.db.register("pieces", pa.table({"w": w, "p": p, "t": flat}))
             steps = max(4, RECURSION_ROWS // len(w))
-            done = self.db.sql((sql + _LAST).replace("$steps", str(steps))).to_arrow_table()
+            left = self.db.sql((sql + _LAST).replace("$steps", str(steps))).to_arrow_table()
             self.db.unregister("pieces")
-            w, p, flat, more = (done[c].to_numpy() for c in ("w", "p", "t", "more"))
+            w, p, flat, more = (left[c].to_numpy() for c in ("w", "p", "t", "more"))
             ends = np.flatnonzero(np.diff(w, append=-1)) + 1
-            start = 0
-            for end in ends.tolist():
-                if not more[start]:
-                    out[w[start]] = flat[start:end].astype(np.int32)
-                start = end
+            starts = np.append(0, ends[:-1])
+            done = ~more[starts]
+            ids = flat.astype(np.int32).tobytes()
+            for word, start, end in zip(w[starts[done]].tolist(), (4 * starts[done]).tolist(), (4 * ends[done]).tolist(), strict=True):
+                out[word] = ids[start:end]
             w, p, flat = w[more], p[more], flat[more]
         return out
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Token ids of distinct pieces."""
-        out: list = [None] * len(pieces)
+        return [np.frombuffer(ids, np.int32) for ids in self._coded(pieces)]
+
+    def _coded(self, pieces: list[bytes]) -> list[bytes]:
+        """Token ids of distinct pieces, each as the bytes of int32 values."""
+        out = list(map(self.known.get, pieces))
         short, long = [], []
-        for i, piece in enumerate(pieces):
-            rank = self.rank.get(piece)
-            out[i] = np.array([rank], np.int32) if rank is not None else self.known.get(piece)
-            if out[i] is None:
-                (long if len(piece) > LONG_PIECE else short).append(i)
-        for group, sql, most in ((short, LEFTMOST, 150_000), (long, TOGETHER, 150_000)):
+        for i, ids in enumerate(out):
+            if ids is None:
+                (long if len(pieces[i]) > LONG_PIECE else short).append(i)
+        for group, sql, most in ((short, LEFTMOST, 300_000), (long, TOGETHER, 150_000)):
             sizes = np.array([len(pieces[i]) for i in group], np.int64)
             for a, b in slices(sizes, most):
                 some = group[a:b]
                 for i, ids in zip(some, self._contract([pieces[i] for i in some], sql), strict=True):
                     out[i] = ids
-                    if len(self.known) < REMEMBERED and sql is LEFTMOST:
+                    if len(self.known) < self.room and sql is LEFTMOST:
                         self.known[pieces[i]] = ids
         return out
 
@@ -180,9 +185,9 @@ class Codec:
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         coded = pieces.dictionary_encode()
         codes = coded.indices.to_numpy()
-        ids = self.encode_pieces(coded.dictionary.cast(pa.large_binary()).to_pylist())
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat, first = np.concatenate(ids), np.cumsum(sizes) - sizes
+        ids = self._coded(coded.dictionary.cast(pa.large_binary()).to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), np.int32), np.cumsum(sizes) - sizes
         n = sizes[codes]
         ends = np.concatenate([[0], np.cumsum(n)])
         where = np.arange(ends[-1]) + np.repeat(first[codes] - ends[:-1], n)
