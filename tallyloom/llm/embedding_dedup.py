@@ -1,7 +1,7 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, and exact cosine.
 
 Rotations are learned on a bounded sample (principal directions, then alternating binary codes and the rotation nearest to
-them), so that every bit splits the vectors evenly. The bits of ``ROTATIONS`` learned rotations are cut into parts of
+them), so that every bit splits the vectors evenly. The bits of as many learned rotations as give ``TABLES`` tables are cut into parts of
 ``PART_BITS``; each part is the key of one table. A vector stands in its own bucket of every table and visits the buckets
 that differ in one of the ``FLIPS`` bits its projections are least sure of. Vectors that meet in a bucket are compared by
 cosine in double precision with the original vectors, block by block; a pair that could meet in several tables or in both
@@ -9,7 +9,8 @@ directions counts only in the first. No list of pairs is made: a task returns th
 the components, links that span what it found.
 
 Equal vectors are compared once, as a class. A bucket of many vectors is dealt into blocks, and each pair of blocks is a task
-of its own. Vectors that are null, zero, or hold null or non-finite components, and rows without an id, link with nothing and
+of its own. Vectors of different lengths are never compared; a length with at most a block of classes is one bucket without
+an index, and all such lengths are one job. Vectors that are null, zero, or hold null or non-finite components, and rows without an id, link with nothing and
 are kept. Rows that share an id and a vector are vectors of their own; components are named by ids.
 """
 
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,13 +31,15 @@ from .common import components, deal_blocks
 LEAST_COSINE = 0.9
 SAMPLE = 10_000
 ITERATIONS = 20
-ROTATIONS = 2
+# Tables that an index has at least, whatever the length of its vectors; a rotation gives one per part of its bits.
+TABLES = 8
 ROTATION_BITS = 64
 PART_BITS = 16
 FLIPS = 4
-# Members of a bucket that one block may hold, rows of a task's group, and cells of a block of cosines.
+# Members of a bucket that one block may hold, rows and components of a task's group, and cells of a block of cosines.
 BLOCK = 2048
 GROUP_ROWS = 40_000
+GROUP_CELLS = 64 * GROUP_ROWS
 CELLS = 4_000_000
 
 
@@ -69,7 +73,7 @@ def learn(sample: np.ndarray, seed: int = 7) -> Quantiser:
     bits -= bits % PART_BITS if bits > PART_BITS else 0
     v = x @ directions[:bits].T
     rotations = []
-    for _ in range(ROTATIONS):
+    for _ in range(-(-TABLES // -(-bits // PART_BITS))):
         r, _ = np.linalg.qr(rng.standard_normal((bits, bits)))
         for _ in range(ITERATIONS):
             b = np.where(v @ r > 0, 1.0, -1.0)
@@ -96,14 +100,12 @@ def valid(vector) -> F.Column:
     return vector.isNotNull() & F.coalesce(~bad, F.lit(False)) & F.coalesce(F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def learned(classes: DataFrame, dims: int, most: int = SAMPLE) -> Quantiser | None:
+def learned(classes: DataFrame, dims: int, most: int = SAMPLE) -> Quantiser:
     """A quantiser from the classes of one length with the smallest hashes; a bounded sample."""
     same = classes.where(F.size("embedding") == dims)
     # Hashes are ordered first, so only the chosen vectors travel.
     chosen = same.select("cls").orderBy("cls").limit(most)
     rows = same.select("cls", "embedding").join(F.broadcast(chosen), "cls").select("embedding").toArrow()
-    if rows.num_rows < 2:
-        return None
     return learn(unit(_matrix(rows["embedding"].combine_chunks())))
 
 
@@ -191,8 +193,8 @@ def links(rows: DataFrame) -> DataFrame:
     """``cls, id, n, root``: per bucket and vector, the links found there and an id that they connect it to."""
     id_kind = rows.schema["id"].dataType.simpleString()
     dealt = deal_blocks(rows, ["table", "bucket"], "cls", BLOCK)
-    total = dealt.count()
-    groups = max(1, -(-total // GROUP_ROWS))
+    total = dealt.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("cells")).first()
+    groups = max(1, -(-total["rows"] // GROUP_ROWS), -(-total["cells"] // GROUP_CELLS))
     keyed = dealt.withColumn("__g", F.pmod(F.xxhash64("table", "bucket", "low", "high"), F.lit(groups)))
 
     def work(table: pa.Table) -> pa.Table:
@@ -208,12 +210,14 @@ def links(rows: DataFrame) -> DataFrame:
         resident = parts[np.arange(len(t)), t] == bucket
         busy = (ends - starts > 1) & (np.add.reduceat(resident, starts) > 0)
         cls, copies = name["cls"].to_numpy(), name["copies"].to_numpy()
-        x = unit(_matrix(name["embedding"]))
+        values = name["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        cuts = np.append(0, np.cumsum(pc.list_value_length(name["embedding"]).to_numpy()))
         found_i, found_j = [], []
         for s, e in zip(starts[busy].tolist(), ends[busy].tolist(), strict=True):
-            here = np.arange(s, e)
-            mine = here[resident[s:e]]
-            for i, j in _compare(mine, here, x, parts, flips, int(t[s])):
+            # All vectors of a bucket have one length.
+            x = unit(values[cuts[s] : cuts[e]].reshape(e - s, -1))
+            for i, j in _compare(np.flatnonzero(resident[s:e]), np.arange(e - s), x, parts[s:e], flips[s:e], int(t[s])):
+                i, j = i + s, j + s
                 # Two residents come in both orders: keep one. Pairs inside a block belong to that block's own task.
                 fine = (cls[i] != cls[j]) & ~(resident[j] & (cls[i] > cls[j]))
                 fine &= (own[i] != own[j]) if low[s] != high[s] else True
@@ -247,15 +251,19 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     classes = settle(
         good.groupBy("cls").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "classes"
     )
-    lengths = [r["d"] for r in classes.select(F.size("embedding").alias("d")).distinct().orderBy("d").limit(1000).collect()]
-    found = None
-    for d in lengths:
-        quantiser = learned(classes, d)
-        if quantiser is not None:
-            here = links(settle(visits(spark, classes.where(F.size("embedding") == d), quantiser), "visits"))
-            found = here if found is None else found.unionAll(here)
-    if found is None:
-        found = classes.select("cls", "id", F.lit(0).cast("bigint").alias("n"), F.col("id").alias("root")).limit(0)
+    sized = classes.withColumn("dims", F.size("embedding"))
+    lengths = settle(sized.groupBy("dims").agg(F.count("*").alias("n")).where("n > 1"), "lengths")
+    # A length of at most one block is compared as a single bucket, all such lengths at once.
+    few = lookup_join(sized, lengths.where(F.col("n") <= BLOCK).select("dims"), ["dims"], "left_semi")
+    zero = F.array(F.lit(0))
+    single = few.select(
+        F.lit(0).alias("table"), F.col("dims").alias("bucket"), "cls", "id", "copies", "embedding", F.array("dims").alias("parts"), zero.alias("flips")
+    )
+    found = links(settle(single, "single"))
+    # One row per length that fills more than a block.
+    for r in lengths.where(F.col("n") > BLOCK).orderBy("dims").collect():
+        here = classes.where(F.size("embedding") == r["dims"])
+        found = found.unionAll(links(settle(visits(spark, here, learned(classes, r["dims"])), "visits")))
     found = settle(found, "found")
     spans = found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     named = components(classes.select("id").distinct(), spans)

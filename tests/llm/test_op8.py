@@ -76,11 +76,13 @@ def test_hot_bucket_in_blocks(spark, monkeypatch):
     assert sorted(run(spark, rows)) == sorted(plain(rows))
 
 
+@pytest.mark.parametrize("dims", [8, 16, 24, 32, 64])
 @pytest.mark.parametrize("cosine", [0.92, 0.95, 0.99])
-def test_recall_of_pairs(spark, cosine):
-    """Share of planted pairs at a given cosine that the index finds, against brute force."""
+def test_recall_of_pairs(spark, monkeypatch, cosine, dims):
+    """Share of planted pairs at a given cosine and length that the index finds, against brute force."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 256)
     rng = np.random.default_rng(6)
-    a = embedding_dedup.unit(rng.standard_normal((400, 64)))
+    a = embedding_dedup.unit(rng.standard_normal((400, dims)))
     b = np.concatenate([close(rng, v, 1, cosine) for v in a])
     rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]).astype(np.float32))]
     want, got = dict(x[:2] for x in plain(rows)), dict(x[:2] for x in run(spark, rows))
@@ -88,5 +90,18 @@ def test_recall_of_pairs(spark, cosine):
     assert sum(got.values()) >= 0.9 * sum(want.values())
 
 
+def test_many_lengths_and_lone_pairs(spark):
+    """Every length has its links, also one of two vectors; no length is left out."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for dims in range(1, 1301):
+        v = embedding_dedup.unit(rng.standard_normal((1, dims)))[0]
+        rows.append((2 * dims, v.tolist()))
+        rows.append((2 * dims + 1, (v * 1.5 + (0.01 / dims)).tolist()))
+    got = run(spark, rows)
+    assert sorted(got) == sorted(plain(rows))
+    assert sum(n for _, n, _ in got) == 2600
+
+
 def test_empty(spark):
     assert run(spark, []) == []
