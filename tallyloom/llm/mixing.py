@@ -198,25 +198,26 @@ def mixed_documents(spark: SparkSession, documents: DataFrame, block: int = BLOC
 
     Of every run of taken words the text is kept as it is, with the white space inside it; the runs of a pass are joined by
     a line feed. A document taken whole is unchanged but for white space at its ends. ``n_chars`` is the length of the new
-    text; the other columns stay. Documents without words are left out: no block holds them.
+    text; the other columns stay. Documents without words are left out: no block holds them. Further
+    columns may have any name that does not start with ``__mix_``.
     """
-    marked = documents.withColumn("__t", F.xxhash64("text"))
-    rows = settle(sized(marked, ["doc_id", "__t"]), "sizes")
+    marked = documents.withColumn("__mix_t", F.xxhash64("text"))
+    rows = settle(sized(marked, ["doc_id", "__mix_t"]), "sizes")
     sources = settle(targets(rows), "targets")
-    tie = ["doc_id", "__t", "size"]
+    tie = ["doc_id", "__mix_t", "size"]
     order = settle(placed(rows, sources, seed, tie), "placed")
     drawn = slots(spark, sources, block, shard_slots, seed).select("rank", "block", "pass")
-    met = in_blocks(order.select("rank", "start", "size", "doc_id", "__t"), block).join(drawn, ["rank", "block"])
-    runs = met.groupBy("rank", "start", "doc_id", "__t", "pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
+    met = in_blocks(order.select("rank", "start", "size", "doc_id", "__mix_t"), block).join(drawn, ["rank", "block"])
+    runs = met.groupBy("rank", "start", "doc_id", "__mix_t", "pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("__mix_runs"))
     # Copies of a row with the same id and text may take each other's words: number them on both sides.
-    same = W.partitionBy("doc_id", "__t").orderBy("start")
-    numbered = order.where("size > 0").select("rank", "start", "doc_id", "__t", F.row_number().over(same).alias("__copy"))
-    wanted = runs.join(numbered.select("rank", "start", "__copy"), ["rank", "start"]).select("doc_id", "__t", "__copy", "pass", "runs")
-    copies = marked.withColumn("__copy", F.row_number().over(W.partitionBy("doc_id", "__t").orderBy("source")))
+    same = W.partitionBy("doc_id", "__mix_t").orderBy("start")
+    numbered = order.where("size > 0").select("rank", "start", "doc_id", "__mix_t", F.row_number().over(same).alias("__mix_copy"))
+    wanted = runs.join(numbered.select("rank", "start", "__mix_copy"), ["rank", "start"]).select("doc_id", "__mix_t", "__mix_copy", "pass", "__mix_runs")
+    copies = marked.withColumn("__mix_copy", F.row_number().over(W.partitionBy("doc_id", "__mix_t").orderBy("source")))
     joined = copies.join(
-        wanted, copies["doc_id"].eqNullSafe(wanted["doc_id"]) & (copies["__t"] == wanted["__t"]) & (copies["__copy"] == wanted["__copy"])
-    ).select(*[copies[c] for c in documents.columns], wanted["runs"])
-    cut = joined.withColumn("text", cut_words(F.col("text"), F.col("runs"))).drop("runs")
+        wanted, copies["doc_id"].eqNullSafe(wanted["doc_id"]) & (copies["__mix_t"] == wanted["__mix_t"]) & (copies["__mix_copy"] == wanted["__mix_copy"])
+    ).select(*[copies[c] for c in documents.columns], wanted["__mix_runs"])
+    cut = joined.withColumn("text", cut_words(F.col("text"), F.col("__mix_runs"))).drop("__mix_runs")
     return cut.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else cut
 
 

@@ -82,3 +82,19 @@ def test_mixed_texts(spark, docs):
             places = [int(w.split("_")[1]) for w in words]
             assert places == sorted(set(places)) and set(words) <= set(text.split())
     assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_clashing_names(spark, docs):
+    """Further columns keep their names and values, whatever the columns of the steps in between are called."""
+    given = [(i, f"w{i} " * (20 + 30 * i), "ab"[i % 2]) for i in range(6)]
+    table = docs(given).withColumn("n_chars", F.length("text"))
+    names = ["runs", "rank", "start", "pass", "block", "blocks", "size", "lo", "hi", "shard", "first", "times", "target", "source_size", "__t", "__copy", "__s", "__n", "__h"]
+    further = table.select("*", *[F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names if n not in table.columns])
+    plain = mixing.mixed_documents(spark, table, block=8, shard_slots=4)
+    mixed = mixing.mixed_documents(spark, further, block=8, shard_slots=4)
+    assert mixed.columns == further.columns
+    rows = mixed.collect()
+    assert all(r[n] == f"{n} {r.doc_id}" for r in rows for n in further.columns if n not in table.columns)
+    assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in plain.collect())
+    taken = {r.doc_id: r.taken for r in mixing.taken_words(spark, table, block=8, shard_slots=4).collect()}
+    assert taken == {r.doc_id: r.taken for r in mixing.taken_words(spark, further, block=8, shard_slots=4).collect()}
