@@ -255,7 +255,8 @@ def group_components(edges: DataFrame, node: str = "node", key: str = "key") ->
     edges = settle(edges.select(node, key).distinct(), "edges")
     labels = settle(edges.groupBy(node).agg(F.min(node).alias("label")), "labels")
     while True:
-        held = edges.join(labels, node)
+        # A node may hold a large share of all edges: its rows stay, or are spread over salts.
+        held = lookup_join(edges, labels, [node], settled=True)
         per_key = held.groupBy(key).agg(F.min("label").alias("low"))
         lowered = (
             lookup_join(edges, per_key, [key])
@@ -363,61 +364,106 @@ def round_robin_select(knn: DataFrame, lengths: DataFrame, budget: int, seed: in
     ``round, query, rank, id, score, n``.
     """
     near = settle(knn.join(lengths.select("id", "n"), "id").select("query", "rank", "id", "score", "n"), "near")
-    if dedup:
-        return _rounds_without_repeats(near, budget, seed)
-    ends = near.groupBy("rank").agg(F.sum("n").alias("t")).withColumn(
-        "end", F.sum("t").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
-    )
-    state = ends.agg(
-        F.max(F.when(F.col("end") <= budget, F.struct("end", "rank"))).alias("full"),
-        F.min(F.when(F.col("end") > budget, F.col("rank"))).alias("partial"),
+    offers = _offers_without_repeats(near, budget) if dedup else near.withColumn("round", F.col("rank").cast("int"))
+    state = _round_ends(offers).agg(
+        F.max(F.when(F.col("end") <= budget, F.struct("end", "round"))).alias("full"),
+        F.min(F.when(F.col("end") > budget, F.col("round"))).alias("partial"),
     ).first()
-    spent, last = (state.full.end, state.full.rank) if state.full else (0, 0)
-    taken = near.filter(F.col("rank") <= last).withColumn("round", F.col("rank").cast("int"))
+    spent, last = (state.full.end, state.full["round"]) if state.full else (0, 0)
+    taken = offers.filter(F.col("round") <= last)
     if state.partial is None:
         return taken
-    boundary = near.filter(F.col("rank") == state.partial).withColumn("round", F.lit(int(state.partial)))
-    return taken.unionByName(_fit_in_order(boundary, budget - spent, seed))
+    return taken.unionByName(_fit_in_order(offers.filter(F.col("round") == state.partial), budget - spent, seed))
+
+
+def _round_ends(offers: DataFrame) -> DataFrame:
+    """``round, end``: tokens of all offers up to and with a round; as many rows as rounds."""
+    running = W.orderBy("round").rowsBetween(W.unboundedPreceding, 0)
+    return offers.groupBy("round").agg(F.sum("n").alias("t")).select("round", F.sum("t").over(running).alias("end"))
+
+
+def _offers_without_repeats(near: DataFrame, budget: int) -> DataFrame:
+    """``near`` with the ``round`` in which a query offers the row, without the rows that it never offers.
+
+    A query reaches a row in the round after its own offers before it, and offers it unless another query reached the row in
+    an earlier round. So a row's first round is the least round in which anyone reaches it. Starting from the ranks, every
+    step walks the queries' lists against those first rounds; after step m rounds up to m + 1 are final, so the steps end
+    with the rounds that the budget pays for, or as soon as nothing changes, which is far earlier for long lists that overlap
+    little. Lists have as many entries as neighbours were asked per query and stay inside a row.
+    """
+    fields = ["rank", "id", "score", "n"]
 
+    def reached(held, x):
+        # Entries so far with their rounds, and the round in which the query looks for its next row.
+        offered = x["first"] >= held["turn"]
+        row = F.struct(*[x[c].alias(c) for c in fields], held["turn"].alias("round"))
+        return F.struct(F.concat(held["rows"], F.array(row)).alias("rows"), (held["turn"] + offered.cast("int")).alias("turn"))
 
-def _rounds_without_repeats(near: DataFrame, budget: int, seed: int) -> DataFrame:
-    left, taken, spent, turn = near, None, 0, 0
+    shape = ", ".join(f"{c}: {near.schema[c].dataType.simpleString()}" for c in fields)
+    start = F.struct(F.array().cast(f"array<struct<{shape}, round: int>>").alias("rows"), F.lit(1).alias("turn"))
+    state, step = near.withColumn("round", F.col("rank").cast("int")), 1
     while True:
-        turn += 1
-        nearest = left.groupBy("query").agg(F.min(F.struct("rank", "id", "score", "n")).alias("m"))
-        offered = settle(
-            nearest.select("query", "m.rank", "m.id", "m.score", "m.n").withColumn("round", F.lit(turn)), "offered"
+        first = state.groupBy("id").agg(F.min("round").alias("first"))
+        marked = settle(lookup_join(state, first, ["id"]), "marked")
+        offers = marked.filter(F.col("round") == F.col("first")).drop("first")
+        paid = _round_ends(offers.filter(F.col("round") <= step)).agg(F.max("end").alias("end")).first().end
+        if paid is None or paid > budget:
+            return offers
+        lists = marked.groupBy("query").agg(
+            F.sort_array(F.collect_list(F.struct(*fields, "first"))).alias("l"), F.sort_array(F.collect_list(F.struct("rank", "round"))).alias("old")
         )
-        size = offered.agg(F.sum("n").alias("t")).first().t
-        if size is None:
-            return taken if taken is not None else offered
-        whole = spent + size <= budget
-        part = offered if whole else settle(_fit_in_order(offered, budget - spent, seed), "part")
-        taken = part if taken is None else taken.unionByName(part)
-        if not whole:
-            return taken
-        spent += size
-        left = settle(left.join(offered.select("id").distinct(), "id", "left_anti"), "left")
+        walked = lists.select("query", "old", F.aggregate("l", start, reached)["rows"].alias("rows"))
+        same = F.transform("rows", lambda x: x["round"]) == F.transform("old", lambda x: x["round"])
+        moved = settle(walked.select("query", "rows", same.alias("same")), "walked")
+        state = moved.select("query", F.inline("rows"))
+        if moved.filter(~F.col("same")).isEmpty():
+            return offers
+        step += 1
 
 
 def _fit_in_order(offered: DataFrame, room: int, seed: int) -> DataFrame:
     """Rows in seeded order, each taken when it still fits into what is left of ``room``.
 
-    Distributed prefix totals give the longest prefix that fits; the row behind it and all that are now too big go, and the
-    next prefix is sought among the rest. Each step fills the room but for less than the row that did not fit.
+    Sliced totals give the longest prefix that fits. What is left is then less than the row behind it, and of the rows
+    behind only those count that some room up to that could take: if the room is at most u before a row of n <= u tokens, it
+    is at most max(n - 1, u - n) after it, skipped or taken, so u falls with every such row and larger rows are passed over.
+    Every part of the order keeps these few rows (never more than u), and one stream over them takes those that fit.
     """
     columns = offered.columns
-    h = order_key(seed, "round", "query")
-    todo = settle(offered.withColumn("__h", h).filter(F.col("n") <= room), "todo")
-    done = todo.select(*columns).limit(0)
-    while not todo.isEmpty():
-        ahead = settle(total_before(todo, [], ["__h", "query"], slice_of(F.col("__h")), "n", "__before"), "ahead")
-        stop = ahead.filter(F.col("__before") + F.col("n") > room).agg(F.min(F.struct("__h", "query", "__before")).alias("s")).first().s
-        if stop is None:
-            return done.unionByName(ahead.select(*columns))
-        h_stop, q_stop = F.lit(stop["__h"]), F.lit(stop["query"])
-        here = (F.col("__h") < h_stop) | ((F.col("__h") == h_stop) & (F.col("query") < q_stop))
-        done = settle(done.unionByName(ahead.filter(here).select(*columns)), "done")
-        room -= stop["__before"]
-        todo = settle(todo.filter((~here) & (F.col("n") <= room)), "todo")
-    return done
+    fitting = offered.withColumn("__h", order_key(seed, "round", "query")).filter(F.col("n") <= room)
+    ahead = settle(total_before(fitting, [], ["__h", "query"], slice_of(F.col("__h")), "n", "__before"), "ahead")
+    stop = ahead.filter(F.col("__before") + F.col("n") > room).agg(F.min(F.struct("__h", "query", "__before")).alias("s")).first().s
+    if stop is None:
+        return ahead.select(*columns)
+    here = F.struct("__h", "query") < F.struct(F.lit(stop["__h"]), F.lit(stop["query"]).cast(ahead.schema["query"].dataType))
+    left = int(room - stop["__before"])
+    free = here | (F.col("n") <= 0)
+    rest = ahead.filter(~free & (F.col("n") <= left)).select("__h", "query", "id", "n")
+    parts = rest.withColumn("__part", F.substring("__h", 1, PART_DIGITS)).repartition("__part")
+    few = _walk(parts.sortWithinPartitions("__part", "__h", "query", "id"), left, take=False)
+    taken = _walk(few.repartition(1).sortWithinPartitions("__h", "query", "id"), left, take=True)
+    behind = lookup_join(ahead.filter(~free), taken.select("query", "id"), ["query", "id"], "left_semi")
+    return ahead.filter(free).select(*columns).unionByName(behind.select(*columns))
+
+
+# Hexadecimal digits of the seeded order that rows of one stream share: 256 streams, each walked by one task.
+PART_DIGITS = 2
+
+
+def _walk(ordered: DataFrame, room: int, take: bool) -> DataFrame:
+    """Of rows in order, those that fit into the room left (``take``), or per part those that could fit for some room."""
+
+    def walk(batches):
+        part, left = None, room
+        for batch in batches:
+            keep = []
+            for p, n in zip(batch["__part"].tolist(), batch["n"].tolist()):
+                if p != part and not take:
+                    left = room
+                part = p
+                keep.append(n <= left)
+                if n <= left:
+                    left = left - n if take else max(n - 1, left - n)
+            yield batch[keep]
+
+    return ordered.mapInPandas(walk, ordered.schema)

@@ -12,8 +12,8 @@ from ..functions.text import words
 from ..session import settle
 from .ordering import per_group_limit
 
-# Query vectors held by the driver and by a task at a time, in bytes of float64, and scores that a task makes at a time.
-QUERY_BYTES = 32 * 2**20
+# Vectors of a block, in bytes of float64, and scores that a task makes at a time.
+BLOCK_BYTES = 32 * 2**20
 TILE_CELLS = 4_000_000
 
 
@@ -62,59 +62,91 @@ def label_centroids(vectors: DataFrame, vec: str = "embedding", label: str = "la
 def knn_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Exact ``k`` nearest documents of every query by the dot product of unit vectors: ``query, rank, id, score``.
 
-    Query vectors are taken in blocks of bounded size, one at a time: a block is sent to the tasks, its finds are written,
-    and it is let go before the next. A task multiplies its documents with the block in tiles of bounded size and keeps ``k``
-    per query, so only those reach the shuffle. Ties go to the smaller id. With several blocks the documents' vectors are
-    written first, so they are made once.
+    Query vectors of at most BLOCK_BYTES are sent to the tasks and the documents stay where they are. More of them are dealt
+    to blocks of that size, and the documents to blocks of their own; one shuffle brings every pair of blocks together, so
+    the documents are read once however many queries there are, and no block passes the driver. Either way scores are made in
+    tiles of bounded size and a task keeps ``k`` per query, so only those reach the shuffle behind. Ties go to the smaller id.
     """
-    spark = docs.sparkSession
     q = settle(queries.select("query", "vec"), "queries")
-    size = q.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
-    n_blocks = max(1, -(-(size.n * (size.d or 1) * 8) // QUERY_BYTES))
-    rows = settle(docs.select("id", "vec"), "vectors") if n_blocks > 1 else docs.select("id", "vec")
-    found = None
-    for b in range(n_blocks):
-        block = q.filter(F.pmod(F.xxhash64("query"), F.lit(n_blocks)) == b).toArrow()
-        if not block.num_rows:
-            continue
-        names = block["query"].to_numpy()
-        sent = spark.sparkContext.broadcast((names, np.vstack(block["vec"].to_numpy())))
-        near = settle(_near_block(rows, sent, k, q.schema["query"].dataType.simpleString()), "near")
-        sent.destroy()
-        found = near if found is None else found.unionByName(near)
-    if found is None:
-        return q.limit(0).select("query", F.lit(0).alias("rank"), F.lit(None).cast(docs.schema["id"].dataType).alias("id"), F.lit(0.0).alias("score"))
-    ranked = per_group_limit(found, ["query"], [F.desc("score"), F.col("id")], k)
+    n_blocks = _blocks(q, "vec")
+    rows = docs.select("id", "vec")
+    near = _near_sent(q, rows, k) if n_blocks <= 1 else _near_blocks(q, rows, k, n_blocks)
+    ranked = per_group_limit(near, ["query"], [F.desc("score"), F.col("id")], k)
     return ranked.select("query", F.col("rank").cast("int").alias("rank"), "id", "score")
 
 
-def _near_block(docs: DataFrame, sent, k: int, q_type: str) -> DataFrame:
-    """``query, id, score``: per task, the nearest documents of the queries of one block."""
+def _blocks(rows: DataFrame, vec: str) -> int:
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size(vec)).alias("d")).first()
+    return -(-(size.n * (size.d or 1) * 8) // BLOCK_BYTES)
+
+
+def _near_type(q: DataFrame, docs: DataFrame) -> str:
+    return f"query {q.schema['query'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, score double"
 
-    def nearest(batches):
-        import pandas as pd
 
+def _near_sent(q: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Per task, the nearest documents of queries that fit one block; a table without queries gives no rows."""
+    block = q.toArrow()
+    if not block.num_rows:
+        return docs.sparkSession.createDataFrame([], _near_type(q, docs))
+    sent = docs.sparkSession.sparkContext.broadcast((block["query"].to_numpy(), np.vstack(block["vec"].to_numpy())))
+
+    def nearest(batches):
         names, mat = sent.value
         held = None
-        tile = max(1, TILE_CELLS // len(names))
         for batch in batches:
-            for start in range(0, len(batch), tile):
-                part = batch.iloc[start : start + tile]
-                # Rounded, so equal vectors tie whatever the order of the sums inside the product.
-                scores = np.round(mat @ np.vstack(part["vec"].to_numpy()).T, 12)
-                ids = part["id"].to_numpy()
-                top = min(k, len(ids))
-                # Everything at least as near as the k-th is kept, so ties are settled by id later.
-                bound = -np.partition(-scores, top - 1, axis=1)[:, top - 1 : top]
-                qi, di = np.nonzero(scores >= bound)
-                now = pd.DataFrame({"q": qi, "id": ids[di], "score": scores[qi, di]})
-                held = now if held is None else pd.concat([held, now], ignore_index=True)
-                held = held.sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
+            held = _nearer(held, names, mat, batch, k)
         if held is not None:
-            yield pd.DataFrame({"query": names[held["q"].to_numpy()], "id": held["id"].to_numpy(), "score": held["score"].to_numpy()})
-
-    id_type = docs.schema["id"].dataType.simpleString()
-    return docs.mapInPandas(nearest, f"query {q_type}, id {id_type}, score double")
+            yield _named(held, names)
+
+    return docs.mapInPandas(nearest, _near_type(q, docs))
+
+
+def _near_blocks(q: DataFrame, docs: DataFrame, k: int, n_blocks: int) -> DataFrame:
+    """Per pair of a query block and a document block, the nearest documents of its queries."""
+    rows = settle(docs, "vectors")
+    n_parts = max(1, _blocks(rows, "vec"))
+    keys = ["__block", "__part"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = q.withColumn("__block", dealt("query", n_blocks)).withColumn("__part", every(n_parts))
+    right = rows.withColumn("__part", dealt("id", n_parts)).withColumn("__block", every(n_blocks))
+
+    def nearest(asked, held_docs):
+        if not len(asked) or not len(held_docs):
+            return _named(None, None)
+        names = asked["query"].to_numpy()
+        return _named(_nearer(None, names, np.vstack(asked["vec"].to_numpy()), held_docs, k), names)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, _near_type(q, docs))
+
+
+def _nearer(held, names, mat, docs, k: int):
+    """``q, id, score``: the ``k`` nearest per query position among those held and the documents given."""
+    import pandas as pd
+
+    tile = max(1, TILE_CELLS // len(names))
+    for start in range(0, len(docs), tile):
+        part = docs.iloc[start : start + tile]
+        # Rounded, so equal vectors tie whatever the order of the sums inside the product.
+        scores = np.round(mat @ np.vstack(part["vec"].to_numpy()).T, 12)
+        ids = part["id"].to_numpy()
+        top = min(k, len(ids))
+        # Everything at least as near as the k-th is kept, so ties are settled by id later.
+        bound = -np.partition(-scores, top - 1, axis=1)[:, top - 1 : top]
+        qi, di = np.nonzero(scores >= bound)
+        now = pd.DataFrame({"q": qi, "id": ids[di], "score": scores[qi, di]})
+        held = now if held is None else pd.concat([held, now], ignore_index=True)
+        held = held.sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
+    return held
+
+
+def _named(held, names):
+    import pandas as pd
+
+    if held is None:
+        return pd.DataFrame({"query": [], "id": [], "score": []}, dtype=object)
+    return pd.DataFrame({"query": names[held["q"].to_numpy()], "id": held["id"].to_numpy(), "score": held["score"].to_numpy()})
 
 
 def knn_join(queries: DataFrame, docs: DataFrame, k: int, payload: DataFrame) -> DataFrame:

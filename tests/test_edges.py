@@ -555,7 +555,7 @@ def test_query_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "id bigint, vec array<double>").repartition(4)
     q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(12)], "query bigint, vec array<double>")
     whole = sorted(map(tuple, K.knn_topk(q, docs, 4).collect()))
-    monkeypatch.setattr(K, "QUERY_BYTES", 64)
+    monkeypatch.setattr(K, "BLOCK_BYTES", 64)
     monkeypatch.setattr(K, "TILE_CELLS", 5)
     assert sorted(map(tuple, K.knn_topk(q, docs, 4).collect())) == whole
     assert K.knn_topk(q.limit(0), docs, 4).collect() == []
