@@ -48,17 +48,18 @@ def counter_delta(scrapes: DataFrame, slice_by: Column) -> DataFrame:
     return seen.withColumn("delta", step).drop("__before")
 
 
-def acceptance(counters: DataFrame, by: str = "subset", positions: int = 0) -> DataFrame:
+def acceptance(counters: DataFrame, by: str = "subset", positions: int = 0, counts: tuple[str, ...] = ()) -> DataFrame:
     """Pooled acceptance per subset and for all (subset ``all``).
 
     ``counters``: ``drafts, draft_tokens, accepted_tokens`` and ``pos_0 ..``. Rates are ratios of sums, never averages of
-    rates.
+    rates. ``counts`` names further columns to sum, such as requests and failed requests.
     """
-    sums = ["drafts", "draft_tokens", "accepted_tokens", *[f"pos_{i}" for i in range(positions)]]
+    sums = [*counts, "drafts", "draft_tokens", "accepted_tokens", *[f"pos_{i}" for i in range(positions)]]
     pooled = counters.rollup(by).agg(*[F.sum(c).alias(c) for c in sums])
     per_draft = [(F.col(f"pos_{i}") / F.col("drafts")).alias(f"acceptance_at_pos_{i}") for i in range(positions)]
     return pooled.filter("drafts > 0").select(
         F.coalesce(by, F.lit("all")).alias(by),
+        *counts,
         "drafts",
         "draft_tokens",
         "accepted_tokens",

@@ -50,10 +50,11 @@ def overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.select(*keys).intersect(b.select(*keys)).agg(F.count("*").alias("shared"))
 
 
-def require_no_overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> None:
+def require_no_overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> int:
     n = overlap(a, b, keys).first().shared
     if n:
         raise ValueError(f"{n} keys are on both sides")
+    return n
 
 
 def max_over_scans(*scans: DataFrame, key: str = "item_id", value: str = "best") -> DataFrame:
@@ -66,22 +67,39 @@ def mix_datasets(
 ) -> DataFrame:
     """Original and regenerated rows in one labelled set, validation quotas taken out first.
 
-    Both inputs have ``id`` (the prompt's row) and ``n``. A regenerated row whose prompt is anywhere in the original part
-    is skipped, so no prompt is on both sides. Too few rows for the part or a quota stop the job. Returns ``id, n, part,
-    split``.
+    Both inputs have ``id`` (the prompt's row). A regenerated row whose prompt is anywhere in the original part is skipped,
+    so no prompt is on both sides. Too few rows for the part or a quota stop the job. Returns the rows whole with ``part``
+    and ``split``; a column of one input only is null in the other. Ids alone are chosen and moved; rows meet their labels
+    where they are.
     """
-    clean = settle(regenerated.join(original.select("id"), "id", "left_anti").select("id", "n"), "regenerated")
+    clean = settle(regenerated.select("id").join(original.select("id"), "id", "left_anti"), "regenerated")
     chosen = settle(prefix_select_all(clean, ["id"], F.lit(1), n_regenerated + val_regenerated, seed), "chosen")
     require_rows(chosen, n_regenerated + val_regenerated, "regenerated part")
     labelled = []
-    for part, rows, quota in (("original", original.select("id", "n"), val_original), ("regenerated", chosen, val_regenerated)):
-        held = settle(prefix_select_all(rows, ["id"], F.lit(1), quota, f"{seed}:{part}"), "held")
+    for part, rows, ids, quota in (
+        ("original", original, original.select("id"), val_original),
+        ("regenerated", lookup_join(regenerated, chosen, ["id"], "left_semi", settled=True), chosen, val_regenerated),
+    ):
+        held = settle(prefix_select_all(ids, ["id"], F.lit(1), quota, f"{seed}:{part}"), "held")
         require_rows(held, quota, f"validation of the {part} part")
-        labelled.append(held.withColumn("split", F.lit("val")).withColumn("part", F.lit(part)))
-        labelled.append(
-            rows.join(held.select("id"), "id", "left_anti")
-            .withColumn("split", F.lit("train"))
-            .withColumn("part", F.lit(part))
-        )
-    return reduce(lambda a, b: a.unionByName(b), labelled).select("id", "n", "part", "split")
-
+        marked = lookup_join(rows, held.withColumn("split", F.lit("val")), ["id"], "left")
+        labelled.append(marked.withColumns({"split": F.coalesce("split", F.lit("train")), "part": F.lit(part)}))
+    return labelled[0].unionByName(labelled[1], allowMissingColumns=True)
+
+
+def mix_report(mixed: DataFrame, n: str = "n") -> DataFrame:
+    """Per part and in total (part null): rows and tokens of both splits, and the ratio that makes a trainer, which truncates
+    rows times ratio, train on just the training rows."""
+    train = F.col("split") == "train"
+    counts = mixed.rollup("part").agg(
+        F.count_if(train).alias("train_rows"),
+        F.count_if(~train).alias("val_rows"),
+        F.coalesce(F.sum(F.when(train, F.col(n))), F.lit(0)).alias("train_tokens"),
+        F.coalesce(F.sum(F.when(~train, F.col(n))), F.lit(0)).alias("val_tokens"),
+    )
+    return counts.withColumn("train_ratio", (F.col("train_rows") + 0.5) / (F.col("train_rows") + F.col("val_rows")))
+
+
+def share_quota(rows: DataFrame, by: str, share: float) -> DataFrame:
+    """``by, n_rows, quota``: a share of every group's rows, halves rounded to even."""
+    return rows.groupBy(by).agg(F.count("*").alias("n_rows")).withColumn("quota", F.bround(F.col("n_rows") * F.lit(share)).cast("bigint"))

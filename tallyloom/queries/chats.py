@@ -282,14 +282,14 @@ def to_layout(spark, sf):
 
 @query(
     "last_solution",
-    r"""WITH x AS (SELECT doc_id AS id, source, text, list_filter(string_split(text, '.'), lambda s: true) AS s FROM documents)
-SELECT id, CASE WHEN trim(regexp_replace(s[1], '^\s+|\s+$', '', 'g')) = '' THEN 'none'
+    r"""WITH x AS (SELECT doc_id AS id, source, text FROM documents)
+SELECT id, CASE WHEN trim(regexp_replace(text, '^\s+|\s+$', '', 'g')) = '' THEN 'none'
   WHEN CAST(substr(source, 4) AS INT) % 4 = 0 THEN 'none' WHEN CAST(substr(source, 4) AS INT) % 4 = 1 THEN 'none'
-  ELSE md5(regexp_replace(s[1], '^\s+|\s+$', '', 'g')) END AS solution FROM x""",
+  ELSE md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) END AS solution FROM x""",
 )
 def last_solution(spark, sf):
-    """First sentences become the answer block; some sources lose the closer or hold a nested tag, others repeat blocks."""
-    first = F.substring_index("text", ".", 1)
+    """Whole texts become the answer block; some sources lose the closer or hold a nested tag, others repeat blocks."""
+    first = F.col("text")
     kind = F.substring("source", 4, 9).cast("int") % 4
     text = (
         F.when(kind == 0, F.concat(F.lit("<solution>"), first))

@@ -421,20 +421,35 @@ def overlap(spark, sf):
     return X.overlap(base.filter("lang = 'en'"), held, ["h"])
 
 
-@query(
-    "mix_datasets",
-    f"""WITH {D}, org AS (SELECT id, n FROM d WHERE id IN (SELECT doc_id FROM labels)),
-tg AS (SELECT id, n + 5 AS n, row_number() OVER (ORDER BY {md5_sql(SEED, 'id')}, id) AS r FROM d WHERE id NOT IN (SELECT id FROM org)),
-ch AS (SELECT id, n FROM tg WHERE r <= (SELECT floor(count(*) * 0.5) FROM tg) + 20),
-x AS (SELECT id, n, 'original' AS part, row_number() OVER (ORDER BY {md5_sql(f'{SEED}:original', 'id')}, id) <= 30 AS v FROM org
-UNION ALL SELECT id, n, 'regenerated', row_number() OVER (ORDER BY {md5_sql(f'{SEED}:regenerated', 'id')}, id) <= 20 FROM ch)
-SELECT id, n, part, CASE WHEN v THEN 'val' ELSE 'train' END AS split FROM x""",
-)
+MIX = f"""{D}, org AS (SELECT id, source, n FROM d WHERE id IN (SELECT doc_id FROM labels)),
+tg AS (SELECT id, source, n + 5 AS n, row_number() OVER (ORDER BY {md5_sql(SEED, 'id')}, id) AS r FROM d WHERE id NOT IN (SELECT id FROM org)),
+ch AS (SELECT id, source, n FROM tg WHERE r <= (SELECT floor(count(*) * 0.5) FROM tg) + 20),
+x AS (SELECT id, source, n, 'original' AS part, row_number() OVER (ORDER BY {md5_sql(f'{SEED}:original', 'id')}, id) <= 30 AS v FROM org
+UNION ALL SELECT id, source, n, 'regenerated', row_number() OVER (ORDER BY {md5_sql(f'{SEED}:regenerated', 'id')}, id) <= 20 FROM ch),
+mx AS (SELECT id, source, n, part, CASE WHEN v THEN 'val' ELSE 'train' END AS split FROM x)"""
+
+
+@query("mix_datasets", f"WITH {MIX} SELECT * FROM mx")
 def mix_datasets(spark, sf):
     """Labelled documents are the original part; every document, a little longer, was regenerated."""
-    rows = doc_stats(spark, sf).select("id", "n")
+    rows = doc_stats(spark, sf).select("id", "source", "n")
     original = rows.join(table(spark, sf, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi")
     others = rows.join(original.select("id"), "id", "left_anti").count()
     return X.mix_datasets(original, rows.withColumn("n", F.col("n") + 5), int(others * 0.5), 30, 20, SEED)
 
 
+@query(
+    "mix_report",
+    f"""WITH {MIX} SELECT part, count(*) FILTER (split = 'train') AS train_rows, count(*) FILTER (split = 'val') AS val_rows,
+ CAST(coalesce(sum(n) FILTER (split = 'train'), 0) AS BIGINT) AS train_tokens, CAST(coalesce(sum(n) FILTER (split = 'val'), 0) AS BIGINT) AS val_tokens,
+ (count(*) FILTER (split = 'train') + 0.5::DOUBLE) / count(*) AS train_ratio FROM mx GROUP BY ROLLUP (part)""",
+)
+def mix_report(spark, sf):
+    return X.mix_report(mix_datasets(spark, sf))
+
+
+@query("share_quota", "SELECT source, count(*) AS n_rows, CAST(round_even(count(*) * 0.25::DOUBLE, 0) AS BIGINT) AS quota FROM documents GROUP BY source")
+def share_quota(spark, sf):
+    return X.share_quota(docs(spark, sf), "source", 0.25)
+
+

@@ -142,8 +142,8 @@ def counter_delta(spark, sf):
 @query(
     "acceptance",
     """WITH c AS (SELECT event_type AS subset, CAST(1 + floor(value / 10) AS BIGINT) AS drafts, CAST(floor(value / 3) AS BIGINT) AS acc,
- CAST(floor(value / 20) AS BIGINT) AS p0, CAST(floor(value / 40) AS BIGINT) AS p1 FROM events)
-SELECT coalesce(subset, 'all') AS subset, CAST(sum(drafts) AS BIGINT) AS drafts, CAST(sum(drafts * 5) AS BIGINT) AS draft_tokens, CAST(sum(acc) AS BIGINT) AS accepted_tokens,
+ CAST(floor(value / 20) AS BIGINT) AS p0, CAST(floor(value / 40) AS BIGINT) AS p1, user_id % 10 = 0 AS lost FROM events)
+SELECT coalesce(subset, 'all') AS subset, count(*) AS requests, count(*) FILTER (lost) AS failed, CAST(sum(drafts) AS BIGINT) AS drafts, CAST(sum(drafts * 5) AS BIGINT) AS draft_tokens, CAST(sum(acc) AS BIGINT) AS accepted_tokens,
  1 + sum(acc) / sum(drafts) AS acceptance_length, sum(p0) / sum(drafts) AS acceptance_at_pos_0, sum(p1) / sum(drafts) AS acceptance_at_pos_1
 FROM c GROUP BY ROLLUP (subset)""",
 )
@@ -153,8 +153,9 @@ def acceptance(spark, sf):
         F.col("event_type").alias("subset"), drafts.alias("drafts"), (drafts * 5).alias("draft_tokens"),
         F.floor(F.col("value") / 3).alias("accepted_tokens"),
         F.floor(F.col("value") / 20).alias("pos_0"), F.floor(F.col("value") / 40).alias("pos_1"),
+        F.lit(1).alias("requests"), (F.col("user_id") % 10 == 0).cast("int").alias("failed"),
     )
-    return E.acceptance(counters, "subset", 2)
+    return E.acceptance(counters, "subset", 2, ("requests", "failed"))
 
 
 ARMS = """rs AS (SELECT event_type AS benchmark, CASE WHEN user_id % 2 = 0 THEN 'plain-' ELSE '' END || 'arm' || (user_id // 2 % 3) AS arm,

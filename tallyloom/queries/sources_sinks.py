@@ -146,6 +146,21 @@ def read_results(spark, sf):
     return _runs(spark, sf)[1].drop("run")
 
 
+@query(
+    "with_acceptance",
+    f"""WITH {RUNS} SELECT *, CASE WHEN seed % 3 = 0 THEN NULL WHEN seed % 2 = 0 THEN requests + 0.5::DOUBLE ELSE requests END AS acceptance_length FROM r""",
+)
+def with_acceptance(spark, sf):
+    """Tables beside the metrics: one row, or several with a pooled one; every third seed has none."""
+    path, runs = _runs(spark, sf)
+    keys = ["arm", "benchmark", "level", "seed"]
+    row = lambda subset, more: F.struct(F.lit(subset).alias("subset"), (F.col("requests") + more).alias("acceptance_length"))
+    rows = F.when(F.col("seed") % 2 == 0, F.array(row("first", 0.0), row("all", 0.5), row("later", 1.0))).otherwise(F.array(row("first", 0.0)))
+    tables = runs.filter("seed % 3 <> 0").select(*keys, F.explode(rows).alias("t")).select(*keys, "t.*")
+    tables.repartition(*keys).write.mode("append").partitionBy(*keys).csv(path, header=True)
+    return R.with_acceptance(spark, runs, path, "*.csv").drop("run")
+
+
 @query("successful_runs", f"WITH {RUNS} SELECT * FROM r WHERE CAST(requests AS INT) % 3 = 0")
 def successful_runs(spark, sf):
     path, runs = _runs(spark, sf)
@@ -230,6 +245,20 @@ def turn_histogram(spark, sf):
     return K.turn_histogram(prompt_set(spark, sf))
 
 
+@query(
+    "prompt_set_manifest",
+    f"""WITH {PROMPTS} SELECT turn_kind, sum(count(*)) OVER (PARTITION BY turn_kind) AS n_rows, assistant_turn, count(*) AS n_prompts, 0 AS train_overlap FROM ps GROUP BY turn_kind, assistant_turn""",
+)
+def prompt_set_manifest(spark, sf):
+    """The manifest beside the written prompts, one row per bar of its histogram."""
+    path = fresh_path(spark, "prompts")
+    prompts = settle(prompt_set(spark, sf), "set")
+    train = chats(spark, sf).select("conv_id").distinct().join(prompts.select("conv_id"), "conv_id", "left_anti")
+    K.write_prompt_set(prompts, path, ["conv_id", "turn"], train, ["conv_id"])
+    shape = "turn_kind string, n_rows bigint, train_overlap bigint, turn_histogram array<struct<assistant_turn:bigint,n_prompts:bigint>>"
+    return spark.read.schema(shape).json(path + "/manifest").select("turn_kind", "n_rows", "train_overlap", F.inline("turn_histogram"))
+
+
 @query("write_prompt_set", f"WITH {PROMPTS} SELECT conv_id, turn, turn_kind, prompt_tokens, assistant_turn FROM ps")
 def write_prompt_set(spark, sf):
     """Written behind the leak check (training rows: conversations without an assistant turn) and read back."""

@@ -115,6 +115,18 @@ def unwrapped(text: str, field: str) -> Column:
     ).cast("double")
 
 
+def record_pairs(text: str) -> Column:
+    """``key, val`` of what loggers print as ``key=number``, parted by commas or white space; a number may be nan, inf or None."""
+    parts = F.transform(F.split(text, r"[,\s]+"), lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.substring(p, F.instr(p, "=") + 1, F.length(p)).alias("val")))
+
+    def said(p):
+        # A cast would also read the type letter of a Java number.
+        number = p["val"].try_cast("double").isNotNull() & ~p["val"].rlike("[0-9.][dDfF]$")
+        return p["key"].rlike(r"^[A-Za-z_][\w/]*$") & (p["key"] != p["val"]) & (number | (p["val"] == "None"))
+
+    return F.filter(parts, said)
+
+
 def read_results(spark: SparkSession, root: str, name: str, fields: list[str]) -> DataFrame:
     """Result tree ``<root>/<arm>/<benchmark>/<level>/seed<k>/<name>``: path parts and unwrapped metrics.
 
@@ -134,6 +146,26 @@ def read_results(spark: SparkSession, root: str, name: str, fields: list[str]) -
     )
 
 
+def with_acceptance(spark: SparkSession, runs: DataFrame, root: str, name: str = "acceptance.csv") -> DataFrame:
+    """Runs with the ``acceptance_length`` of the CSV table in their folder: of its row ``all``, or else of its first row.
+
+    Tables may hold different columns in any order. A run without a table, or whose table has no such column, gets null.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)
+    lines = F.transform(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != ""), lambda x: F.split(x, ","))
+    cell = lambda row, column: F.get(row, F.array_position(F.get("lines", 0), column).cast("int") - 1)
+    rows = F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))
+    pooled = F.get(F.filter("rows", lambda r: cell(r, "subset") == "all"), 0)
+    found = (
+        with_path(files, ["value"])
+        .select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("run"), lines.alias("lines"))
+        .withColumn("rows", rows)
+        .withColumn("picked", F.coalesce(pooled, F.get("rows", 0)))
+        .select("run", cell(F.col("picked"), "acceptance_length").try_cast("double").alias("acceptance_length"))
+    )
+    return runs.join(found, "run", "left")
+
+
 def successful_runs(spark: SparkSession, runs: DataFrame, root: str, name: str = "status") -> DataFrame:
     """Runs whose status file, in the same folder, says ``exit=0``."""
     status = (
@@ -211,15 +243,10 @@ def assemble_log_records(lines: DataFrame, step_key: str = "global_step") -> Dat
     ends = blocks.groupBy("file", "block").agg(
         F.min("line_no").alias("first_line"), F.min(F.when(F.col("closes"), F.col("line_no"))).alias("closed_at")
     )
-    pair = M.RECORD_PAIR
-    pairs = F.arrays_zip(
-        F.regexp_extract_all("piece", F.lit(pair), F.lit(1)).alias("key"),
-        F.regexp_extract_all("piece", F.lit(pair), F.lit(2)).alias("val"),
-    )
     said = (
         blocks.join(ends.filter("closed_at IS NOT NULL").select("file", "block", "closed_at"), ["file", "block"])
         .filter(F.col("line_no") <= F.col("closed_at"))
-        .select("file", "block", "line_no", F.posexplode(pairs).alias("i", "p"))
+        .select("file", "block", "line_no", F.posexplode(record_pairs("piece")).alias("i", "p"))
     )
     # A key said twice keeps its last value.
     last = said.groupBy("file", "block", "p.key").agg(F.max(F.struct("line_no", "i", "p.val")).alias("m"))

@@ -86,12 +86,18 @@ def turn_histogram(prompts: DataFrame, by: str = "turn_kind", turn: str = "assis
 
 
 def write_prompt_set(prompts: DataFrame, path: str, keys: list[str], held: DataFrame, held_keys: list[str]) -> None:
-    """JSON lines plus manifest; a prompt whose key is in the training sample stops the write."""
+    """JSON lines plus manifest; a prompt whose key is in the training sample stops the write.
+
+    The manifest has a row per file with the histogram of its turns and the number of keys shared with the sample, 0.
+    """
     from ..operators.sets import require_no_overlap
 
-    require_no_overlap(prompts, held, held_keys)
+    shared = require_no_overlap(prompts, held, held_keys)
     prompts.write.mode("errorifexists").partitionBy("turn_kind").json(path + "/prompts")
-    prompt_manifest(prompts, keys).coalesce(1).write.mode("errorifexists").json(path + "/manifest")
+    turns = F.sort_array(F.collect_list(F.struct("assistant_turn", "n_prompts")))
+    histogram = turn_histogram(prompts).groupBy("turn_kind").agg(turns.alias("turn_histogram"))
+    described = prompt_manifest(prompts, keys).join(histogram, "turn_kind").withColumn("train_overlap", F.lit(shared))
+    described.coalesce(1).write.mode("errorifexists").json(path + "/manifest")
 
 
 def write_report(table: DataFrame, path: str) -> None:

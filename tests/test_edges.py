@@ -20,7 +20,7 @@ from tallyloom.operators import sets as X
 from tallyloom.operators import similarity as K
 from tallyloom.operators import token_rows as T
 from tallyloom.operators.texts import normalize_text
-from tallyloom.sources.readers import parse_metrics
+from tallyloom.sources.readers import parse_metrics, record_pairs, with_acceptance
 
 ROW = "id bigint, tokens array<string>, mask array<tinyint>, n int"
 
@@ -572,6 +572,40 @@ def test_metric_lines(spark):
 
 
 def test_record_pairs_hold_what_loggers_print(spark):
-    df = spark.createDataFrame([("train/loss=nan, lr=-inf a=None b=1.5e-3,c=x d=2",)], "t string")
-    keys = df.select(F.regexp_extract_all("t", F.lit(M.RECORD_PAIR), F.lit(1))).first()[0]
-    assert keys == ["train/loss", "lr", "a", "b", "d"]
+    df = spark.createDataFrame([("train/loss=nan, lr=-inf a=None b=1.5e-3,c=x d=2 e=1d =4 f= g 7",)], "t string")
+    got = df.select(record_pairs("t")).first()[0]
+    assert [p.key for p in got] == ["train/loss", "lr", "a", "b", "d"]
+
+
+def test_acceptance_tables_of_any_layout(spark, tmp_path):
+    """Columns in any order, a pooled row or not, no such column, a header only, an empty file, no file."""
+    tables = {
+        "a": "subset,requests,acceptance_length\nfirst,3,1.5\nall,5,2.5\n", "b": "acceptance_length,subset\r\n1.25,later\r\n",
+        "c": "subset,requests\nall,5\n", "d": "subset,acceptance_length\n", "e": "", "f": None,
+    }
+    for name, text in tables.items():
+        (tmp_path / name).mkdir()
+        if text is not None:
+            (tmp_path / name / "acceptance.csv").write_text(text, newline="")
+    runs = spark.createDataFrame([(f"file:{tmp_path}/{name}",) for name in tables], "run string")
+    path = f"file:{tmp_path}"
+    got = {r.run[-1]: r.acceptance_length for r in with_acceptance(spark, runs, path).collect()}
+    assert got == {"a": 2.5, "b": 1.25, "c": None, "d": None, "e": None, "f": None}
+
+
+def test_mixed_rows_stay_whole(spark):
+    """Tokens stay with their row, a column of one side only is null on the other, and the ratio gives the training rows."""
+    original = spark.range(6).selectExpr("id", "array(id) AS tokens", "1L AS n", "id AS part_of")
+    regenerated = spark.range(3, 20).selectExpr("id", "array(id, id) AS tokens", "2L AS n")
+    mixed = X.mix_datasets(original, regenerated, 7, 2, 3, 1)
+    rows = mixed.collect()
+    assert len(rows) == 16 and all(r.tokens == [r.id] * r.n for r in rows)
+    assert all((r.part == "original") == (r.part_of is not None) for r in rows)
+    report = {r.part: r for r in X.mix_report(mixed).collect()}
+    assert (report["original"].train_rows, report["regenerated"].train_rows, report[None].val_rows) == (4, 7, 5)
+    assert int(16 * report[None].train_ratio) == report[None].train_rows == 11
+
+
+def test_quota_halves_go_to_even(spark):
+    rows = spark.createDataFrame([(s,) for s, n in (("a", 10), ("b", 6), ("c", 2)) for _ in range(n)], "source string")
+    assert {r.source: r.quota for r in X.share_quota(rows, "source", 0.25).collect()} == {"a": 2, "b": 2, "c": 0}
