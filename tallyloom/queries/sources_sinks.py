@@ -101,6 +101,33 @@ def explode_trajectories(spark, sf):
     return R.explode_trajectories(R.read_jsonl(spark, path, shape))
 
 
+@query(
+    "attempt_messages",
+    """SELECT CAST(conv_id AS VARCHAR) AS task, turn AS i, length(text) + 1 AS prompt_tokens, length(text) AS completion_tokens
+FROM conversations WHERE role = 'assistant' AND turn % 2 = 1""",
+)
+def attempt_messages(spark, sf):
+    """Published records: every conversation in two attempts beside one without a trajectory, usage deep in each message."""
+    path = fresh_path(spark, "attempts")
+    usage = F.struct((F.length("text") + 1).alias("prompt_tokens"), F.length("text").alias("completion_tokens"))
+    extra = F.when(F.col("turn") % 2 == 1, F.struct(F.struct(usage.alias("usage")).alias("response")))
+    turns = chats(spark, sf).select("conv_id", "turn", "role", extra.alias("extra"))
+    said = turns.groupBy(F.col("conv_id").cast("string").alias("task_name")).agg(
+        F.sort_array(F.collect_list(F.struct("turn", "role", "extra"))).alias("m")
+    )
+    attempt = lambda messages: F.struct(F.struct(messages.alias("messages")).alias("trajectory"))
+    none = F.lit(None).cast(said.schema["m"].dataType)
+    attempts = F.array(attempt(F.filter("m", lambda x: x["turn"] < 2)), attempt(none), attempt(F.filter("m", lambda x: x["turn"] >= 2)))
+    said.select("task_name", attempts.alias("attempts")).write.option("compression", "gzip").json(path)
+    return R.explode_trajectories(R.attempt_messages(R.read_jsonl(spark, path, ATTEMPTS)))
+
+
+ATTEMPTS = (
+    "task_name string, attempts array<struct<trajectory:struct<messages:array<struct<role:string,extra:struct<response:"
+    "struct<usage:struct<prompt_tokens:bigint,completion_tokens:bigint>>>>>>>>"
+)
+
+
 @query(
     "read_trials",
     "SELECT source AS trial, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS step, doc_id, n_chars FROM documents",

@@ -609,3 +609,22 @@ def test_mixed_rows_stay_whole(spark):
 def test_quota_halves_go_to_even(spark):
     rows = spark.createDataFrame([(s,) for s, n in (("a", 10), ("b", 6), ("c", 2)) for _ in range(n)], "source string")
     assert {r.source: r.quota for r in X.share_quota(rows, "source", 0.25).collect()} == {"a": 2, "b": 2, "c": 0}
+
+
+def test_published_trajectories_compressed(spark, tmp_path):
+    """A zstd file of two tasks, one without any attempt."""
+    import json
+
+    import zstandard
+
+    from tallyloom.queries.sources_sinks import ATTEMPTS
+    from tallyloom.sources import readers
+
+    usage = {"response": {"usage": {"prompt_tokens": 7, "completion_tokens": 3}}}
+    messages = [{"role": "user"}, {"role": "assistant", "extra": usage}, {"role": "assistant"}]
+    tasks = [{"task_name": "t", "attempts": [{"trajectory": {"messages": messages}}, {"trajectory": None}]}, {"task_name": "u", "attempts": []}]
+    text = "\n".join(json.dumps(t) for t in tasks)
+    (tmp_path / "part.jsonl.zst").write_bytes(zstandard.compress(text.encode()))
+    records = readers.read_jsonl(spark, f"file:{tmp_path}", ATTEMPTS)
+    got = [tuple(r) for r in readers.explode_trajectories(readers.attempt_messages(records)).collect()]
+    assert got == [("t", 1, 7, 3)]
