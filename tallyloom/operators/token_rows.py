@@ -321,15 +321,19 @@ def row_stats(rows: DataFrame) -> DataFrame:
 
 
 def bad_rows(rows: DataFrame, length: int) -> DataFrame:
-    """Rows that break an invariant: equal lengths, at most ``length`` tokens, a 0/1 mask with at least one 1."""
-    ok = (
-        (F.size("tokens") == F.size("mask"))
-        & (F.size("tokens") == F.col("n"))
-        & (F.col("n") <= length)
-        & F.forall("mask", lambda m: m.isin(0, 1))
-        & F.exists("mask", lambda m: m == 1)
+    """Rows that break an invariant, see ``sound``."""
+    return rows.filter(~sound(length))
+
+
+def sound(length: int, tokens: str = "tokens", mask: str = "mask", n: str = "n") -> Column:
+    """Whether a row has equal lengths, at most ``length`` tokens, and a 0/1 mask with at least one 1."""
+    return (
+        (F.size(tokens) == F.size(mask))
+        & (F.size(tokens) == F.col(n))
+        & (F.col(n) <= length)
+        & F.forall(mask, lambda m: m.isin(0, 1))
+        & F.exists(mask, lambda m: m == 1)
     )
-    return rows.filter(~ok)
 
 
 # ---- exploded views --------------------------------------------------------------------------------------------

@@ -57,17 +57,20 @@ def curate(
 
     wanted = settle(chosen.filter("n_supervised > 0").select("source", "id"), "wanted")
     picked = lookup_join(texts, wanted, ["source", "id"], "left_semi", settled=True)
+    names = ("tokens", "mask", "n") if tokenizer is None else ("input_ids", "loss_mask", "seq_len")
+    counters = {"kept": F.count(F.lit(1)), "bad": F.count_if(~T.sound(length, *names))}
+    kept = 0
     for part in range(parts):
         target = f"{path}/rows/part={part}"
         if resume and K.finished(spark, target):
+            seen = spark.read.parquet(target).agg(*[c.alias(name) for name, c in counters.items()]).first().asDict()
+            kept += _whole(seen)
             continue
         mine = K.shard_columns(picked, n_shards, seed).filter(F.pmod("shard", F.lit(parts)) == part).drop("shard", "h")
-        K.write_sharded(_named(T.clip(build(mine), length), tokenizer), target, n_shards, seed, resume=resume)
+        rows = _named(T.clip(build(mine), length), tokenizer)
+        kept += _whole(K.write_sharded(rows, target, n_shards, seed, resume=resume, counters=counters))
 
     written = _unnamed(spark.read.parquet(f"{path}/rows"), tokenizer)
-    if not T.bad_rows(written, length).isEmpty():
-        raise ValueError("written rows break an invariant")
-    kept = written.count()
     counted = A.source_totals(
         chosen.select("source", F.col("n").alias("n_tokens"), F.col("n_supervised").alias("n_supervised_clipped")), length
     ).withColumns({"seed": F.lit(seed), "seq_length": F.lit(length), "shards": F.lit(n_shards), "partial": F.lit(allow_partial)})
@@ -81,6 +84,13 @@ def curate(
     return manifest
 
 
+def _whole(seen: dict) -> int:
+    """The rows counted while writing, none of which may break an invariant."""
+    if seen["bad"]:
+        raise ValueError(f"{seen['bad']} written rows break an invariant")
+    return seen["kept"]
+
+
 def _named(rows: DataFrame, tokenizer: T.IdTokenizer | None) -> DataFrame:
     """Rows under the names that training reads."""
     if tokenizer is None:

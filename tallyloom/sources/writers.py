@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.seeded import key_bucket, order_key
@@ -24,20 +24,27 @@ def finished(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def write_sharded(rows: DataFrame, path: str, n: int, seed: int, key: str = "id", resume: bool = False) -> None:
+def write_sharded(
+    rows: DataFrame, path: str, n: int, seed: int, key: str = "id", resume: bool = False, counters: dict[str, Column] | None = None
+) -> dict:
     """One folder per shard, rows in seeded order, every source in proportion in every shard.
 
     One shuffle straight into one partition per shard. A shard's rows are one sorted file, whose size the caller sets
     through ``n`` (see ``shard_count``). With ``resume`` what an unfinished run left at ``path`` is replaced.
+
+    ``counters`` are aggregates over the rows, returned by name. They are taken in the tasks that write, behind the shuffle, so
+    the shards are not read again and a task that is repeated counts once.
     """
-    placed = shard_columns(rows, n, seed, key)
+    placed = shard_columns(rows, n, seed, key).repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "h", key)
+    seen = Observation()
+    if counters:
+        placed = placed.observe(seen, *[c.alias(name) for name, c in counters.items()])
     (
-        placed.repartitionById(n, F.col("shard"))
-        .sortWithinPartitions("shard", "h", key)
-        .write.mode("overwrite" if resume else "errorifexists")
+        placed.write.mode("overwrite" if resume else "errorifexists")
         .partitionBy("shard")
         .parquet(path)
     )
+    return seen.get if counters else {}
 
 
 def safe_write(rows: DataFrame, path: str, inputs: list[str] | None = None) -> None:

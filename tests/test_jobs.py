@@ -265,3 +265,13 @@ def test_published_trajectories(spark, tmp_path):
               "struct<usage:struct<prompt_tokens:bigint,completion_tokens:bigint>>>>>>>>")
     rows = R.explode_trajectories(R.attempt_messages(R.read_jsonl(spark, str(tmp_path), schema))).collect()
     assert sorted((r.task, r.i, r.prompt_tokens, r.completion_tokens) for r in rows) == [("t", 1, 7, 3), ("t", 2, 7, 3)]
+
+
+def test_counters_of_a_write(spark):
+    """Counted while writing: rows of all shards and of none, and a row that breaks an invariant."""
+    rows = spark.range(50).selectExpr("id", "array(id, id) AS tokens", "array(0, if(id = 7, 0, 1)) AS mask", "2 AS n")
+    counters = {"kept": F.count(F.lit(1)), "bad": F.count_if(~T.sound(2))}
+    assert K.write_sharded(rows, session.fresh_path(spark, "counted"), 4, 1, counters=counters) == {"kept": 50, "bad": 1}
+    empty = rows.filter("id < 0")
+    assert K.write_sharded(empty, session.fresh_path(spark, "counted"), 4, 1, counters=counters) == {"kept": 0, "bad": 0}
+    assert K.write_sharded(rows, session.fresh_path(spark, "counted"), 4, 1) == {}
