@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.seeded import hex_int, key_bucket, key_fraction, order_key, slice_of
-from ..session import lookup_join, settle
+from ..session import SALTS, lookup_join, settle
 from .ordering import key_at, per_group_limit, prefix_select, prefix_select_all, seeded_index, total_before
 
 
@@ -246,24 +246,33 @@ def pack_rows(rows: DataFrame, length: int, seed: int, tokens_per_bucket: int) -
 # ---- groups over shards ----------------------------------------------------------------------------------------
 
 
+# A node or key with more than one in HOT_SHARE of the edges is hot: its edges are spread over SALTS salts.
+HOT_SHARE = 1000
+# Labels are broadcast up to so many rows.
+LABEL_ROWS = 10_000
+
+
 def group_components(edges: DataFrame, node: str = "node", key: str = "key") -> DataFrame:
     """``node, component``: nodes that share a key, directly or through others, get the smallest node of their group.
 
     Every round takes the smallest label per key and per node (both combine before the shuffle, so a key shared by a third
     of the nodes costs one row per task) and then jumps to the label's own label. Rounds are written to the shared folder.
+    A node or a key may hold a large share of all edges: such edges are spread over salts, found once. Labels and keys are
+    joined by shuffles and never broadcast, so nothing that the driver gets grows with the edges.
     """
-    edges = settle(edges.select(node, key).distinct(), "edges")
-    labels = settle(edges.groupBy(node).agg(F.min(node).alias("label")), "labels")
+    edges = _salted(_salted(settle(edges.select(node, key).distinct(), "edges"), node, key, "__n"), key, node, "__k")
+    edges = settle(edges, "salted")
+    labels = settle(edges.groupBy(node).agg(F.min(node).alias("label"), F.max("__n_salts").alias("__n_salts")), "labels")
     while True:
-        # A node may hold a large share of all edges: its rows stay, or are spread over salts.
-        held = lookup_join(edges, labels, [node], settled=True)
-        per_key = held.groupBy(key).agg(F.min("label").alias("low"))
+        held = edges.drop("__n_salts").join(_copied(labels, "__n").hint("merge"), [node, "__n"])
+        per_key = held.groupBy(key).agg(F.min("label").alias("low"), F.max("__k_salts").alias("__k_salts"))
         lowered = (
-            lookup_join(edges, per_key, [key])
+            edges.select(node, key, "__k")
+            .join(_copied(per_key, "__k").hint("merge"), [key, "__k"])
             .groupBy(node)
             .agg(F.min("low").alias("low"))
-            .join(labels, node)
-            .select(node, F.least("low", "label").alias("label"), F.col("label").alias("old"))
+            .join(labels.hint("merge"), node)
+            .select(node, F.least("low", "label").alias("label"), F.col("label").alias("old"), "__n_salts")
         )
         lowered = settle(lowered, "lowered")
         if lowered.filter("label <> old").isEmpty():
@@ -271,13 +280,27 @@ def group_components(edges: DataFrame, node: str = "node", key: str = "key") ->
         jump = (
             lowered.select(F.col("label").alias(node))
             .distinct()
-            .join(lowered.select(node, F.col("label").alias("further")), node)
+            .join(lowered.select(node, F.col("label").alias("further")).hint("merge"), node)
             .select(F.col(node).alias("label"), "further")
         )
-        jumped = lookup_join(lowered, jump, ["label"]).select(node, F.col("further").alias("label"))
+        jumped = lookup_join(lowered, jump, ["label"], limit=LABEL_ROWS).select(node, F.col("further").alias("label"), "__n_salts")
         labels = settle(jumped, "labels")
 
 
+def _salted(edges: DataFrame, by: str, other: str, out: str) -> DataFrame:
+    """Edges with ``out``, the salt of a hot ``by`` (0 for others), and ``<out>_salts``, how many it has."""
+    counts = settle(edges.groupBy(by).agg(F.count("*").alias("__rows")), "degrees")
+    least = (counts.agg(F.sum("__rows").alias("t")).first().t or 0) / HOT_SHARE
+    hot = counts.filter(F.col("__rows") > F.greatest(F.lit(least), F.lit(HOT_SHARE))).select(by, F.lit(SALTS).alias(f"{out}_salts"))
+    marked = edges.join(F.broadcast(hot), by, "left").withColumn(f"{out}_salts", F.coalesce(f"{out}_salts", F.lit(1)))
+    return marked.withColumn(out, F.pmod(F.xxhash64(other), F.col(f"{out}_salts")).cast("int"))
+
+
+def _copied(side: DataFrame, salt: str) -> DataFrame:
+    """One row for each of the salts of a row."""
+    return side.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(f"{salt}_salts") - 1)))
+
+
 def balance_groups(groups: DataFrame, n: int, group: str = "component", weight: str = "weight") -> DataFrame:
     """``group, weight, shard``: heaviest group first onto the currently lightest shard, ties by group and by shard.
 

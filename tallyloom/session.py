@@ -90,4 +90,4 @@ def lookup_join(
     spread = big.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__hot")
     copies = F.when(F.col("__hot") == 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     copied = side.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
-    return spread.join(copied, [*keys, "__salt"], how).drop("__salt")
+    return spread.join(copied.hint("merge"), [*keys, "__salt"], how).drop("__salt")

@@ -149,3 +149,24 @@ def test_shared_dir_is_the_sessions(spark):
 def test_heaviest_first_is_sorted(spark):
     rows = S.heaviest_first(skewed(spark), "n", "id").select("n", "id").collect()
     assert [(-r.n, r.id) for r in rows] == sorted((-r.n, r.id) for r in rows)
+
+
+def test_components_never_broadcast_what_grows(spark, monkeypatch):
+    """Hot nodes and keys on salts, labels beyond the broadcast bound: no round broadcasts keys or labels."""
+    monkeypatch.setattr(S, "HOT_SHARE", 10)
+    monkeypatch.setattr(S, "LABEL_ROWS", 1)
+    edges = [(0, f"h{i}") for i in range(300)] + [(i + 1, f"h{i}") for i in range(300)] + [(i, "common") for i in range(500, 700)]
+    edges += [(i, f"own{i}") for i in range(1000, 1300)] + [(None, "common"), (2000, None)]
+    rows = spark.createDataFrame(edges, "node bigint, key string")
+    plans = []
+    settled = S.settle
+
+    def seen(df, name="table"):
+        plans.append((name, plan_of(df)))
+        return settled(df, name)
+
+    monkeypatch.setattr(S, "settle", seen)
+    got = {r.node: r.component for r in S.group_components(rows).collect()}
+    assert got == {i: 0 for i in range(301)} | {i: 500 for i in range(500, 700)} | {i: i for i in range(1000, 1300)}
+    rounds = [p for name, p in plans if name == "lowered"]
+    assert len(rounds) > 1 and all("SortMergeJoin" in p and "Broadcast" not in p for p in rounds)
