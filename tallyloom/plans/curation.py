@@ -13,6 +13,9 @@ from ..operators.ordering import prefix_select
 from ..session import lookup_join, settle
 from ..sources import writers as K
 
+# Chosen rows are broadcast up to so many; more are joined by a shuffle, so the driver does not get them.
+CHOSEN_ROWS = 100_000
+
 
 def curate(
     texts: DataFrame,
@@ -56,7 +59,7 @@ def curate(
     n_shards = K.shard_count(expected, shard_tokens)
 
     wanted = settle(chosen.filter("n_supervised > 0").select("source", "id"), "wanted")
-    picked = lookup_join(texts, wanted, ["source", "id"], "left_semi", settled=True)
+    picked = lookup_join(texts, wanted, ["source", "id"], "left_semi", limit=CHOSEN_ROWS, settled=True)
     names = ("tokens", "mask", "n") if tokenizer is None else ("input_ids", "loss_mask", "seq_len")
     counters = {"kept": F.count(F.lit(1)), "bad": F.count_if(~T.sound(length, *names))}
     kept = 0

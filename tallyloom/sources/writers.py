@@ -24,18 +24,27 @@ def finished(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+# A task writes at most so many shards, one after the other, once there are more shards than shuffle partitions.
+TASK_SHARDS = 16
+
+
 def write_sharded(
     rows: DataFrame, path: str, n: int, seed: int, key: str = "id", resume: bool = False, counters: dict[str, Column] | None = None
 ) -> dict:
     """One folder per shard, rows in seeded order, every source in proportion in every shard.
 
-    One shuffle straight into one partition per shard. A shard's rows are one sorted file, whose size the caller sets
-    through ``n`` (see ``shard_count``). With ``resume`` what an unfinished run left at ``path`` is replaced.
+    One shuffle straight into a partition for each run of shards: one shard, or ``TASK_SHARDS`` at most when shards outnumber
+    the session's shuffle partitions, so the tasks, each of which reports to the driver, are far fewer than the shards. A
+    shard's rows are one sorted file, whose size the caller sets through ``n`` (see ``shard_count``). With ``resume`` what an
+    unfinished run left at ``path`` is replaced.
 
     ``counters`` are aggregates over the rows, returned by name. They are taken in the tasks that write, behind the shuffle, so
     the shards are not read again and a task that is repeated counts once.
     """
-    placed = shard_columns(rows, n, seed, key).repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "h", key)
+    at_least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    run = min(TASK_SHARDS, max(1, -(-n // at_least)))
+    dealt = shard_columns(rows, n, seed, key).repartitionById(-(-n // run), F.floor(F.col("shard") / run).cast("int"))
+    placed = dealt.sortWithinPartitions("shard", "h", key)
     seen = Observation()
     if counters:
         placed = placed.observe(seen, *[c.alias(name) for name, c in counters.items()])

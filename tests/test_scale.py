@@ -170,3 +170,15 @@ def test_components_never_broadcast_what_grows(spark, monkeypatch):
     assert got == {i: 0 for i in range(301)} | {i: 500 for i in range(500, 700)} | {i: i for i in range(1000, 1300)}
     rounds = [p for name, p in plans if name == "lowered"]
     assert len(rounds) > 1 and all("SortMergeJoin" in p and "Broadcast" not in p for p in rounds)
+
+
+def test_shards_outnumber_the_tasks_that_write_them(spark, partitions):
+    partitions(2)
+    path = session.fresh_path(spark, "test-runs")
+    K.write_sharded(skewed(spark), path, 40, 3)
+    back = spark.read.parquet(path)
+    files = back.select("shard", F.col("_metadata.file_path").alias("f"), F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).alias("task")).distinct()
+    assert files.count() == files.select("shard").distinct().count() == 40
+    assert files.select("task").distinct().count() == 3
+    order = [(r.shard, r.h) for r in back.select("shard", "h", "_metadata.row_index").orderBy("shard", "row_index").collect()]
+    assert order == sorted(order) and back.count() == 6000
