@@ -196,3 +196,11 @@ def test_larger_tables_are_more_files(spark, sf, monkeypatch):
     assert sorted(map(tuple, QUERIES["stream_ingest"](spark, sf).collect())) == want
     written = spark.read.parquet(folders[0]).select(F.col("_metadata.file_path").alias("f"), "id")
     assert written.select("f").distinct().count() == 7
+
+
+def test_chosen_rows_beyond_the_broadcast_bound(spark, sf, monkeypatch):
+    from tallyloom.plans import curation
+
+    want = sorted(map(tuple, QUERIES["curate_whole"](spark, sf).collect()))
+    monkeypatch.setattr(curation, "CHOSEN_ROWS", 1)
+    assert sorted(map(tuple, QUERIES["curate_whole"](spark, sf).collect())) == want
