@@ -98,18 +98,23 @@ def step(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
     tail, skipped = from_position(label, F.lit(1)), from_position(rest, F.lit(1))
     left = F.length(rest) > 0
 
+    # The edges of a node differ in their first code point, so at most one of them follows the word.
+    fresh = (F.col("edits") == 0) & (F.substring(rest, 1, 1) != F.substring(label, 1, 1))
+    follows = F.startswith(rest, label)
+    replaces, inserts, deletes = left & F.startswith(skipped, tail), F.startswith(rest, tail), left & F.startswith(skipped, label)
+    # Most edges lead no way on; they go before the ways are listed.
+    met = met.where(follows | (fresh & (inserts | replaces | deletes)))
+
     def way(allowed: Column, used: Column, edits: Column) -> Column:
         return F.when(allowed, F.struct(used.alias("used"), edits.cast("int").alias("made")))
 
-    # The edges of a node differ in their first code point, so at most one of them follows the word.
-    fresh = (F.col("edits") == 0) & (F.substring(rest, 1, 1) != F.substring(label, 1, 1))
     ways = F.array(
-        way(F.startswith(rest, label), size, F.col("edits")),
-        way(fresh & left & F.startswith(skipped, tail), size, F.lit(1)),
-        way(fresh & F.startswith(rest, tail), size - 1, F.lit(1)),
-        way(fresh & left & F.startswith(skipped, label), size + 1, F.lit(1)),
+        way(follows, size, F.col("edits")),
+        way(fresh & replaces, size, F.lit(1)),
+        way(fresh & inserts, size - 1, F.lit(1)),
+        way(fresh & deletes, size + 1, F.lit(1)),
     )
-    gone = met.select("back", "path", "at", "child", "word", F.inline(F.filter(ways, lambda w: w.isNotNull())))
+    gone = met.select("back", "path", "at", "child", "word", F.inline(ways)).where("made IS NOT NULL")
     gone = gone.select("back", "path", (F.col("at") + F.col("used")).alias("at"), F.col("child").alias("node"), F.col("made").alias("edits"), F.col("word").alias("ended"))
     unused = F.length("path") - F.col("at")
     # With one code point left and no edit so far, deleting it ends the walk here.

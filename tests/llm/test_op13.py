@@ -117,3 +117,13 @@ def test_query_and_sql(spark, sf):
 def test_a_walk_starts_past_the_first_nodes(spark):
     nodes = S.trie(spark.createDataFrame([("letter",), ("lettuce",), ("bettor",)], "word string"))
     assert nodes.agg(F.min(F.length("node"))).first()[0] >= 2
+
+
+def test_only_edges_that_lead_on_are_listed(spark):
+    """The ways on are listed after the edges without any have gone, by compiled code alone."""
+    nodes = S.settle(S.trie(spark.createDataFrame([("letter",), ("lettuce",), ("letters",)], "word string")), "trie")
+    states = spark.createDataFrame([(0, "letter", 3, "let", 0)], "back int, path string, at int, node string, edits int")
+    plan = S.step(states, nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+    first, second = plan.index("Generate inline"), plan.rindex("Generate inline")
+    assert first < plan.rindex("StartsWith(") < second
