@@ -29,13 +29,14 @@ from pyspark.sql import types as T
 from ..session import settle
 from .common import short_batches, slices, text_of, tidied
 
-# Rows that one recursion may make, bytes of a long piece, pieces handled together, and encodings a worker remembers.
-RECURSION_ROWS = 1_500_000
+# Rows that one recursion may make, bytes of a long piece, pieces and tokens handled together, and encodings a worker remembers.
+RECURSION_ROWS = 600_000
 LONG_PIECE = 255
 SLICE_PIECES = 500_000
-REMEMBERED = 400_000
+DECODED = 100_000
+REMEMBERED = 200_000
 # Rows handed to Python at a time.
-ROWS = 1000
+ROWS = 500
 
 _FIRST = """
   SELECT i.w, i.p, i.t, 0 AS step, m.id, m.safe
@@ -196,14 +197,17 @@ class Codec:
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Bytes of texts given as flat ids with the texts' offsets."""
         out = [b""] * (len(offsets) - 1)
-        row = np.repeat(np.arange(len(out), dtype=np.int32), np.diff(offsets))
-        self.db.register("tokens", pa.table({"row": row, "pos": np.arange(len(ids)), "id": ids}))
-        done = self.db.sql(DECODE).to_arrow_table().combine_chunks()
-        self.db.unregister("tokens")
-        if done.num_rows:
-            parts = pc.binary_join(done["parts"].cast(pa.list_(pa.binary())), pa.scalar(b"", pa.binary()))
-            for i, value in zip(done["row"].to_pylist(), parts.to_pylist(), strict=True):
-                out[i] = value
+        sizes = np.diff(offsets)
+        for a, b in slices(sizes, DECODED):
+            row = np.repeat(np.arange(a, b, dtype=np.int32), sizes[a:b])
+            some = ids[offsets[a] : offsets[b]]
+            self.db.register("tokens", pa.table({"row": row, "pos": np.arange(len(some), dtype=np.int32), "id": some}))
+            done = self.db.sql(DECODE).to_arrow_table().combine_chunks()
+            self.db.unregister("tokens")
+            if done.num_rows:
+                parts = pc.binary_join(done["parts"].cast(pa.list_(pa.binary())), pa.scalar(b"", pa.binary()))
+                for i, value in zip(done["row"].to_pylist(), parts.to_pylist(), strict=True):
+                    out[i] = value
         return out
 
 

@@ -72,3 +72,27 @@ def test_a_class_with_too_many_members_is_written_out(spark, monkeypatch):
     monkeypatch.setattr(bpe, "library_members", lambda name: np.array({"\\p{L}": [97, 98, 99], "\\p{N}": [49], "\\s": [32]}[name]))
     monkeypatch.setattr(bpe, "_patterns", {})
     assert bpe.session_pattern(spark, r"\p{L}+|[^\s\p{N}]\[") == "(?U)[\\x{61}-\\x{63}]+|[^\\x{20}-\\x{20}\\x{31}-\\x{31}]\\["
+
+
+def test_texts_are_decoded_in_slices(reference, monkeypatch):
+    """No more tokens than the bound are decoded together, but for a text that has more by itself."""
+    monkeypatch.setattr(bpe, "DECODED", 10)
+    tokens = bpe.read_ranks(PATH)
+    codec = bpe.Codec(tokens, bpe.merge_table(tokens))
+    seen = []
+    real = codec.db
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def register(self, name, data):
+            seen.append(data.num_rows)
+            return real.register(name, data)
+
+    codec.db = Watched()
+    texts = ["one two three", "", "four", "long " * 30, "", "é \U0001f600"]
+    ids = [reference.encode_ordinary(t) for t in texts]
+    offsets = np.cumsum([0, *map(len, ids)])
+    assert codec.decode(np.concatenate(ids).astype(np.int32), offsets) == [t.encode() for t in texts]
+    assert sum(seen) == offsets[-1] and all(n <= 10 or n == len(ids[3]) for n in seen)
