@@ -20,6 +20,7 @@ as the empty text when it is dealt to training.
 from __future__ import annotations
 
 import secrets
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -29,8 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import settle
-from .common import short_batches, slices, split_words
+from ..session import discard, settle
+from .common import give_back, short_batches, slices, split_words, tidied
 
 # Units: the end, frequent words, hashed endings of this many bytes.
 WORDS, ENDINGS, ENDING_BYTES = 2048, 2048, 3
@@ -74,7 +75,7 @@ def chunks(documents: DataFrame, train: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(one, names=["chunk", "ids", "train", "sizes", "codes", "words"])
 
     with short_batches(documents.sparkSession, 2000):
-        return settle(documents.select("doc_id", F.col(train).alias("train"), "text").mapInArrow(work, schema), "chunks")
+        return settle(documents.select("doc_id", F.col(train).alias("train"), "text").mapInArrow(tidied(work), schema), "chunks")
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray]]:
@@ -113,7 +114,7 @@ def word_counts(table: DataFrame) -> DataFrame:
         if held:
             yield from _summed(held)
 
-    partial = table.mapInArrow(work, "word string, n bigint")
+    partial = table.mapInArrow(tidied(work), "word string, n bigint")
     with short_batches(table.sparkSession, 1):
         return settle(partial.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "counts")
 
@@ -122,16 +123,18 @@ def units_of(words: pa.Array, frequent: pa.Array) -> np.ndarray:
     """The unit of distinct words."""
     if not len(words):
         return np.zeros(0, np.int64)
-    at = pc.fill_null(pc.index_in(words, value_set=frequent), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    alone = pc.fill_null(pc.index_in(words, value_set=frequent), -1).to_numpy(zero_copy_only=False).astype(np.int64)
     raw = pa.concat_arrays([words]).cast(pa.large_binary())
-    tail = pc.binary_slice(raw, -ENDING_BYTES, 2**31 - 1)
-    flat = np.frombuffer(b"".join(b.rjust(ENDING_BYTES, b"\0") for b in tail.to_pylist()), np.uint8).reshape(-1, ENDING_BYTES)
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.append(np.frombuffer(raw.buffers()[2] or b"", np.uint8), np.uint8(0))
+    at = ends[1:, None] + np.arange(-ENDING_BYTES, 0)
+    flat = np.where(at >= ends[:-1, None], data[at], 0)
     h = np.zeros(len(words), np.uint64)
     for k in range(ENDING_BYTES):
         h = (h ^ flat[:, k]) * np.uint64(0x100000001B3) + np.uint64(0x9E3779B9)
         h ^= h >> np.uint64(15)
     rare = 1 + WORDS + ((h >> np.uint64(7)) % np.uint64(ENDINGS)).astype(np.int64)
-    return np.where(at >= 0, 1 + at, rare)
+    return np.where(alone >= 0, 1 + alone, rare)
 
 
 def _sequence(units: np.ndarray, codes: np.ndarray, sizes: np.ndarray, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +166,7 @@ def unit_bigrams(table: DataFrame, frequent: pa.Array) -> DataFrame:
             some = seen[a : a + 1_000_000]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["pair", "n"])
 
-    partial = table.mapInArrow(work, "pair int, n int")
+    partial = table.mapInArrow(tidied(work), "pair int, n int")
     sums = partial.groupBy("pair").agg(F.sum("n").alias("n"))
     pairs = sums.select(F.floor(F.col("pair") / UNITS).cast("int").alias("a"), (F.col("pair") % UNITS).alias("b"), "n")
     with short_batches(table.sparkSession, 1):
@@ -178,18 +181,47 @@ def _own(bigrams: DataFrame) -> np.ndarray:
     return own
 
 
-def _beside(spark: SparkSession, bigrams: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+# Bigrams of units that are written as one value.
+PACKED = 500_000
+
+
+def packed_bigrams(bigrams: DataFrame) -> DataFrame:
+    """``data``: bigrams of units seen from both units (a unit's number, ``UNITS`` more on its right, the other unit, n), written."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(np.stack([c.to_numpy().astype("<i8") for c in batch.columns]))
+            if sum(x.shape[1] for x in held) >= PACKED:
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held, axis=1).tobytes()], pa.binary())], names=["data"])
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held, axis=1).tobytes()], pa.binary())], names=["data"])
+
+    left = bigrams.select(F.col("b").cast("int").alias("unit"), F.col("a").cast("int").alias("other"), "n")
+    right = bigrams.select((F.col("a") + UNITS).cast("int").alias("unit"), F.col("b").cast("int").alias("other"), "n")
+    # A unit's side stays in one task, so that what a task sums is not sent twice.
+    return settle(left.unionAll(right).repartition("unit").mapInArrow(tidied(work), "data binary"), "packed")
+
+
+def _beside(packed: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per unit, how often a unit of each class precedes it and follows it."""
-    names = spark.createDataFrame([(i, int(c)) for i, c in enumerate(classes)], "unit int, class int")
-    left = bigrams.join(F.broadcast(names.withColumnRenamed("unit", "a")), "a").groupBy(F.col("b").alias("unit"), "class")
-    right = bigrams.join(F.broadcast(names.withColumnRenamed("unit", "b")), "b").groupBy(F.col("a").alias("unit"), "class")
-    out = []
-    for side in (left, right):
-        got = side.agg(F.sum("n").alias("n")).toArrow()
-        m = np.zeros((UNITS, CLASSES))
-        m[got["unit"].to_numpy(), got["class"].to_numpy()] = got["n"].to_numpy()
-        out.append(m)
-    return out[0], out[1]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(2 * UNITS * CLASSES)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                unit, other, n = np.frombuffer(x, "<i8").reshape(3, -1)
+                sums += np.bincount(unit * CLASSES + classes[other], weights=n, minlength=len(sums))
+        seen = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(sums[seen].astype(np.int64))], names=["cell", "n"])
+
+    with short_batches(packed.sparkSession, 1):
+        got = packed.mapInArrow(tidied(work), "cell bigint, n bigint").toArrow()
+    m = np.zeros(2 * UNITS * CLASSES)
+    np.add.at(m, got["cell"].to_numpy(), got["n"].to_numpy())
+    left, right = m.reshape(2, UNITS, CLASSES)
+    return left, right
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -253,75 +285,137 @@ class ClassModel:
     words: DataFrame | None = None
 
 
-def _unit_classes(spark: SparkSession, bigrams: DataFrame, total: np.ndarray) -> tuple[np.ndarray, list[float]]:
+def _unit_classes(bigrams: DataFrame, total: np.ndarray) -> tuple[np.ndarray, list[float]]:
     """Exchange of units until no third of them raises the likelihood."""
     own = _own(bigrams)
     # Frequent units are dealt to the classes in turn.
     classes = np.zeros(UNITS, np.int64)
     order = np.argsort(-total, kind="stable")
     classes[order] = np.arange(UNITS) % CLASSES
-    left, right = _beside(spark, bigrams, classes)
+    packed = packed_bigrams(bigrams)
+    left, right = _beside(packed, classes)
     best = likelihood(_table(right, classes))
     rounds, still, k = [best], 0, 0
     while still < TURNS:
         movers = [int(u) for u in order if u % TURNS == k % TURNS and total[u] > 0]
         after = exchanged(left, right, own, classes, np.array(movers, np.int64))
-        beside = _beside(spark, bigrams, after)
+        beside = _beside(packed, after)
         value = likelihood(_table(beside[1], after))
         rounds.append(value)
         still = still + 1 if value - best <= SETTLED * abs(best) else 0
         if value > best:
             best, classes, (left, right) = value, after, beside
         k += 1
+    discard(packed)
     return classes, rounds
 
 
-# Pairs of a side and a class; a word's contexts are packed as such a pair and a count, both of four bytes.
+# Pairs of a side and a class; a word's contexts are packed as such pairs and counts, both of one byte.
 SIDES = 2 * CLASSES
+MOST = 255
+# Words are dealt to parts by their hash: rows of words that a part has about, and the least number of parts.
+PART_ROWS, PARTS = 1_500_000, 48
+
+
+def _packed(*columns: pa.Array) -> bytes:
+    """Columns as one compressed value."""
+    batch = pa.RecordBatch.from_arrays(list(columns), names=[str(i) for i in range(len(columns))])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(value: bytes) -> list[pa.Array]:
+    batch = pa.ipc.open_stream(value).read_next_batch()
+    return batch.columns
+
 
+def parts_of(table: DataFrame) -> int:
+    """Parts that words are dealt to."""
+    return max(PARTS, (table.agg(F.sum(F.size("words"))).first()[0] or 0) // PART_ROWS)
 
-def _word_classes(row: dict, units: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Classes of a chunk's distinct words: their own where training gave one, else those of their units."""
-    own = classes[units]
-    if "classes" not in row or not row["classes"].is_valid:
-        return own
-    given = row["classes"].values.to_numpy(zero_copy_only=False)
-    return np.where((units > WORDS) & (given >= 0), given, own)
 
+def dealt(words: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of words, ascending, and the places of the words in that order."""
+    part = np.array([zlib.crc32(w) % parts for w in words.cast(pa.binary()).to_pylist()], np.int64)
+    order = np.argsort(part, kind="stable")
+    return part[order], order
 
-def contexts(table: DataFrame, frequent: pa.Array, classes: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-    """``word, packed``: per chunk, the classes beside each training word that is not frequent, written; and the class bigrams.
 
-    The class bigrams come as rows without a word, one a task.
+def sequences(table: DataFrame, frequent: pa.Array, classes: np.ndarray) -> DataFrame:
+    """``chunk, seq, words, bounds, classes``: per chunk, its training texts for the rounds of words, written.
+
+    ``words`` are the chunk's training words that are not frequent, by part; a part's are those between two ``bounds``. ``seq``
+    has the class of an end or frequent word, which stands, and ``CLASSES`` more than the number of any other word.
+    ``classes`` are those that the other words start with.
     """
     sent = table.sparkSession.sparkContext.broadcast((frequent, classes))
+    parts = parts_of(table)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, classes = sent.value
-        m = np.zeros(CLASSES * CLASSES, np.int64)
         for batch in batches:
             for row, codes, sizes, train in _rows(batch):
                 words = row["words"].values
                 units = units_of(words, frequent)
-                of = np.append(_word_classes(row, units, classes), classes[0])
                 codes, sizes = codes[np.repeat(train, sizes)], sizes[train]
-                seq, _ = _sequence(np.arange(len(words)), codes, sizes, len(words))
-                c = of[seq]
-                m += np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
-                rare = np.append(units > WORDS, False)[seq]
-                at = np.flatnonzero(rare)
-                key = np.concatenate([seq[at] * SIDES + c[at - 1], seq[at] * SIDES + CLASSES + c[at + 1]])
-                pair, n = np.unique(key, return_counts=True)
-                word = pair // SIDES
-                first = np.flatnonzero(np.diff(word, prepend=-1))
-                flat = np.stack([pair % SIDES, n], 1).astype("<i4")
-                offsets = pa.array(np.append(first, len(word)) * 8, pa.int32())
-                packed = pa.Array.from_buffers(pa.binary(), len(first), [None, offsets.buffers()[1], pa.py_buffer(flat.tobytes())])
-                yield pa.RecordBatch.from_arrays([words.take(pa.array(word[first])), packed], names=["word", "packed"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([m.astype("<i8").tobytes()], pa.binary())], names=["word", "packed"])
+                met = np.zeros(len(words), bool)
+                met[codes] = True
+                rare = np.flatnonzero(met & (units > WORDS))
+                part, order = dealt(words.take(pa.array(rare)), parts)
+                rare = rare[order]
+                number = classes[units]
+                number[rare] = CLASSES + np.arange(len(rare))
+                seq, _ = _sequence(number, codes, sizes, int(classes[0]))
+                bounds = np.searchsorted(part, np.arange(parts + 1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["chunk"].as_py()]), pa.array([_packed(pa.array(seq.astype(np.int32)))]), pa.array([_packed(words.take(pa.array(rare)))]),
+                     pa.array([_packed(pa.array(bounds.astype(np.int32)))]), pa.array([classes[units[rare]].astype(np.int8).tobytes()], pa.binary())],
+                    names=["chunk", "seq", "words", "bounds", "classes"])
 
     with short_batches(table.sparkSession, 1):
-        found = settle(table.mapInArrow(work, "word string, packed binary"), "contexts")
+        return settle(table.mapInArrow(tidied(work), "chunk bigint, seq binary, words binary, bounds binary, classes binary"), "sequences")
+
+
+def contexts(given: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """``part, chunk, data``: per part and chunk, the words that are not frequent, their classes and the classes beside them,
+    written; and the class bigrams, which come as rows without a part, one a task.
+
+    ``given`` are the sequences with the classes that their words have now.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                seq = _unpacked(row["seq"])[0].to_numpy().astype(np.int64)
+                words, bounds = _unpacked(row["words"])[0], _unpacked(row["bounds"])[0].to_numpy()
+                classes = np.frombuffer(row["classes"], np.int8)
+                c = np.concatenate([np.arange(CLASSES), classes])[seq]
+                m += np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
+                at = np.flatnonzero(seq >= CLASSES)
+                word = (seq[at] - CLASSES) * SIDES
+                pair, n = np.unique(np.concatenate([word + c[at - 1], word + CLASSES + c[at + 1]]), return_counts=True)
+                # A larger count is written as several.
+                times = -(-n // MOST)
+                last = np.cumsum(times) - 1
+                entries = np.full((int(times.sum()), 2), MOST, np.uint8)
+                entries[:, 0] = np.repeat(pair % SIDES, times)
+                entries[last, 1] = n - (times - 1) * MOST
+                ends = 2 * np.searchsorted(np.repeat(pair // SIDES, times), np.arange(len(words) + 1))
+                offsets = pa.py_buffer(ends.astype(np.int32).tobytes())
+                beside = pa.Array.from_buffers(pa.binary(), len(words), [None, offsets, pa.py_buffer(entries.tobytes())])
+                columns = [words, pa.array(classes), beside]
+                for part in np.flatnonzero(np.diff(bounds)).tolist():
+                    # A slice would be written with all bytes of its column.
+                    some = [pa.concat_arrays([x.slice(bounds[part], bounds[part + 1] - bounds[part])]) for x in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([row["chunk"]]), pa.array([_packed(*some)])], names=["part", "chunk", "data"])
+        none = [pa.array([None], pa.int32()), pa.array([None], pa.int64()), pa.array([m.astype("<i8").tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(none, names=["part", "chunk", "data"])
+
+    with short_batches(given.sparkSession, 1):
+        found = settle(given.mapInArrow(tidied(work), "part int, chunk bigint, data binary"), "contexts")
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = np.zeros(CLASSES * CLASSES, np.int64)
@@ -331,79 +425,173 @@ def contexts(table: DataFrame, frequent: pa.Array, classes: np.ndarray) -> tuple
         seen = np.flatnonzero(m)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(m[seen])], names=["pair", "n"])
 
-    sums = found.where("word IS NULL").select("packed").mapInArrow(added, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    sums = found.where("part IS NULL").select("data").mapInArrow(added, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     m = np.zeros(CLASSES * CLASSES)
     m[sums["pair"].to_numpy()] = sums["n"].to_numpy()
-    return found.where("word IS NOT NULL"), m.reshape(CLASSES, CLASSES)
+    return found.where("part IS NOT NULL"), m.reshape(CLASSES, CLASSES)
+
+
+# Counts beside a word whose terms are read from a table.
+TABLED = 8
+
+
+def _side_gains(beside: np.ndarray, other: np.ndarray, own: np.ndarray, m: np.ndarray, risen: np.ndarray) -> np.ndarray:
+    """What the classes on one side of each word add to the likelihood of each class it may go to; ``m`` has the word's class first."""
+    out = np.zeros(beside.shape)
+    word, c = np.nonzero(beside)
+    n, a = beside[word, c], own[word]
+    # As if the word were in no class: its row loses its own counts, and its column those of the other side.
+    tabled = (n <= TABLED) & (c != a)
+    terms = np.empty((len(word), CLASSES))
+    terms[tabled] = risen[n[tabled].astype(np.int64), c[tabled]]
+    some = np.flatnonzero(~tabled)
+    base = m.T[c[some]]
+    base -= np.where((c == a)[some, None], other[word[some]], 0)
+    base[np.arange(len(some)), a[some]] -= n[some]
+    base = np.maximum(base, 0)
+    terms[some] = _f(base + n[some, None]) - _f(base)
+    at = np.flatnonzero(tabled)
+    alone = np.maximum(m[a[at], c[at]] - n[at], 0)
+    terms[at, a[at]] = _f(alone + n[at]) - _f(alone)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    if len(first):
+        out[word[first]] = np.add.reduceat(terms, first, axis=0)
+    return out
 
 
-def gains(left: np.ndarray, right: np.ndarray, own: np.ndarray, m: np.ndarray, known: dict | None = None) -> np.ndarray:
+def gains(left: np.ndarray, right: np.ndarray, own: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The class that raises the likelihood most, of each word alone: per word the classes before and after it, and its class.
 
-    ``known`` keeps the answers for words that occur once, ``CLASSES ** 3`` at most.
+    The class bigrams ``m`` count each word in its class, with the classes beside it as they are given.
     """
-    known = {} if known is None else known
-    once = right.sum(1) == 1
-    before, after = left.argmax(1), right.argmax(1)
-    diag = np.arange(CLASSES)
-    out = np.zeros(len(own), np.int64)
-    for u, a in enumerate(own):
-        key = (int(a), int(before[u]), int(after[u])) if once[u] else None
-        if key in known:
-            out[u] = known[key]
-            continue
-        r, l = right[u], left[u]
-        base = m.copy()
-        base[a] -= r
-        base[:, a] -= l
-        base = np.maximum(base, 0)
-        # Only the classes beside the word change a term.
-        gain = np.zeros(CLASSES)
-        some = np.flatnonzero(r)
-        gain += (_f(base[:, some] + r[some]) - _f(base[:, some])).sum(1)
-        some = np.flatnonzero(l)
-        gain += (_f(base[some] + l[some, None]) - _f(base[some])).sum(0)
-        d = base[diag, diag]
-        gain += _f(d + r + l) - _f(d + r) - _f(d + l) + _f(d)
-        rows, cols = base.sum(1), base.sum(0)
-        gain -= _f(rows + r.sum()) - _f(rows) + _f(cols + l.sum()) - _f(cols)
-        out[u] = int(np.argmax(gain)) if gain.max() > gain[a] else a
-        if key:
-            known[key] = out[u]
-    return out
-
-
-def moved(found: DataFrame, words: DataFrame, m: np.ndarray) -> DataFrame:
-    """``word, n, class``: each word in the class of greatest gain, chosen in the tasks, written."""
+    here, own = np.arange(len(own)), own.astype(np.int64)
+    counts = np.arange(TABLED + 1)[:, None, None]
+    gain = _side_gains(right, left, own, m, _f(m.T + counts) - _f(m.T))
+    gain += _side_gains(left, right, own, m.T, _f(m + counts) - _f(m))
+    r, l = right.sum(1), left.sum(1)
+    # A word beside itself is taken off twice; no count is less than 0.
+    within = m[own, own] - right[here, own] - left[here, own]
+    word, b = np.nonzero((left > 0) & (right > 0))
+    d = np.where(b == own[word], np.maximum(within[word], 0), m[b, b])
+    x, y = right[word, b], left[word, b]
+    gain[word, b] += _f(d + x + y) - _f(d + x) - _f(d + y) + _f(d)
+    rows, cols = m.sum(1) - left, m.sum(0) - right
+    rows[here, own] -= r + np.minimum(within, 0)
+    cols[here, own] -= l + np.minimum(within, 0)
+    gain -= _f(rows + r[:, None]) - _f(rows) + _f(cols + l[:, None]) - _f(cols)
+    best = gain.argmax(1)
+    return np.where(gain[here, best] > gain[here, own], best, own)
+
+
+# Words whose contexts are added up together.
+TOGETHER = 250
+
+
+def moved(found: DataFrame, m: np.ndarray) -> DataFrame:
+    """``part, chunk, data``: the class of greatest gain of each word, for the words of each part and chunk in their order; and,
+    in rows without a chunk, the words of the part with these classes; written."""
     sent = found.sparkSession.sparkContext.broadcast(m)
 
+    def work(rows: pa.Table) -> pa.Table:
+        parts = [_unpacked(x.as_py()) for x in rows["data"]]
+        coded = pa.chunked_array([x[0] for x in parts]).combine_chunks().dictionary_encode()
+        code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        own = np.zeros(len(words), np.int64)
+        own[code] = np.concatenate([x[1].to_numpy() for x in parts])
+        beside = pa.chunked_array([x[2] for x in parts]).combine_chunks()
+        order = np.argsort(code, kind="stable")
+        starts = np.searchsorted(code[order], np.arange(0, len(words) + TOGETHER, TOGETHER))
+        best = np.zeros(len(words), np.int8)
+        for k, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+            first, here = k * TOGETHER, order[a:b]
+            size = min(TOGETHER, len(words) - first)
+            some = beside.take(pa.array(here))
+            of = np.repeat(code[here] - first, pc.binary_length(some).to_numpy() // 2)
+            pair = np.frombuffer(b"".join(some.to_pylist()), np.uint8).reshape(-1, 2)
+            sums = np.bincount(of * SIDES + pair[:, 0], weights=pair[:, 1], minlength=size * SIDES).reshape(size, SIDES)
+            best[first : first + size] = gains(sums[:, :CLASSES], sums[:, CLASSES:], own[first : first + size], sent.value)
+        ends = np.cumsum([len(x[0]) for x in parts])[:-1]
+        answers = [x.tobytes() for x in np.split(best[code], ends)]
+        part = rows["part"][0].as_py()
+        del beside, coded, order, starts
+        give_back()
+        return pa.table(
+            {"part": pa.array([part] * (len(parts) + 1), pa.int32()), "chunk": pa.array([*rows["chunk"].to_pylist(), None], pa.int64()),
+             "data": pa.array([*answers, _packed(words, pa.array(best))], pa.binary())})
+
+    return settle(found.groupBy("part").applyInArrow(work, "part int, chunk bigint, data binary"), "classes")
+
+
+def reclassed(texts: DataFrame, after: DataFrame) -> DataFrame:
+    """The sequences with the classes that their words have after a round."""
+    ordered = F.array_sort(F.collect_list(F.struct("part", "data")))
+    answers = after.where("chunk IS NOT NULL").groupBy("chunk").agg(ordered.alias("a"))
+    joined = texts.withColumnRenamed("classes", "__before").join(answers, "chunk", "left")
+    # Parts are in the order of the words; a chunk without such words has no answers.
+    given = F.aggregate(F.col("a.data"), F.lit(b"").cast("binary"), lambda x, y: F.concat(x, y))
+    return joined.select("chunk", "seq", "words", "bounds", F.coalesce(given, "__before").alias("classes"))
+
+
+def worded(after: DataFrame, counts: DataFrame) -> DataFrame:
+    """``word, n, class`` of the words after a round, written."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
         for batch in batches:
-            parts = batch.column(3)
-            beside = np.zeros((batch.num_rows, SIDES))
-            ends = parts.offsets.to_numpy()
-            of = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            for i, x in zip(of.tolist(), parts.flatten().to_pylist(), strict=True):
-                pair = np.frombuffer(x, "<i4").reshape(-1, 2)
-                beside[i, pair[:, 0]] += pair[:, 1]
-            own = batch.column(2).to_numpy()
-            best = gains(beside[:, :CLASSES], beside[:, CLASSES:], own, sent.value, known)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best.astype(np.int32))], names=["word", "n", "class"])
-
-    lists = found.groupBy("word").agg(F.collect_list("packed").alias("parts"))
-    with short_batches(found.sparkSession, 4000):
-        return settle(words.join(lists, "word").select("word", "n", "class", "parts").mapInArrow(work, "word string, n bigint, class int"), "classes")
+            for x in batch.column(0).to_pylist():
+                words, classes = _unpacked(x)
+                yield pa.RecordBatch.from_arrays([words, classes.cast(pa.int32())], names=["word", "class"])
+
+    classes = after.where("chunk IS NULL").select("data").mapInArrow(tidied(work), "word string, class int")
+    return settle(counts.join(classes, "word").select("word", "n", "class"), "classes")
 
 
 def answered(table: DataFrame, words: DataFrame) -> DataFrame:
-    """The chunks with the counts and classes of their distinct words; a word that is not there has count 0 and class -1."""
-    asked = table.select("chunk", F.posexplode("words").alias("i", "word")).join(words, "word", "left")
-    known = F.struct("i", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(-1)).cast("short").alias("class"))
-    answers = asked.groupBy("chunk").agg(F.sort_array(F.collect_list(known)).alias("a"))
-    answers = answers.select("chunk", F.col("a.n").alias("counts"), F.col("a.class").alias("classes"))
+    """The chunks with ``answers``, counts and classes of their distinct words by part; a word that is not in ``words`` has
+    count 0 and class -1."""
+    parts = parts_of(table)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, given in zip(batch.column(0), batch.column(1), strict=True):
+                part, order = dealt(given.values, parts)
+                bounds = np.searchsorted(part, np.arange(parts + 1))
+                flat = given.values.take(pa.array(order))
+                for k in np.flatnonzero(np.diff(bounds)).tolist():
+                    some = pa.concat_arrays([flat.slice(bounds[k], bounds[k + 1] - bounds[k])])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([chunk.as_py()]), pa.array([_packed(some)])], names=["part", "chunk", "data"])
+
+    def look(asked: pa.Table, known: pa.Table) -> pa.Table:
+        asks = [_unpacked(x.as_py())[0] for x in asked["data"]]
+        met = pa.concat_arrays([pa.array([], pa.string()), *asks])
+        at = pc.index_in(met, value_set=known["word"].combine_chunks())
+        n = pc.fill_null(known["n"].combine_chunks().take(at), 0)
+        classes = pc.fill_null(known["class"].combine_chunks().take(at), -1).cast(pa.int8())
+        ends = np.append(0, np.cumsum([len(x) for x in asks], dtype=np.int64)).tolist()
+        data = [_packed(pa.concat_arrays([n.slice(a, b - a)]), pa.concat_arrays([classes.slice(a, b - a)])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table({"part": asked["part"], "chunk": asked["chunk"], "data": pa.array(data, pa.binary())})
+
+    with short_batches(table.sparkSession, 1):
+        asked = settle(table.select("chunk", "words").mapInArrow(tidied(ask), "part int, chunk bigint, data binary"), "asked")
+    # Parts that no chunk asks for are left out.
+    named = words.select((F.crc32(F.encode("word", "UTF-8")) % parts).cast("int").alias("part"), "word", "n", F.col("class").cast("int").alias("class"))
+    found = asked.groupBy("part").cogroup(named.groupBy("part")).applyInArrow(look, "part int, chunk bigint, data binary")
+    answers = settle(found, "answers")
+    discard(asked)
+    ordered = F.array_sort(F.collect_list(F.struct("part", "data")))
     # A chunk whose texts have no words asks for nothing.
-    return table.join(answers, "chunk", "left")
+    return table.join(answers.groupBy("chunk").agg(ordered.alias("a")), "chunk", "left").select(*table.columns, F.col("a.data").alias("answers"))
+
+
+def _known(row: dict, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and classes of a chunk's distinct words, in their order."""
+    words = row["words"].values
+    n, classes = np.zeros(len(words)), np.full(len(words), -1)
+    if row["answers"].is_valid:
+        _, order = dealt(words, parts)
+        got = [_unpacked(x.as_py()) for x in row["answers"]]
+        n[order] = np.concatenate([x[0].to_numpy() for x in got])
+        classes[order] = np.concatenate([x[1].to_numpy() for x in got])
+    return n, classes
 
 
 def fit(spark: SparkSession, table: DataFrame, counts: DataFrame) -> ClassModel:
@@ -419,13 +607,15 @@ def fit(spark: SparkSession, table: DataFrame, counts: DataFrame) -> ClassModel:
             np.add.at(n, unit, batch.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(UNITS)), pa.array(n), pa.array(seen)], names=["unit", "n", "words"])
 
-    sums = counts.mapInArrow(work, "unit bigint, n bigint, words bigint").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    sums = counts.mapInArrow(tidied(work), "unit bigint, n bigint, words bigint").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     got = sums.toArrow()
     total, kinds = np.zeros(UNITS), np.zeros(UNITS)
     total[got["unit"].to_numpy()] = got["n"].to_numpy()
     kinds[got["unit"].to_numpy()] = got["words"].to_numpy()
 
-    classes, rounds = _unit_classes(spark, unit_bigrams(table, frequent), total)
+    bigrams = unit_bigrams(table, frequent)
+    classes, rounds = _unit_classes(bigrams, total)
+    discard(bigrams)
     given = spark.sparkContext.broadcast(classes)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,18 +625,24 @@ def fit(spark: SparkSession, table: DataFrame, counts: DataFrame) -> ClassModel:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own)], names=["word", "n", "class"])
 
     rest = counts.where(F.col("word") != END).mapInArrow(first, "word string, n bigint, class int").where("class >= 0")
-    words = settle(rest, "classes")
-    found, m = contexts(table, frequent, classes)
+    texts, best = sequences(table, frequent, classes), None
+    found, m = contexts(texts)
     word_rounds = [likelihood(m)]
     while kinds[1 + WORDS :].any():
-        after = moved(found, words, m)
-        found, m_after = contexts(answered(table, after), frequent, classes)
+        after = moved(found, m)
+        discard(found)
+        found, m_after = contexts(reclassed(texts, after))
         word_rounds.append(likelihood(m_after))
         gain = word_rounds[-1] - word_rounds[-2]
         if gain > 0:
-            words, m = after, m_after
+            if best is not None:
+                discard(best)
+            best, m = after, m_after
         if gain <= SETTLED * abs(word_rounds[-2]):
             break
+    discard(found)
+    discard(texts)
+    words = settle(rest, "classes") if best is None else worded(best, counts)
 
     size = np.bincount(classes[: 1 + WORDS], weights=total[: 1 + WORDS], minlength=CLASSES)
     # Members of a class: its units, of which endings stand for words never seen, and its training words.
@@ -468,6 +664,7 @@ def scored(spark: SparkSession, table: DataFrame, counts: DataFrame, model: Clas
     sent = spark.sparkContext.broadcast(model)
     frequent = counts.join(words, "word", "left_anti").where(F.col("word") != END)
     joined = answered(table, words.unionByName(frequent.withColumn("class", F.lit(-1))))
+    parts = parts_of(table)
     kind = table.schema["ids"].dataType.elementType.simpleString()
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
 
@@ -478,9 +675,10 @@ def scored(spark: SparkSession, table: DataFrame, counts: DataFrame, model: Clas
         for batch in batches:
             for row, codes, sizes, train in _rows(batch):
                 words = row["words"].values
-                n = np.zeros(0) if not row["counts"].is_valid else row["counts"].values.to_numpy(zero_copy_only=False).astype(np.float64)
+                n, given = _known(row, parts)
                 unit = units_of(words, model.frequent)
-                of = _word_classes(row, unit, model.classes)
+                # A word has its own class where training gave one, else that of its unit.
+                of = np.where((unit > WORDS) & (given >= 0), given, model.classes[unit])
                 # The end is one more code.
                 own = np.append(np.where(unit > WORDS, np.log10(n + ADDED) - model.log_size[of], model.log_unit[unit]), model.log_unit[0])
                 of = np.append(of, model.classes[0])
@@ -507,7 +705,7 @@ def scored(spark: SparkSession, table: DataFrame, counts: DataFrame, model: Clas
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double"
     # A chunk at a time goes to Python.
     with short_batches(spark, 1):
-        return settle(joined.mapInArrow(work, schema), "scores")
+        return settle(joined.mapInArrow(tidied(work), schema), "scores")
 
 
 def model_scores(spark: SparkSession, documents: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -58,6 +59,18 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a settled table that nothing reads any more; Spark's cleaner drops the shuffles that led to it."""
+    sc = df.sparkSession.sparkContext
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        if shared_dir(df.sparkSession).rstrip("/").rsplit("/", 1)[-1] == path.getParent().getName():
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    # The cleaner learns of unused shuffles when the driver's memory is collected.
+    gc.collect()
+    sc._jvm.System.gc()
+
+
 def written_bytes(df: DataFrame) -> int:
     """Bytes of the files that a settled table reads, as the planner knows them."""
     return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))

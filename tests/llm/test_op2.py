@@ -119,3 +119,72 @@ def test_words_outside_the_frequent_ones_get_classes_of_their_own(spark, docs):
     assert all(b > a for a, b in zip(model.word_rounds, model.word_rounds[1:-1]))
     inside = sum((r.n + class_lm.ADDED) * 10.0 ** -model.log_size[r["class"]] for r in model.words.collect())
     assert inside + (10.0**model.log_unit).sum() == pytest.approx(len(set(model.classes) | set(found.values())))
+
+
+def test_gains_of_many_words_are_those_of_each_alone():
+    """The class of every word is the one of greatest gain by plain sums over all classes; some words stand beside themselves."""
+    rng = np.random.default_rng(3)
+    words = rng.choice(200, 4000, p=1 / np.arange(1, 201) / (1 / np.arange(1, 201)).sum())
+    classes = rng.integers(0, class_lm.CLASSES, 201)
+    seq = np.concatenate([words, [200, 0, 200]])
+    c, size = classes[seq], class_lm.CLASSES
+    m, left, right = np.zeros((size, size)), np.zeros((201, size)), np.zeros((201, size))
+    np.add.at(m, (c[:-1], c[1:]), 1)
+    np.add.at(left, (seq[1:], c[:-1]), 1)
+    np.add.at(right, (seq[:-1], c[1:]), 1)
+    f, diag = class_lm._f, np.arange(size)
+    for u, b in enumerate(class_lm.gains(left, right, classes, m)):
+        a, r, l = classes[u], right[u], left[u]
+        base = m.copy()
+        base[a] -= r
+        base[:, a] -= l
+        base = np.maximum(base, 0)
+        d, rows, cols = base[diag, diag], base.sum(1), base.sum(0)
+        gain = (f(base + r) - f(base)).sum(1) + (f(base + l[:, None]) - f(base)).sum(0) + f(d + r + l) - f(d + r) - f(d + l) + f(d)
+        gain -= f(rows + r.sum()) - f(rows) + f(cols + l.sum()) - f(cols)
+        assert gain[b] == pytest.approx(gain.max(), abs=1e-6)
+
+
+def test_rounds_write_less_than_their_texts(spark, docs, tmp_path):
+    """What a scoring leaves in the shared folder does not grow with the rounds: tables of earlier rounds are deleted."""
+    from pathlib import Path
+
+    from tallyloom.session import shared_dir
+
+    rng = np.random.default_rng(8)
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, 400) % 9000) for _ in range(60)]
+    rows = list(enumerate(texts))
+    compare(class_lm.model_scores(spark, docs(rows).withColumn("train", fold(F.col("doc_id")) != 1)).collect(), rows)
+    left = [p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before]
+    assert left.count("contexts") == left.count("sequences") == left.count("packed") == left.count("bigrams") == 0
+    assert "chunks" in left and "scores" in left
+
+
+def test_counts_beyond_a_byte_and_several_parts(spark, docs, monkeypatch):
+    """Contexts that occur more often than a byte holds, added up over chunks, are those of plain counting."""
+    monkeypatch.setattr(class_lm, "CHUNK_BYTES", 20_000)
+    half = class_lm.WORDS // 2
+    texts = [" ".join(f"a{i} b{i}" for i in range(half)) for _ in range(3)] * 400 + ["rare1 a1 " * 700 + "rare2 b2 rare2"]
+    table = class_lm.chunks(docs(list(enumerate(texts))).withColumn("train", F.lit(True)), "train")
+    counts = class_lm.word_counts(table)
+    frequent = pa.array([f"{x}{i}" for i in range(half) for x in "ab"])
+    classes = np.arange(class_lm.UNITS) % class_lm.CLASSES
+    found, m = class_lm.contexts(class_lm.sequences(table, frequent, classes))
+    assert m.sum() == counts.agg(F.sum("n")).first()[0]
+    got = {}
+    for r in found.collect():
+        for word, _, beside in zip(*(x.to_pylist() for x in class_lm._unpacked(bytes(r["data"]))), strict=True):
+            for side, n in np.frombuffer(beside, np.uint8).reshape(-1, 2).tolist():
+                got[word, side] = got.get((word, side), 0) + n
+    unit = {w: int(u) for w, u in zip(["rare1", "rare2", "a1", "b2"], class_lm.units_of(pa.array(["rare1", "rare2", "a1", "b2"]), frequent), strict=True)}
+    c = {w: int(classes[u]) for w, u in unit.items()}
+    side = class_lm.CLASSES
+    expect = {}
+    line = ["", *texts[-1].split(), ""]
+    for a, w, b in zip(line, line[1:], line[2:]):
+        if w.startswith("rare"):
+            for key in (c.get(a, 0), side + c.get(b, 0)):
+                expect[w, key] = expect.get((w, key), 0) + 1
+    assert got == expect
