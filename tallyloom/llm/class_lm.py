@@ -214,12 +214,15 @@ def _beside(packed: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.ndar
                 unit, other, n = np.frombuffer(x, "<i8").reshape(3, -1)
                 sums += np.bincount(unit * CLASSES + classes[other], weights=n, minlength=len(sums))
         seen = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(sums[seen].astype(np.int64))], names=["cell", "n"])
+        cells = np.stack([seen, sums[seen].astype(np.int64)]).astype("<i8")
+        yield pa.RecordBatch.from_arrays([pa.array([cells.tobytes()], pa.binary())], names=["data"])
 
     with short_batches(packed.sparkSession, 1):
-        got = packed.mapInArrow(tidied(work), "cell bigint, n bigint").toArrow()
+        got = packed.mapInArrow(tidied(work), "data binary").toArrow()
     m = np.zeros(2 * UNITS * CLASSES)
-    np.add.at(m, got["cell"].to_numpy(), got["n"].to_numpy())
+    for x in got["data"]:
+        cell, n = np.frombuffer(x.as_py(), "<i8").reshape(2, -1)
+        m[cell] += n
     left, right = m.reshape(2, UNITS, CLASSES)
     return left, right
 
