@@ -1,10 +1,10 @@
 """Byte-level BPE: recursive DuckDB queries contract the pieces of each partition, an ordered aggregation decodes.
 
-The pattern cuts the texts into pieces in the JVM. A task encodes the distinct pieces of its rows: their bytes are rows
-``(word, position, token)`` that join the merge table; each step of the recursion contracts, in every word, the leftmost
-pair of smallest rank, until no pair is left. Pieces that are tokens themselves are taken whole. Pieces of many bytes would
-take a step per merge, so there a step also contracts the later occurrences of that pair, when no merge of the new token has
-a smaller rank and the order therefore cannot matter.
+The pattern cuts the texts into pieces in the JVM. A task encodes the distinct pieces of its rows: each is a row
+``(word, tokens)``, a character for each token, whose pairs join the merge table; each step of the recursion contracts, in
+every word, the leftmost pair of smallest rank, until no pair is left. Pieces that are tokens themselves are taken whole.
+Pieces of many bytes would take a step per merge, so there the rows are ``(word, position, token)`` and a step also contracts
+the later occurrences of that pair, when no merge of the new token has a smaller rank and the order therefore cannot matter.
 
 Null text counts as empty; an empty text has no tokens and decodes to no bytes. Repeated rows are encoded each; columns of
 other names are not read. A piece of any length is encoded whole: a recursion that reaches its bound of rows is taken up
@@ -29,12 +29,15 @@ from pyspark.sql import types as T
 from ..session import settle
 from .common import short_batches, slices, text_of, tidied
 
-# Rows that one recursion may make, bytes of a long piece, pieces and tokens handled together, and encodings a worker remembers.
+# Rows that a recursion over long pieces may make, characters that one over other pieces may make and bytes it begins with,
+# bytes of a long piece, pieces and tokens handled together, and encodings a worker remembers.
 RECURSION_ROWS = 600_000
+RECURSION_CHARS = 8_000_000
+SHORT_BYTES = 150_000
 LONG_PIECE = 255
 SLICE_PIECES = 500_000
 DECODED = 100_000
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 # Rows handed to Python at a time.
 ROWS = 500
 
@@ -43,26 +46,23 @@ _FIRST = """
   FROM (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS n FROM pieces) i
   LEFT JOIN merges m ON m.l = i.t AND m.r = i.n"""
 
-# One pair per word and step.
-LEFTMOST = f"""
-WITH RECURSIVE r AS ({_FIRST}
+# One pair per word and step. A word is written with a character for each token, so that a step makes one row of a word.
+LEFTMOST = """
+WITH RECURSIVE r AS (
+  SELECT w, s, 0 AS step FROM pieces
   UNION ALL
-  SELECT s.w, s.p, s.t, s.step, m.id, m.safe
+  SELECT w, left(s, i - 1) || chr(b + 1 + 2048 * CAST(b >= 55295 AS INTEGER)) || substr(s, i + 2), step + 1
   FROM (
-    SELECT w, p, step, CASE WHEN p = best THEN b ELSE t END AS t,
-           CASE WHEN p = best THEN (CASE WHEN w2 = w THEN t2 END)
-                WHEN w1 = w THEN (CASE WHEN p1 = best THEN b ELSE t1 END) END AS n
-    FROM (
-      SELECT r.w, p, t, step + 1 AS step, best, b, lead(t) OVER o AS t1, lead(t, 2) OVER o AS t2, lead(p) OVER o AS p1,
-             lead(r.w) OVER o AS w1, lead(r.w, 2) OVER o AS w2, lag(p) OVER o AS p0
-      FROM r JOIN (
-        SELECT w, CAST(k & 4294967295 AS INTEGER) AS best, CAST(k >> 32 AS INTEGER) AS b
-        FROM (SELECT w, min((CAST(id AS BIGINT) << 32) | p) AS k FROM r WHERE id IS NOT NULL GROUP BY w)) g ON g.w = r.w
-      WHERE step < $steps
-      WINDOW o AS (ORDER BY p))
-    WHERE NOT coalesce(p0 = best, false)) s
-  LEFT JOIN merges m ON m.l = s.t AND m.r = s.n)
-"""
+    SELECT r.w, s, step, CAST(k & 4294967295 AS INTEGER) AS i, CAST(k >> 32 AS INTEGER) AS b
+    FROM r JOIN (
+      SELECT w, min((rank << 32) | i) AS k
+      FROM (SELECT w, s, unnest(range(1, length(s))) AS i FROM r WHERE step < $steps)
+      JOIN pairs ON pair = substr(s, CAST(i AS INTEGER), 2) GROUP BY w) g ON g.w = r.w))
+SELECT w, arg_max(s, step) AS s, max(step) = $steps AS more FROM r GROUP BY w"""
+# The same characters for the merge table: no token has the character 0 or a surrogate.
+_PAIRS = """
+CREATE TABLE pairs AS SELECT chr(l + 1 + 2048 * CAST(l >= 55295 AS INTEGER)) || chr(r + 1 + 2048 * CAST(r >= 55295 AS INTEGER)) AS pair,
+  CAST(id AS BIGINT) AS rank FROM merges"""
 
 # Every occurrence of the pair, left to right, where that gives the same tokens.
 TOGETHER = f"""
@@ -89,8 +89,7 @@ WITH RECURSIVE r AS ({_FIRST}
 """
 _LAST = "SELECT w, p, t, max(id) OVER (PARTITION BY w) IS NOT NULL AS more FROM r JOIN (SELECT w, max(step) AS step FROM r GROUP BY w) USING (w, step) ORDER BY w, p"
 
-DECODE = """
-SELECT row, list(bytes ORDER BY pos) AS parts FROM tokens JOIN vocabulary USING (id) GROUP BY row"""
+DECODE = "SELECT list(bytes ORDER BY pos) AS parts FROM tokens JOIN vocabulary USING (id)"
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -118,6 +117,14 @@ def merge_table(tokens: list[bytes]) -> pa.Table:
     return pa.table({"l": lr[:, 0], "r": lr[:, 1], "id": lr[:, 2], "safe": least[lr[:, 2]] > lr[:, 2]})
 
 
+def _joined(values: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The bytes of all values one after the other, and where each begins and ends; a Python scalar for each would cost more."""
+    raw = pa.concat_arrays([values]).cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = raw.buffers()[2]
+    return data.to_pybytes()[offsets[0] : offsets[-1]] if data is not None else b"", offsets - offsets[0]
+
+
 class Codec:
     """Encoder and decoder of one task's process: an in-memory database with the merge table and the vocabulary."""
 
@@ -136,8 +143,37 @@ class Codec:
             self.db.register("given", data)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
+        self.db.execute(_PAIRS)
+        signs = self.byte + 1 + 2048 * (self.byte >= 55295)
+        self.sign, self.sign_bytes = signs.astype("<u4"), np.array([len(chr(x).encode()) for x in signs.tolist()], np.int32)
+        self.length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+
+    def _contract_short(self, words: list[bytes]) -> list[bytes]:
+        out: list = [None] * len(words)
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        chars = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        ends = np.append(0, np.cumsum(self.sign_bytes[flat])[chars - 1]).astype(np.int32)
+        text = self.sign[flat].tobytes().decode("utf-32-le").encode()
+        signs = pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(text)])
+        w = np.arange(len(words), dtype=np.int32)
+        while len(w):
+            steps = max(4, RECURSION_CHARS // pc.sum(pc.utf8_length(signs)).as_py())
+            self.db.register("pieces", pa.table({"w": w, "s": signs}))
+            got = self.db.sql(LEFTMOST.replace("$steps", str(steps))).to_arrow_table().combine_chunks()
+            self.db.unregister("pieces")
+            more = got["more"].combine_chunks()
+            done = got.filter(pc.invert(more))
+            sizes = 4 * pc.utf8_length(done["s"]).to_numpy().astype(np.int64)
+            ends = np.cumsum(sizes)
+            flat = np.frombuffer(_joined(done["s"].combine_chunks())[0].decode().encode("utf-32-le"), "<u4").astype(np.int32)
+            ids = (flat - 1 - 2048 * (flat >= 0xE000)).astype(np.int32).tobytes()
+            for word, start, end in zip(done["w"].to_numpy().tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+                out[word] = ids[start:end]
+            left = got.filter(more)
+            w, signs = left["w"].to_numpy(), left["s"].combine_chunks()
+        return out
 
-    def _contract(self, words: list[bytes], sql: str) -> list[bytes]:
+    def _contract_long(self, words: list[bytes]) -> list[bytes]:
         sizes = np.array([len(w) for w in words], np.int64)
         flat = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
@@ -147,7 +183,7 @@ class Codec:
         while len(w):
             self.db.register("pieces", pa.table({"w": w, "p": p, "t": flat}))
             steps = max(4, RECURSION_ROWS // len(w))
-            left = self.db.sql((sql + _LAST).replace("$steps", str(steps))).to_arrow_table()
+            left = self.db.sql((TOGETHER + _LAST).replace("$steps", str(steps))).to_arrow_table()
             self.db.unregister("pieces")
             w, p, flat, more = (left[c].to_numpy() for c in ("w", "p", "t", "more"))
             ends = np.flatnonzero(np.diff(w, append=-1)) + 1
@@ -170,13 +206,13 @@ class Codec:
         for i, ids in enumerate(out):
             if ids is None:
                 (long if len(pieces[i]) > LONG_PIECE else short).append(i)
-        for group, sql, most in ((short, LEFTMOST, 300_000), (long, TOGETHER, 150_000)):
+        for group, contract, most in ((short, self._contract_short, SHORT_BYTES), (long, self._contract_long, 150_000)):
             sizes = np.array([len(pieces[i]) for i in group], np.int64)
             for a, b in slices(sizes, most):
                 some = group[a:b]
-                for i, ids in zip(some, self._contract([pieces[i] for i in some], sql), strict=True):
+                for i, ids in zip(some, contract([pieces[i] for i in some]), strict=True):
                     out[i] = ids
-                    if len(self.known) < self.room and sql is LEFTMOST:
+                    if len(self.known) < self.room and group is short:
                         self.known[pieces[i]] = ids
         return out
 
@@ -186,7 +222,8 @@ class Codec:
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         coded = pieces.dictionary_encode()
         codes = coded.indices.to_numpy()
-        ids = self._coded(coded.dictionary.cast(pa.large_binary()).to_pylist())
+        data, at = _joined(coded.dictionary)
+        ids = self._coded([data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat, first = np.frombuffer(b"".join(ids), np.int32), np.cumsum(sizes) - sizes
         n = sizes[codes]
@@ -199,15 +236,14 @@ class Codec:
         out = [b""] * (len(offsets) - 1)
         sizes = np.diff(offsets)
         for a, b in slices(sizes, DECODED):
-            row = np.repeat(np.arange(a, b, dtype=np.int32), sizes[a:b])
             some = ids[offsets[a] : offsets[b]]
-            self.db.register("tokens", pa.table({"row": row, "pos": np.arange(len(some), dtype=np.int32), "id": some}))
-            done = self.db.sql(DECODE).to_arrow_table().combine_chunks()
+            self.db.register("tokens", pa.table({"pos": np.arange(len(some), dtype=np.int32), "id": some}))
+            parts = self.db.sql(DECODE).to_arrow_table()["parts"].combine_chunks()
             self.db.unregister("tokens")
-            if done.num_rows:
-                parts = pc.binary_join(done["parts"].cast(pa.list_(pa.binary())), pa.scalar(b"", pa.binary()))
-                for i, value in zip(done["row"].to_pylist(), parts.to_pylist(), strict=True):
-                    out[i] = value
+            if len(some):
+                flat = pc.binary_join(parts.cast(pa.list_(pa.binary())), pa.scalar(b"", pa.binary()))[0].as_py()
+                at = np.append(0, np.cumsum(self.length[some]))[offsets[a : b + 1] - offsets[a]].tolist()
+                out[a:b] = [flat[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
         return out
 
 

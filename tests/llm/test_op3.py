@@ -96,3 +96,49 @@ def test_texts_are_decoded_in_slices(reference, monkeypatch):
     offsets = np.cumsum([0, *map(len, ids)])
     assert codec.decode(np.concatenate(ids).astype(np.int32), offsets) == [t.encode() for t in texts]
     assert sum(seen) == offsets[-1] and all(n <= 10 or n == len(ids[3]) for n in seen)
+
+
+def test_a_piece_is_one_row_of_the_recursion(reference):
+    """Not a row for each of its bytes, but for pieces of many bytes."""
+    tokens = bpe.read_ranks(PATH)
+    codec = bpe.Codec(tokens, bpe.merge_table(tokens))
+    seen = []
+    real = codec.db
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def register(self, name, data):
+            seen.append(data.num_rows)
+            return real.register(name, data)
+
+    codec.db = Watched()
+    pieces = ["unbelievableness", "strangewordish", "😀😁é", "qqxxqqzzq"]
+    for piece, ids in zip(pieces, codec.encode_pieces([p.encode() for p in pieces]), strict=True):
+        assert ids.tolist() == reference.encode_ordinary(piece)
+    assert seen == [len(pieces)]
+
+
+def test_short_pieces_are_taken_up_again(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "RECURSION_CHARS", 1)
+    tokens = bpe.read_ranks(PATH)
+    codec = bpe.Codec(tokens, bpe.merge_table(tokens))
+    pieces = ["unbelievableness" * 3, "zq", "strangewordish" * 10, "x" * 255, "é" * 127]
+    for piece, ids in zip(pieces, codec.encode_pieces([p.encode() for p in pieces]), strict=True):
+        assert ids.tolist() == reference.encode_ordinary(piece)
+
+
+def test_tokens_behind_the_surrogates():
+    """Tokens of such numbers are written as characters too; here every merge is among them."""
+    filler = [bytes([1, 2, 3, 4, a, b, c]) for a in range(40) for b in range(40) for c in range(40)][: 0xD7F0 - 256]
+    merged = [bytes([a, b]) for a in b"abcdef" for b in b"abcdef"] + [bytes([*x, *y]) for x in (b"ab", b"cd") for y in (b"ab", b"cd", b"ef")]
+    tokens = [bytes([b]) for b in range(256)] + filler + merged
+    assert len(filler) + 256 < 0xD800 < len(tokens)
+    codec = bpe.Codec(tokens, bpe.merge_table(tokens))
+    own = tiktoken.Encoding("own", pat_str=".+", mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    pieces = ["abcdefabc", "fedcbaabab", "cdcdefefab", "aabbccddeeffab"]
+    got = codec.encode_pieces([p.encode() for p in pieces])
+    for piece, ids in zip(pieces, got, strict=True):
+        assert ids.tolist() == own.encode_ordinary(piece)
+    assert codec.decode(np.concatenate(got), np.cumsum([0, *map(len, got)])) == [p.encode() for p in pieces]
