@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import settle
-from .common import short_batches, slices, text_of, tidied
+from .common import joined, short_batches, slices, text_of, tidied
 
 # Rows that a recursion over long pieces may make, characters that one over other pieces may make and bytes it begins with,
 # bytes of a long piece, pieces and tokens handled together, and encodings a worker remembers.
@@ -35,7 +35,7 @@ RECURSION_ROWS = 600_000
 RECURSION_CHARS = 8_000_000
 SHORT_BYTES = 150_000
 LONG_PIECE = 255
-SLICE_PIECES = 500_000
+SLICE_PIECES = 150_000
 DECODED = 100_000
 REMEMBERED = 100_000
 # Rows handed to Python at a time.
@@ -117,14 +117,6 @@ def merge_table(tokens: list[bytes]) -> pa.Table:
     return pa.table({"l": lr[:, 0], "r": lr[:, 1], "id": lr[:, 2], "safe": least[lr[:, 2]] > lr[:, 2]})
 
 
-def _joined(values: pa.Array) -> tuple[bytes, np.ndarray]:
-    """The bytes of all values one after the other, and where each begins and ends; a Python scalar for each would cost more."""
-    raw = pa.concat_arrays([values]).cast(pa.large_binary())
-    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
-    data = raw.buffers()[2]
-    return data.to_pybytes()[offsets[0] : offsets[-1]] if data is not None else b"", offsets - offsets[0]
-
-
 class Codec:
     """Encoder and decoder of one task's process: an in-memory database with the merge table and the vocabulary."""
 
@@ -165,7 +157,7 @@ class Codec:
             done = got.filter(pc.invert(more))
             sizes = 4 * pc.utf8_length(done["s"]).to_numpy().astype(np.int64)
             ends = np.cumsum(sizes)
-            flat = np.frombuffer(_joined(done["s"].combine_chunks())[0].decode().encode("utf-32-le"), "<u4").astype(np.int32)
+            flat = np.frombuffer(joined(done["s"].combine_chunks())[0].decode().encode("utf-32-le"), "<u4").astype(np.int32)
             ids = (flat - 1 - 2048 * (flat >= 0xE000)).astype(np.int32).tobytes()
             for word, start, end in zip(done["w"].to_numpy().tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
                 out[word] = ids[start:end]
@@ -222,7 +214,7 @@ class Codec:
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         coded = pieces.dictionary_encode()
         codes = coded.indices.to_numpy()
-        data, at = _joined(coded.dictionary)
+        data, at = joined(coded.dictionary)
         ids = self._coded([data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat, first = np.frombuffer(b"".join(ids), np.int32), np.cumsum(sizes) - sizes

@@ -59,6 +59,14 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Arr
     return count[offsets - offsets[0]], flat.filter(full)
 
 
+def joined(values: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The bytes of all values one after the other, and where they begin and end; a Python scalar for each would cost more."""
+    raw = pa.concat_arrays([values]).cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = raw.buffers()[2]
+    return data.to_pybytes()[offsets[0] : offsets[-1]] if data is not None and len(raw) else b"", offsets - offsets[0]
+
+
 @contextmanager
 def short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """While it lasts, tasks hand at most so many rows at a time to Python; for steps that run inside it."""
@@ -71,9 +79,13 @@ def short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def give_back() -> None:
-    """Free memory goes back to the system; a Python worker lives on after its task, beside the workers of later stages."""
-    gc.collect()
+def give_back(cycles: bool = True) -> None:
+    """Free memory goes back to the system; a Python worker lives on after its task, beside the workers of later stages.
+
+    Looking for cycles takes longer than a small group's work; what holds none need not.
+    """
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -3,6 +3,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -142,3 +143,11 @@ def test_tokens_behind_the_surrogates():
     for piece, ids in zip(pieces, got, strict=True):
         assert ids.tolist() == own.encode_ordinary(piece)
     assert codec.decode(np.concatenate(got), np.cumsum([0, *map(len, got)])) == [p.encode() for p in pieces]
+
+
+def test_a_batch_is_encoded_in_slices_of_few_pieces():
+    """What a worker holds follows the slice, not the batch; a text of more pieces is a slice of its own."""
+    lists = pa.array([["a", "b"] * 30_000] * 4 + [["c"] * 300_000] + [[]], pa.list_(pa.string()))
+    runs = list(bpe._runs(pa.RecordBatch.from_arrays([lists], names=["pieces"])))
+    assert [(a, b) for a, b, *_ in runs] == [(0, 2), (2, 4), (4, 5), (5, 6)]
+    assert all(len(flat) == offsets[-1] for _, _, flat, offsets in runs)
