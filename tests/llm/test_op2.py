@@ -188,3 +188,22 @@ def test_counts_beyond_a_byte_and_several_parts(spark, docs, monkeypatch):
             for key in (c.get(a, 0), side + c.get(b, 0)):
                 expect[w, key] = expect.get((w, key), 0) + 1
     assert got == expect
+
+
+def test_rare_words_take_their_terms_from_tables(monkeypatch):
+    """Logarithms are taken of what is beside a word and its own class, not of all classes; the classes are those of all."""
+    rng = np.random.default_rng(3)
+    n = 400
+    left, right = np.zeros((2, n, class_lm.CLASSES))
+    left[np.arange(n), rng.integers(0, class_lm.CLASSES, n)] = 1
+    right[np.arange(n), rng.integers(0, class_lm.CLASSES, n)] = 1
+    own = rng.integers(0, class_lm.CLASSES, n)
+    m = rng.integers(1, 1000, (class_lm.CLASSES, class_lm.CLASSES)).astype(float)
+    known = class_lm.tables(m)
+    monkeypatch.setattr(class_lm, "LOST", 0)
+    whole = class_lm.gains(left, right, own, m)
+    monkeypatch.undo()
+    seen, real = [], class_lm._f
+    monkeypatch.setattr(class_lm, "_f", lambda x: seen.append(np.size(x)) or real(x))
+    assert class_lm.gains(left, right, own, m, known).tolist() == whole.tolist()
+    assert sum(seen) < class_lm.CLASSES * n
