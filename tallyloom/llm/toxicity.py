@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import discard, settle
 from .common import give_back, slices, split_words, tidied
 
 # Labelled texts of each class that training may use, and how they are used.
@@ -48,8 +48,9 @@ WORD_DIM, GRAM_DIM, UNITS, ATTENTION = 8, 4, 8, 8
 GRAM_SIZES = (3, 4, 5)
 START_SIZES = (6, 7, 8, 9, 10)
 WIDTH = WORD_DIM + GRAM_DIM + 2
-# Windows that are scored together.
-SCORED = 4096
+# Windows that are scored together, and words whose n-grams are made together.
+SCORED = 1024
+TOGETHER = 5_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -85,6 +86,13 @@ def grams_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return gram[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
 
 
+def gram_ends(words: pa.Array) -> np.ndarray:
+    """The offsets of :func:`grams_of`, without the n-grams."""
+    sizes = pc.binary_length(pa.concat_arrays([words]).cast(pa.large_binary())).to_numpy().astype(np.int64) + 2
+    n = sum((np.maximum(0, sizes - n + 1) for n in GRAM_SIZES), np.zeros(len(sizes), np.int64))
+    return np.concatenate([[0], np.cumsum(n + sum((sizes >= n).astype(np.int64) for n in START_SIZES))])
+
+
 def windows_of(n_words: int) -> range:
     """Starts of the windows of a text; together they cover every word."""
     return range(0, max(1, n_words - WINDOW + STRIDE), STRIDE)
@@ -108,8 +116,8 @@ class Network:
         if len(distinct):
             at = pc.index_in(distinct, value_set=pa.array(self.words, distinct.type)).to_numpy(zero_copy_only=False)
             known = ~np.isnan(at) if at.dtype.kind == "f" else np.ones(len(at), bool)
-            for a in range(0, len(distinct), 20_000):
-                b = min(a + 20_000, len(distinct))
+            for a in range(0, len(distinct), TOGETHER):
+                b = min(a + TOGETHER, len(distinct))
                 rows = np.where(known[a:b], at[a:b], -1).astype(np.int64)
                 gram, ends = grams_of(distinct.slice(a, b - a))
                 x[a:b] = self.vectors(rows, self.places(gram), ends)
@@ -250,8 +258,11 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     rng = np.random.default_rng(seed)
     offsets, flat = split_words(pa.array(texts, pa.string()))
     coded = flat.dictionary_encode()
-    codes = coded.indices.to_numpy().astype(np.int64)
-    pad = len(coded.dictionary)
+    distinct, pad = coded.dictionary, len(coded.dictionary)
+    padded = np.append(coded.indices.to_numpy(), np.full(WINDOW, pad, np.int32))
+    codes = padded[:-WINDOW]
+    del flat, coded
+    give_back(cycles=False)
     held = np.arange(len(texts)) % 5 == 4
     fit = np.flatnonzero(~held)
     if not (label[fit] > 0).any() or not (label[fit] <= 0).any():
@@ -259,16 +270,19 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     share = float((label[fit] > 0).mean())
     fold_of = {i: k % FOLDS for k, i in enumerate(fit.tolist())}
     mine = [(i, np.unique(codes[offsets[i] : offsets[i + 1]])) for i in fit.tolist()]
-    # Some words at a time: the driver's memory is small.
-    parts = [grams_of(coded.dictionary.slice(a, 10_000)) for a in range(0, pad, 10_000)]
-    hashed = np.concatenate([g for g, _ in parts]) if parts else np.zeros(0, np.uint64)
-    ends = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(e) for _, e in parts]))]) if parts else np.zeros(1, np.int64)
-    del parts
-    every = np.unique(hashed)
-    bucket = np.empty(len(hashed), np.int32)
-    for a in range(0, len(hashed), 500_000):
-        bucket[a : a + 500_000] = np.searchsorted(every, hashed[a : a + 500_000])
-    del hashed
+    # The driver's memory is small: n-grams are made some words at a time, and again for their places, never beside a copy.
+    ends = gram_ends(distinct)
+    every = np.empty(int(ends[-1]), np.uint64)
+    for a in range(0, pad, TOGETHER):
+        b = min(a + TOGETHER, pad)
+        every[ends[a] : ends[b]] = grams_of(distinct.slice(a, b - a))[0]
+    every.sort()
+    every = every[np.concatenate([np.ones(min(1, len(every)), bool), every[1:] != every[:-1]])]
+    bucket = np.empty(int(ends[-1]), np.int32)
+    for a in range(0, pad, TOGETHER):
+        b = min(a + TOGETHER, pad)
+        bucket[ends[a] : ends[b]] = np.searchsorted(every, grams_of(distinct.slice(a, b - a))[0])
+    give_back(cycles=False)
 
     def grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = np.diff(ends)[words]
@@ -276,15 +290,22 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
         return bucket[np.arange(after[-1]) + np.repeat(ends[:-1][words] - after[:-1], n)], after
 
     def most_seen(held_items: Iterable[tuple[int, np.ndarray]], n_items: int, most: int) -> np.ndarray:
-        seen = _counts(held_items, n_items, label)[0]
-        return np.argsort(-seen, kind="stable")[: min(most, int((seen >= SEEN).sum()))]
+        seen = np.zeros(n_items, np.int32)
+        for _, items in held_items:
+            seen[items] += 1
+        some = np.flatnonzero(seen >= SEEN)
+        return some[np.argsort(-seen[some], kind="stable")[:most]]
 
     # n-grams of a text are those of its distinct words.
     kept = most_seen(mine, pad, WORDS)
     known = np.sort(most_seen(((i, np.unique(grams(words)[0])) for i, words in mine), len(every), GRAMS))
     place = np.full(len(every), len(known), np.int32)
     place[known] = np.arange(len(known))
-    bucket = place[bucket]
+    known_grams = every[known]
+    del every
+    for a in range(0, len(bucket), 500_000):
+        bucket[a : a + 500_000] = place[bucket[a : a + 500_000]]
+    del place
     row_of_word = np.full(pad + 1, -1)
     row_of_word[kept] = np.arange(len(kept))
 
@@ -301,7 +322,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
         words, grams_ = (word_all, gram_all) if k is None else (word_all - word_counts[k], gram_all - gram_counts[k])
         return _odds(words, share), np.append(_odds(grams_, share), np.float32(0))
 
-    odds = [odds_without(k) for k in range(FOLDS)]
+    odds, odds_of_all = [odds_without(k) for k in range(FOLDS)], odds_without(None)
 
     def small(*shape):
         return (rng.standard_normal(shape) * 0.1).astype(np.float32)
@@ -310,8 +331,10 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     for d in ("f", "b"):
         p |= {"W" + d: small(WIDTH, 3 * UNITS) * 3, "c" + d: np.zeros(3 * UNITS, np.float32), "U" + d: small(UNITS, 2 * UNITS), "V" + d: small(UNITS, UNITS)}
     p |= {"Wa": small(2 * UNITS, ATTENTION) * 3, "ca": np.zeros(ATTENTION, np.float32), "va": small(ATTENTION) * 3, "wo": small(2 * UNITS) * 3, "co": np.zeros(1, np.float32)}
-    names = [str(w) for w in coded.dictionary.take(pa.array(kept)).to_pylist()]
-    net = Network(names, p, *odds[0][:1], every[known], odds[0][1])
+    names = [str(w) for w in distinct.take(pa.array(kept)).to_pylist()]
+    net = Network(names, p, *odds[0][:1], known_grams, odds[0][1])
+    del mine, word_counts, gram_counts
+    give_back(cycles=False)
 
     def window_scores(k: int) -> dict[int, np.ndarray]:
         """Scores of all windows of a fold's texts; at first, without a trained network, their strongest log-odds."""
@@ -325,6 +348,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
             return {i: np.array([strength[codes[a:b]].max(initial=-9) for a, b in spans[i]]) for i in some}
         net.word_odds, net.gram_odds = odds[k]
         owner, _, scores = net.windows(pa.array([texts[i] for i in some], pa.string()))
+        give_back(cycles=False)
         return {i: scores[owner == j] for j, i in enumerate(some)}
 
     def chosen(k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -336,7 +360,6 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
             out[int(label[i] > 0)] += [(offsets[i] + STRIDE * int(w), i) for w in picks]
         return [np.array(x, np.int64).reshape(-1, 2) for x in out]
 
-    padded = np.append(codes, np.full(WINDOW, pad))
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
     # Every step takes windows of one fold, as many of either class, each class in shuffled turns.
     half = BATCH // 2
@@ -344,6 +367,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
         turn, k = divmod((step - 1) % STEPS, FOLDS)
         if (step - 1) % STEPS == 0:
             folds = [chosen(j) for j in range(FOLDS)]
+            give_back(cycles=False)
             net.rounds += 1
             turns = [[rng.permutation(np.resize(rng.permutation(len(c)), -(-STEPS // FOLDS) * half)) if len(c) else None for c in f] for f in folds]
         pick = np.concatenate([c[t[turn * half : (turn + 1) * half]] for c, t in zip(folds[k], turns[k], strict=True) if t is not None])
@@ -369,7 +393,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
             m += 0.1 * (g[k] - m)
             s += 0.001 * (g[k] * g[k] - s)
             v -= rate * (VECTOR_RATE if k in ("word", "gram") else 1.0) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-6)
-    net.word_odds, net.gram_odds = odds_without(None)
+    net.word_odds, net.gram_odds = odds_of_all
     raw = net.score(pa.array([t for t, h in zip(texts, held, strict=True) if h], pa.string())) if held.any() else np.zeros(0)
     net.scale, net.shift = _calibrated(raw, label[held])
     return net
@@ -413,6 +437,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: i
         found = found.groupBy("__at").agg(F.first("text", ignorenulls=True).alias("text")).collect()
         texts += [r["text"] or "" for r in sorted(found, key=lambda r: r["__at"])]
         classes += [toxic] * len(found)
+    # What led to the texts goes, from the driver's memory too, before the network is trained there.
+    discard(met)
     # Interleave the classes, so that every fifth text is a fair sample.
     order = sorted(range(len(texts)), key=lambda i: (i if i < classes.count(1) else i - classes.count(1), classes[i]))
     return [texts[i] for i in order], [classes[i] for i in order]

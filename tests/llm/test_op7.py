@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -99,3 +100,22 @@ def test_labels_of_other_documents_take_no_place(spark, docs):
     assert len(texts) == 60 and sum(classes) == 30
     texts, classes = toxicity.sample(docs([*rows, (9999, "x" * 5000)]), labels.unionAll(spark.createDataFrame([(9999, 1)], labels.schema)), most_bytes=1000)
     assert max(map(len, texts)) < 100 and sum(map(len, texts)) <= 2000 and len(set(classes)) == 2
+
+
+def test_training_holds_its_ngrams_once(monkeypatch):
+    """The driver is small: the n-grams of the training words are never held beside copies of them all."""
+    monkeypatch.setattr(toxicity, "ROUNDS", 1)
+    monkeypatch.setattr(toxicity, "STEPS", toxicity.FOLDS)
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = [" ".join("".join(w) for w in letters[rng.integers(0, 26, (300, 18))]) for _ in range(200)]
+    words = pa.array(sorted({w for t in texts for w in t.split()}))
+    ends = toxicity.grams_of(words)[1]
+    tracemalloc.start()
+    try:
+        assert toxicity.train(texts, [0, 1] * 100) is not None
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3 * 8 * ends[-1]
+    assert toxicity.gram_ends(words).tolist() == ends.tolist()
