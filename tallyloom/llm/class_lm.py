@@ -8,7 +8,7 @@ that lowers it is taken back. Then the frequent words stand, and every other tra
 likelihood most, by the classes beside it in all training text, in rounds until the likelihood rises by less than
 ``SETTLED`` of itself. Endings stay for words that training has not seen: those share the class of their ending.
 
-The texts are cut into words once and written as chunks: the distinct words of a chunk and codes into them. Word counts cover
+The texts are cut into words once and written as chunks: the distinct words of a chunk, packed, and codes into them. Word counts cover
 the whole training vocabulary and are joined with the chunks' distinct words, not with every occurrence; nothing that grows
 with the corpus is broadcast or collected. Classes of words travel as their counts do. What is sent to the driver is bounded
 by the model: ``WORDS + ENDINGS + 1`` units times ``CLASSES``.
@@ -55,7 +55,7 @@ def chunks(documents: DataFrame, train: str) -> DataFrame:
     ``documents`` has ``doc_id``, ``text`` and the boolean column ``train``.
     """
     kind = dict(documents.dtypes)["doc_id"]
-    schema = f"chunk bigint, ids array<{kind}>, train array<boolean>, sizes array<int>, codes binary, words array<string>"
+    schema = f"chunk bigint, ids array<{kind}>, train array<boolean>, sizes array<int>, codes binary, words binary, n_words int"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,9 +70,10 @@ def chunks(documents: DataFrame, train: str) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(1).slice(a, b - a)),
                     pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), pa.array(np.diff(offsets).astype(np.int32))),
                     pa.array([pa.compress(coded.indices.to_numpy().astype("<i4").tobytes(), "zstd", asbytes=True)], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string())),
+                    pa.array([_packed(coded.dictionary.cast(pa.string()))], pa.binary()),
+                    pa.array([len(coded.dictionary)], pa.int32()),
                 ]
-                yield pa.RecordBatch.from_arrays(one, names=["chunk", "ids", "train", "sizes", "codes", "words"])
+                yield pa.RecordBatch.from_arrays(one, names=["chunk", "ids", "train", "sizes", "codes", "words", "n_words"])
 
     with short_batches(documents.sparkSession, 2000):
         return settle(documents.select("doc_id", F.col(train).alias("train"), "text").mapInArrow(tidied(work), schema), "chunks")
@@ -83,40 +84,40 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray, np.ndarray,
     for i in range(batch.num_rows):
         row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
         sizes = row["sizes"].values.to_numpy(zero_copy_only=False).astype(np.int64)
+        row["words"] = _unpacked(row["words"].as_py())[0]
         codes = np.frombuffer(pa.decompress(row["codes"].as_py(), 4 * int(sizes.sum()), "zstd", asbytes=True), "<i4")
         yield row, codes, sizes, row["train"].values.to_numpy(zero_copy_only=False).astype(bool)
 
 
-# Chunks whose word counts a task sums before it sends them.
-COMBINED = 8
-
-
-def _summed(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-    sums = pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")])
-    yield from pa.table([sums["word"], sums["n_sum"]], names=["word", "n"]).combine_chunks().to_batches()
-
-
 def word_counts(table: DataFrame) -> DataFrame:
-    """``word, n``: every word of the training texts and the end, written."""
+    """``word, n``: every word of the training texts and the end, written. Words travel packed by part, not as a row each."""
+    parts = parts_of(table)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
         for batch in batches:
             for row, codes, sizes, train in _rows(batch):
-                words = row["words"].values
+                words = row["words"]
                 n = np.bincount(codes[np.repeat(train, sizes)], minlength=len(words))
                 seen = np.flatnonzero(n)
-                columns = [pa.concat_arrays([words.take(pa.array(seen)), pa.array([END])]), pa.array(np.append(n[seen], train.sum()))]
-                held.append(pa.table(columns, names=["word", "n"]))
-                if len(held) == COMBINED:
-                    yield from _summed(held)
-                    held = []
-        if held:
-            yield from _summed(held)
+                met, n = pa.concat_arrays([words.take(pa.array(seen)), pa.array([END])]), np.append(n[seen], train.sum())
+                part, order = dealt(met, parts)
+                yield from _by_part(np.searchsorted(part, np.arange(parts + 1)), [met.take(pa.array(order)), pa.array(n[order])])
+
+    def added(rows: pa.Table) -> pa.Table:
+        given = [_unpacked(x.as_py()) for x in rows["data"]]
+        coded = pa.chunked_array([x[0] for x in given]).combine_chunks().dictionary_encode()
+        # Sums of whole numbers, exact below 2 ** 53.
+        n = np.bincount(coded.indices.to_numpy(), weights=np.concatenate([x[1].to_numpy() for x in given])).astype(np.int64)
+        out = pa.table({"word": coded.dictionary, "n": pa.array(n)}).filter(pa.array(n > 0))
+        del given, coded
+        give_back(cycles=False)
+        return out
 
-    partial = table.mapInArrow(tidied(work), "word string, n bigint")
     with short_batches(table.sparkSession, 1):
-        return settle(partial.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "counts")
+        partial = settle(table.mapInArrow(tidied(work), "part int, data binary"), "counted")
+    counts = settle(partial.groupBy("part").applyInArrow(added, "word string, n bigint"), "counts")
+    discard(partial)
+    return counts
 
 
 def units_of(words: pa.Array, frequent: pa.Array) -> np.ndarray:
@@ -140,7 +141,7 @@ def units_of(words: pa.Array, frequent: pa.Array) -> np.ndarray:
 def _sequence(units: np.ndarray, codes: np.ndarray, sizes: np.ndarray, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Units of the texts one after the other, an end before the first and after each, and the places of those ends."""
     ends = np.cumsum(sizes + 1)
-    out = np.full(int(ends[-1]) + 1 if len(ends) else 1, end, np.int64)
+    out = np.full(int(ends[-1]) + 1 if len(ends) else 1, end, units.dtype)
     place = np.ones(len(out), bool)
     place[0] = False
     place[ends] = False
@@ -157,7 +158,7 @@ def unit_bigrams(table: DataFrame, frequent: pa.Array) -> DataFrame:
         counts = np.zeros(UNITS * UNITS, np.int32)
         for batch in batches:
             for row, codes, sizes, train in _rows(batch):
-                units = units_of(row["words"].values, sent.value)
+                units = units_of(row["words"], sent.value)
                 seq, _ = _sequence(units, codes[np.repeat(train, sizes)], sizes[train])
                 pair, n = np.unique(seq[:-1] * UNITS + seq[1:], return_counts=True)
                 counts[pair] += n
@@ -284,8 +285,17 @@ class ClassModel:
     # Likelihoods of the rounds of units, and of the rounds of words after them.
     rounds: list[float]
     word_rounds: list[float]
-    # ``word, n, class``: the training words that are not frequent, with the class each has.
-    words: DataFrame | None = None
+    # Occurrences of the frequent words, and the parts that words are dealt to.
+    alone: np.ndarray
+    parts: int
+    # ``part, data``: the training words that are not frequent, packed, and the place of the class each has.
+    packed: DataFrame | None = None
+    place: int = 2
+
+    @property
+    def words(self) -> DataFrame:
+        """``word, n, class`` of the training words that are not frequent."""
+        return _worded(self.packed, self.place)
 
 
 def _unit_classes(bigrams: DataFrame, total: np.ndarray) -> tuple[np.ndarray, list[float]]:
@@ -336,20 +346,50 @@ def _unpacked(value: bytes) -> list[pa.Array]:
 
 def parts_of(table: DataFrame) -> int:
     """Parts that words are dealt to."""
-    return max(PARTS, (table.agg(F.sum(F.size("words"))).first()[0] or 0) // PART_ROWS)
+    return max(PARTS, (table.agg(F.sum("n_words")).first()[0] or 0) // PART_ROWS)
+
+
+# Bytes of a word that are hashed for all words together; longer words are hashed one by one.
+HASHED = 64
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words, of all their bytes."""
+    data, at = joined(words)
+    starts, sizes = at[:-1], np.diff(at)
+    # Eight bytes from every place on.
+    eight = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
+    h = sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    some = np.flatnonzero(sizes <= HASHED)
+    for k in range(0, HASHED, 8):
+        some = some[sizes[some] > k]
+        if not len(some):
+            break
+        spare = np.maximum(0, 8 * (k + 8 - sizes[some])).astype(np.uint64)
+        x = (h[some] ^ (eight[starts[some] + k] << spare)) * np.uint64(0xD6E8FEB86659FD93)
+        h[some] = x ^ (x >> np.uint64(32))
+    for i in np.flatnonzero(sizes > HASHED).tolist():
+        h[i] = zlib.crc32(data[at[i] : at[i + 1]]) * 0x9E3779B97F4A7C15 % 2**64
+    return h
+
 def dealt(words: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Parts of words, ascending, and the places of the words in that order."""
     if not len(words):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    data, at = joined(words)
-    part = np.array([zlib.crc32(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.int64) % parts
+    part = ((_hashes(words) >> np.uint64(16)) % np.uint64(parts)).astype(np.uint16 if parts < 2**16 else np.int64)
     order = np.argsort(part, kind="stable")
     return part[order], order
 
 
-def sequences(table: DataFrame, frequent: pa.Array, classes: np.ndarray) -> DataFrame:
+def _by_part(bounds: np.ndarray, columns: list[pa.Array], *more: pa.Array, names: tuple = ("part", "data")) -> Iterator[pa.RecordBatch]:
+    """A row for each part: its number, ``more``, and the columns between its two bounds as one value."""
+    for part in np.flatnonzero(np.diff(bounds)).tolist():
+        # A slice would be written with all bytes of its column.
+        some = [pa.concat_arrays([x.slice(bounds[part], bounds[part + 1] - bounds[part])]) for x in columns]
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *more, pa.array([_packed(*some)])], names=list(names))
+
+
+def sequences(table: DataFrame, frequent: pa.Array, classes: np.ndarray, parts: int | None = None) -> DataFrame:
     """``chunk, seq, words, bounds, classes``: per chunk, its training texts for the rounds of words, written.
 
     ``words`` are the chunk's training words that are not frequent, by part; a part's are those between two ``bounds``. ``seq``
@@ -357,13 +397,13 @@ def sequences(table: DataFrame, frequent: pa.Array, classes: np.ndarray) -> Data
     ``classes`` are those that the other words start with.
     """
     sent = table.sparkSession.sparkContext.broadcast((frequent, classes))
-    parts = parts_of(table)
+    parts = parts or parts_of(table)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, classes = sent.value
         for batch in batches:
             for row, codes, sizes, train in _rows(batch):
-                words = row["words"].values
+                words = row["words"]
                 units = units_of(words, frequent)
                 codes, sizes = codes[np.repeat(train, sizes)], sizes[train]
                 met = np.zeros(len(words), bool)
@@ -415,10 +455,7 @@ def contexts(given: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 offsets = pa.py_buffer(ends.astype(np.int32).tobytes())
                 beside = pa.Array.from_buffers(pa.binary(), len(words), [None, offsets, pa.py_buffer(entries.tobytes())])
                 columns = [words, pa.array(classes), beside]
-                for part in np.flatnonzero(np.diff(bounds)).tolist():
-                    # A slice would be written with all bytes of its column.
-                    some = [pa.concat_arrays([x.slice(bounds[part], bounds[part + 1] - bounds[part])]) for x in columns]
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([row["chunk"]]), pa.array([_packed(*some)])], names=["part", "chunk", "data"])
+                yield from _by_part(bounds, columns, pa.array([row["chunk"]]), names=("part", "chunk", "data"))
         none = [pa.array([None], pa.int32()), pa.array([None], pa.int64()), pa.array([m.astype("<i8").tobytes()], pa.binary())]
         yield pa.RecordBatch.from_arrays(none, names=["part", "chunk", "data"])
 
@@ -512,7 +549,7 @@ TOGETHER = 250
 
 def moved(found: DataFrame, m: np.ndarray) -> DataFrame:
     """``part, chunk, data``: the class of greatest gain of each word, for the words of each part and chunk in their order; and,
-    in rows without a chunk, the words of the part with these classes; written."""
+    in rows without a chunk, the words of the part, how often each occurs, these classes and those before; written."""
     sent = found.sparkSession.sparkContext.broadcast(m)
 
     def work(rows: pa.Table) -> pa.Table:
@@ -524,7 +561,7 @@ def moved(found: DataFrame, m: np.ndarray) -> DataFrame:
         beside = pa.chunked_array([x[2] for x in parts]).combine_chunks()
         order = np.argsort(code, kind="stable")
         starts = np.searchsorted(code[order], np.arange(0, len(words) + TOGETHER, TOGETHER))
-        best, known = np.zeros(len(words), np.int8), tables(sent.value)
+        best, n, known = np.zeros(len(words), np.int8), np.zeros(len(words), np.int64), tables(sent.value)
         for k, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
             first, here = k * TOGETHER, order[a:b]
             size = min(TOGETHER, len(words) - first)
@@ -533,6 +570,7 @@ def moved(found: DataFrame, m: np.ndarray) -> DataFrame:
             of = np.repeat(code[here] - first, np.diff(at) // 2)
             pair = np.frombuffer(data, np.uint8).reshape(-1, 2)
             sums = np.bincount(of * SIDES + pair[:, 0], weights=pair[:, 1], minlength=size * SIDES).reshape(size, SIDES)
+            n[first : first + size] = sums[:, CLASSES:].sum(1)  # something stands after every word
             best[first : first + size] = gains(sums[:, :CLASSES], sums[:, CLASSES:], own[first : first + size], sent.value, known)
         ends = np.cumsum([len(x[0]) for x in parts])[:-1]
         answers = [x.tobytes() for x in np.split(best[code], ends)]
@@ -541,7 +579,7 @@ def moved(found: DataFrame, m: np.ndarray) -> DataFrame:
         give_back(cycles=False)
         return pa.table(
             {"part": pa.array([part] * (len(parts) + 1), pa.int32()), "chunk": pa.array([*rows["chunk"].to_pylist(), None], pa.int64()),
-             "data": pa.array([*answers, _packed(words, pa.array(best))], pa.binary())})
+             "data": pa.array([*answers, _packed(words, pa.array(n), pa.array(best), pa.array(own.astype(np.int8)))], pa.binary())})
 
     return settle(found.groupBy("part").applyInArrow(work, "part int, chunk bigint, data binary"), "classes")
 
@@ -556,49 +594,69 @@ def reclassed(texts: DataFrame, after: DataFrame) -> DataFrame:
     return joined.select("chunk", "seq", "words", "bounds", F.coalesce(given, "__before").alias("classes"))
 
 
-def worded(after: DataFrame, counts: DataFrame) -> DataFrame:
-    """``word, n, class`` of the words after a round, written."""
+def _worded(parts: DataFrame, place: int) -> DataFrame:
+    """``word, n, class`` of packed words, whose classes are at this place."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                words, classes = _unpacked(x)
-                yield pa.RecordBatch.from_arrays([words, classes.cast(pa.int32())], names=["word", "class"])
+            for x in batch.column(1).to_pylist():
+                columns = _unpacked(x)
+                yield pa.RecordBatch.from_arrays([columns[0], columns[1], columns[place].cast(pa.int32())], names=["word", "n", "class"])
 
-    classes = after.where("chunk IS NULL").select("data").mapInArrow(tidied(work), "word string, class int")
-    return settle(counts.join(classes, "word").select("word", "n", "class"), "classes")
+    return parts.mapInArrow(tidied(work), "word string, n bigint, class int")
 
 
-def answered(table: DataFrame, words: DataFrame) -> DataFrame:
-    """The chunks with ``answers``, counts and classes of their distinct words by part; a word that is not in ``words`` has
-    count 0 and class -1."""
-    parts = parts_of(table)
+def _class_sizes(parts: DataFrame, place: int) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences and number of the packed words of each class."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(1).to_pylist():
+                columns = _unpacked(x)
+                c = columns[place].to_numpy()
+                n = np.bincount(c, weights=columns[1].to_numpy(), minlength=CLASSES).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(np.bincount(c, minlength=CLASSES))], names=["class", "n", "kinds"])
+
+    sums = parts.mapInArrow(tidied(work), "class bigint, n bigint, kinds bigint").groupBy("class").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toArrow()
+    size, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+    size[sums["class"].to_numpy()] = sums["n"].to_numpy()
+    kinds[sums["class"].to_numpy()] = sums["kinds"].to_numpy()
+    return size, kinds
+
+
+# Packed words of a part that has none: words, occurrences, classes and classes before.
+NONE = [pa.array([], pa.string()), pa.array([], pa.int64()), pa.array([], pa.int8()), pa.array([], pa.int8())]
+
+
+def answered(table: DataFrame, words: DataFrame, place: int, parts: int) -> DataFrame:
+    """The chunks with ``answers``, counts and classes of their distinct words by part; a word that is not among the packed
+    ``words`` has count 0 and class -1."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, given in zip(batch.column(0), batch.column(1), strict=True):
-                part, order = dealt(given.values, parts)
+                given = _unpacked(given.as_py())[0]
+                part, order = dealt(given, parts)
                 bounds = np.searchsorted(part, np.arange(parts + 1))
-                flat = given.values.take(pa.array(order))
-                for k in np.flatnonzero(np.diff(bounds)).tolist():
-                    some = pa.concat_arrays([flat.slice(bounds[k], bounds[k + 1] - bounds[k])])
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([chunk.as_py()]), pa.array([_packed(some)])], names=["part", "chunk", "data"])
+                yield from _by_part(bounds, [given.take(pa.array(order))], pa.array([chunk.as_py()]), names=("part", "chunk", "data"))
 
     def look(asked: pa.Table, known: pa.Table) -> pa.Table:
         asks = [_unpacked(x.as_py())[0] for x in asked["data"]]
         met = pa.concat_arrays([pa.array([], pa.string()), *asks])
-        at = pc.index_in(met, value_set=known["word"].combine_chunks())
-        n = pc.fill_null(known["n"].combine_chunks().take(at), 0)
-        classes = pc.fill_null(known["class"].combine_chunks().take(at), -1).cast(pa.int8())
+        # A part is one value; there is none of a part without training words.
+        word, times, *classes = _unpacked(known["data"][0].as_py()) if len(known) else NONE
+        at = pc.index_in(met, value_set=word)
+        n = pc.fill_null(times.take(at), 0)
+        classes = pc.fill_null(classes[place - 2].take(at), -1)
         ends = np.append(0, np.cumsum([len(x) for x in asks], dtype=np.int64)).tolist()
         data = [_packed(pa.concat_arrays([n.slice(a, b - a)]), pa.concat_arrays([classes.slice(a, b - a)])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        del asks, met, word, times, classes, at, n
+        give_back(cycles=False)
         return pa.table({"part": asked["part"], "chunk": asked["chunk"], "data": pa.array(data, pa.binary())})
 
     with short_batches(table.sparkSession, 1):
         asked = settle(table.select("chunk", "words").mapInArrow(tidied(ask), "part int, chunk bigint, data binary"), "asked")
-    # Parts that no chunk asks for are left out.
-    named = words.select((F.crc32(F.encode("word", "UTF-8")) % parts).cast("int").alias("part"), "word", "n", F.col("class").cast("int").alias("class"))
-    found = asked.groupBy("part").cogroup(named.groupBy("part")).applyInArrow(look, "part int, chunk bigint, data binary")
+    found = asked.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(look, "part int, chunk bigint, data binary")
     answers = settle(found, "answers")
     discard(asked)
     ordered = F.array_sort(F.collect_list(F.struct("part", "data")))
@@ -608,8 +666,8 @@ def answered(table: DataFrame, words: DataFrame) -> DataFrame:
 
 def _known(row: dict, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts and classes of a chunk's distinct words, in their order."""
-    words = row["words"].values
-    n, classes = np.zeros(len(words)), np.full(len(words), -1)
+    words = row["words"]
+    n, classes = np.zeros(len(words)), np.full(len(words), -1, np.int8)
     if row["answers"].is_valid:
         _, order = dealt(words, parts)
         got = [_unpacked(x.as_py()) for x in row["answers"]]
@@ -640,16 +698,8 @@ def fit(spark: SparkSession, table: DataFrame, counts: DataFrame) -> ClassModel:
     bigrams = unit_bigrams(table, frequent)
     classes, rounds = _unit_classes(bigrams, total)
     discard(bigrams)
-    given = spark.sparkContext.broadcast(classes)
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            unit = units_of(batch.column(0), sent.value)
-            own = np.where(unit > WORDS, given.value[unit], -1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own)], names=["word", "n", "class"])
-
-    rest = counts.where(F.col("word") != END).mapInArrow(first, "word string, n bigint, class int").where("class >= 0")
-    texts, best = sequences(table, frequent, classes), None
+    parts = parts_of(table)
+    texts, best, place = sequences(table, frequent, classes, parts), None, 2
     found, m = contexts(texts)
     word_rounds = [likelihood(m)]
     while kinds[1 + WORDS :].any():
@@ -663,32 +713,41 @@ def fit(spark: SparkSession, table: DataFrame, counts: DataFrame) -> ClassModel:
                 discard(best)
             best, m = after, m_after
         if gain <= SETTLED * abs(word_rounds[-2]):
+            # Where not even the first round raised the likelihood, the classes before it stay.
+            best, place = (after, 3) if best is None else (best, 2)
             break
     discard(found)
     discard(texts)
-    words = settle(rest, "classes") if best is None else worded(best, counts)
+    packed = spark.createDataFrame([], "part int, data binary") if best is None else best.where("chunk IS NULL").select("part", "data")
 
     size = np.bincount(classes[: 1 + WORDS], weights=total[: 1 + WORDS], minlength=CLASSES)
     # Members of a class: its units, of which endings stand for words never seen, and its training words.
     members = np.bincount(classes, minlength=CLASSES).astype(float)
-    for r in words.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
-        size[r["class"]] += r["n"]
-        members[r["class"]] += r["kinds"]
+    more, kinds_more = _class_sizes(packed, place)
+    size, members = size + more, members + kinds_more
     share = (size + 1) / (size.sum() + CLASSES)
     transition = (m + TRANSITION_PRIOR * share) / (m.sum(1, keepdims=True) + TRANSITION_PRIOR)
     log_size = np.log10(size + ADDED * members)
     alone = np.where(np.arange(UNITS) > WORDS, 0, total)
     log_unit = np.log10(alone + ADDED) - log_size[classes]
-    return ClassModel(frequent, classes, np.log10(transition), log_unit, log_size, int(total.sum()), int(kinds.sum()), int(total[0]), rounds, word_rounds, words)
+    return ClassModel(frequent, classes, np.log10(transition), log_unit, log_size, int(total.sum()), int(kinds.sum()), int(total[0]), rounds, word_rounds, total[1 : 1 + WORDS], parts, packed, place)
+
+
+# Tokens that are scored together; a longer text is scored alone.
+SCORED = 200_000
+
+
+def _per_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the values of texts of these sizes, one after the other."""
+    running = np.append(0, np.cumsum(values))
+    at = np.append(0, np.cumsum(sizes))
+    return running[at[1:]] - running[at[:-1]]
 
 
 def scored(spark: SparkSession, table: DataFrame, counts: DataFrame, model: ClassModel) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity`` of every text."""
-    words, model = model.words, replace(model, words=None)
-    sent = spark.sparkContext.broadcast(model)
-    frequent = counts.join(words, "word", "left_anti").where(F.col("word") != END)
-    joined = answered(table, words.unionByName(frequent.withColumn("class", F.lit(-1))))
-    parts = parts_of(table)
+    parts, joined = model.parts, answered(table, model.packed, model.place, model.parts)
+    sent = spark.sparkContext.broadcast(replace(model, packed=None))
     kind = table.schema["ids"].dataType.elementType.simpleString()
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
 
@@ -698,33 +757,32 @@ def scored(spark: SparkSession, table: DataFrame, counts: DataFrame, model: Clas
         base_all = np.log10(model.train_tokens + 0.5 * (model.vocabulary + 1))
         for batch in batches:
             for row, codes, sizes, train in _rows(batch):
-                words = row["words"].values
+                words = row["words"]
                 n, given = _known(row, parts)
                 unit = units_of(words, model.frequent)
+                n = np.where(unit > WORDS, n, model.alone[np.clip(unit - 1, 0, WORDS - 1)])
                 # A word has its own class where training gave one, else that of its unit.
                 of = np.where((unit > WORDS) & (given >= 0), given, model.classes[unit])
                 # The end is one more code.
                 own = np.append(np.where(unit > WORDS, np.log10(n + ADDED) - model.log_size[of], model.log_unit[unit]), model.log_unit[0])
-                of = np.append(of, model.classes[0])
-                seq, ends = _sequence(np.arange(len(words)), codes, sizes, len(words))
-                c = of[seq]
-                step = model.log_transition[c[:-1], c[1:]] + own[seq[1:]]
-                start = ends - sizes - 1  # of each text in the steps
-
-                def per_text(values: np.ndarray, sizes=sizes) -> np.ndarray:
-                    running = np.concatenate([[0], np.cumsum(values)])
-                    at = np.concatenate([[0], np.cumsum(sizes)])
-                    return running[at[1:]] - running[at[:-1]]
-
-                running = np.concatenate([[0], np.cumsum(step)])
-                score = running[ends] - running[start]
-                known = per_text((n[codes] > 0).astype(np.int64)) + (end_count > 0)
-                tokens = sizes + 1
-                base = per_text(np.log10(n + 0.5)[codes]) + np.log10(end_count + 0.5) - tokens * base_all
-                yield pa.RecordBatch.from_arrays(
-                    [row["ids"].values, pa.array(~train), pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(np.full(len(sizes), model.train_tokens)),
-                     pa.array(base), pa.array(score), pa.array(10 ** (-score / tokens))], names=names)
-                pa.default_memory_pool().release_unused()
+                of = np.append(of, model.classes[0]).astype(np.int8)
+                seen, alone = n > 0, np.log10(n + 0.5)
+                del unit, given, n
+                at = np.append(0, np.cumsum(sizes))
+                for a, b in slices(sizes + 1, SCORED):
+                    some, size = codes[at[a] : at[b]], sizes[a:b]
+                    seq, ends = _sequence(np.arange(len(words), dtype=np.int32), some, size, len(words))
+                    c = of[seq]
+                    step = model.log_transition[c[:-1], c[1:]] + own[seq[1:]]
+                    score = _per_text(step, size + 1)
+                    known = _per_text(seen[some].astype(np.int64), size) + (end_count > 0)
+                    tokens = size + 1
+                    base = _per_text(alone[some], size) + np.log10(end_count + 0.5) - tokens * base_all
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.concat_arrays([row["ids"].values.slice(a, b - a)]), pa.array(~train[a:b]), pa.array(tokens), pa.array(known.astype(np.int64)),
+                         pa.array(np.full(len(size), model.train_tokens)), pa.array(base), pa.array(score), pa.array(10 ** (-score / tokens))], names=names)
+                del row, codes, words, own, of, seen, alone, some, seq, c, step
+                give_back(cycles=False)
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double"
     # A chunk at a time goes to Python.

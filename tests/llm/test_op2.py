@@ -207,3 +207,27 @@ def test_rare_words_take_their_terms_from_tables(monkeypatch):
     monkeypatch.setattr(class_lm, "_f", lambda x: seen.append(np.size(x)) or real(x))
     assert class_lm.gains(left, right, own, m, known).tolist() == whole.tolist()
     assert sum(seen) < class_lm.CLASSES * n
+
+
+def test_words_travel_packed_by_part(spark, docs, monkeypatch):
+    """Words go through Spark as packed parts, with their counts, and not as a row or an array element each."""
+    monkeypatch.setattr(class_lm, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(class_lm, "PART_ROWS", 100)
+    monkeypatch.setattr(class_lm, "PARTS", 4)
+    rows = [(i, " ".join([*(f"w{i * 7 + j}" for j in range(300)), "é" * (i + 1), "long" * (i * 9 + 1)])) for i in range(40)]
+    table = class_lm.chunks(docs(rows).withColumn("train", F.lit(True)), "train")
+    assert dict(table.dtypes)["words"] == "binary"
+    parts = class_lm.parts_of(table)
+    assert parts > class_lm.PARTS
+    expect = Counter(w for _, t in rows for w in t.split()) + Counter({"": len(rows)})
+    counts = class_lm.word_counts(table)
+    assert {r.word: r.n for r in counts.collect()} == expect
+    some = sorted(expect)
+    part, order = class_lm.dealt(pa.array(some), parts)
+    of = dict(zip((some[i] for i in order), part.tolist(), strict=True))
+    alone = [int(class_lm.dealt(pa.array([w]), parts)[0][0]) for w in some]
+    assert [of[w] for w in some] == alone and len(set(alone)) > parts / 2
+    model = class_lm.fit(spark, table, counts)
+    assert model.words.collect() and all(r.n == expect[r.word] for r in model.words.collect())
+    unread = {(r.word, r.n) for r in counts.collect()} - {(r.word, r.n) for r in model.words.collect()}
+    assert {w for w, _ in unread} == {"", *model.frequent.to_pylist()}
