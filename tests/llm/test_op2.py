@@ -214,7 +214,7 @@ def test_words_travel_packed_by_part(spark, docs, monkeypatch):
     monkeypatch.setattr(class_lm, "CHUNK_BYTES", 20_000)
     monkeypatch.setattr(class_lm, "PART_ROWS", 100)
     monkeypatch.setattr(class_lm, "PARTS", 4)
-    rows = [(i, " ".join([*(f"w{i * 7 + j}" for j in range(300)), "é" * (i + 1), "long" * (i * 9 + 1)])) for i in range(40)]
+    rows = [(i, " ".join([*(f"w{i * 70 + j}" for j in range(300)), "é" * (i + 1), "long" * (i * 9 + 1)])) for i in range(40)]
     table = class_lm.chunks(docs(rows).withColumn("train", F.lit(True)), "train")
     assert dict(table.dtypes)["words"] == "binary"
     parts = class_lm.parts_of(table)
